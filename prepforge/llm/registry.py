@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import decontam, substring
 
-_MODULES = (substring,)
+_MODULES = (decontam, substring)
 
 
 def queries() -> dict:
