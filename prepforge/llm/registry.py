@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, substring
+from . import decontam, repair, substring, wordbpe
 
-_MODULES = (decontam, substring)
+_MODULES = (decontam, repair, substring, wordbpe)
 
 
 def queries() -> dict:
