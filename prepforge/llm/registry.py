@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, repair, substring, wordbpe
+from . import decontam, neardup, repair, substring, wordbpe
 
-_MODULES = (decontam, repair, substring, wordbpe)
+_MODULES = (decontam, neardup, repair, substring, wordbpe)
 
 
 def queries() -> dict:
