@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, repair, substring, wordbpe
+from . import decontam, neardup, quality, repair, substring, toxicity, wordbpe
 
-_MODULES = (decontam, neardup, repair, substring, wordbpe)
+_MODULES = (decontam, neardup, quality, repair, substring, toxicity, wordbpe)
 
 
 def queries() -> dict:
