@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, quality, repair, substring, toxicity, wordbpe
+from . import ann, decontam, neardup, quality, repair, substring, toxicity, urllists, wordbpe
 
-_MODULES = (decontam, neardup, quality, repair, substring, toxicity, wordbpe)
+_MODULES = (ann, decontam, neardup, quality, repair, substring, toxicity, urllists, wordbpe)
 
 
 def queries() -> dict:
