@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, neardup, quality, repair, substring, toxicity, urllists, wordbpe
+from . import ann, brown, decontam, neardup, quality, repair, substring, toxicity, urllists, wordbpe
 
-_MODULES = (ann, decontam, neardup, quality, repair, substring, toxicity, urllists, wordbpe)
+_MODULES = (ann, brown, decontam, neardup, quality, repair, substring, toxicity, urllists, wordbpe)
 
 
 def queries() -> dict:
