@@ -51,6 +51,12 @@ def semi(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     return df.join(right, key, "left_semi")
 
 
+def without(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
+    """Rows of df whose key is not in ids; broadcast as in semi."""
+    right = F.broadcast(ids) if n_ids * 16 <= BROADCAST_BYTES else ids
+    return df.join(right, key, "left_anti")
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the id as decimal text, modulo m; null ids give null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))
