@@ -11,7 +11,7 @@ from ..functions.metrics import smape
 from .ranks import percent_rank_average
 
 #: Weight combinations of one aggregate; more go in further passes.
-BATCH = 400
+BATCH = 32
 
 
 def blend_log(weights: Mapping[str, float]) -> Column:

@@ -351,3 +351,10 @@ def make_dtm(points: DataFrame, res: float, stat: str, sigma: float = 1.0) -> tu
     m = meta.first()
     cells = rasterise(cell_index(points, meta), stat)
     return gaussian(fill_gaps(cells, m.nrows, m.ncols), m.nrows, m.ncols, sigma), meta
+
+
+def method_comparison(methods: DataFrame, before: str, after: str) -> DataFrame:
+    """(method, metric, value) rows side by side for two methods, with factor and percentage."""
+    wide = methods.groupBy("metric").agg(*[F.max(F.when(F.col("method") == m, F.col("value"))).alias(m) for m in (before, after)])
+    x, y = F.col(before), F.col(after)
+    return wide.withColumns({"factor": F.round(y / F.nullif(x, F.lit(0.0)), 6), "pct": F.round((y - x) / F.nullif(x, F.lit(0.0)) * 100, 6)})

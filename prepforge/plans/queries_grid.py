@@ -203,3 +203,31 @@ def d15_scaled_colours(t):
 def g22_village_checks(t):
     m = t("nation").select(F.col("n_name").alias("village"), F.col("n_nationkey").alias("coverage_pct"), (F.col("n_regionkey") * 10).alias("range"), F.col("n_regionkey").alias("std"), F.col("n_nationkey").alias("paths"))
     return te.village_checks(m)
+
+
+@query(f"""with {_I}, s as (select count(*) as n, stddev_pop(z) as d from i), g as (select count(*) as n, stddev_pop(i.z) as d from i join (select a.row, a.col, min(b.z) as z from (select row, col, min(z) as z from i group by 1, 2) a join (select row, col, min(z) as z from i group by 1, 2) b on abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1 group by 1, 2) base using (row, col) where i.z - base.z <= 5)
+select m.metric, m.baseline, m.refined, round(m.refined / m.baseline, 6) as factor, round((m.refined - m.baseline) / m.baseline * 100, 6) as pct from
+(select 'points' as metric, s.n::double as baseline, g.n::double as refined from s, g union all select 'std', round(s.d, 9), round(g.d, 9) from s, g) m""")
+def g23_a26_method_comparison(t):
+    i = te.ground_labels(_indexed(t), 5.0)
+    stats = lambda df, name: df.agg(F.count("*").cast("double").alias("points"), F.round(F.stddev_pop("z"), 9).alias("std")).unpivot([], ["points", "std"], "metric", "value").withColumn("method", F.lit(name))
+    return te.method_comparison(stats(i, "baseline").unionByName(stats(i.filter("label = 2"), "refined")), "baseline", "refined")
+
+
+@query(f"with {_C} select row, col, case when value - 30 >= -1000 and (row + col) % 9 <> 0 then value - 30 end as value from c")
+def s12_mask_nodata(t):
+    from ..sources.io import NODATA, mask_nodata
+
+    raw = _cells(t).withColumn("value", F.when(F.pmod(F.col("row") + F.col("col"), F.lit(9)) == 0, NODATA).otherwise(F.col("value") - 30))
+    return mask_nodata(raw)
+
+
+@query("select o_custkey as path, count(*) as points, min(o_orderkey)::double as x_min from orders group by o_custkey")
+def s13_geojson_lines(t):
+    """Each customer's orders as a line, written as GeoJSON features and read back."""
+    from ..sources.io import from_geojson, to_geojson
+
+    p = F.struct(F.col("o_orderkey").cast("double").alias("x"), F.col("o_totalprice").cast("double").alias("y"))
+    lines = t("orders").groupBy(F.col("o_custkey").alias("path")).agg(F.array_sort(F.collect_list(p)).alias("points"))
+    back = from_geojson(to_geojson(lines, "points", "path"), "path long")
+    return back.select("path", F.size("points").cast("long").alias("points"), F.array_min(F.transform("points", lambda q: q.x)).alias("x_min"))

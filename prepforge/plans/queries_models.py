@@ -90,3 +90,23 @@ def m08_weighted_retraining(t):
 def x07_slot_map(t):
     e = t("events").select("event_id", "user_id", F.col("value").cast("double").alias("p"), (F.col("event_type") == "click").cast("int").alias("k"))
     return mt.mean_average_precision(e, "user_id", "k", "p", "event_id")
+
+
+@query()
+def m07_v09_final_model(t):
+    """A final model on four fifths of the rows; the stratified rest decides when boosting stops; all rows are scored."""
+    held = sp.holdout(_lines(t), "id", "label", 0.2).withColumn("stop", F.col("split") == "val")
+    data = durable(mo.assemble(held, ["l_quantity", "l_discount", "day"]).select("id", "label", "features", "stop"))
+    model = mo.boosted_classifier(depth=3, rounds=10, stop="stop").fit(data)
+    return mo.probability(model, data, "p").select("id", "label", F.bround("p", 6).alias("p"))
+
+
+@query()
+def m13_b11_boosted_meta(t):
+    """A boosted meta-learner on two prediction columns beside their fixed blend: mae and smape of each."""
+    from ..operators import ensemble as es
+    from .queries_tables import _pred
+
+    d = durable(mo.assemble(_pred(t).withColumn("label", F.log1p("y")), ["a", "b"]).select("y", "a", "b", "label", "features"))
+    meta = mo.predicted(mo.boosted_regressor(loss="squared", depth=3, rounds=6).fit(d), d, "p").withColumn("meta", F.expm1("p")).withColumn("blend", es.blend_price({"a": 0.5, "b": 0.5}))
+    return es.model_table(meta, "y", ["meta", "blend"])

@@ -520,3 +520,29 @@ def v08_fold_mean(t):
 @query()
 def v03_k_fold(t):
     return sp.k_fold(t("orders").select("o_orderkey"), "o_orderkey", 5)
+
+
+@query("select l_orderkey, l_linenumber, round_even(l_extendedprice * l_discount / 7, 6) as score from lineitem")
+def p13_round_scores(t):
+    d = t("lineitem").withColumn("score", F.col("l_extendedprice").cast("double") * F.col("l_discount") / 7)
+    return d.select("l_orderkey", "l_linenumber", co.round_score("score").alias("score"))
+
+
+@query(f"""
+select wa as w_a, wb as w_b, wc as w_c, round(smape, 6) as smape from (
+  select i / 20.0::double as wa, j / 20.0::double as wb, (20 - i - j) / 20.0::double as wc, 100 * avg(abs(y - m) / ((abs(y) + abs(m)) / 2)) as smape
+  from (select i, j, y, i / 20.0::double * a + j / 20.0::double * b + (20 - i - j) / 20.0::double * c as m from {_PRED}, (select unnest(range(0, 21)) as i), (select unnest(range(0, 21)) as j) where i + j <= 20) group by i, j)""")
+def b04_simplex_grid(t):
+    out = es.search_weights(_pred(t), ["a", "b", "c"], "y", es.simplex_grid(20), log=False)
+    return out.withColumn("smape", F.round("smape", 6))
+
+
+@query(f"select l_orderkey, l_linenumber, y, a, b, round({_RANK.format(c='a')} / (select count(*) from lineitem), 9) as a_rank, round({_RANK.format(c='b')} / (select count(*) from lineitem), 9) as b_rank from {_PRED}")
+def b08_meta_features(t):
+    out = es.meta_features(_pred(t).select("l_orderkey", "l_linenumber", "y", "a", "b"), ["a", "b"])
+    return out.select("l_orderkey", "l_linenumber", "y", "a", "b", F.round("a_rank", 9).alias("a_rank"), F.round("b_rank", 9).alias("b_rank"))
+
+
+@query("select conv_id, turn, length(text) as n from conversations order by conv_id, turn limit 5")
+def t01_t07_sort_and_preview(t):
+    return t("conversations").select("conv_id", "turn", F.length("text").alias("n")).orderBy("conv_id", "turn").limit(5)
