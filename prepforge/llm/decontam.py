@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .fragments import words_of
-from .textcore import NOT_ALNUM, column_bytes, covered, parts
+from .textcore import NOT_ALNUM, column_bytes, parts
 
 WINDOW = 10
 #: Test windows of one pass over the index.
