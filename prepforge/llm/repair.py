@@ -14,23 +14,34 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import shared
 from .textcore import column_bytes, parts
+from .wordbpe import byte_names, tokenizer_file
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 #: Symbols are 16 bits wide: ids of the vocabulary, then rules.
 SYMBOLS = 1 << 16
 MIN_COUNT, ROUNDS, RULES_A_ROUND = 24, 6, 2500
-MEMORY_WORDS = 600_000
+MEMORY_WORDS, HOT_WORDS = 600_000, 12_000
+MEMORY_TOKENS = 300_000
 _SLOT_BITS = 18
+#: Fixed value: the pattern of byte-level pre-tokens.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_NAMES = byte_names()
+_MAY_BEGIN, _MAY_END = np.zeros(256, bool), np.zeros(256, bool)
+for _c in map(chr, range(0x10000)):
+    if _c.isspace():
+        _MAY_BEGIN[_c.encode()[0]] = _MAY_END[_c.encode()[-1]] = True
 
 _SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("base", pa.int32()), ("docs", pa.binary()), ("doc_symbols", pa.binary()), ("symbols", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary())])
 
@@ -49,27 +60,64 @@ class ByteBpe:
         self.library.no_truncation()
         self.size = self.library.get_vocab_size()
         self.at: dict[bytes, int] = {}
+        self.hot: dict[bytes, int] = {}
+        self.next_hot = 20_000
+        self.tokens: dict[str, int] = {}
+        self.token_ids: list[list[int]] = []
+        self.token_count: list[int] = []
         self.flat, self.filled = np.zeros(1 << 16, np.uint16), 0
         self.begin = self.count = self.flags = self.used = np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _token_ids(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens one after another, and the number of ids of each; new ones are merged by the library's model."""
+        known = self.tokens
+        if len(known) > MEMORY_TOKENS:
+            known.clear()
+            self.token_ids, self.token_count = [], []
+        new = [t for t in dict.fromkeys(tokens) if t not in known]
+        if new:
+            merge = self.library.model.tokenize
+            ids = [[x.id for x in merge((t if t.isascii() else t.encode().decode("latin-1")).translate(_NAMES))] for t in new]
+            known.update(zip(new, range(len(self.token_count), len(self.token_count) + len(new)), strict=True))
+            self.token_ids += ids
+            self.token_count += map(len, ids)
+        at = list(map(known.__getitem__, tokens))
+        per = list(map(self.token_ids.__getitem__, at))
+        return np.fromiter(chain.from_iterable(per), np.uint16), np.fromiter(map(len, per), np.int64, len(per))
+
     def _learn(self, new: list[bytes]) -> None:
-        """Encodes new stretches: those that begin with a blank and have visible ends as one text, since all cuts in it are safe."""
-        texts = [w.decode() for w in new]
-        inner = [t[1:] if t[:1] == " " else t for t in texts]
-        flags = np.array([(not t or t[0].isspace()) + 2 * (not t or t[-1].isspace()) for t in inner], np.int64)
-        safe = np.flatnonzero((flags == 0) & np.array([t[:1] == " " for t in texts], bool))
+        """Encodes new stretches: those that begin with a blank and have visible ends are cut into pre-tokens as one text, since all cuts between them are safe."""
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        raw = np.frombuffer(b"".join(new), np.uint8)
+        end = np.cumsum(size)
+        blank = (size > 0) & (np.r_[raw, 0][end - size] == 0x20)
+        first, last = np.r_[raw, 0][np.minimum(end - size + blank, len(raw))], np.r_[0, raw][end]
+        # bytes with which a white-space character may begin or end: only these are looked at as characters
+        odd = np.flatnonzero((size <= blank) | _MAY_BEGIN[first] | _MAY_END[last])
+        flags = np.zeros(len(new), np.int64)
+        for i in odd.tolist():
+            t = new[i].decode()
+            t = t[1:] if t[:1] == " " else t
+            flags[i] = (not t or t[0].isspace()) + 2 * (not t or t[-1].isspace())
+        ok = (flags == 0) & blank
+        for i in [i for i, w in enumerate(new) if b"<|" in w]:
+            ok[i] = False
+        safe, rest = np.flatnonzero(ok), np.flatnonzero(~ok)
+        joined = raw[np.repeat(ok, size)]
+        tokens = PRETOKEN.findall(joined.tobytes().decode())
+        ids, per_token = self._token_ids(tokens)
+        chars = np.r_[0, np.cumsum((joined & 0xC0) != 0x80)]
+        token_end = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        # a stretch ends with the pre-token that ends where it does
+        upto = np.searchsorted(token_end, chars[np.cumsum(size[safe])], "right")
         count = np.zeros(len(new), np.int64)
-        joined = self.library.encode("".join([texts[i] for i in safe.tolist()]), add_special_tokens=False)
-        sizes = np.array([len(texts[i]) for i in safe.tolist()], np.int64)
-        at = np.searchsorted(np.cumsum(sizes), np.array([o[0] for o in joined.offsets], np.int64), "right")
-        count[safe] = np.bincount(at, minlength=len(safe))
-        rest = np.setdiff1d(np.arange(len(new)), safe)
-        alone = self._ids([texts[i] for i in rest.tolist()])
+        count[safe] = np.diff(np.r_[0, np.r_[0, np.cumsum(per_token)][upto]])
+        alone = self._ids([new[i].decode() for i in rest.tolist()])
         count[rest] = [len(i) for i in alone]
-        body = np.r_[np.array(joined.ids, np.uint16), np.array([x for i in alone for x in i], np.uint16)]
+        body = np.r_[ids, np.fromiter(chain.from_iterable(alone), np.uint16)]
         while self.filled + len(body) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.uint16)]
         self.flat[self.filled : self.filled + len(body)] = body
@@ -92,6 +140,13 @@ class ByteBpe:
         self.flat, self.filled = body.copy(), len(body)
         self.begin, self.count, self.flags, self.used = np.cumsum(count) - count, count, self.flags[keep], self.used[keep] // 2
         self.at = {w: int(p) for w, i in self.at.items() if (p := place[i]) >= 0}
+        self._warm()
+
+    def _warm(self) -> None:
+        """A small table of the most used stretches, renewed as the memory doubles."""
+        often = set(np.argsort(-self.used, kind="stable")[:HOT_WORDS].tolist())
+        self.hot = {w: i for w, i in self.at.items() if i in often}
+        self.next_hot = max(2 * len(self.at), 20_000)
 
     def _gather(self, k: np.ndarray) -> np.ndarray:
         count = self.count[k]
@@ -102,14 +157,20 @@ class ByteBpe:
         """Ids of all texts one after another, each with the end id, and the number of ids of each."""
         if len(self.at) > MEMORY_WORDS:
             self._forget()
+        if len(self.at) >= self.next_hot:
+            self._warm()
         words, sizes = [], []
         for t in texts:
             ws = t.replace(b" ", b"\xff ").split(b"\xff")  # a byte that no text holds; each blank stays with what follows
             words += ws
             sizes.append(len(ws))
         at = self.at
-        k = np.array([at.get(w, -1) for w in words], np.int64)
-        missing = np.flatnonzero(k < 0).tolist()
+        # most words are among a few, whose table fits the processor's cache
+        k = np.fromiter(map(self.hot.get, words, repeat(-1)), np.int64, len(words))
+        cold = np.flatnonzero(k < 0)
+        rest = list(map(words.__getitem__, cold.tolist()))
+        k[cold] = np.fromiter(map(at.get, rest, repeat(-1)), np.int64, len(rest))
+        missing = cold[k[cold] < 0].tolist()
         if missing:
             self._learn(sorted({words[i] for i in missing}))
             k[missing] = [at[words[i]] for i in missing]
@@ -305,8 +366,6 @@ def _crc(ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
-    from .wordbpe import tokenizer_file
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = f"{shared.ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer_file("byte_bpe_50k.json"))
