@@ -248,6 +248,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     best = shared.durable(scored.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")))
     links = shared.durable(_confirmed(best, sets, percent))
     labels = _roots(links)
+    # a root has no link of its own, and needs a row to be relabelled when its component merges
+    labels = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
 
     def apart(pairs: DataFrame) -> DataFrame:
         la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))

@@ -278,6 +278,30 @@ def test_large_groups_of_near_copies(spark):
     assert got == _components(rows)
 
 
+def test_roots_are_relabelled_when_components_merge(spark):
+    import random
+
+    def changed(words, places, tag):
+        return [f"{tag}{i}" if i in places else w for i, w in enumerate(words)]
+
+    # a V: 100 is linked with 50 (nearer) and with 3, which are not linked with each other
+    base = [f"v{i}" for i in range(300)]
+    rows = [(100, " ".join(base)), (50, " ".join(changed(base, (40, 80), "p"))), (3, " ".join(changed(base, range(150, 294, 18), "q")))]
+    rows += [(60, rows[1][1])]  # an exact copy of the root
+    # a chain in which only neighbours are linked, with shuffled ids
+    ids = list(range(200, 224))
+    random.Random(7).shuffle(ids)
+    words = [f"c{i}" for i in range(300)]
+    for n, i in enumerate(ids):
+        words = changed(words, {(n * 71 + 29 * j) % 300 for j in range(6)}, f"s{n}_")
+        rows.append((i, " ".join(words)))
+    want = _components(rows)
+    assert {r[2] for r in want} == {3, 200}
+    assert all(r[2] == 50 for r in _components([r for r in rows if r[0] in (3, 50)]) if r[0] == 50)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(table(spark, rows)).collect()), key=str)
+    assert got == want
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90), (100, 95)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(links).collect()}
