@@ -5,12 +5,12 @@ for. A number of independent trees branch the classes: at the root by one minwis
 node's path picks. Two sets of similarity s share a branch with probability s, whatever the node's size, and independent trees multiply
 the misses. Nodes of up to LEAF classes are compared exhaustively; what stays larger (thousands of near copies, which no coordinate parts) is
 compared in hashed parts of that size, each beside the node's pivots. All similar pairs of nodes of up to FEW classes are candidates; of larger
-nodes each class's best partner is, and in later rounds its best partners in other components, until no round joins any.
+nodes first each class's best partner is, then its best partners in other components, and at last all pairs of different components.
 
 Candidates whose vectors agree in enough coordinates (compared as 16-bit sketches) are confirmed on full sets, the best partner of each
 class first, and the rest only where they would join two components. Components come from pointer doubling: each
 component hangs on its smallest neighbour, and the forest is flattened. All steps are joins and aggregations; groups are collected only up to LEAF classes, and a
-group never yields more pairs than a constant times its size.
+group yields at most all its pairs, in batches of bounded size.
 
 A pair at the threshold of 0.75 shares no node with a probability of 0.25 ** TREES, below 1e-5.
 
@@ -33,8 +33,10 @@ from .textcore import SPACE, U64, Words, column_bytes, mix, parts, windows
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, TREES, LEAF, FEW = 96, 10, 512, 24
-#: Trees whose nodes beyond LEAF branch once more, pivots of such nodes, and rounds that look for links between components.
-DEEP_TREES, PIVOTS, ROUNDS = 4, 8, 4
+#: Trees whose nodes beyond LEAF branch once more, and pivots of such nodes.
+DEEP_TREES, PIVOTS = 4, 8
+#: Pairs that a comparison gathers before it hands them on.
+PAIRS_AT_ONCE = 1 << 17
 #: A pair goes to the exact check if so many standard deviations below the threshold, or more, of its coordinates agree.
 SLACK = 3.5
 
@@ -177,12 +179,15 @@ def _branches(state: DataFrame) -> DataFrame:
     return state.join(counts, "path")
 
 
-def _compared(members: DataFrame, least: int, top: int) -> DataFrame:
-    """Pairs (a, b, agree) of different components after exhaustive comparison of each row's classes m: all pairs where few is set, else each class's top partners."""
+def _compared(members: DataFrame, least: int, top: int | None) -> DataFrame:
+    """Pairs (a, b, agree) of different components after exhaustive comparison of each row's classes m: all pairs where few is set or top is None, else each class's top partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for c, x in zip(("a", "b", "agree"), out, strict=True)})
+
         for batch in batches:
-            out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            out, held = ([], [], []), 0
             for m, few in zip(batch.column("m"), batch.column("few").to_pylist(), strict=True):
                 m = m.values
                 node, label = (m.field(c).to_numpy() for c in ("node", "label"))
@@ -191,7 +196,7 @@ def _compared(members: DataFrame, least: int, top: int) -> DataFrame:
                 for c in range(sketch.shape[1]):
                     agree += sketch[:, c, None] == sketch[None, :, c]
                 agree[label[:, None] == label[None, :]] = 0
-                if few:
+                if few or top is None:
                     i, j = np.nonzero(np.triu(agree >= least, 1))
                 else:
                     best = np.argsort(-agree.astype(np.int16), axis=1, kind="stable")[:, :top]
@@ -202,7 +207,11 @@ def _compared(members: DataFrame, least: int, top: int) -> DataFrame:
                 out[0].append(np.maximum(node[i], node[j]))
                 out[1].append(np.minimum(node[i], node[j]))
                 out[2].append(agree[i, j].astype(np.int64))
-            yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(x)) for c, x in zip(("a", "b", "agree"), out, strict=True)})
+                held += len(i)
+                if held > PAIRS_AT_ONCE:
+                    yield flush()
+                    out, held = ([], [], []), 0
+            yield flush()
 
     return members.mapInArrow(run, "a long, b long, agree long").distinct()
 
@@ -219,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     reps = shared.durable(firsts.select("node", "roots", "sketch").dropDuplicates(["node"]))
     sketches = reps.select("node", "sketch")
 
-    def candidates(nodes: DataFrame, top: int) -> DataFrame:
+    def candidates(nodes: DataFrame, top: int | None) -> DataFrame:
         """Nodes of up to LEAF classes are compared whole; larger ones in hashed parts of that size, each beside the node's pivots."""
         cut = nodes.withColumn("part", F.pmod(F.xxhash64("node", "path"), F.ceil(F.col("size") / (0.8 * LEAF))).cast("int"))
         parts = cut.join(sketches, "node").groupBy("path", "part").agg(F.collect_list(F.struct("node", "label", "sketch")).alias("m"), F.first("size").alias("size"))
@@ -263,13 +272,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         labels = _merged(labels, more)
     # what joins two components, not the partner that each class is nearest to, may be left in larger nodes
     wide, tried = nodes.filter(F.col("size") > FEW).join(active, "node", "left_semi"), scored.select("a", "b")
-    for _ in range(ROUNDS):
+    # the three best join most components; the last look takes every pair that is still apart and untried, so nothing is left for another
+    for top in (3, None):
         mixed = shared.durable(_branches(relabelled(wide.drop("size"))))
-        found = shared.durable(candidates(mixed, 3).select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        more = shared.durable(_confirmed(apart(found), sets, percent))
-        if more.isEmpty():
-            break
-        labels = _merged(labels, more)
+        found = shared.durable(apart(candidates(mixed, top).select("a", "b").join(tried, ["a", "b"], "left_anti")))
+        more = shared.durable(_confirmed(found, sets, percent))
+        if not more.isEmpty():
+            labels = _merged(labels, more)
         tried = tried.unionByName(found)
     return _verdict(result.join(labels, "node", "left"), key)
 

@@ -302,6 +302,28 @@ def test_roots_are_relabelled_when_components_merge(spark):
     assert got == want
 
 
+def _changed_words(rng, words, n, tag, places):
+    at = set(rng.sample(places, n))
+    return " ".join(f"{tag}_{i}" if i in at else w for i, w in enumerate(words))
+
+
+def test_links_ranked_behind_failed_partners(spark):
+    import random
+
+    rng = random.Random(11)
+    rows, want = [], []
+    for f in range(3):  # two linked texts, and 140 below the threshold of which many look nearer to both
+        base = [f"f{f}_{i}" for i in range(1200)]
+        places = list(range(2, 1196, 6))
+        rng.shuffle(places)
+        family = [(1000 * f + 140 + i, _changed_words(rng, base, 17, f"y{f}_{i}", places[17 * i : 17 * i + 17])) for i in range(2)]
+        family += [(1000 * f + i, _changed_words(rng, base, 24, f"z{f}_{i}", places[34:])) for i in range(140)]
+        assert [r[0] for r in _components(family) if not r[3]] == [1000 * f + 141]
+        rows, want = rows + family, want + _components(family)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(table(spark, rows)).collect()), key=str)
+    assert got == sorted(want, key=str)
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90), (100, 95)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(links).collect()}
