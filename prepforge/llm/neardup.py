@@ -1,15 +1,14 @@
-"""Near-duplicates by a chosen-path similarity join over minwise coordinates.
+"""Near-duplicates by a similarity join over minwise coordinates.
 
 Each document's set of word shingles gets a vector of minwise values; equal sets are one class, which a single representative stands
-for. A number of independent trees branch the classes: at the root by one minwise coordinate, in every larger node by two more that the
-node's path picks. Two sets of similarity s share a branch with probability s, whatever the node's size, and independent trees multiply
-the misses. Nodes of up to LEAF classes are compared exhaustively; what stays larger (thousands of near copies, which no coordinate parts) is
-compared in hashed parts of that size, each beside the node's pivots. All similar pairs of nodes of up to FEW classes are candidates; of larger
+for. A number of independent trees branch the classes, each by one minwise coordinate. Two sets of similarity s share a node of a tree with
+probability s, whatever the node's size, and independent trees multiply the misses. Every node is compared exhaustively: up to LEAF classes
+in one group, larger ones in hashed blocks, each pair of blocks in a group of its own, so that work grows with the square of a node. All similar pairs of nodes of up to FEW classes are candidates; of larger
 nodes first each class's best partner is, then its best partners in other components, and at last all pairs of different components.
 
 Candidates whose vectors agree in enough coordinates (compared as 16-bit sketches) are confirmed on full sets, the best partner of each
 class first, and the rest only where they would join two components. Components come from pointer doubling: each
-component hangs on its smallest neighbour, and the forest is flattened. All steps are joins and aggregations; groups are collected only up to LEAF classes, and a
+component hangs on its smallest neighbour, and the forest is flattened. All steps are joins and aggregations; groups are collected only up to two blocks, and a
 group yields at most all its pairs, in batches of bounded size.
 
 A pair at the threshold of 0.75 shares no node with a probability of 0.25 ** TREES, below 1e-5.
@@ -33,8 +32,8 @@ from .textcore import SPACE, U64, Words, column_bytes, mix, parts, windows
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, TREES, LEAF, FEW = 96, 10, 512, 24
-#: Trees whose nodes beyond LEAF branch once more, and pivots of such nodes.
-DEEP_TREES, PIVOTS = 4, 8
+#: Mean classes of a block of a node beyond LEAF.
+BLOCK = 1024
 #: Pairs that a comparison gathers before it hands them on.
 PAIRS_AT_ONCE = 1 << 17
 #: A pair goes to the exact check if so many standard deviations below the threshold, or more, of its coordinates agree.
@@ -180,32 +179,44 @@ def _branches(state: DataFrame) -> DataFrame:
 
 
 def _compared(members: DataFrame, least: int, top: int | None) -> DataFrame:
-    """Pairs (a, b, agree) of different components after exhaustive comparison of each row's classes m: all pairs where few is set or top is None, else each class's top partners."""
+    """Pairs (a, b, agree) of different components after exhaustive comparison of each row's classes m (with those of o, where o is given): all pairs where few is set or top is None, else each class's top partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fields(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x = x.values
+            sketch = np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint16).reshape(len(x), -1)
+            return x.field("node").to_numpy(), x.field("label").to_numpy(), np.ascontiguousarray(sketch.T)
+
+        def best(agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            i = np.flatnonzero(agree.max(axis=1) >= least)
+            some = agree[i]
+            j = some.argmax(axis=1)[:, None] if top == 1 else np.argsort(-some.astype(np.int16), axis=1, kind="stable")[:, :top]
+            i, j = np.repeat(i, j.shape[1]), j.ravel()
+            ok = agree[i, j] >= least
+            return i[ok], j[ok]
+
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for c, x in zip(("a", "b", "agree"), out, strict=True)})
 
         for batch in batches:
             out, held = ([], [], []), 0
-            for m, few in zip(batch.column("m"), batch.column("few").to_pylist(), strict=True):
-                m = m.values
-                node, label = (m.field(c).to_numpy() for c in ("node", "label"))
-                sketch = np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint16).reshape(len(node), -1)
-                agree = np.zeros((len(node), len(node)), np.uint8)
-                for c in range(sketch.shape[1]):
-                    agree += sketch[:, c, None] == sketch[None, :, c]
-                agree[label[:, None] == label[None, :]] = 0
+            for m, o, few in zip(batch.column("m"), batch.column("o"), batch.column("few").to_pylist(), strict=True):
+                within = not o.is_valid
+                node, label, sketch = fields(m)
+                node2, label2, sketch2 = (node, label, sketch) if within else fields(o)
+                agree = np.zeros((len(node), len(node2)), np.uint8)
+                for x, y in zip(sketch, sketch2, strict=True):
+                    agree += x[:, None] == y[None, :]
+                agree[label[:, None] == label2[None, :]] = 0
                 if few or top is None:
-                    i, j = np.nonzero(np.triu(agree >= least, 1))
+                    i, j = np.nonzero(np.triu(agree >= least, 1) if within else agree >= least)
                 else:
-                    best = np.argsort(-agree.astype(np.int16), axis=1, kind="stable")[:, :top]
-                    i = np.repeat(np.arange(len(node)), best.shape[1])
-                    j = best.ravel()
-                    ok = agree[i, j] >= least
-                    i, j = i[ok], j[ok]
-                out[0].append(np.maximum(node[i], node[j]))
-                out[1].append(np.minimum(node[i], node[j]))
+                    i, j = best(agree)
+                    if not within:
+                        j2, i2 = best(agree.T)
+                        i, j = np.r_[i, i2], np.r_[j, j2]
+                out[0].append(np.maximum(node[i], node2[j]))
+                out[1].append(np.minimum(node[i], node2[j]))
                 out[2].append(agree[i, j].astype(np.int64))
                 held += len(i)
                 if held > PAIRS_AT_ONCE:
@@ -229,25 +240,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     sketches = reps.select("node", "sketch")
 
     def candidates(nodes: DataFrame, top: int | None) -> DataFrame:
-        """Nodes of up to LEAF classes are compared whole; larger ones in hashed parts of that size, each beside the node's pivots."""
-        cut = nodes.withColumn("part", F.pmod(F.xxhash64("node", "path"), F.ceil(F.col("size") / (0.8 * LEAF))).cast("int"))
-        parts = cut.join(sketches, "node").groupBy("path", "part").agg(F.collect_list(F.struct("node", "label", "sketch")).alias("m"), F.first("size").alias("size"))
-        pivots = cut.filter(F.col("size") > LEAF).groupBy("path").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "label")).alias(f"p{i}") for i in range(PIVOTS)])
-        pivots = pivots.select("path", F.explode(F.array_distinct(F.array(*[F.struct(f"p{i}.node", f"p{i}.label") for i in range(PIVOTS)]))).alias("p")).select("path", "p.node", "p.label")
-        pivots = pivots.join(sketches, "node").groupBy("path").agg(F.collect_list(F.struct("node", "label", "sketch")).alias("pivots"))
-        whole = parts.join(pivots, "path", "left").select(F.when(F.col("pivots").isNotNull(), F.array_distinct(F.concat("m", "pivots"))).otherwise(F.col("m")).alias("m"), (F.col("size") <= FEW).alias("few"))
+        """Nodes of up to LEAF classes are compared in one group; larger ones in all pairs of their blocks, a group for each pair."""
+        member = F.collect_list(F.struct("node", "label", "sketch"))
+        rows = nodes.join(sketches, "node")
+        none = F.lit(None).cast("array<struct<node: bigint, label: bigint, sketch: binary>>")
+        small = rows.filter(F.col("size") <= LEAF).groupBy("path").agg(member.alias("m"), F.first("size").alias("size")).select("m", none.alias("o"), (F.col("size") <= FEW).alias("few"))
+        cut = rows.filter(F.col("size") > LEAF).withColumn("n_parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", "path"), F.col("n_parts")).cast("int"))
+        blocks = cut.groupBy("path", "n_parts", "part").agg(member.alias("m")).withColumn("q", F.explode(F.expr("sequence(0, n_parts - 1)")))
+        met = blocks.groupBy("path", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi")).agg(F.collect_list("m").alias("b"))
+        large = met.filter((F.size("b") == 2) | (F.col("lo") == F.col("hi"))).select(F.col("b")[0].alias("m"), F.get("b", F.lit(1)).alias("o"), F.lit(False).alias("few"))
+        whole = small.unionByName(large)
         return _compared(whole, least, top)
 
-    # level 1: every tree's root branches by one coordinate
-    state = reps.select("node", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("path"), "node", F.col("node").alias("label"), (F.col("tree") < DEEP_TREES).alias("deep"))
-    nodes = _branches(state)
-    # level 2: what is still larger than a leaf branches by two more coordinates of its own
-    large = nodes.filter((F.col("size") > LEAF) & F.col("deep")).join(sketches, "node").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
-    coordinate = F.pmod(F.xxhash64("path", "j"), F.lit(COORDINATES)).cast("int")
-    state = large.withColumn("c", coordinate).select(F.xxhash64("path", "c", F.expr("substring(sketch, 2 * c + 1, 2)")).alias("path"), "node", "label", F.lit(False).alias("deep")).distinct()
-    nodes = shared.durable(nodes.unionByName(_branches(state)).drop("deep"))
+    # every tree branches by one coordinate
+    state = reps.select("node", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("path"), "node", F.col("node").alias("label"))
+    nodes = shared.durable(_branches(state))
     scored = shared.durable(candidates(nodes, 1))
-    # a class without a candidate here has none later: later rounds look at the same nodes, and its best partner would be one
+    # a class without a candidate here has none later: every node was compared whole, and its best partner would be one
     active = shared.durable(scored.select(F.col("a").alias("node")).union(scored.select("b")).distinct())
     n_active = active.count()
     result = table.select("doc", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")

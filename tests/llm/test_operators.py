@@ -324,6 +324,23 @@ def test_links_ranked_behind_failed_partners(spark):
     assert got == sorted(want, key=str)
 
 
+def test_pairs_within_a_large_node_of_boilerplate(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(neardup, "LEAF", 16)
+    monkeypatch.setattr(neardup, "FEW", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    rng = random.Random(5)
+    rows = []
+    for i in range(75):  # all texts share a licence, and each is linked with one other
+        words = [f"licence{j}" for j in range(240)] + [f"own{i}_{j}" for j in range(45)]
+        rows += [(i, " ".join(words)), (500 + i, _changed_words(rng, words, 4, f"z{i}", range(2, 276, 6)))]
+    want = _components(rows)
+    assert sum(not r[3] for r in want) == 75
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(table(spark, rows)).collect()), key=str)
+    assert got == want
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90), (100, 95)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(links).collect()}
