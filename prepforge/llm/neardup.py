@@ -1,20 +1,28 @@
-"""Near-duplicates by a similarity join over minwise coordinates.
+"""Near-duplicates by a chosen-path similarity join over minwise tokens.
 
-Each document's set of word shingles gets a vector of minwise values; equal sets are one class, which a single representative stands
-for. A number of independent trees branch the classes, each by one minwise coordinate. Two sets of similarity s share a node of a tree with
-probability s, whatever the node's size, and independent trees multiply the misses. Every node is compared exhaustively: up to LEAF classes
-in one group, larger ones in hashed blocks, each pair of blocks in a group of its own, so that work grows with the square of a node. All similar pairs of nodes of up to FEW classes are candidates; of larger
-nodes first each class's best partner is, then its best partners in other components, and at last all pairs of different components.
+Each document's set of word shingles gets a vector of minwise values; equal sets are one class, which a single representative stands for.
+TREES independent trees branch the classes. The root of a tree branches by one minwise token; a node of more than LEAF classes branches
+again, by two other tokens, so that a class goes on to two children, and so on until nodes are small. A pair of similarity 0.75 shares a
+child of a node that it shares with a probability of 0.94, and goes on together to any depth with one of 0.89 (two children each survive
+with 0.75, as a branching process). It shares no small node of any of ten trees with a probability below 3e-5.
 
-Candidates whose vectors agree in enough coordinates (compared as 16-bit sketches) are confirmed on full sets, the best partner of each
-class first, and the rest only where they would join two components. Components come from pointer doubling: each
-component hangs on its smallest neighbour, and the forest is flattened. All steps are joins and aggregations; groups are collected only up to two blocks, and a
-group yields at most all its pairs, in batches of bounded size.
+Small nodes are compared exhaustively by sketches (COORDINATES minwise values of 16 bits); classes that candidates connect form a cell,
+cells of all trees with one smallest member are united, and in each cell all pairs are compared exactly, on full sets. A branch that keeps
+more than half of its node's classes together does not separate them: they share most of their tokens. Such a node is compared whole on full
+sets: first all its classes with a few of them, which connects copies in linear work, and then the classes that are still outside the
+largest component with all classes of the node, block by block. No candidate is left out for its number of partners; the work for a node
+that holds many texts just below the threshold grows with its square.
 
-A pair at the threshold of 0.75 shares no node with a probability of 0.25 ** TREES, below 1e-5.
+Comparisons of full sets yield, for each component of a group, links to its smallest class only. Components come from hooking each class on
+its smallest neighbour, round after round, and pointer doubling. Groups hold WEIGHT shingles on average, or one longer text.
+
+Recall against brute force is measured in the tests and stated in the README. A pair at the threshold is lost by its sketches with a
+probability of 3e-4 (SLACK), by the trees with one of 3e-5; pairs above it far less. Branches deeper than seven levels use tokens again.
 
 Defined cases: null or blank text has no shingles and no links; a text of fewer words than a shingle has one, the whole sequence; rows
-without doc_id are linked with nothing (component_id null, kept true); rows that repeat a doc_id all get a row; other columns are dropped.
+without doc_id are linked with nothing (component_id null, kept true); rows that repeat a doc_id all get a row, and of several texts under
+one doc_id that no smaller doc_id holds, the one with the smallest hash of its set is compared for all; an empty table gives no rows; ties do
+not matter, as components have no order; very long texts are groups of their own; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,21 +31,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .fragments import from_low_bytes, low_bytes
+from .fragments import low_bytes
 from .textcore import SPACE, U64, Words, column_bytes, mix, parts, windows
 
 SHINGLE, PERCENT = 5, 75
-COORDINATES, TREES, LEAF, FEW = 96, 10, 512, 24
-#: Mean classes of a block of a node beyond LEAF.
-BLOCK = 1024
-#: Pairs that a comparison gathers before it hands them on.
-PAIRS_AT_ONCE = 1 << 17
+COORDINATES, TREES, LEAF = 96, 10, 256
+#: Children that a class goes on to when its node branches again.
+CHOICES = 2
+#: A node does not separate if a child keeps a larger share of it.
+SPLIT = 0.5
+#: Classes of an inseparable node that all others are compared with at first.
+PIVOTS = 3
+#: Shingles of a group of exact comparisons, and what a text counts besides its own.
+WEIGHT, TEXT_WEIGHT = 1 << 20, 1 << 10
 #: A pair goes to the exact check if so many standard deviations below the threshold, or more, of its coordinates agree.
 SLACK = 3.5
+#: Tokens of more texts of a group than this are counted by a matrix product, others pair by pair.
+COMMON = 12
+COLUMNS_AT_ONCE, PAIRS_AT_ONCE = 2048, 1 << 18
 
 
 def _agreement(percent: int) -> int:
@@ -62,6 +77,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return g[first], rows[first]
 
 
+def _set_hashes(g: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Two hashes of each set of g, as rows."""
+    return np.stack([np.add.reduceat(mix(g ^ U64(0xA5A5 + i)), begin).view(np.int64) for i in (0, 1)])
+
+
 def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """key, n_shingles, two hashes of the set (null without shingles), the minwise values of the roots, and a 16-bit sketch of all."""
     factors = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
@@ -79,217 +99,316 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 if len(has):
                     for i, a in enumerate(factors):
                         sig[:, i] = (np.minimum.reduceat(g * a, begin) >> U64(32)).astype(np.uint32)
-                    for i in (0, 1):
-                        keys[i, has] = np.add.reduceat(mix(g ^ U64(0xA5A5 + i)), begin).view(np.int64)
+                    keys[:, has] = _set_hashes(g, begin)
                 none = n == 0
                 roots = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(none, 0, TREES))], pa.int32()), pa.array(sig[:, :TREES].ravel().view(np.int32)))
                 sketch = np.full(hi - lo, None, object)
                 sketch[has] = [x.tobytes() for x in sig.astype(np.uint16)]
                 yield pa.RecordBatch.from_pydict({"doc": batch.column(0).slice(lo, hi - lo), "n_shingles": pa.array(n.astype(np.int64)), "k1": pa.array(keys[0], mask=none), "k2": pa.array(keys[1], mask=none), "roots": roots, "sketch": pa.array(sketch, pa.binary())})
 
-    kind = dict(docs.dtypes)[key]
-    return shared.pick(docs, key, text).mapInArrow(run, f"doc {kind}, n_shingles long, k1 long, k2 long, roots array<int>, sketch binary")
+    return shared.pick(docs, key, text).mapInArrow(run, "doc long, n_shingles long, k1 long, k2 long, roots array<int>, sketch binary")
+
 
+def _sketch_matrix(column: pa.Array) -> np.ndarray:
+    data, _ = column_bytes(column)
+    return data.view(np.uint16).reshape(-1, COORDINATES)
 
-def _full_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, key: str, text: str, k: int) -> DataFrame:
-    """Sorted 48-bit shingle hashes (binary) of the documents that stand for classes."""
+
+def smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of n places that each place reaches over the links (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return label
+
+
+def _branched(rows: DataFrame, level: int) -> DataFrame:
+    """parent, path and node: each class of a node (path, node, sketch) goes on to CHOICES children, by tokens that the node chooses."""
+    span = COORDINATES - TREES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = column_bytes(batch.column(1))
-            for lo, hi in parts(off, 1 << 20):
-                g, rows = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
-                edges = np.searchsorted(rows, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_pydict({"node": batch.column(0).slice(lo, hi - lo), "grams": pa.array([low_bytes(g[a:b] >> U64(16), 6) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
+            if not batch.num_rows:
+                continue
+            path = batch.column(0).to_numpy().view(U64)
+            sketch = _sketch_matrix(batch.column(2))
+            for c in range(CHOICES):
+                # every level has tokens of its own, from which each node chooses by its hash
+                token = TREES + (level * 12 + c * 6 + (mix(path + U64(c)) % U64(6)).astype(np.int64)) % span
+                value = sketch[np.arange(len(path)), token].astype(U64)
+                child = mix(path ^ mix(value + (token.astype(U64) << U64(32)) + U64(1)))
+                yield pa.RecordBatch.from_pydict({"parent": batch.column(0), "path": pa.array(child.view(np.int64)), "node": batch.column(1)})
 
-    wanted = shared.semi(shared.pick(docs, key, text).withColumnRenamed(key, "node"), nodes, "node", n_nodes)
-    kind = dict(docs.dtypes)[key]
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt by node before they are kept, so that no confirmation shuffles the sets again
-    return shared.durable(wanted.mapInArrow(run, f"node {kind}, grams binary").repartition(n_parts, "node").dropDuplicates(["node"]))
+    return rows.select("path", "node", "sketch").mapInArrow(run, "parent long, path long, node long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    kind = dict(pairs.dtypes)["a"]
+def _cells(groups: DataFrame, least: int) -> DataFrame:
+    """cell, node and n for the classes m (node, n, sketch) of each small node that candidates connect; a cell is named by its smallest class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = from_low_bytes(x.as_py(), 6), from_low_bytes(y.as_py(), 6)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            m = batch.column(0)
+            x = m.flatten()
+            size = m.value_lengths().to_numpy()
+            begin = np.cumsum(size) - size
+            node, n, sketch = x.field(0).to_numpy(), x.field(1).to_numpy(), _sketch_matrix(x.field(2))
+            ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s in np.unique(size[size > 1]).tolist():
+                a, b = np.triu_indices(s, 1)
+                step = max(1, PAIRS_AT_ONCE // len(a))
+                of = begin[size == s]
+                for lo in range(0, len(of), step):
+                    i, j = (of[lo : lo + step, None] + a).ravel(), (of[lo : lo + step, None] + b).ravel()
+                    agree = np.zeros(len(i), np.uint8)
+                    for at in range(0, len(i), 4096):
+                        agree[at : at + 4096] = (sketch[i[at : at + 4096]] == sketch[j[at : at + 4096]]).sum(axis=1)
+                    near = agree >= least
+                    ones.append(i[near])
+                    twos.append(j[near])
+            i, j = np.concatenate(ones), np.concatenate(twos)
+            label = smallest_reachable(len(node), i, j)
+            inside = np.unique(np.r_[i, j])
+            low = np.full(len(node), np.iinfo(np.int64).max)
+            np.minimum.at(low, label[inside], node[inside])
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(low[label[inside]]), "node": pa.array(node[inside]), "n": pa.array(n[inside])})
+
+    return groups.select("m").mapInArrow(run, "cell long, node long, n long")
+
+
+def _full_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, sketches: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """Sorted 48-bit shingle hashes (binary) of the documents that stand for classes, partitioned by node: no comparison shuffles them again before they meet."""
 
-    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = column_bytes(batch.column(1))
+            for lo, hi in parts(off, 1 << 20):
+                g, rows = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
+                edges = np.searchsorted(rows, np.arange(hi - lo + 1))
+                grams = pa.array([low_bytes(g[a:b] >> U64(16), 6) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+                of_set = pa.array([_set_hashes(g[a:b], np.zeros(1, np.int64))[0][0] if b > a else 0 for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.int64())
+                yield pa.RecordBatch.from_pydict({"node": batch.column(0).slice(lo, hi - lo), "k": of_set, "grams": grams})
+
+    wanted = shared.semi(shared.pick(docs, key, text).withColumnRenamed(key, "node"), nodes, "node", n_nodes)
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = wanted.mapInArrow(run, "node long, k long, grams binary").repartition(n_parts, "node")
+    return shared.durable(found.join(sketches.select("node", "k1"), "node").filter("k = k1").select("node", "grams").dropDuplicates(["node"]))
+
+
+def common_tokens(tokens: np.ndarray, rows: np.ndarray, unit: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of one unit that share tokens, and how many; rows are sorted by unit. Where a unit has rows on the right, only pairs of a left and a right row count.
+
+    tokens and rows: the tokens of all rows. Tokens of few rows are counted pair by pair, others by a product of 0-1 matrices.
+    """
+    n_rows = len(unit)
+    first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if n_rows else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, n_rows])
+    of_unit = np.repeat(np.arange(len(first)), size)
+    local = np.arange(n_rows) - first[of_unit]
+    two_sided = np.maximum.reduceat(right.astype(np.int64), first) > 0 if n_rows else np.zeros(0, bool)
+    base = np.cumsum(size * size) - size * size
+    shared_by = np.zeros(int((size * size).sum()), np.int32)
+    keyed = mix(tokens + mix(of_unit[rows].astype(U64) + U64(1)))
+    order = np.argsort(keyed, kind="stable")
+    keyed, rows = keyed[order], rows[order]
+    start = np.flatnonzero(np.r_[True, keyed[1:] != keyed[:-1]]) if len(keyed) else np.zeros(0, np.int64)
+    run_of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(keyed)]))
+    held = np.diff(np.r_[start, len(keyed)])
+    few = held[run_of] <= COMMON
+    for d in range(1, COMMON):
+        if d >= len(keyed):
+            break
+        at = np.flatnonzero((run_of[:-d] == run_of[d:]) & few[:-d])
+        if not len(at):
+            break
+        a, b = rows[at], rows[at + d]
+        u = of_unit[a]
+        np.add.at(shared_by, base[u] + local[a] * size[u] + local[b], 1)
+        np.add.at(shared_by, base[u] + local[b] * size[u] + local[a], 1)
+    common = np.flatnonzero(~few)
+    u = of_unit[rows[common]]
+    for x in np.unique(u).tolist():
+        own = common[u == x]
+        column = np.unique(run_of[own], return_inverse=True)[1]
+        total = np.zeros((size[x], size[x]), np.float32)
+        by_column = np.argsort(column, kind="stable")
+        column, row = column[by_column], local[rows[own]][by_column]
+        for lo in range(0, int(column[-1]) + 1, COLUMNS_AT_ONCE):
+            p, q = np.searchsorted(column, (lo, lo + COLUMNS_AT_ONCE))
+            holds = np.zeros((size[x], min(COLUMNS_AT_ONCE, int(column[-1]) + 1 - lo)), np.float32)
+            holds[row[p:q], column[p:q] - lo] = 1
+            total += holds @ holds.T
+        shared_by[base[x] : base[x] + size[x] ** 2] += total.astype(np.int32).ravel()
+    at = np.flatnonzero(shared_by)
+    u = np.searchsorted(base, at, "right") - 1
+    i, j = first[u] + (at - base[u]) // size[u], first[u] + (at - base[u]) % size[u]
+    ok = np.where(two_sided[u], ~right[i] & right[j], i < j)
+    return i[ok], j[ok], shared_by[at[ok]]
+
+
+def _linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), b < a, of the exact comparison of rows (g, unit, side, node): all pairs of a unit, or those of its sides 0 and 1. Units of one g are one group of work. A component within a unit gives one link for each of its other classes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unit, node = table.column("unit").to_numpy(), table.column("node").to_numpy()
+        order = np.argsort(unit, kind="stable")
+        unit, node, right = unit[order], node[order], table.column("side").to_numpy()[order] == 1
+        raw, off = column_bytes(table.column("grams").combine_chunks().take(pa.array(order)) if table.num_rows else pa.array([], pa.binary()))
+        n = np.diff(off) // 6
+        wide = np.zeros((len(raw) // 6, 8), np.uint8)
+        wide[:, :6] = raw.reshape(-1, 6)
+        i, j, both = common_tokens(wide.view("<u8").ravel().astype(U64), np.repeat(np.arange(len(n)), n), unit, right)
+        near = (100 * both.astype(np.int64) >= percent * (n[i] + n[j] - both)) & (node[i] != node[j])
+        i, j = i[near], j[near]
+        label = smallest_reachable(len(node), i, j)
+        low = np.full(len(node), np.iinfo(np.int64).max)
+        inside = np.unique(np.r_[i, j])
+        np.minimum.at(low, label[inside], node[inside])
+        a, b = node[inside], low[label[inside]]
+        return pa.table({"a": pa.array(a[a != b]), "b": pa.array(b[a != b])})
+
+    return rows.select("g", "unit", "side", "node").join(sets, "node").groupBy("g").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and label (the smallest node reachable) of every node in links (a, b), by alternating large and small stars."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    before = None
+    """node and label (the smallest node reachable, itself included) of every node in links (a, b), b < a.
+
+    Each node hangs on its smallest neighbour, and its other neighbours are handed on to that one, until every node has one neighbour
+    at most; pointers are doubled as long as a label has one of its own.
+    """
+    edges = links.select("a", "b").filter("a > b").distinct()
+    least = F.min("b").over(Window.partitionBy("a"))
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: larger neighbours of u hang on the smallest neighbour of u
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        # small star: smaller neighbours of u, and u, hang on the smallest
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = shared.durable(small)
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = now
-
-
-def _roots(parents: DataFrame) -> DataFrame:
-    """node and label (its root) for a forest of (a, b) with b < a and one row for each a, by pointer doubling."""
-    p = parents.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        edges = shared.durable(edges.withColumn("m", least))
+        if edges.filter("b != m").isEmpty():
+            break
+        edges = edges.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+    p = edges.select(F.col("a").alias("node"), F.col("m").alias("label"))
     while True:
         up = p.select(F.col("node").alias("label"), F.col("label").alias("above"))
         p = shared.durable(p.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved")))
         if p.filter("moved").isEmpty():
-            return p.select("node", "label")
+            break
         p = p.select("node", "label")
+    p = p.select("node", "label")
+    return p.unionByName(p.select(F.col("label").alias("node"), "label").distinct())
 
 
-def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels after the links in edges (a, b): each component hangs on its smallest neighbour, until no edge leaves its component."""
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(labels, "node", "left_anti")
-    labels = labels.unionByName(nodes.withColumn("label", F.col("node")))
-    ends = edges.select("a", "b")
-    while True:
-        la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        heads = ends.join(la, "a").join(lb, "b").filter("la != lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
-        parents = shared.durable(heads.groupBy("a").agg(F.min("b").alias("b")))
-        if parents.isEmpty():
-            return labels
-        new = _roots(parents).select(F.col("node").alias("label"), F.col("label").alias("least"))
-        labels = shared.durable(labels.join(new, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
+def _weight(n: str) -> Column:
+    return F.col(n) + TEXT_WEIGHT
 
 
-def _branches(state: DataFrame) -> DataFrame:
-    """state (path, node, label) with the size of its node of the tree, where that has members of two components or more."""
-    counts = state.groupBy("path").agg(F.count("*").alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2")).filter("size > 1 and l1 != l2").select("path", "size")
-    return state.join(counts, "path")
+def _n_parts(weight: Column) -> Column:
+    return F.ceil(weight / WEIGHT).cast("int")
 
 
-def _compared(members: DataFrame, least: int, top: int | None) -> DataFrame:
-    """Pairs (a, b, agree) of different components after exhaustive comparison of each row's classes m (with those of o, where o is given): all pairs where few is set or top is None, else each class's top partners."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fields(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            x = x.values
-            sketch = np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint16).reshape(len(x), -1)
-            return x.field("node").to_numpy(), x.field("label").to_numpy(), np.ascontiguousarray(sketch.T)
-
-        def best(agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            i = np.flatnonzero(agree.max(axis=1) >= least)
-            some = agree[i]
-            j = some.argmax(axis=1)[:, None] if top == 1 else np.argsort(-some.astype(np.int16), axis=1, kind="stable")[:, :top]
-            i, j = np.repeat(i, j.shape[1]), j.ravel()
-            ok = agree[i, j] >= least
-            return i[ok], j[ok]
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for c, x in zip(("a", "b", "agree"), out, strict=True)})
-
-        for batch in batches:
-            out, held = ([], [], []), 0
-            for m, o, few in zip(batch.column("m"), batch.column("o"), batch.column("few").to_pylist(), strict=True):
-                within = not o.is_valid
-                node, label, sketch = fields(m)
-                node2, label2, sketch2 = (node, label, sketch) if within else fields(o)
-                agree = np.zeros((len(node), len(node2)), np.uint8)
-                for x, y in zip(sketch, sketch2, strict=True):
-                    agree += x[:, None] == y[None, :]
-                agree[label[:, None] == label2[None, :]] = 0
-                if few or top is None:
-                    i, j = np.nonzero(np.triu(agree >= least, 1) if within else agree >= least)
-                else:
-                    i, j = best(agree)
-                    if not within:
-                        j2, i2 = best(agree.T)
-                        i, j = np.r_[i, i2], np.r_[j, j2]
-                out[0].append(np.maximum(node[i], node2[j]))
-                out[1].append(np.minimum(node[i], node2[j]))
-                out[2].append(agree[i, j].astype(np.int64))
-                held += len(i)
-                if held > PAIRS_AT_ONCE:
-                    yield flush()
-                    out, held = ([], [], []), 0
-            yield flush()
-
-    return members.mapInArrow(run, "a long, b long, agree long").distinct()
+def _part(n_parts: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(7)), n_parts).cast("int")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key (an integer column), n_shingles, component_id (the smallest key reachable over links) and kept (whether it is the row's own key)."""
     shared.tune(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text))
-    least = _agreement(percent)
     table = shared.durable(signatures(docs, key, text, shingle))
     known = table.filter("k1 is not null and doc is not null")
-    classes = known.groupBy("k1", "k2").agg(F.min("doc").alias("node"))
-    firsts = known.select(F.col("doc").alias("node"), "k1", "k2", "roots", "sketch").join(classes, ["node", "k1", "k2"])
-    reps = shared.durable(firsts.select("node", "roots", "sketch").dropDuplicates(["node"]))
-    sketches = reps.select("node", "sketch")
-
-    def candidates(nodes: DataFrame, top: int | None) -> DataFrame:
-        """Nodes of up to LEAF classes are compared in one group; larger ones in all pairs of their blocks, a group for each pair."""
-        member = F.collect_list(F.struct("node", "label", "sketch"))
-        rows = nodes.join(sketches, "node")
-        none = F.lit(None).cast("array<struct<node: bigint, label: bigint, sketch: binary>>")
-        small = rows.filter(F.col("size") <= LEAF).groupBy("path").agg(member.alias("m"), F.first("size").alias("size")).select("m", none.alias("o"), (F.col("size") <= FEW).alias("few"))
-        cut = rows.filter(F.col("size") > LEAF).withColumn("n_parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", "path"), F.col("n_parts")).cast("int"))
-        blocks = cut.groupBy("path", "n_parts", "part").agg(member.alias("m")).withColumn("q", F.explode(F.expr("sequence(0, n_parts - 1)")))
-        met = blocks.groupBy("path", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi")).agg(F.collect_list("m").alias("b"))
-        large = met.filter((F.size("b") == 2) | (F.col("lo") == F.col("hi"))).select(F.col("b")[0].alias("m"), F.get("b", F.lit(1)).alias("o"), F.lit(False).alias("few"))
-        whole = small.unionByName(large)
-        return _compared(whole, least, top)
-
-    # every tree branches by one coordinate
-    state = reps.select("node", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("path"), "node", F.col("node").alias("label"))
-    nodes = shared.durable(_branches(state))
-    scored = shared.durable(candidates(nodes, 1))
-    # a class without a candidate here has none later: every node was compared whole, and its best partner would be one
-    active = shared.durable(scored.select(F.col("a").alias("node")).union(scored.select("b")).distinct())
-    n_active = active.count()
-    result = table.select("doc", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    first = F.min_by(F.struct(F.col("n_shingles").alias("n"), "roots", "sketch"), "doc").alias("x")
+    classes = shared.durable(known.groupBy("k1", "k2").agg(F.min("doc").alias("node"), first).select("k1", "k2", "node", "x.*"))
+    sketches = shared.durable(classes.groupBy("node").agg(F.min_by(F.struct("k1", "n", "roots", "sketch"), "k1").alias("x")).select("node", "x.*"))
+
+    small, stuck = _nodes(sketches)
+    member = F.collect_list(F.struct("node", "n", "sketch")).alias("m")
+    groups = small.join(sketches.select("node", "n", "sketch"), "node").groupBy("path").agg(member)
+    cells = _cells(groups, _agreement(percent)).repartition("cell").dropDuplicates(["cell", "node"])
+    cells = shared.durable(cells.withColumn("n_parts", _n_parts(F.sum(_weight("n")).over(Window.partitionBy("cell")))))
+    weight, n_active = cells.agg(F.coalesce(F.sum(_weight("n")), F.lit(0)), F.count("*")).first()
+    active = cells.select("node").distinct()
+    whole = _whole_nodes(stuck, sketches) if stuck is not None else None
+    if whole is not None:
+        active, n_active = active.union(whole.select("node")).distinct(), n_active + whole.count()
+    result = table.select("doc", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left")
     if not n_active:
         return _verdict(result.withColumn("label", F.lit(None).cast("long")), key)
-    sets = _full_sets(docs, active, n_active, key, text, shingle)
-    best = shared.durable(scored.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")))
-    links = shared.durable(_confirmed(best, sets, percent))
-    labels = _roots(links)
-    # a root has no link of its own, and needs a row to be relabelled when its component merges
-    labels = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-    def relabelled(nodes: DataFrame) -> DataFrame:
-        return nodes.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    more = shared.durable(_confirmed(apart(scored.join(best, ["a", "b"], "left_anti").select("a", "b")), sets, percent))
-    if not more.isEmpty():
-        labels = _merged(labels, more)
-    # what joins two components, not the partner that each class is nearest to, may be left in larger nodes
-    wide, tried = nodes.filter(F.col("size") > FEW).join(active, "node", "left_semi"), scored.select("a", "b")
-    # the three best join most components; the last look takes every pair that is still apart and untried, so nothing is left for another
-    for top in (3, None):
-        mixed = shared.durable(_branches(relabelled(wide.drop("size"))))
-        found = shared.durable(apart(candidates(mixed, top).select("a", "b").join(tried, ["a", "b"], "left_anti")))
-        more = shared.durable(_confirmed(found, sets, percent))
-        if not more.isEmpty():
-            labels = _merged(labels, more)
-        tried = tried.unionByName(found)
-    return _verdict(result.join(labels, "node", "left"), key)
+    sets = _full_sets(docs, active, n_active, sketches, key, text, shingle)
+    links = shared.durable(_linked(_in_blocks(cells, max(1, weight // WEIGHT)), sets, percent))
+    if whole is None:
+        return _verdict(result.join(components(links), "node", "left"), key)
+    return _verdict(result.join(_joined(whole, sets, links, percent), "node", "left"), key)
+
+
+def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """path and node of all small nodes of the trees, and of the inseparable ones (None, if there are none)."""
+    rows = sketches.select("node", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("path"), "node")
+    sizes = shared.durable(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"))
+    small, stuck, level = None, None, 0
+    while True:
+        large = sizes.filter(F.col("size") > LEAF)
+        n_large = large.count()
+        own = shared.without(rows, large.select("path"), "path", n_large) if n_large else rows
+        own = own.join(sizes.filter(F.col("size") <= LEAF), "path").select("path", "node")
+        small = own if small is None else small.unionByName(own)
+        if not n_large:
+            return small, stuck
+        # each level halves every node at least, or gives it up as inseparable: there are fewer levels than binary digits in the number of rows
+        inside = shared.semi(rows, large.select("path"), "path", n_large)
+        children = shared.durable(_branched(inside.join(sketches.select("node", "sketch"), "node"), level))
+        counts = shared.durable(children.groupBy("parent", "path").agg(F.count("*").alias("size")).filter("size > 1"))
+        most = counts.groupBy("parent").agg(F.max("size").alias("most")).join(large.withColumnRenamed("path", "parent"), "parent")
+        kept = shared.durable(most.filter(F.col("most") > SPLIT * F.col("size")).select("parent"))
+        n_kept = kept.count()
+        if n_kept:
+            these = shared.semi(inside, kept.withColumnRenamed("parent", "path"), "path", n_kept)
+            stuck = these if stuck is None else stuck.unionByName(these)
+            children, counts = shared.without(children, kept, "parent", n_kept), shared.without(counts, kept, "parent", n_kept)
+        rows, sizes, level = children.select("path", "node"), counts.select("path", "size"), level + 1
+
+
+def _in_blocks(cells: DataFrame, bins: int) -> DataFrame:
+    """g, unit, side and node: small cells share groups, larger ones are cut into parts that meet in pairs."""
+    one = cells.filter("n_parts <= 1").select(F.pmod(F.xxhash64("cell"), F.lit(bins)).alias("g"), F.col("cell").alias("unit"), F.lit(0).alias("side"), "node")
+    cut = cells.filter("n_parts > 1").withColumn("part", _part(F.col("n_parts"))).withColumn("other", F.explode(F.expr("sequence(0, n_parts - 1)")))
+    unit = F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other"))
+    met = cut.select(unit.alias("g"), unit.alias("unit"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "node")
+    return one.unionByName(met)
+
+
+def _whole_nodes(stuck: DataFrame, sketches: DataFrame) -> DataFrame:
+    """path, node, n, n_parts and pivots of the inseparable nodes."""
+    rows = stuck.join(sketches.select("node", "n"), "node")
+    pivots = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)]))
+    about = rows.groupBy("path").agg(_n_parts(F.sum(_weight("n"))).alias("n_parts"), pivots.alias("pivots"))
+    return shared.durable(rows.join(about, "path"))
+
+
+def _joined(whole: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Components after the comparison of inseparable nodes: with pivots, and then of what is outside the largest component with all."""
+    dealt = whole.withColumn("part", _part(F.col("n_parts")))
+    unit = F.xxhash64("path", "part").alias("unit")
+    members = dealt.select(unit, F.lit(1).alias("side"), "node")
+    pivots = dealt.select("path", "part", "pivots").distinct().select(unit, F.lit(0).alias("side"), F.explode("pivots").alias("node"))
+    near = _linked(members.unionByName(pivots).withColumn("g", F.col("unit")), sets, percent)
+    labels = shared.durable(components(links.unionByName(near)))
+    labelled = whole.select("path", "node", "n", "n_parts").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    main = labelled.groupBy("path", "label").count().groupBy("path").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    rest = shared.durable(labelled.join(main, "path").filter("label != main").select("path", "node", "n", "n_parts"))
+    if rest.isEmpty():
+        return labels
+    cut = rest.groupBy("path").agg(_n_parts(F.sum(_weight("n"))).alias("rest_parts"))
+    left = rest.join(cut, "path").select("path", "node", _part(F.col("rest_parts")).alias("p"), F.explode(F.expr("sequence(0, n_parts - 1)")).alias("q"), F.lit(0).alias("side"))
+    right = whole.join(cut, "path").select("path", "node", F.explode(F.expr("sequence(0, rest_parts - 1)")).alias("p"), _part(F.col("n_parts")).alias("q"), F.lit(1).alias("side"))
+    unit = F.xxhash64("path", "p", "q")
+    more = _linked(left.unionByName(right).select(unit.alias("g"), unit.alias("unit"), "side", "node"), sets, percent)
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(shared.durable(more)))
 
 
 def _verdict(rows: DataFrame, key: str) -> DataFrame:

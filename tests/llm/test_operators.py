@@ -328,8 +328,7 @@ def test_pairs_within_a_large_node_of_boilerplate(spark, monkeypatch):
     import random
 
     monkeypatch.setattr(neardup, "LEAF", 16)
-    monkeypatch.setattr(neardup, "FEW", 8)
-    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(neardup, "WEIGHT", 1 << 14)
     rng = random.Random(5)
     rows = []
     for i in range(75):  # all texts share a licence, and each is linked with one other
@@ -341,12 +340,46 @@ def test_pairs_within_a_large_node_of_boilerplate(spark, monkeypatch):
     assert got == want
 
 
+def test_nodes_branch_until_small(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    rng = random.Random(6)
+    rows = []
+    for f in range(12):  # families that share a passage with all others, so that roots are large and separable
+        base = [f"common{j}" for j in range(60)] + [f"f{f}_{j}" for j in range(140)]
+        rows += [(100 * f + i, _changed_words(rng, base, 3, f"z{f}_{i}", range(62, 196, 6))) for i in range(10)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(table(spark, rows)).collect()), key=str)
+    assert got == _components(rows)
+
+
+def test_common_tokens_equal_set_intersections():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    unit = np.sort(rng.integers(0, 5, 90))
+    right = (rng.random(90) < 0.5) & (unit % 2 == 0)
+    sets = [np.unique(rng.integers(0, 60 if u < 3 else 4000, rng.integers(0, 50))) for u in unit]
+    tokens, rows = np.concatenate(sets).astype(np.uint64), np.repeat(np.arange(90), [len(x) for x in sets])
+    i, j, n = neardup.common_tokens(tokens, rows, unit, right)
+    want = {(a, b): c for a in range(90) for b in range(90) if unit[a] == unit[b] and ((not right[a] and right[b]) if unit[a] % 2 == 0 else a < b) and (c := len(np.intersect1d(sets[a], sets[b])))}
+    assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), n.tolist(), strict=True)) == want
+
+
+def test_several_texts_under_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (None, a)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True), (None, None, True)], key=str)
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90), (100, 95)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(links).collect()}
     assert all(got[i] == 0 for i in range(1, 41)) and got[95] == got[100] == 90
-    forest = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
-    assert {r.label for r in neardup._roots(forest).collect()} == {0}
+    ids = [7 * i % 101 for i in range(101)]
+    zigzag = [(max(a, b), min(a, b)) for a, b in zip(ids[:-1], ids[1:], strict=True)]
+    assert {r.label for r in neardup.components(spark.createDataFrame(zigzag, "a long, b long")).collect()} == {0}
 
 
 # --- 8 -----------------------------------------------------------------------------------------------------------------------------------
