@@ -50,8 +50,8 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW, item: str = "item_i
     return items.mapInArrow(run, "terms array<long>, item string").groupBy("terms").agg(F.collect_set("item").alias("items"))
 
 
-def build_index(docs: DataFrame, terms: np.ndarray | None, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Shards of positional postings (durable), of all terms or of those given as sorted hashes."""
+def build_index(docs: DataFrame, terms: np.ndarray | None, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Shards of positional postings (durable), of all terms or of those given as sorted hashes; each keeps the key and the columns in keep of its rows."""
     spark = docs.sparkSession
     shared.tune(spark)
     known = None if terms is None else spark.sparkContext.broadcast(terms)
@@ -68,7 +68,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None, key: str = "doc_id",
         order = np.argsort(h, kind="stable")
         s = h[order]
         begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-        ids = batch.select([key])
+        ids = batch.select([key, *keep])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, ids.schema) as w:
             w.write_batch(ids)
@@ -90,7 +90,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None, key: str = "doc_id",
         if held:
             yield shard_of(held, number)
 
-    return shared.durable(shared.pick(docs, key, text).mapInArrow(run, shared.spark_schema(_INDEX)))
+    return shared.durable(shared.pick(docs, key, text, *keep).mapInArrow(run, shared.spark_schema(_INDEX)))
 
 
 class _Shard:
@@ -221,10 +221,10 @@ def _search_block(index: DataFrame, windows: list, terms: DataFrame, proximity:
     return index.mapInArrow(run, _MATCH)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, proximity: int | None = None, key: str = "doc_id", text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, proximity: int | None = None, key: str = "doc_id", text: str = "text", block_windows: int = BLOCK_WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Words of each document inside a test window, and the items that such windows belong to.
 
-    Returns key, n_words, n_hit, n_items, items (sorted as strings), begins and ends of the hit runs (in words). With proximity, a match is
+    Returns key, the columns in keep, n_words, n_hit, n_items, items (sorted as strings), begins and ends of the hit runs (in words). With proximity, a match is
     a stretch of at most window + proximity words that holds all terms of a window in any order.
     """
     shared.tune(docs.sparkSession)
@@ -235,7 +235,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     known = None
     if used.count() * 8 <= shared.BROADCAST_BYTES:
         known = np.sort(np.array([r.term for r in used.collect()], np.int64).view(np.uint64))
-    index = build_index(docs, known, key, text)
+    index = build_index(docs, known, key, text, keep=keep)
     matches = None
     for b in range(blocks):
         block = windows.filter(F.col("block") == b)
@@ -246,13 +246,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
         matches = found if matches is None else matches.unionByName(found)
     if blocks > 1:
         matches = matches.groupBy("shard", "row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")], F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    kind = dict(docs.dtypes)[key]
+    kinds = dict(docs.dtypes)
     matched = matches.withColumn("hits", F.struct("row", "begins", "ends", "items")).select("shard", "hits")
 
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         with pa.ipc.open_stream(pa.py_buffer(row["rows"])) as reader:
-            ids = reader.read_all().column(0).combine_chunks()
+            own = reader.read_all().combine_chunks()
         counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
         hits = {h["row"]: h for h in right.column("hits").to_pylist()}
         n_hit, items, begins, ends = np.zeros(len(counts), np.int64), [[]] * len(counts), [[]] * len(counts), [[]] * len(counts)
@@ -263,10 +263,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
             edge = np.diff(np.r_[0, (np.cumsum(inside) > 0).astype(np.int8), 0])
             begins[r], ends[r], items[r] = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), sorted(h["items"])
             n_hit[r] = sum(ends[r]) - sum(begins[r])
-        return pa.table({key: ids, "n_words": pa.array(counts), "n_hit": pa.array(n_hit), "n_items": pa.array([len(x) for x in items], pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "begins": pa.array(begins, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32()))})
+        return pa.table({c: own.column(c) for c in (key, *keep)} | {"n_words": pa.array(counts), "n_hit": pa.array(n_hit), "n_items": pa.array([len(x) for x in items], pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "begins": pa.array(begins, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32()))})
 
     heads = index.select("shard", "rows", "counts").groupBy("shard").cogroup(matched.groupBy("shard"))
-    return heads.applyInArrow(rows, f"`{key}` {kind}, n_words long, n_hit long, n_items long, items array<string>, begins array<int>, ends array<int>")
+    return heads.applyInArrow(rows, ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep)) + ", n_words long, n_hit long, n_items long, items array<string>, begins array<int>, ends array<int>")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -82,8 +82,8 @@ def _set_hashes(g: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(mix(g ^ U64(0xA5A5 + i)), begin).view(np.int64) for i in (0, 1)])
 
 
-def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, n_shingles, two hashes of the set (null without shingles), the minwise values of the roots, and a 16-bit sketch of all."""
+def signatures(docs: DataFrame, key: str, text: str, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key (as doc), the columns in keep, n_shingles, two hashes of the set (null without shingles), the minwise values of the roots, and a 16-bit sketch of all."""
     factors = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +104,11 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 roots = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(none, 0, TREES))], pa.int32()), pa.array(sig[:, :TREES].ravel().view(np.int32)))
                 sketch = np.full(hi - lo, None, object)
                 sketch[has] = [x.tobytes() for x in sig.astype(np.uint16)]
-                yield pa.RecordBatch.from_pydict({"doc": batch.column(0).slice(lo, hi - lo), "n_shingles": pa.array(n.astype(np.int64)), "k1": pa.array(keys[0], mask=none), "k2": pa.array(keys[1], mask=none), "roots": roots, "sketch": pa.array(sketch, pa.binary())})
+                own = {c: batch.column(i).slice(lo, hi - lo) for i, c in ((0, "doc"), *enumerate(keep, 2))}
+                yield pa.RecordBatch.from_pydict(own | {"n_shingles": pa.array(n.astype(np.int64)), "k1": pa.array(keys[0], mask=none), "k2": pa.array(keys[1], mask=none), "roots": roots, "sketch": pa.array(sketch, pa.binary())})
 
-    return shared.pick(docs, key, text).mapInArrow(run, "doc long, n_shingles long, k1 long, k2 long, roots array<int>, sketch binary")
+    kept = "".join(f", `{c}` {kind}" for c, kind in docs.dtypes if c in keep)
+    return shared.pick(docs, key, text, *keep).mapInArrow(run, f"doc long{kept}, n_shingles long, k1 long, k2 long, roots array<int>, sketch binary")
 
 
 def _sketch_matrix(column: pa.Array) -> np.ndarray:
@@ -316,11 +318,11 @@ def _part(n_parts: Column) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(7)), n_parts).cast("int")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (an integer column), n_shingles, component_id (the smallest key reachable over links) and kept (whether it is the row's own key)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key (an integer column), the columns in keep (of names that no helper has), n_shingles, component_id (the smallest key reachable over links) and kept (whether it is the row's own key)."""
     shared.tune(docs.sparkSession)
-    docs = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text))
-    table = shared.durable(signatures(docs, key, text, shingle))
+    docs = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text), *[F.col(f"`{c}`") for c in keep])
+    table = shared.durable(signatures(docs, key, text, shingle, keep))
     known = table.filter("k1 is not null and doc is not null")
     first = F.min_by(F.struct(F.col("n_shingles").alias("n"), "roots", "sketch"), "doc").alias("x")
     classes = shared.durable(known.groupBy("k1", "k2").agg(F.min("doc").alias("node"), first).select("k1", "k2", "node", "x.*"))
@@ -336,14 +338,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     whole = _whole_nodes(stuck, sketches) if stuck is not None else None
     if whole is not None:
         active, n_active = active.union(whole.select("node")).distinct(), n_active + whole.count()
-    result = table.select("doc", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left")
+    result = table.select("doc", *keep, "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left")
     if not n_active:
-        return _verdict(result.withColumn("label", F.lit(None).cast("long")), key)
+        return _verdict(result.withColumn("label", F.lit(None).cast("long")), key, keep)
     sets = _full_sets(docs, active, n_active, sketches, key, text, shingle)
     links = shared.durable(_linked(_in_blocks(cells, max(1, weight // WEIGHT)), sets, percent))
     if whole is None:
-        return _verdict(result.join(components(links), "node", "left"), key)
-    return _verdict(result.join(_joined(whole, sets, links, percent), "node", "left"), key)
+        return _verdict(result.join(components(links), "node", "left"), key, keep)
+    return _verdict(result.join(_joined(whole, sets, links, percent), "node", "left"), key, keep)
 
 
 def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -411,9 +413,9 @@ def _joined(whole: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(shared.durable(more)))
 
 
-def _verdict(rows: DataFrame, key: str) -> DataFrame:
+def _verdict(rows: DataFrame, key: str, keep: tuple[str, ...]) -> DataFrame:
     component = F.when(F.col("doc").isNotNull(), F.coalesce("label", "node", "doc"))
-    out = rows.select(F.col("doc").alias(key), "n_shingles", component.alias("component_id"))
+    out = rows.select(F.col("doc").alias(key), *keep, "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 

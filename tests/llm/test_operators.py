@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -453,31 +454,70 @@ def test_digests(spark, docs):
 # --- pipeline ----------------------------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_equals_brute_force(spark, tmp_path):
-    from tokenizers import Tokenizer
-
-    import corpus_pipeline as cp
-
-    rows = [(i, t) for i, t in documents() if i is not None]
-    table(spark, rows).select(*cp.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i, _ in rows if i % 2], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, rows[4][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in cp.run(spark, str(tmp_path)).collect()}
-    kept = {r[0] for r in _components(rows) if r[3]}
-    left = [(i, text) for i, _, _, text in _removed([r for r in rows if r[0] in kept], 13)]
+def _pipeline_left(rows, benchmark):
+    """Row numbers and texts left of accepted rows by plain Python: near-duplicates, substrings, benchmark windows."""
+    kept = [(i, t) for (i, t), verdict in zip(rows, _verdicts(rows), strict=True) if verdict]
+    left = [(i, text) for i, _, _, text in _removed(kept, 13)]
     alnum = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    b = alnum.findall(lower(rows[4][1]))
-    grams = {tuple(b[a : a + 10]) for a in range(max(1, len(b) - 9))}
-    size = min(10, len(b))
     clean = []
     for i, t in left:
         w = alnum.findall(lower(t))
-        if not any(tuple(w[a : a + size]) in grams for a in range(len(w) - size + 1)):
+        hit = False
+        for item in benchmark:
+            b = alnum.findall(lower(item or ""))
+            size = min(10, len(b))
+            grams = {tuple(b[a : a + size]) for a in range(len(b) - size + 1)} if size else set()
+            hit = hit or any(tuple(w[a : a + size]) in grams for a in range(len(w) - size + 1))
+        if not hit:
             clean.append((i, t))
+    return clean
+
+
+def _verdicts(rows):
+    """Whether each row stays: rows of one id and one set of shingles share a fate."""
+    known = [r for r in rows if r[0] is not None]
+    least = {}
+    for r in _components(known):
+        least.setdefault(r[0], []).append(r)
+    verdict = {}
+    for i, t in known:
+        verdict[(i, t)] = all(x[3] for x in least[i])
+    return [i is None or verdict[(i, t)] for i, t in rows]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in documents() if i is not None] + [(3000, " ".join(f"r{j}" for j in range(30)))] * 2  # a repeated row
+    junk = [(2000 + i, " ".join("".join(rng.choice("#$%&*@{}") for _ in range(9)) + "!!" for _ in range(40 + i))) for i in range(30)]
+    rows += [*junk, (None, documents()[4][1]), (None, "a row without id that is clean"), (None, None)]
+    bench = [documents()[4][1], None, "   "]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))  # with extra columns of helpers' names
+    labels = [(i, int(i < 2000), 0, "x") for i, _ in rows if i is not None and i % 2] + [(2001, 1, 0, "x"), (None, 0, 0, "x"), (77777, 0, 0, "x"), (5, None, 0, "x")]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, score string").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256) for r in cp.run(spark, str(tmp_path)).collect()), key=str)
+    accepted = cp.quality_filter(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert accepted.columns == list(cp.COLUMNS)
+    accepted = [(r.doc_id, r.text) for r in accepted.collect()]
+    assert not set(accepted) & set(junk)
+    assert len(accepted) >= len(rows) - len(junk) - 12
     tok = Tokenizer.from_file(wordbpe.tokenizer_file("word_bpe_49k.json"))
-    want = {}
-    for i, t in clean:
-        ids = tok.encode(t, add_special_tokens=False).ids
-        want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-    assert got == want and len(want) < len(rows)
-    assert [n for n, _ in cp.STAGES] == ["quality", "near_duplicates", "substrings", "decontamination", "bpe"] and defaultdict
+    want = []
+    for i, t in _pipeline_left(accepted, bench):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()))
+    assert got == sorted(want, key=str) and len(want) < len(accepted)
+    assert [n for n, _ in cp.STAGES] == ["quality", "near_duplicates", "substrings", "decontamination", "bpe"]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    table(spark, documents()).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
