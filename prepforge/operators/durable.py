@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df computed once and kept in spark.checkpoint.dir; a local folder is set only where none is named."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or the session's checkpoint directory. Where neither is set, a temporary one in local mode, and an error on a cluster."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="prepforge-checkpoints-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", f"/tmp/prepforge-checkpoints-{uuid.uuid4().hex}"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Computes df once and keeps it in the shared checkpoint folder: lineage ends there, lost executors lose nothing."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -23,15 +23,16 @@ def _indexed(t):
 
 
 def _cells(t, stat="mean"):
-    """Heights in steps of a thousandth, so that sums in any order give the same surface."""
-    return te.rasterise(_indexed(t), stat).withColumn("value", F.round("value", 3))
+    """Heights in steps of a thousandth. Prices are summed as whole cents, so that any order gives the same surface."""
+    cents = _indexed(t).withColumn("z", F.round(F.col("z") * 100_000))
+    return te.rasterise(cents, stat).withColumn("value", F.round(F.col("value") / 100) / 1000)
 
 
 def _grid(t):
     return durable(te.fill_gaps(_cells(t), 63, 63)).withColumn("value", F.round("value", 3))
 
 
-_C = _I + ", c as (select row, col, round(avg(z), 3) as value from i group by 1, 2)"
+_C = _I + ", c as (select row, col, round(avg(round(z * 100000)) / 100) / 1000 as value from i group by 1, 2)"
 
 
 @query(f"with {_P} select min(x) as x_min, max(y) as y_max, 1.0::double as res, ceil(max(y) - min(y))::int as nrows, ceil(max(x) - min(x))::int as ncols from p")
