@@ -8,9 +8,9 @@ with 0.75, as a branching process). It shares no small node of any of ten trees
 
 Small nodes are compared exhaustively by sketches (COORDINATES minwise values of 16 bits); classes that candidates connect form a cell,
 cells of all trees with one smallest member are united, and in each cell all pairs are compared exactly, on full sets. A branch that keeps
-more than half of its node's classes together does not separate them: they share most of their tokens. Such a node is compared whole on full
-sets: first all its classes with a few of them, which connects copies in linear work, and then the classes that are still outside the
-largest component with all classes of the node, block by block. No candidate is left out for its number of partners; the work for a node
+more than half of its node's classes together does not separate them: they share most of their tokens. Such a node, united with those of
+other trees that have the same core, is compared whole on full sets: first all its classes with a few of them, which connects copies in
+linear work, and then the classes that are still outside the largest component with all classes of the node, block by block. No candidate is left out for its number of partners; the work for a node
 that holds many texts just below the threshold grows with its square.
 
 Comparisons of full sets yield, for each component of a group, links to its smallest class only. Components come from hooking each class on
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     table = shared.durable(signatures(docs, key, text, shingle, keep))
     known = table.filter("k1 is not null and doc is not null")
     first = F.min_by(F.struct(F.col("n_shingles").alias("n"), "roots", "sketch"), "doc").alias("x")
-    classes = shared.durable(known.groupBy("k1", "k2").agg(F.min("doc").alias("node"), first).select("k1", "k2", "node", "x.*"))
+    classes = known.groupBy("k1", "k2").agg(F.min("doc").alias("node"), first).select("k1", "k2", "node", "x.*")
     sketches = shared.durable(classes.groupBy("node").agg(F.min_by(F.struct("k1", "n", "roots", "sketch"), "k1").alias("x")).select("node", "x.*"))
 
     small, stuck = _nodes(sketches)
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     whole = _whole_nodes(stuck, sketches) if stuck is not None else None
     if whole is not None:
         active, n_active = active.union(whole.select("node")).distinct(), n_active + whole.count()
-    result = table.select("doc", *keep, "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left")
+    result = table.select("doc", *keep, "n_shingles", "k1", "k2").join(known.groupBy("k1", "k2").agg(F.min("doc").alias("node")), ["k1", "k2"], "left")
     if not n_active:
         return _verdict(result.withColumn("label", F.lit(None).cast("long")), key, keep)
     sets = _full_sets(docs, active, n_active, sketches, key, text, shingle)
@@ -385,30 +385,38 @@ def _in_blocks(cells: DataFrame, bins: int) -> DataFrame:
 
 
 def _whole_nodes(stuck: DataFrame, sketches: DataFrame) -> DataFrame:
-    """path, node, n, n_parts and pivots of the inseparable nodes."""
-    rows = stuck.join(sketches.select("node", "n"), "node")
-    pivots = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)]))
-    about = rows.groupBy("path").agg(_n_parts(F.sum(_weight("n"))).alias("n_parts"), pivots.alias("pivots"))
-    return shared.durable(rows.join(about, "path"))
+    """star, node, n, n_parts and pivots of the inseparable nodes.
+
+    Pivots are classes that are in most of the trees' inseparable nodes, as those are nearest to the core of a group. Nodes of several
+    trees with the same pivots are one star, so that a group is compared once and not once for each tree.
+    """
+    often = stuck.groupBy("node").agg(F.count("*").alias("often"))
+    rows = stuck.join(often, "node")
+    pivots = F.array_sort(F.array_distinct(F.array(*[F.max_by("node", F.struct("often", F.xxhash64("node", F.lit(i)))) for i in range(PIVOTS)])))
+    chosen = rows.groupBy("path").agg(pivots.alias("pivots"))
+    members = rows.join(chosen, "path").select(F.xxhash64("pivots").alias("star"), "node", "pivots").dropDuplicates(["star", "node"])
+    members = members.join(sketches.select("node", "n"), "node")
+    about = members.groupBy("star").agg(_n_parts(F.sum(_weight("n"))).alias("n_parts"))
+    return shared.durable(members.join(about, "star"))
 
 
 def _joined(whole: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Components after the comparison of inseparable nodes: with pivots, and then of what is outside the largest component with all."""
     dealt = whole.withColumn("part", _part(F.col("n_parts")))
-    unit = F.xxhash64("path", "part").alias("unit")
+    unit = F.xxhash64("star", "part").alias("unit")
     members = dealt.select(unit, F.lit(1).alias("side"), "node")
-    pivots = dealt.select("path", "part", "pivots").distinct().select(unit, F.lit(0).alias("side"), F.explode("pivots").alias("node"))
+    pivots = dealt.select("star", "part", "pivots").distinct().select(unit, F.lit(0).alias("side"), F.explode("pivots").alias("node"))
     near = _linked(members.unionByName(pivots).withColumn("g", F.col("unit")), sets, percent)
     labels = shared.durable(components(links.unionByName(near)))
-    labelled = whole.select("path", "node", "n", "n_parts").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    main = labelled.groupBy("path", "label").count().groupBy("path").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    rest = shared.durable(labelled.join(main, "path").filter("label != main").select("path", "node", "n", "n_parts"))
+    labelled = whole.select("star", "node", "n", "n_parts").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    main = labelled.groupBy("star", "label").count().groupBy("star").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    rest = shared.durable(labelled.join(main, "star").filter("label != main").select("star", "node", "n", "n_parts"))
     if rest.isEmpty():
         return labels
-    cut = rest.groupBy("path").agg(_n_parts(F.sum(_weight("n"))).alias("rest_parts"))
-    left = rest.join(cut, "path").select("path", "node", _part(F.col("rest_parts")).alias("p"), F.explode(F.expr("sequence(0, n_parts - 1)")).alias("q"), F.lit(0).alias("side"))
-    right = whole.join(cut, "path").select("path", "node", F.explode(F.expr("sequence(0, rest_parts - 1)")).alias("p"), _part(F.col("n_parts")).alias("q"), F.lit(1).alias("side"))
-    unit = F.xxhash64("path", "p", "q")
+    cut = rest.groupBy("star").agg(_n_parts(F.sum(_weight("n"))).alias("rest_parts"))
+    left = rest.join(cut, "star").select("star", "node", _part(F.col("rest_parts")).alias("p"), F.explode(F.expr("sequence(0, n_parts - 1)")).alias("q"), F.lit(0).alias("side"))
+    right = whole.join(cut, "star").select("star", "node", F.explode(F.expr("sequence(0, rest_parts - 1)")).alias("p"), _part(F.col("n_parts")).alias("q"), F.lit(1).alias("side"))
+    unit = F.xxhash64("star", "p", "q")
     more = _linked(left.unionByName(right).select(unit.alias("g"), unit.alias("unit"), "side", "node"), sets, percent)
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(shared.durable(more)))
 

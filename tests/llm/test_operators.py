@@ -91,6 +91,29 @@ def test_url_lists_follow_the_list_of_the_day(spark):
     assert urllists.filter_captures(caps.limit(0), entries).count() == 0
 
 
+def test_deep_hosts_and_hot_keys(spark, monkeypatch):
+    host = "a.b.c.d.e.f.g.example.org"
+    rows = [(i, f"http://{host}/p{i % 7}", f"2024-01-{1 + i % 28:02d}") for i in range(6000)]
+    caps = spark.createDataFrame(rows, "id long, url string, fetched_at string").withColumn("fetched_at", F.to_timestamp("fetched_at"))
+    entries = spark.createDataFrame(
+        [("domain", "d.e.f.g.example.org", "block", "2024-01-05"), ("domain", host, "allow", "2024-01-10"), ("domain", host, "remove", "2024-01-20"), ("address", f"{host}/p3", "block", "2024-01-15")],
+        "kind string, pattern string, action string, at string",
+    ).withColumn("at", F.to_timestamp("at"))
+    got = {(r.id, r.blocked, r.kind, r.pattern, r.n_active) for r in urllists.filter_captures(caps, entries).collect()}
+    want = set()
+    for i, url, at in rows:  # 6,000 look-ups of one key: more than a salt's share
+        day, found = int(at[-2:]), []
+        if day >= 15 and url.endswith("/p3"):
+            found.append((3, "address", f"{host}/p3", True))
+        if 10 <= day < 20:
+            found.append((2, "domain", host, False))
+        if day >= 5:
+            found.append((1, "domain", "d.e.f.g.example.org", True))
+        best = max(found, default=(0, None, None, False))
+        want.add((i, best[3], best[1], best[2], len(found)))
+    assert got == want
+
+
 # --- 3, 10 -------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -341,6 +364,22 @@ def test_pairs_within_a_large_node_of_boilerplate(spark, monkeypatch):
     assert got == want
 
 
+def test_recall_among_boilerplate(spark):
+    """8,000 texts that share 300 words (0.68 similar), each linked with one other at 0.76 to 0.8: all links are found."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(4000):
+        words = [f"licence{j}" for j in range(300)] + [f"own{i}_{j}" for j in range(70)]
+        at = set(rng.sample(range(370), 10))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(f"z{i}_{j}" if j in at else w for j, w in enumerate(words)))]
+    rng.shuffle(rows)
+    texts = dict(rows)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i in range(4000) if not _components([(2 * i, texts[2 * i]), (2 * i + 1, texts[2 * i + 1])])[1][3]]
+    assert len(linked) > 3900 and sum(got[2 * i + 1] == 2 * i for i in linked) >= 0.99 * len(linked)
+    assert all(a // 2 == b // 2 for a, b in got.items())
+
+
 def test_nodes_branch_until_small(spark, monkeypatch):
     import random
 
