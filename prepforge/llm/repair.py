@@ -367,7 +367,7 @@ def _crc(ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    path = f"{shared.ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{shared.checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer_file("byte_bpe_50k.json"))
     found = _crc(read_tokens(spark, path, dict(docs.dtypes)["doc_id"])).drop("ids")
     return found.join(shard_starts(spark, path), ["part", "shard"]).select("doc_id", (F.col("begin") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

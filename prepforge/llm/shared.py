@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-import zlib
-
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.durable import checkpoint_dir, durable  # noqa: F401
+
 #: A side of a join is broadcast only if its measured size is below this.
 BROADCAST_BYTES = 8 << 20
 
@@ -20,26 +19,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        named = sc.getCheckpointDir()
-    if named is None:
-        named = f"/tmp/prepforge-checkpoints-{uuid.uuid4().hex}"
-        sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Computes df once and keeps it in the shared checkpoint folder: lineage ends there, lost executors lose nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the caller's table cannot clash with helper columns."""
     return df.select(*[F.col(f"`{n}`") for n in names])
@@ -62,10 +41,6 @@ def crc_mod(column: str, m: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))
 
 
-def crc_mod_int(value: int, m: int) -> int:
-    return zlib.crc32(str(value).encode()) % m
-
-
 def partition_id() -> int:
     ctx = TaskContext.get()
     return ctx.partitionId() if ctx is not None else 0

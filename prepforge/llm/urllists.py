@@ -1,7 +1,7 @@
 """URL filter lists with dates: each capture is judged by the list as it stood at fetch time.
 
 Dated list entries (add or remove a pattern) become validity intervals. A capture is looked up under every key that a list may name: its
-address, its host, and the parent domains of the host. An as-of join finds, for each key, the last list change at or before the fetch: list
+address, its host, and the host and all its parent domains as domains. An as-of join finds, for each key, the last list change at or before the fetch: list
 changes and look-ups are united, sorted by key and time, and the last change is carried forward by a window. The most specific active
 entry decides (address, then host, then longer domains before shorter), and of equals a block.
 
@@ -11,7 +11,7 @@ which bounds the table that is broadcast. DataFrame functions only.
 
 Defined cases: captures without url or fetch time match nothing (blocked is false); rows that repeat an id are separate captures; entries
 without pattern, time or known action are left out; of changes to one pattern at one time, a removal counts last and a block counts over
-an allow; an empty list blocks nothing; other columns of both tables are dropped, whatever their names.
+an allow; a host of any number of labels is looked up under all its suffixes; an empty list blocks nothing; other columns of both tables are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parent domains that are looked up (labels from the right).
-MAX_LABELS = 6
-
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
@@ -53,11 +50,11 @@ def _lookups(captures: DataFrame, key: str, url: str, fetched: str) -> DataFrame
     own = captures.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").alias("at")).filter("url is not null and at is not null")
     host = host_of(F.col("url"))
     own = own.select("id", "url", "at", host.alias("host"), F.split(host, r"\.").alias("labels")).filter("host != ''")
-    lengths = F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(MAX_LABELS)))
+    lengths = F.sequence(F.lit(1), F.size("labels"))
     domains = F.transform(lengths, lambda n: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice("labels", -n, n), ".").alias("pattern"), n.cast("int").alias("rank")))
     exact = F.array(
-        F.struct(F.lit("address").alias("kind"), F.lower(address_of(F.col("url"))).alias("pattern"), F.lit(1000).alias("rank")),
-        F.struct(F.lit("host").alias("kind"), F.col("host").alias("pattern"), F.lit(999).alias("rank")),
+        F.struct(F.lit("address").alias("kind"), F.lower(address_of(F.col("url"))).alias("pattern"), F.lit(10**9 + 1).alias("rank")),
+        F.struct(F.lit("host").alias("kind"), F.col("host").alias("pattern"), F.lit(10**9).alias("rank")),
     )
     return own.select("id", "url", "at", F.explode(F.concat(exact, domains)).alias("k")).select("id", "url", "at", "k.kind", "k.pattern", "k.rank")
 
@@ -142,9 +139,9 @@ iv as (
   select kind, pattern, action, timestamp '2024-01-01' + to_days(cast(n as int)) as valid_from,
     timestamp '2024-01-01' + to_days(cast(lead(n) over (partition by kind, pattern order by n) as int)) as valid_to from changes),
 keys as (
-  select page_id, ts, 'address' as kind, address as pattern, 1000 as rank from p
-  union all select page_id, ts, 'host', host, 999 from p
-  union all select page_id, ts, 'domain', array_to_string(labels[-k:], '.'), k from (select page_id, ts, labels, unnest(range(1, least(len(labels), 6) + 1)) as k from p)),
+  select page_id, ts, 'address' as kind, address as pattern, 1000000001 as rank from p
+  union all select page_id, ts, 'host', host, 1000000000 from p
+  union all select page_id, ts, 'domain', array_to_string(labels[-k:], '.'), k from (select page_id, ts, labels, unnest(range(1, len(labels) + 1)) as k from p)),
 m as (
   select k.page_id, k.rank, iv.* from keys k join iv on k.kind = iv.kind and k.pattern = iv.pattern
   where iv.action <> 'remove' and k.ts >= iv.valid_from and (iv.valid_to is null or k.ts < iv.valid_to)),
