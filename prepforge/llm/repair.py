@@ -11,6 +11,7 @@ order of their texts.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import shared
+from .pairmerge import PairMerges
 from .textcore import column_bytes, parts
 from .wordbpe import byte_names, tokenizer_file
 
@@ -31,9 +33,10 @@ END_ID = 0
 SHARD_TOKENS = 1 << 20
 #: Symbols are 16 bits wide: ids of the vocabulary, then rules.
 SYMBOLS = 1 << 16
-MIN_COUNT, ROUNDS, RULES_A_ROUND = 24, 6, 2500
-MEMORY_WORDS, HOT_WORDS = 600_000, 12_000
-MEMORY_TOKENS = 300_000
+MIN_COUNT, RULES_A_ROUND = 24, 2500
+MEMORY_WORDS = 600_000
+#: Bytes of the longest pre-token that is merged together with others.
+LONG_TOKEN = 64
 _SLOT_BITS = 18
 #: Fixed value: the pattern of byte-level pre-tokens.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -59,34 +62,31 @@ class ByteBpe:
         self.library.no_padding()
         self.library.no_truncation()
         self.size = self.library.get_vocab_size()
+        if self.size > SYMBOLS:
+            raise ValueError(f"ids of {self.size} do not fit symbols of 16 bits")
         self.at: dict[bytes, int] = {}
-        self.hot: dict[bytes, int] = {}
-        self.next_hot = 20_000
-        self.tokens: dict[str, int] = {}
-        self.token_ids: list[list[int]] = []
-        self.token_count: list[int] = []
+        self.merges = PairMerges(json.loads(spec)["model"])
         self.flat, self.filled = np.zeros(1 << 16, np.uint16), 0
         self.begin = self.count = self.flags = self.used = np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _token_ids(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pre-tokens one after another, and the number of ids of each; new ones are merged by the library's model."""
-        known = self.tokens
-        if len(known) > MEMORY_TOKENS:
-            known.clear()
-            self.token_ids, self.token_count = [], []
-        new = [t for t in dict.fromkeys(tokens) if t not in known]
-        if new:
-            merge = self.library.model.tokenize
-            ids = [[x.id for x in merge((t if t.isascii() else t.encode().decode("latin-1")).translate(_NAMES))] for t in new]
-            known.update(zip(new, range(len(self.token_count), len(self.token_count) + len(new)), strict=True))
-            self.token_ids += ids
-            self.token_count += map(len, ids)
-        at = list(map(known.__getitem__, tokens))
-        per = list(map(self.token_ids.__getitem__, at))
-        return np.fromiter(chain.from_iterable(per), np.uint16), np.fromiter(map(len, per), np.int64, len(per))
+    def _token_ids(self, raw: np.ndarray, size: np.ndarray, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens one after another, and the number of ids of each: short ones are merged at once, long ones by the library's model."""
+        long = np.flatnonzero(size > LONG_TOKEN)
+        if not len(long):
+            return self.merges.ids(raw, size)
+        short = size <= LONG_TOKEN
+        ids, some = self.merges.ids(raw[np.repeat(short, size)], size[short])
+        merge = self.library.model.tokenize
+        other = [[x.id for x in merge((t if t.isascii() else t.encode().decode("latin-1")).translate(_NAMES))] for t in map(tokens.__getitem__, long.tolist())]
+        count = np.zeros(len(size), np.int64)
+        count[short], count[long] = some, list(map(len, other))
+        flat = np.zeros(int(count.sum()), np.uint16)
+        inside = np.repeat(short, count)
+        flat[inside], flat[~inside] = ids, np.fromiter(chain.from_iterable(other), np.uint16)
+        return flat, count
 
     def _learn(self, new: list[bytes]) -> None:
         """Encodes new stretches: those that begin with a blank and have visible ends are cut into pre-tokens as one text, since all cuts between them are safe."""
@@ -102,17 +102,18 @@ class ByteBpe:
             t = new[i].decode()
             t = t[1:] if t[:1] == " " else t
             flags[i] = (not t or t[0].isspace()) + 2 * (not t or t[-1].isspace())
-        ok = (flags == 0) & blank
+        ok = (flags == 0) & blank & self.merges.alone
         for i in [i for i, w in enumerate(new) if b"<|" in w]:
             ok[i] = False
         safe, rest = np.flatnonzero(ok), np.flatnonzero(~ok)
         joined = raw[np.repeat(ok, size)]
         tokens = PRETOKEN.findall(joined.tobytes().decode())
-        ids, per_token = self._token_ids(tokens)
-        chars = np.r_[0, np.cumsum((joined & 0xC0) != 0x80)]
-        token_end = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        # from ends in characters to ends in bytes
+        char_at = np.r_[np.flatnonzero((joined & 0xC0) != 0x80), len(joined)]
+        token_end = char_at[np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))]
+        ids, per_token = self._token_ids(joined, np.diff(np.r_[0, token_end]), tokens)
         # a stretch ends with the pre-token that ends where it does
-        upto = np.searchsorted(token_end, chars[np.cumsum(size[safe])], "right")
+        upto = np.searchsorted(token_end, np.cumsum(size[safe]), "right")
         count = np.zeros(len(new), np.int64)
         count[safe] = np.diff(np.r_[0, np.r_[0, np.cumsum(per_token)][upto]])
         alone = self._ids([new[i].decode() for i in rest.tolist()])
@@ -140,43 +141,35 @@ class ByteBpe:
         self.flat, self.filled = body.copy(), len(body)
         self.begin, self.count, self.flags, self.used = np.cumsum(count) - count, count, self.flags[keep], self.used[keep] // 2
         self.at = {w: int(p) for w, i in self.at.items() if (p := place[i]) >= 0}
-        self._warm()
-
-    def _warm(self) -> None:
-        """A small table of the most used stretches, renewed as the memory doubles."""
-        often = set(np.argsort(-self.used, kind="stable")[:HOT_WORDS].tolist())
-        self.hot = {w: i for w, i in self.at.items() if i in often}
-        self.next_hot = max(2 * len(self.at), 20_000)
 
     def _gather(self, k: np.ndarray) -> np.ndarray:
         count = self.count[k]
         ends = np.cumsum(count)
         return self.flat[np.repeat(self.begin[k] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, each with the end id, and the number of ids of each."""
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (bytes and offsets) one after another, each with the end id, and the number of ids of each."""
         if len(self.at) > MEMORY_WORDS:
             self._forget()
-        if len(self.at) >= self.next_hot:
-            self._warm()
-        words, sizes = [], []
-        for t in texts:
-            ws = t.replace(b" ", b"\xff ").split(b"\xff")  # a byte that no text holds; each blank stays with what follows
-            words += ws
-            sizes.append(len(ws))
-        at = self.at
-        # most words are among a few, whose table fits the processor's cache
-        k = np.fromiter(map(self.hot.get, words, repeat(-1)), np.int64, len(words))
-        cold = np.flatnonzero(k < 0)
-        rest = list(map(words.__getitem__, cold.tolist()))
-        k[cold] = np.fromiter(map(at.get, rest, repeat(-1)), np.int64, len(rest))
-        missing = cold[k[cold] < 0].tolist()
-        if missing:
-            self._learn(sorted({words[i] for i in missing}))
-            k[missing] = [at[words[i]] for i in missing]
+        if len(off) == 1:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        # a stretch begins with each text and at each blank, which stays with what follows
+        blank = np.flatnonzero(data == 0x20)
+        starts = np.sort(np.r_[off[:-1], blank], kind="stable")
+        before = np.searchsorted(blank, off)
+        sizes = np.diff(before) + 1
+        first = before[:-1] + np.arange(len(sizes))
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[starts, off[-1]].astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        own = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(own < 0)
+        if len(missing):
+            n = len(self.count)
+            self._learn([distinct[i] for i in missing.tolist()])
+            own[missing] = np.arange(n, n + len(missing))
+        k = own[words.indices.to_numpy()]
         self.used += np.bincount(k, minlength=len(self.used))
-        first = np.cumsum(sizes) - sizes
-        last = first + np.array(sizes) - 1
+        last = first + sizes - 1
         flags = self.flags[k]
         flags[first] &= 2
         flags[last] &= 1
@@ -190,9 +183,9 @@ class ByteBpe:
             out[inside] = self._gather(k)
             out[~inside] = END_ID
             return out, n
-        redone = dict(zip(np.flatnonzero(whole).tolist(), self._ids([texts[i].decode() for i in np.flatnonzero(whole)]), strict=True))
+        redone = dict(zip(np.flatnonzero(whole).tolist(), self._ids([data[off[i] : off[i + 1]].tobytes().decode() for i in np.flatnonzero(whole)]), strict=True))
         pieces = []
-        for i in range(len(texts)):
+        for i in range(len(sizes)):
             own = np.array(redone[i], np.uint16) if i in redone else self._gather(k[first[i] : last[i] + 1])
             n[i] = len(own) + 1
             pieces += [own, np.array([END_ID], np.uint16)]
@@ -214,7 +207,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     s = ids.astype(np.uint32)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
     mult = np.uint32(0x9E3779B1)
-    for _ in range(ROUNDS):
+    while True:
         room = min(RULES_A_ROUND, SYMBOLS - base - len(rules))
         if len(s) < 2 or room <= 0:
             break
@@ -299,9 +292,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, key: str = "do
         ids, tokens, counts, size = [], [], [], 0
         for batch in batches:
             data, off = column_bytes(batch.column(1))
-            for lo, hi in parts(off, 1 << 19):
-                raw, cut = data[off[lo] : off[hi]].tobytes(), (off[lo : hi + 1] - off[lo]).tolist()
-                t, n = bpe.encode([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
+            for lo, hi in parts(off, 1 << 21):
+                t, n = bpe.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 ids.append(batch.column(0).slice(lo, hi - lo))
                 tokens.append(t)
                 counts.append(n)
