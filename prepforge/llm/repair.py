@@ -1,7 +1,7 @@
 """Token files: byte-level BPE ids of a corpus in id order, each shard compressed by a grammar of id pairs (Re-Pair).
 
 A shard holds about a million ids of whole documents. Frequent pairs of neighbouring symbols are replaced by new symbols, round after
-round, until no pair is frequent; no rule crosses the end id, so a document is a range of symbols. Stored are the symbols, the rules (two
+round, until no pair occurs MIN_COUNT times or no symbol of 16 bits is left (a round replaces up to RULES_A_ROUND pairs); no rule crosses the end id, so a document is a range of symbols. Stored are the symbols, the rules (two
 symbols each), the expansion length of every rule and the symbol count of every document: a reader decodes one document, or the ids from
 any position, without the rest of the shard. Shards are rows of Parquet files under one path, numbered in ascending id order.
 
