@@ -1,9 +1,11 @@
 """Perplexity by a class-based bigram model in Brown's manner.
 
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)). Classes of the CORE most frequent words come from exchange clustering: each word in turn
-moves to the class that gains most likelihood, over the bigram counts of all training text. All other words get one exchange step against a
-few coarse classes: the class that their core neighbours belong to most often, split by frequency (powers of two). Words that training lacks
-share one event; half the weight of words seen once estimates it. Transitions are interpolated with class frequencies (Witten-Bell).
+moves to the class that gains most likelihood, over the bigram counts of all training text. All other words get one exchange step against
+COARSE classes of the core: each goes to the class that gains most likelihood from its counts before and after the classes of its core
+neighbours, summed over all training text, and classes are split by frequency (powers of two, from 2 ** (BANDS - 1) on together). They are not
+exchanged again. Words that training lacks share one event; half the weight of words seen once estimates it. Transitions are interpolated
+with class frequencies (Witten-Bell). CORE bounds the table that the driver clusters; it does not bound what is counted or scored.
 
 Every count covers all training documents. Words travel as 64-bit hashes: fragments of the corpus send their distinct words with counts
 to hash buckets and get the sums and classes of exactly these words back, so that no vocabulary is broadcast or collected. Only
@@ -30,7 +32,7 @@ from .fragments import Fragments, by_bucket, from_bytes, groups_of, words_of
 from .textcore import SPACE, U64
 
 FOLD, HELD = 7, 2
-CORE, CLASSES, COARSE, BANDS, SWEEPS = 2048, 48, 6, 12, 6
+CORE, CLASSES, COARSE, BANDS, SWEEPS = 2048, 48, 14, 13, 6
 #: Classes after those of the core: coarse classes (and one without any) by band, the end of a text, and unseen words.
 END_CLASS = CLASSES + (COARSE + 1) * BANDS
 UNSEEN = END_CLASS + 1
@@ -68,7 +70,7 @@ def exchange(n: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
             pairs[a] -= right
             pairs[:, a] -= left
             pairs[a, a] -= own
-            rows, cols = pairs.sum(1), pairs.sum(0)
+            rows, cols = pairs.sum(1) + left, pairs.sum(0) + right  # wherever the word goes, its neighbours' classes keep these
             f = _xlogx(pairs)
             gain = (_xlogx(pairs + right) - f).sum(1) + (_xlogx(pairs + left[:, None]) - f).sum(0)
             d = np.diag(pairs)
@@ -89,6 +91,21 @@ def exchange(n: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     return g
 
 
+def best_classes(pairs: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The class whose likelihood gains most from each word: rows of right and left count the classes after and before it; pairs are the class bigrams. Without counts, the number of classes."""
+    d = np.diag(pairs)
+    out = np.full(len(right), len(pairs))
+    for lo in range(0, len(right), 8192):
+        r, b = right[lo : lo + 8192].astype(float), left[lo : lo + 8192].astype(float)
+        gain = (_xlogx(pairs + r[:, None, :]) - _xlogx(pairs)).sum(2) + (_xlogx(pairs.T + b[:, None, :]) - _xlogx(pairs.T)).sum(2)
+        gain += _xlogx(d + r + b) - _xlogx(d + r) - _xlogx(d + b) + _xlogx(d)
+        rows, cols = pairs.sum(1) + b, pairs.sum(0) + r
+        gain -= _xlogx(rows + r.sum(1, keepdims=True)) - _xlogx(rows) + _xlogx(cols + b.sum(1, keepdims=True)) - _xlogx(cols)
+        some = (r.sum(1) + b.sum(1)) > 0
+        out[lo : lo + 8192][some] = gain[some].argmax(1)
+    return out
+
+
 class _Text:
     """A fragment's tokens, its distinct words in the order in which they are sent, and which documents train."""
 
@@ -152,7 +169,10 @@ class BrownModel:
         order = np.argsort(words)
         self.core = words[order]
         bigrams = self._core_bigrams()[np.argsort(order)][:, np.argsort(order)] if len(words) else np.zeros((0, 0))
-        self.fine, self.coarse = (exchange(bigrams, c)[order] for c in (CLASSES, COARSE))
+        fine, coarse = (exchange(bigrams, c) for c in (CLASSES, COARSE))
+        one = np.eye(COARSE)[coarse]
+        self.coarse_pairs = one.T @ bigrams @ one
+        self.fine, self.coarse = fine[order], coarse[order]
         self.replies = shared.durable(self._assigned())
         self.model = self._transitions(n_words + n_docs, n_types + (n_docs > 0), n_docs)
 
@@ -218,20 +238,20 @@ class BrownModel:
 
     def _assigned(self) -> DataFrame:
         """Replies to fragments: count and class of each word sent. Rows of frag -1 hold tokens by class."""
-        core, fine, coarse, text, buckets = self.core, self.fine, self.coarse, self.text, self.frags.buckets
+        core, fine, coarse, pairs, text, buckets = self.core, self.fine, self.coarse, self.coarse_pairs, self.text, self.frags.buckets
 
         def send(frag: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             t = _Text(batch, text, buckets)
             t.distinct()
             c = _core_index(core, t.keys)[t.word]
             group = np.where(c >= 0, coarse[c] if len(coarse) else 0, -1)
-            votes = np.zeros(len(t.keys) * COARSE, np.int64)
+            votes = np.zeros(len(t.keys) * 2 * COARSE, np.int64)  # classes after each word, then before it
             if len(c) > 1:
                 same = (t.rows[:-1] == t.rows[1:]) & t.train[t.rows[:-1]]
-                for word, other in ((t.word[:-1], group[1:]), (t.word[1:], group[:-1])):
+                for word, other, side in ((t.word[:-1], group[1:], 0), (t.word[1:], group[:-1], COARSE)):
                     ok = same & (other >= 0)
-                    votes += np.bincount(word[ok] * COARSE + other[ok], minlength=len(votes))
-            votes = votes.reshape(-1, COARSE).astype(np.uint32)
+                    votes += np.bincount(word[ok] * 2 * COARSE + side + other[ok], minlength=len(votes))
+            votes = votes.reshape(-1, 2 * COARSE).astype(np.uint32)
             out = [(b, t.keys[s].tobytes(), _pack(t.trained[s]), _pack(votes[s].T)) for b, s in t.pieces()]
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in out], pa.int64()), "frag": pa.array([frag] * len(out), pa.int64())} | {c: pa.array([x[i + 1] for x in out], pa.binary()) for i, c in enumerate(("words", "n", "votes"))})
 
@@ -240,11 +260,11 @@ class BrownModel:
             sizes = np.array([len(x) // 8 for x in blobs])
             h = np.frombuffer(b"".join(blobs), np.uint64)
             n = np.concatenate([_unpack(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64)
-            votes = np.concatenate([_unpack(x, np.uint32).reshape(COARSE, -1).T for x in table.column("votes").to_pylist()])
+            votes = np.concatenate([_unpack(x, np.uint32).reshape(2 * COARSE, -1).T for x in table.column("votes").to_pylist()])
             order, begin, place = groups_of(h)
             words, total = h[order][begin], np.add.reduceat(n[order], begin)
             votes = np.add.reduceat(votes[order], begin, axis=0)
-            side = np.where(votes.sum(1) > 0, votes.argmax(1), COARSE)
+            side = best_classes(pairs, votes[:, :COARSE], votes[:, COARSE:])
             band = np.minimum(np.log2(np.maximum(total, 1)).astype(np.int64), BANDS - 1)
             kind = CLASSES + side * BANDS + band
             c = _core_index(core, words)

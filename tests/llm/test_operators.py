@@ -52,6 +52,66 @@ def test_brown_base_and_order(spark, docs, empty):
     assert brown.BrownModel(empty).score().count() == 0
 
 
+def test_brown_scores_equal_plain_python(spark, docs, monkeypatch):
+    """Classes of outer words by whole likelihoods, sums of probabilities, and scores word by word, given the classes of the core and the transitions."""
+    import numpy as np
+
+    from prepforge.llm.textcore import SPACE, Words
+
+    monkeypatch.setattr(brown, "CORE", 60)
+    model = brown.BrownModel(docs)
+    got = {r.doc_id: r.score for r in model.score().collect()}
+    end, unseen = brown.END_CLASS, brown.UNSEEN
+    tokens = {i: WORD.findall(lower(t)) for i, t in documents()}
+    train = {i: ws for i, ws in tokens.items() if i is not None and zlib.crc32(str(i).encode()) % 7 != 2}
+    c = Counter(w for ws in train.values() for w in ws)
+
+    def hashed(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(Words(raw, np.array([0, len(raw)]), SPACE, True).hashes()[0])
+
+    core = {int(h): n for n, h in enumerate(model.core)}
+    at = {w: core.get(hashed(w), -1) for w in {w for ws in tokens.values() for w in ws}}
+    assert sorted(-n for n in c.values())[: len(core)] == sorted(-c[w] for w in c if at[w] >= 0)
+
+    def likelihood(pairs):
+        x = lambda v: v * math.log(v) if v > 0 else 0.0
+        return sum(x(v) for v in pairs.ravel()) - sum(x(v) for v in pairs.sum(0)) - sum(x(v) for v in pairs.sum(1))
+
+    kind = {}
+    for w in c:
+        if at[w] >= 0:
+            kind[w] = int(model.fine[at[w]])
+            continue
+        right, left = np.zeros(brown.COARSE), np.zeros(brown.COARSE)
+        for ws in train.values():
+            for a, b in zip(ws[:-1], ws[1:], strict=True):
+                if a == w and at[b] >= 0:
+                    right[model.coarse[at[b]]] += 1
+                if b == w and at[a] >= 0:
+                    left[model.coarse[at[a]]] += 1
+        gains = []
+        for g in range(brown.COARSE):
+            pairs = model.coarse_pairs.copy()
+            pairs[g] += right
+            pairs[:, g] += left
+            gains.append(round(likelihood(pairs), 6))
+        side = gains.index(max(gains)) if right.sum() + left.sum() else brown.COARSE
+        kind[w] = brown.CLASSES + side * brown.BANDS + min(int(math.log2(c[w])), brown.BANDS - 1)
+    p = 10**model.model.transitions
+    assert np.allclose(p.sum(1), 1)
+    sizes = Counter()
+    for w, k in kind.items():
+        sizes[k] += c[w]
+    for k, size in sizes.items():
+        assert model.model.class_tokens[k] == size
+        assert sum(c[w] / size for w in kind if kind[w] == k) == pytest.approx(1)
+    for i, ws in tokens.items():
+        kinds = [end, *[kind.get(w, unseen) for w in ws], end]
+        want = sum(math.log10(p[a, b]) for a, b in zip(kinds[:-1], kinds[1:], strict=True)) + sum(math.log10(c[w] / sizes[kind[w]]) for w in ws if w in kind)
+        assert got[i] == pytest.approx(want, rel=1e-9, abs=1e-9), i
+
+
 def test_exchange_separates_alternating_words():
     import numpy as np
 
