@@ -350,7 +350,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
 def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """path and node of all small nodes of the trees, and of the inseparable ones (None, if there are none)."""
-    rows = sketches.select("node", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("path"), "node")
+    # exploded once, as every step of the first level reads these rows
+    rows = shared.durable(sketches.select("node", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("path"), "node"))
     sizes = shared.durable(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"))
     small, stuck, level = None, None, 0
     while True:
