@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
+FIT_PARTITIONS = 8
+
 
 def labelled_sample(labels: DataFrame, column: str, fold: int, held: int, most: int, key: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
     """Training ids with their label (0 or 1): about most / 2 of each class, picked by a hash of the id; and all training rows by label.
@@ -33,8 +35,8 @@ def sampled_docs(docs: DataFrame, sample: DataFrame, most: int, key: str, text:
 
 
 def fit_logistic(rows: DataFrame, intercept: bool, reg: float, iterations: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and intercept for rows of (label, features), by L-BFGS over Spark partitions."""
-    model = LogisticRegression(fitIntercept=intercept, regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-7, family="binomial").fit(rows)
+    """Weights and intercept for rows of (label, features), by L-BFGS over Spark partitions. The rows come from a bounded sample, which a fixed number of partitions holds."""
+    model = LogisticRegression(fitIntercept=intercept, regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-7, family="binomial").fit(rows.coalesce(FIT_PARTITIONS))
     return np.array(model.coefficients.toArray()), float(model.intercept)
 
 
