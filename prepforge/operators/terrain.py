@@ -24,9 +24,14 @@ TILE, MAX_ROUNDS = 128, 10_000
 
 def rasterise(indexed: DataFrame, stat: str = "mean") -> DataFrame:
     """row, col, value from (row, col, z): mean, min, median, p05 or p10 (exact, interpolated)."""
+    return rasterise_all(indexed, stat).withColumnRenamed(stat, "value")
+
+
+def rasterise_all(indexed: DataFrame, *stats: str) -> DataFrame:
+    """row, col and a column for each of stats, in one pass."""
     z = F.col("z").cast("double")
-    value = {"mean": F.avg(z), "min": F.min(z), "median": F.median(z), "p05": F.percentile(z, 0.05), "p10": F.percentile(z, 0.10)}[stat]
-    return indexed.groupBy("row", "col").agg(value.alias("value"))
+    values = {"mean": F.avg(z), "min": F.min(z), "median": F.median(z), "p05": F.percentile(z, 0.05), "p10": F.percentile(z, 0.10)}
+    return indexed.groupBy("row", "col").agg(*[values[s].alias(s) for s in stats])
 
 
 def ground_labels(indexed: DataFrame, threshold: float = 0.5) -> DataFrame:

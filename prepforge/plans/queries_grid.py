@@ -53,11 +53,8 @@ def d14_cell_centres(t):
 
 @query(f"with {_I} select row, col, round(avg(z), 10) as mean, round(min(z), 10) as min, round(median(z), 10) as median, round(quantile_cont(z, 0.05), 10) as p05, round(quantile_cont(z, 0.1), 10) as p10 from i group by row, col")
 def a11_g04_rasterise(t):
-    i = _indexed(t)
-    out = te.rasterise(i, "mean").withColumnRenamed("value", "mean")
-    for s in ("min", "median", "p05", "p10"):
-        out = out.join(te.rasterise(i, s).withColumnRenamed("value", s), ["row", "col"])
-    return out.select("row", "col", *[F.round(c, 10).alias(c) for c in ("mean", "min", "median", "p05", "p10")])
+    stats = ("mean", "min", "median", "p05", "p10")
+    return te.rasterise_all(_indexed(t), *stats).select("row", "col", *[F.round(c, 10).alias(c) for c in stats])
 
 
 @query(f"""with {_I}, n as (select count(*) as n from i group by row, col)
