@@ -26,4 +26,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import queries_grid, queries_models, queries_tables, queries_text  # noqa: F401
+    from . import queries_grid, queries_models, queries_sources, queries_tables, queries_text  # noqa: F401
