@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import smape
 from .ranks import percent_rank_average
 
-#: Weight combinations of one aggregate; more go in further passes.
-BATCH = 32
+#: Cells (rows times weight combinations) that a task of a weight search holds at once.
+CELLS = 1 << 20
 
 
 def blend_log(weights: Mapping[str, float]) -> Column:
@@ -57,15 +59,34 @@ def simplex_grid(steps: int = 100) -> list[tuple[float, float, float]]:
 
 
 def search_weights(df: DataFrame, columns: Sequence[str], y: str, grid: Sequence[tuple[float, ...]], log: bool = True) -> DataFrame:
-    """smape of every weight combination: many aggregates over one pass of the rows, and nothing is multiplied out."""
-    rows = []
-    for lo in range(0, len(grid), BATCH):
-        part = grid[lo : lo + BATCH]
-        mix = [blend_log(dict(zip(columns, w, strict=True))) if log else blend_price(dict(zip(columns, w, strict=True))) for w in part]
-        got = df.agg(*[smape(F.col(y), m).alias(f"s{i}") for i, m in enumerate(mix)]).first()
-        rows += [(*map(float, w), got[f"s{i}"]) for i, w in enumerate(part)]
-    names = ", ".join(f"w_{c} double" for c in columns)
-    return df.sparkSession.createDataFrame(rows, f"{names}, smape double")
+    """smape of every weight combination in one pass: a task multiplies its rows, block by block, with the matrix of weights and hands on one sum for each combination.
+
+    Rows with a null count for nothing; without other rows smape is null.
+    """
+    weights = np.array(grid, dtype=float)
+    block = max(1, CELLS // len(weights))
+
+    def sums(batches):
+        total, n = np.zeros(len(weights)), 0
+        for b in batches:
+            true, *predicted = (c.to_numpy() for c in b.columns)
+            predicted = np.column_stack(predicted)
+            for lo in range(0, len(true), block):
+                mix = predicted[lo : lo + block] @ weights.T
+                mix = np.expm1(mix) if log else mix
+                at = true[lo : lo + block, None]
+                off, size = np.abs(at - mix), (np.abs(at) + np.abs(mix)) / 2
+                total += np.divide(off, size, out=off, where=size != 0).sum(axis=0)
+            n += len(true)
+        yield pa.record_batch([np.arange(len(weights)), total, np.full(len(weights), n)], names=["i", "s", "n"])
+
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([y, *columns])])
+    rows = rows.filter(" and ".join(f"{c} is not null" for c in rows.columns))
+    scores = rows.mapInArrow(sums, "i long, s double, n long").groupBy("i").agg((F.try_divide(F.sum("s"), F.sum("n")) * 100).alias("smape"))
+    names = [f"w_{c}" for c in columns]
+    schema = ", ".join(["i long", *[f"`{c}` double" for c in names]])
+    table = df.sparkSession.createDataFrame([(i, *map(float, w)) for i, w in enumerate(grid)], schema)
+    return table.join(scores, "i", "left").select(*[F.col(f"`{c}`") for c in names], "smape")
 
 
 def best(table: DataFrame, score: str, largest: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import small
@@ -45,12 +45,12 @@ def stratified_k_fold(df: DataFrame, key: str, label: str, k: int, seed: int = 4
 
 
 def group_k_fold(df: DataFrame, group: str, k: int) -> DataFrame:
-    """One fold for each group; groups by falling size are dealt to and fro over the folds."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    order = F.row_number().over(Window.orderBy(F.desc("__n"), group)) - 1  # one row a group
-    turn, place = F.floor(order / k), F.pmod(order, F.lit(k))
+    """One fold for each group; groups by falling size are dealt to and fro over the folds. Groups are ranked in ranges; rows without a group are left out."""
+    sizes = df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg((-F.count("*")).alias("size"))
+    ranked = _running(sizes.select(F.struct("size", "g").alias("__v"), F.lit(1).alias("__n")), "__v", "__n")
+    turn, place = F.floor(F.col("before") / k), F.pmod("before", F.lit(k))
     fold = F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int")
-    return df.join(sizes.select(group, fold.alias("fold")), group)
+    return df.join(ranked.select(F.col("__v.g").alias(group), fold.alias("fold")), group)
 
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:

@@ -500,16 +500,19 @@ def v01_stratified_holdout(t):
     return s.agg(F.count("*").alias("n"), (F.abs(F.avg((F.col("split") == "val").cast("double")) - 0.2) < 0.05).alias("balanced"))
 
 
-@query("select quality, cast(count(*) as bigint) as n, true as balanced from labels group by quality")
+@query("""
+select quality, fold, (n + 4 - fold) // 5 as n from (select quality, count(*) as n from labels group by quality), (select unnest(range(0, 5))::int as fold)
+where (n + 4 - fold) // 5 > 0""")
 def v04_stratified_folds(t):
-    f = sp.stratified_k_fold(t("labels"), "doc_id", "quality", 5).groupBy("quality", "fold").agg(F.count("*").alias("m"))
-    return f.groupBy("quality").agg(F.sum("m").alias("n"), (F.max("m") - F.min("m") <= 1).alias("balanced"))
+    """Rows of each fold in each class; which rows they are follows a hash."""
+    return sp.stratified_k_fold(t("labels"), "doc_id", "quality", 5).groupBy("quality", "fold").agg(F.count("*").alias("n"))
 
 
-@query("select user_id, 1 as folds, count(*) as n from events group by user_id")
+@query("""
+with s as (select user_id, count(*) as n from events where user_id is not null group by user_id), o as (select user_id, n, row_number() over (order by n desc, user_id) - 1 as o from s)
+select (case when o // 10 % 2 = 0 then o % 10 else 9 - o % 10 end)::int as fold, user_id, n from o""")
 def v05_v06_group_folds(t):
-    sizes = sp.group_sizes(sp.group_k_fold(t("events"), "user_id", 10), "user_id")
-    return sizes.groupBy("user_id").agg(F.count("*").cast("int").alias("folds"), F.sum("n").alias("n"))
+    return sp.group_sizes(sp.group_k_fold(t("events"), "user_id", 10), "user_id")
 
 
 @query("select l_orderkey, round(avg(l_extendedprice), 6) as p from lineitem group by l_orderkey")
@@ -530,10 +533,10 @@ def p13_round_scores(t):
 
 @query(f"""
 select wa as w_a, wb as w_b, wc as w_c, round(smape, 6) as smape from (
-  select i / 20.0::double as wa, j / 20.0::double as wb, (20 - i - j) / 20.0::double as wc, 100 * avg(abs(y - m) / ((abs(y) + abs(m)) / 2)) as smape
-  from (select i, j, y, i / 20.0::double * a + j / 20.0::double * b + (20 - i - j) / 20.0::double * c as m from {_PRED}, (select unnest(range(0, 21)) as i), (select unnest(range(0, 21)) as j) where i + j <= 20) group by i, j)""")
+  select i / 100.0::double as wa, j / 100.0::double as wb, (100 - i - j) / 100.0::double as wc, 100 * avg(abs(y - m) / ((abs(y) + abs(m)) / 2)) as smape
+  from (select i, j, y, i / 100.0::double * a + j / 100.0::double * b + (100 - i - j) / 100.0::double * c as m from {_PRED}, (select unnest(range(0, 101)) as i), (select unnest(range(0, 101)) as j) where i + j <= 100) group by i, j)""")
 def b04_simplex_grid(t):
-    out = es.search_weights(_pred(t), ["a", "b", "c"], "y", es.simplex_grid(20), log=False)
+    out = es.search_weights(_pred(t), ["a", "b", "c"], "y", es.simplex_grid(), log=False)
     return out.withColumn("smape", F.round("smape", 6))
 
 

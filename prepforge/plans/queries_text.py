@@ -96,19 +96,21 @@ def d03_d06_cross_modal(t):
     return out.select("vec_id", *[F.round(c, 6).alias(c) for c in ("a_b_cos", "a_b_norm_a", "a_b_norm_b", "a_b_norm_ratio", "scaled")])
 
 
-@query("select vec_id, round(list_sum(list_transform(e, lambda x: (x / sqrt(list_dot_product(e, e))) ** 2)), 6) as square, round(e[1] / sqrt(list_dot_product(e, e)), 6) as first from (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings)")
+@query("""
+with e as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings)
+select vec_id, unnest(range(0, 64))::int as pos, round(unnest(list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))), 6) as value from e""")
 def d07_unit_vectors(t):
-    u = t("embeddings").select("vec_id", ve.unit("embedding").alias("u"))
-    return u.select("vec_id", F.round(ve.dot(F.col("u"), F.col("u")), 6).alias("square"), F.round(F.col("u")[0], 6).alias("first"))
+    u = t("embeddings").select("vec_id", F.posexplode(ve.unit("embedding")).alias("pos", "value"))
+    return u.withColumn("value", F.round("value", 6))
 
 
 @query("""
-with x as (select label, unnest(range(0, 64)) as pos, unnest(embedding)::double as v, vec_id % 3 <> 0 as m from embeddings), g as (select label, pos, coalesce(sum(v) filter (where m), 0) / greatest(count(*) filter (where m), 1e-9) as v from x group by 1, 2)
-select label, round(max(v) filter (where pos = 0), 6) as first, round(max(v) filter (where pos = 63), 6) as last from g group by label""")
+with x as (select label, unnest(range(0, 64))::int as pos, unnest(embedding)::double as v, vec_id % 3 <> 0 as m from embeddings)
+select label, pos, round(coalesce(sum(v) filter (where m), 0) / greatest(count(*) filter (where m), 1e-9), 6) as value from x group by label, pos""")
 def d08_masked_mean(t):
     tokens = t("embeddings").select("label", "embedding", (F.col("vec_id") % 3 != 0).cast("int").alias("m"))
     p = ve.masked_mean(tokens, "label", "embedding", "m")
-    return p.select("label", F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.col("embedding")[63], 6).alias("last"))
+    return p.select("label", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 @query()
