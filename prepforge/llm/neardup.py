@@ -20,9 +20,9 @@ Recall against brute force is measured in the tests and stated in the README. A
 probability of 3e-4 (SLACK), by the trees with one of 3e-5; pairs above it far less. Branches deeper than seven levels use tokens again.
 
 Defined cases: null or blank text has no shingles and no links; a text of fewer words than a shingle has one, the whole sequence; rows
-without doc_id are linked with nothing (component_id null, kept true); rows that repeat a doc_id all get a row, and of several texts under
-one doc_id that no smaller doc_id holds, the one with the smallest hash of its set is compared for all; an empty table gives no rows; ties do
-not matter, as components have no order; very long texts are groups of their own; other columns are dropped, whatever their names.
+without doc_id are linked with nothing (component_id null, kept true); rows that repeat a doc_id all get a row, and each row follows its own
+set: component_id is the smallest doc_id of any row whose set is reachable from the row's set; an empty table gives no rows; ties do not matter,
+as components have no order; very long texts are groups of their own; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ SPLIT = 0.5
 PIVOTS = 3
 #: Shingles of a group of exact comparisons, and what a text counts besides its own.
 WEIGHT, TEXT_WEIGHT = 1 << 20, 1 << 10
+#: Nodes of sets whose smallest doc_id stands for another set already begin here; doc_ids are below.
+APART = 1 << 62
 #: A pair goes to the exact check if so many standard deviations below the threshold, or more, of its coordinates agree.
 SLACK = 3.5
 #: Tokens of more texts of a group than this are counted by a matrix product, others pair by pair.
@@ -188,23 +190,24 @@ def _cells(groups: DataFrame, least: int) -> DataFrame:
     return groups.select("m").mapInArrow(run, "cell long, node long, n long")
 
 
-def _full_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, sketches: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """Sorted 48-bit shingle hashes (binary) of the documents that stand for classes, partitioned by node: no comparison shuffles them again before they meet."""
+def full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, key: str, text: str, k: int) -> DataFrame:
+    """Sorted 48-bit shingle hashes (binary) of the sets in wanted (node, low, k1), each read from a document low; partitioned by node: no comparison shuffles them again before they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = column_bytes(batch.column(1))
+            data, off = column_bytes(batch.column(2))
+            node, asked = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in parts(off, 1 << 20):
                 g, rows = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 edges = np.searchsorted(rows, np.arange(hi - lo + 1))
-                grams = pa.array([low_bytes(g[a:b] >> U64(16), 6) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-                of_set = pa.array([_set_hashes(g[a:b], np.zeros(1, np.int64))[0][0] if b > a else 0 for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.int64())
-                yield pa.RecordBatch.from_pydict({"node": batch.column(0).slice(lo, hi - lo), "k": of_set, "grams": grams})
+                own = [i for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a and _set_hashes(g[a:b], np.zeros(1, np.int64))[0][0] == asked[lo + i]]
+                grams = pa.array([low_bytes(g[edges[i] : edges[i + 1]] >> U64(16), 6) for i in own], pa.binary())
+                yield pa.RecordBatch.from_pydict({"node": node.take(pa.array([lo + i for i in own], pa.int64())), "grams": grams})
 
-    wanted = shared.semi(shared.pick(docs, key, text).withColumnRenamed(key, "node"), nodes, "node", n_nodes)
+    right = F.broadcast(wanted) if n_wanted * 24 <= shared.BROADCAST_BYTES else wanted
+    texts = shared.pick(docs, key, text).withColumnRenamed(key, "low").join(right, "low").select("node", "k1", text)
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = wanted.mapInArrow(run, "node long, k long, grams binary").repartition(n_parts, "node")
-    return shared.durable(found.join(sketches.select("node", "k1"), "node").filter("k = k1").select("node", "grams").dropDuplicates(["node"]))
+    return shared.durable(texts.mapInArrow(run, "node long, grams binary").repartition(n_parts, "node").dropDuplicates(["node"]))
 
 
 def common_tokens(tokens: np.ndarray, rows: np.ndarray, unit: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,7 +261,7 @@ def common_tokens(tokens: np.ndarray, rows: np.ndarray, unit: np.ndarray, right:
     return i[ok], j[ok], shared_by[at[ok]]
 
 
-def _linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b), b < a, of the exact comparison of rows (g, unit, side, node): all pairs of a unit, or those of its sides 0 and 1. Units of one g are one group of work. A component within a unit gives one link for each of its other classes."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -323,29 +326,51 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     shared.tune(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text), *[F.col(f"`{c}`") for c in keep])
     table = shared.durable(signatures(docs, key, text, shingle, keep))
-    known = table.filter("k1 is not null and doc is not null")
-    first = F.min_by(F.struct(F.col("n_shingles").alias("n"), "roots", "sketch"), "doc").alias("x")
-    classes = known.groupBy("k1", "k2").agg(F.min("doc").alias("node"), first).select("k1", "k2", "node", "x.*")
-    sketches = shared.durable(classes.groupBy("node").agg(F.min_by(F.struct("k1", "n", "roots", "sketch"), "k1").alias("x")).select("node", "x.*"))
+    sketches = shared.durable(set_nodes(table, "n_shingles", "roots", "sketch").withColumnRenamed("n_shingles", "n"))
 
     small, stuck = _nodes(sketches)
     member = F.collect_list(F.struct("node", "n", "sketch")).alias("m")
     groups = small.join(sketches.select("node", "n", "sketch"), "node").groupBy("path").agg(member)
-    cells = _cells(groups, _agreement(percent)).repartition("cell").dropDuplicates(["cell", "node"])
+    links = compared(_cells(groups, _agreement(percent)), stuck, sketches, docs, percent, shingle, key, text)
+    return verdicts(table, sketches, links, key, keep)
+
+
+def set_nodes(table: DataFrame, *columns: str) -> DataFrame:
+    """node, low (the smallest doc), k1, k2 and columns of each distinct set. A node is the set's smallest doc, or a number from APART on where that doc stands for another set."""
+    known = table.filter("k1 is not null and doc is not null")
+    classes = known.groupBy("k1", "k2").agg(F.min("doc").alias("low"), F.min_by(F.struct(*columns), "doc").alias("x")).select("k1", "k2", "low", "x.*")
+    first = classes.groupBy("low").agg(F.min(F.struct("k1", "k2")).alias("f")).select("low", "f.k1", "f.k2", F.lit(True).alias("first"))
+    other = F.xxhash64("k1", "k2").bitwiseAND(F.lit(APART - 1)).bitwiseOR(F.lit(APART))
+    return classes.join(first, ["low", "k1", "k2"], "left").withColumn("node", F.when(F.col("first"), F.col("low")).otherwise(other)).drop("first")
+
+
+def compared(cells: DataFrame, stuck: DataFrame | None, sketches: DataFrame, docs: DataFrame, percent: int, shingle: int, key: str, text: str) -> DataFrame | None:
+    """node and label of the components that exact comparison finds in cells (cell, node, n) and in inseparable nodes (path, node); None, if there is nothing to compare."""
+    cells = cells.repartition("cell").dropDuplicates(["cell", "node"])
     cells = shared.durable(cells.withColumn("n_parts", _n_parts(F.sum(_weight("n")).over(Window.partitionBy("cell")))))
     weight, n_active = cells.agg(F.coalesce(F.sum(_weight("n")), F.lit(0)), F.count("*")).first()
     active = cells.select("node").distinct()
     whole = _whole_nodes(stuck, sketches) if stuck is not None else None
     if whole is not None:
         active, n_active = active.union(whole.select("node")).distinct(), n_active + whole.count()
-    result = table.select("doc", *keep, "n_shingles", "k1", "k2").join(known.groupBy("k1", "k2").agg(F.min("doc").alias("node")), ["k1", "k2"], "left")
     if not n_active:
+        return None
+    sets = full_sets(docs, sketches.select("node", "low", "k1").join(active, "node"), n_active, key, text, shingle)
+    links = shared.durable(linked(_in_blocks(cells, max(1, weight // WEIGHT)), sets, percent))
+    return components(links) if whole is None else _joined(whole, sets, links, percent)
+
+
+def verdicts(table: DataFrame, nodes: DataFrame, labels: DataFrame | None, key: str, keep: tuple[str, ...]) -> DataFrame:
+    """Every row of table with the smallest doc of its set's component."""
+    result = table.select("doc", *keep, "n_shingles", "k1", "k2").join(nodes.select("k1", "k2", "node", "low"), ["k1", "k2"], "left")
+    if labels is None:
         return _verdict(result.withColumn("label", F.lit(None).cast("long")), key, keep)
-    sets = _full_sets(docs, active, n_active, sketches, key, text, shingle)
-    links = shared.durable(_linked(_in_blocks(cells, max(1, weight // WEIGHT)), sets, percent))
-    if whole is None:
-        return _verdict(result.join(components(links), "node", "left"), key, keep)
-    return _verdict(result.join(_joined(whole, sets, links, percent), "node", "left"), key, keep)
+    apart = shared.durable(nodes.filter(F.col("node") >= APART).select("node", "low"))
+    if not apart.isEmpty():
+        # a label is the smallest node, which isn't the smallest doc where sets of one doc are apart
+        lows = labels.join(apart, "node").groupBy("label").agg(F.min("low").alias("lower"))
+        labels = labels.join(lows, "label", "left").select("node", F.least(F.when(F.col("label") < APART, F.col("label")), "lower").alias("label"))
+    return _verdict(result.join(labels, "node", "left"), key, keep)
 
 
 def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -407,7 +432,7 @@ def _joined(whole: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
     unit = F.xxhash64("star", "part").alias("unit")
     members = dealt.select(unit, F.lit(1).alias("side"), "node")
     pivots = dealt.select("star", "part", "pivots").distinct().select(unit, F.lit(0).alias("side"), F.explode("pivots").alias("node"))
-    near = _linked(members.unionByName(pivots).withColumn("g", F.col("unit")), sets, percent)
+    near = linked(members.unionByName(pivots).withColumn("g", F.col("unit")), sets, percent)
     labels = shared.durable(components(links.unionByName(near)))
     labelled = whole.select("star", "node", "n", "n_parts").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = labelled.groupBy("star", "label").count().groupBy("star").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
@@ -418,12 +443,12 @@ def _joined(whole: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
     left = rest.join(cut, "star").select("star", "node", _part(F.col("rest_parts")).alias("p"), F.explode(F.expr("sequence(0, n_parts - 1)")).alias("q"), F.lit(0).alias("side"))
     right = whole.join(cut, "star").select("star", "node", F.explode(F.expr("sequence(0, rest_parts - 1)")).alias("p"), _part(F.col("n_parts")).alias("q"), F.lit(1).alias("side"))
     unit = F.xxhash64("star", "p", "q")
-    more = _linked(left.unionByName(right).select(unit.alias("g"), unit.alias("unit"), "side", "node"), sets, percent)
+    more = linked(left.unionByName(right).select(unit.alias("g"), unit.alias("unit"), "side", "node"), sets, percent)
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(shared.durable(more)))
 
 
 def _verdict(rows: DataFrame, key: str, keep: tuple[str, ...]) -> DataFrame:
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("label", "node", "doc"))
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("label", "low", "doc"))
     out = rows.select(F.col("doc").alias(key), *keep, "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 

@@ -60,7 +60,7 @@ class PairMerges:
         return out
 
     def ids(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pre-tokens one after another, and the number of ids of each; size: bytes of each in raw (none is empty)."""
+        """Ids of all pre-tokens one after another, and the number of ids of each; size: bytes of each in raw (none is empty, all are below a megabyte)."""
         token = np.repeat(np.arange(len(size)), size)
         symbol = self.first[raw]
         rank = np.full(len(symbol), NONE)
@@ -69,17 +69,15 @@ class PairMerges:
         done_token, done_symbol = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
         while len(symbol):
             begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            # lowest rank, then leftmost
-            best = np.minimum.reduceat((rank << 20) + (np.arange(len(rank)) & ((1 << 20) - 1)), begin)
             n = np.diff(np.r_[begin, len(symbol)])
+            # lowest rank, then leftmost within the pre-token
+            best = np.minimum.reduceat((rank << 20) + (np.arange(len(rank)) - np.repeat(begin, n)), begin)
             over = (best >> 20) >= NONE
             stays = np.repeat(~over, n)
             if over.any():
                 done_token.append(token[~stays])
                 done_symbol.append(symbol[~stays])
-            # places keep their low 20 bits, and a token's places differ by less
-            at = begin + ((best - begin) & ((1 << 20) - 1))
-            at = at[~over]
+            at = (begin + (best & ((1 << 20) - 1)))[~over]
             symbol[at] = self.made[rank[at]]
             stays[at + 1] = False
             # the pair after the merged one belongs to the merged symbol now

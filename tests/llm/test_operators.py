@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -12,7 +13,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from prepforge.llm import ann, brown, decontam, neardup, quality, repair, substring, toxicity, urllists, wordbpe
+from prepforge.llm import ann, brown, decontam, neardup, pairmerge, quality, repair, substring, toxicity, urllists, wordbpe
 
 from .texts import SCHEMA, documents, table
 
@@ -267,6 +268,44 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     assert repair.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_ids_beyond_a_megabyte_of_new_stretches():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = wordbpe.tokenizer_file("byte_bpe_50k.json")
+    library, rules = Tokenizer.from_file(path), pairmerge.PairMerges(json.loads(open(path).read())["model"])
+    for token in ("aaa", "aaaaaaa", "ababab", "eeee"):
+        for shift in range(12):
+            filler = [b"x"] * ((1 << 20) - shift)
+            tokens = [*filler, token.encode(), b"zzz"]
+            ids, n = rules.ids(np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens]))
+            end = int(n[:-1].sum())
+            assert ids[end - int(n[-2]) : end].tolist() == library.encode(token, add_special_tokens=False).ids
+
+
+def test_long_texts_and_forgotten_stretches_equal_the_library(monkeypatch):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = wordbpe.tokenizer_file("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), repair.ByteBpe(open(path).read())
+
+    def same(texts):
+        raw = [t.encode() for t in texts]
+        ids, n = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(x) + 1 for x in want]
+        assert ids.tolist() == [i for x in want for i in [*x, 0]]
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aabbee") for _ in range(rng.randrange(1, 14))) + str(i) for i in range(230_000)]
+    same([" ".join(words)])  # 3 MB of new stretches in one call
+    monkeypatch.setattr(repair, "MEMORY_WORDS", 1000)
+    for lo in range(0, 3000, 500):
+        same([" ".join(words[lo : lo + 500]), " ".join(words[:40])])
+    assert len(own.at) <= 3000
+
+
 def test_grammar_is_exact_and_smaller():
     import numpy as np
 
@@ -347,16 +386,16 @@ def _components(rows, k=5, percent=75):
         w = WORD.findall(lower(t))
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
     ids = [i for i, _ in rows]
-    least = {i: i for i in ids if i is not None}
+    least = list(ids)
     changed = True
-    links = [(ids[a], ids[b]) for a in range(len(rows)) for b in range(a) if ids[a] is not None and ids[b] is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if ids[a] is not None and ids[b] is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in links:
             m = min(least[a], least[b])
             changed |= least[a] != m or least[b] != m
             least[a] = least[b] = m
-    return sorted(((i, len(s), least.get(i), i is None or least[i] == i) for i, s in zip(ids, sets, strict=True)), key=str)
+    return sorted(((i, len(s), m, i is None or m == i) for i, s, m in zip(ids, sets, least, strict=True)), key=str)
 
 
 def test_near_duplicates(spark, docs, empty):
@@ -494,6 +533,18 @@ def test_several_texts_under_one_id(spark):
     assert got == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True), (None, None, True)], key=str)
 
 
+def test_links_of_several_texts_under_one_id(spark):
+    def near(x):
+        w = [f"{x}{i}" for i in range(60)]
+        return " ".join(w), " ".join([*w[:-1], f"{x}changed"])
+
+    (a, a2), (b, b2), (c, c2) = near("a"), near("b"), near("c")
+    rows = [(3, a), (5, a2), (5, b), (7, b2), (5, c), (9, c2), (8, c2), (5, "one more")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(table(spark, rows)).collect()), key=str)
+    assert got == _components(rows)
+    assert sorted((i, c) for i, _, c, _ in got) == [(3, 3), (5, 3), (5, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 5)]
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90), (100, 95)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(links).collect()}
@@ -594,15 +645,16 @@ def _pipeline_left(rows, benchmark):
 
 
 def _verdicts(rows):
-    """Whether each row stays: rows of one id and one set of shingles share a fate."""
+    """Whether each row stays: a row is judged by its own text, against every row."""
     known = [r for r in rows if r[0] is not None]
-    least = {}
-    for r in _components(known):
-        least.setdefault(r[0], []).append(r)
-    verdict = {}
-    for i, t in known:
-        verdict[(i, t)] = all(x[3] for x in least[i])
-    return [i is None or verdict[(i, t)] for i, t in rows]
+    w = {t: WORD.findall(lower(t)) for _, t in known}
+    sets = {t: {tuple(x[i : i + 5]) for i in range(max(len(x) - 4, 1))} if x else set() for t, x in w.items()}
+    least = {t: min(i for i, u in known if u == t) for t in sets}
+    near = [(t, u) for t in sets for u in sets if t is not u and sets[t] and sets[u] and 100 * len(sets[t] & sets[u]) >= 75 * len(sets[t] | sets[u])]
+    for _ in sets:
+        for t, u in near:
+            least[t] = min(least[t], least[u])
+    return [i is None or not sets[t] or least[t] == i for i, t in rows]
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
