@@ -359,4 +359,49 @@ def op13_conversation_repair(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_conversation_repair": op13_conversation_repair}
-ORACLE = {"op13_conversation_repair": None}
+
+#: crc32 of a text's bytes in DuckDB SQL, with a table of 256 steps made by rule (column t of relation crc_steps).
+CRC_STEPS = "select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t"
+
+
+def crc_sql(text: str) -> str:
+    byte = f"list_transform(range(0, strlen({text})::bigint), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+#: A state is its cost in nine digits and its audit, so that the least text is the best.
+_THEN = "lpad((left({0}, 9)::int + {1})::varchar, 9, '0') || substr({0}, 10) || {2}"
+
+
+def _then(state: str, cost: str, letter: str) -> str:
+    return _THEN.format(state, cost, letter)
+
+
+_RELAXED_U = f"least(u, {_then('e', '3', repr('I'))}, {_then('s', '3', repr('I'))}, {_then('a', '3', repr('I'))})"
+_TURN_U = [_then(q, "case when code = 'u' then 0 else 3 end + trunc", "case when code = 'u' then 'K' else 'R' end") for q in ("e", "s", "a2")]
+_TURN_A = _then("u2", "case when code = 'a' then 0 else 3 end + trunc", "case when code = 'a' then 'K' else 'R' end")
+ORACLE = {
+    "op13_conversation_repair": rf"""
+with recursive crc_steps as ({CRC_STEPS}),
+src as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+x as (select conv_id, turn, role, text, {crc_sql("k")} % 20 as x from src, crc_steps),
+d as (select conv_id, turn, case when x = 4 then 'user' else role end as role, case x when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when x = 3 then 2 else 1 end)) as copy from x where x <> 0),
+r as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from d),
+g as (select *, not regexp_matches(text, '[^ 	-]') as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again, regexp_matches(text, '[^ 	-.!?][ 	-]*$') as cut, left(role, 1) as code, lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from r),
+f as (select *, blank or again as must, case when cut and not blank and not again then 3 else 0 end as trunc from g),
+n as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (again and not blank) as duplicate, count(*) filter (trunc > 0) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from f group by conv_id),
+dp as (
+  select conv_id, 0::bigint as i, '000000000' as e, null::varchar as s, null::varchar as u, null::varchar as a from n
+  union all
+  select conv_id, i, {_then("e", "4", "'D'")}, least({_then("s", "4", "'D'")}, case when code = 's' and not must then {_then("e", "trunc", "'K'")} end),
+    least({_then("u2", "4", "'D'")}, case when not must then least({", ".join(_TURN_U)}) end), least({_then("a2", "4", "'D'")}, case when not must then {_TURN_A} end)
+  from (select *, least(a, {_then("u2", "3", "'I'")}) as a2 from (select dp.conv_id, f.i, e, s, u, a, code, must, trunc, {_RELAXED_U} as u2 from dp join f on f.conv_id is not distinct from dp.conv_id and f.i = dp.i + 1))),
+best as (select dp.conv_id, least(e, a, {_then("u", "3", "'I'")}, {_then("s", "6", "'II'")}) as b from dp join n on n.conv_id is not distinct from dp.conv_id and dp.i = n.n),
+l as (select conv_id, substr(b, 10) as audit, unnest(string_split(substr(b, 10), '')) as letter, unnest(range(1, length(b) - 8)) as p from best),
+o as (select *, count(*) filter (letter <> 'I') over w as i, count(*) filter (letter <> 'D') over w as o from l window w as (partition by conv_id order by p)),
+q as (select o.conv_id, o.o, letter, role, coalesce(text, '') as text, max(case when o.o = 1 and letter = 'K' and code = 's' then 1 else 0 end) over (partition by o.conv_id) as shift from o left join f on f.conv_id is not distinct from o.conv_id and f.i = o.i and letter <> 'I' where letter <> 'D'),
+t as (select conv_id, string_agg(case when letter = 'K' then role when (o - shift) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by o) as repaired from q group by conv_id)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(left(b, 9)::bigint, 0) as cost, coalesce(substr(b, 10), '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id left join best on best.conv_id is not distinct from c.conv_id left join t on t.conv_id is not distinct from c.conv_id""",
+}
