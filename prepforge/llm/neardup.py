@@ -79,7 +79,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return g[first], rows[first]
 
 
-def _set_hashes(g: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def set_hashes(g: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Two hashes of each set of g, as rows."""
     return np.stack([np.add.reduceat(mix(g ^ U64(0xA5A5 + i)), begin).view(np.int64) for i in (0, 1)])
 
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, keep: tuple[str, ..
                 if len(has):
                     for i, a in enumerate(factors):
                         sig[:, i] = (np.minimum.reduceat(g * a, begin) >> U64(32)).astype(np.uint32)
-                    keys[:, has] = _set_hashes(g, begin)
+                    keys[:, has] = set_hashes(g, begin)
                 none = n == 0
                 roots = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(none, 0, TREES))], pa.int32()), pa.array(sig[:, :TREES].ravel().view(np.int32)))
                 sketch = np.full(hi - lo, None, object)
@@ -200,7 +200,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, key: str, text:
             for lo, hi in parts(off, 1 << 20):
                 g, rows = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 edges = np.searchsorted(rows, np.arange(hi - lo + 1))
-                own = [i for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a and _set_hashes(g[a:b], np.zeros(1, np.int64))[0][0] == asked[lo + i]]
+                own = [i for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a and set_hashes(g[a:b], np.zeros(1, np.int64))[0][0] == asked[lo + i]]
                 grams = pa.array([low_bytes(g[edges[i] : edges[i + 1]] >> U64(16), 6) for i in own], pa.binary())
                 yield pa.RecordBatch.from_pydict({"node": node.take(pa.array([lo + i for i in own], pa.int64())), "grams": grams})
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, brown, conversations, decontam, importance, neardup, quality, repair, substring, toxicity, urllists, wordbpe
+from . import ann, brown, conversations, decontam, importance, metricjoin, neardup, quality, repair, substring, toxicity, urllists, wordbpe
 
-_MODULES = (ann, brown, conversations, decontam, importance, neardup, quality, repair, substring, toxicity, urllists, wordbpe)
+_MODULES = (ann, brown, conversations, decontam, importance, metricjoin, neardup, quality, repair, substring, toxicity, urllists, wordbpe)
 
 
 def queries() -> dict:
