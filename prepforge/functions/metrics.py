@@ -40,10 +40,9 @@ def auc(df: DataFrame, y: str, p: str) -> DataFrame:
 def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
     """One row: sum of recall steps times precision over distinct scores, from the highest."""
     by = df.groupBy((-F.col(p)).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("tp"), F.count("*").alias("n"))
-    all_n = _running(by, "s", "n").select("s", "n", (F.col("before") + F.col("n")).alias("cum_n"))
-    all_tp = _running(by, "s", "tp").select("s", "tp", (F.col("before") + F.col("tp")).alias("cum_tp"))
+    both = _running(by, "s", "n", "tp").select("s", "n", "tp", (F.col("before_n") + F.col("n")).alias("cum_n"), (F.col("before_tp") + F.col("tp")).alias("cum_tp"))
     total = by.agg(F.sum("tp").alias("t"))
-    step = all_n.join(all_tp, "s").crossJoin(F.broadcast(total))  # one row on the right
+    step = both.crossJoin(F.broadcast(total))  # one row on the right
     return step.agg(F.round(F.sum(F.col("tp") / F.col("t") * F.col("cum_tp") / F.col("cum_n")), 9).alias("average_precision"))
 
 

@@ -2,22 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import durable
 
-#: Distinct values are summed up in ranges of one partition each; only the ranges' sums meet.
-RANGES = 64
-
-
-def _running(values: DataFrame, v: str, n: str) -> DataFrame:
-    """Rows before each distinct value: values are range-partitioned, and sums of whole ranges give each its offset."""
-    ranged = durable(values.repartitionByRange(RANGES, v).withColumn("__part", F.spark_partition_id()))
-    parts = ranged.groupBy("__part").agg(F.sum(n).alias("__s"))
-    offset = F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
-    within = F.coalesce(F.sum(n).over(Window.partitionBy("__part").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(F.broadcast(parts.select("__part", offset.alias("__o"))), "__part").select(v, n, (within + F.col("__o")).alias("before"))
+By = Sequence[str]
+
+
+def ranges(df: DataFrame) -> int:
+    """As many ranges as the session shuffles into, which is set by the size of its tables."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _running(values: DataFrame, v: str, *ns: str) -> DataFrame:
+    """Rows before each distinct value (before, or before_<n> for several counts): values are range-partitioned once, and sums of whole ranges give each its offset."""
+    ranged = durable(values.repartitionByRange(ranges(values), v).withColumn("__part", F.spark_partition_id()))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    parts = ranged.groupBy("__part").agg(*[F.sum(n).alias(n) for n in ns])
+    offsets = parts.select("__part", *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(f"__o_{n}") for n in ns])
+    inside = Window.partitionBy("__part").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    names = ["before"] if len(ns) == 1 else [f"before_{n}" for n in ns]
+    before = [(F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"__o_{n}")).alias(name) for n, name in zip(ns, names, strict=True)]
+    return ranged.join(F.broadcast(offsets), "__part").select(v, *ns, *before)
+
+
+def exact_percentiles(df: DataFrame, c: str, cuts: Mapping[str, float], by: By = ()) -> DataFrame:
+    """by and a column for each of cuts (name to share): exact percentiles with linear interpolation of the values that are not null.
+
+    Distributed selection: counted values are range-partitioned; the counts of ranges tell which range holds an order statistic, and only
+    these ranges are looked into. No task holds more than a range.
+    """
+    key = F.struct(*by) if by else F.struct(F.lit(0))  # of structs, nulls are equal in joins
+    counted = df.filter(F.col(c).isNotNull()).select(key.alias("__k"), F.col(c).cast("double").alias("__v")).groupBy("__k", "__v").agg(F.count("*").alias("__n"))
+    ranged = durable(counted.repartitionByRange(ranges(df), "__k", "__v").withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy("__k", "__part").agg(F.sum("__n").alias("__s"))
+    own, upto = Window.partitionBy("__k"), Window.partitionBy("__k").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = parts.select("__k", "__part", "__s", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__o"), F.sum("__s").over(own).alias("__all"))
+    place = lambda share: (F.col("__all") - 1) * F.lit(float(share))
+    ends = [F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), (F.floor if low else F.ceil)(place(share)).cast("long").alias("at"), place(share).alias("place")) for name, share in cuts.items() for low in (True, False)]
+    wanted = parts.withColumn("e", F.explode(F.array(*ends))).filter((F.col("e.at") >= F.col("__o")) & (F.col("e.at") < F.col("__o") + F.col("__s"))).select("__k", "__part", "__o", "e.*")
+    wanted = durable(wanted)
+    keys = ["__k", "__part"]
+    some = wanted.select(*keys).distinct()
+    held = ranged.join(some if by else F.broadcast(some), keys, "left_semi")
+    inside = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("__w", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    hit = held.join(wanted, keys).filter((F.col("at") >= F.col("__o") + F.col("__w")) & (F.col("at") < F.col("__o") + F.col("__w") + F.col("__n")))
+    value = lambda name, low: F.max(F.when((F.col("name") == name) & (F.col("low") == low), F.col("__v")))
+    share = lambda name: F.max(F.when(F.col("name") == name, F.col("place") - F.floor("place")))
+    between = lambda lo, hi, w: F.when(lo == hi, lo).otherwise(lo * (1 - w) + hi * w)
+    found = [between(value(n, True), value(n, False), share(n)).alias(n) for n in cuts]
+    return hit.groupBy("__k").agg(*found).select("__k.*", *cuts) if by else hit.agg(*found)
 
 
 def average_ranks(df: DataFrame, c: str) -> DataFrame:
@@ -51,8 +91,8 @@ def cumulative_share(gains: DataFrame, share: float = 0.8) -> DataFrame:
 def quantile_bins(df: DataFrame, c: str, q: int, out: str = "bin") -> DataFrame:
     """Right-closed quantile bins from 0; equal edges count once; null stays null."""
     shares = [i / q for i in range(q + 1)]
-    edges = df.agg(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, shares))).alias("p")).first().p
-    edges = sorted(set(edges)) if edges else []
+    found = exact_percentiles(df, c, {f"e{i}": x for i, x in enumerate(shares)}).first()
+    edges = sorted({e for e in found if e is not None})
     inner = edges[1:-1]
     x = F.col(c).cast("double")
     place = sum((F.when(x > e, 1).otherwise(0) for e in inner), F.lit(0))
@@ -72,26 +112,50 @@ def encode_category(df: DataFrame, codes: DataFrame, c: str, out: str) -> DataFr
     return df.join(small(codes.select(F.col("value").alias(c), F.col("code").alias(out))), c, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
 
-def spaced_top(cells: DataFrame, value: str, k: int, apart: float) -> DataFrame:
-    """Greedy top-k of (row, col, value): each more than apart cells from those before; ties to the smaller row, then column. At most k jobs."""
-    left, picked = cells.filter(F.col(value).isNotNull()), []
-    for _ in range(k):
-        top = left.orderBy(F.desc(value), "row", "col").limit(1).collect()
-        if not top:
-            break
-        picked.append((len(picked) + 1, top[0].row, top[0].col, float(top[0][value])))
-        left = left.filter(F.hypot(F.col("row") - top[0].row, F.col("col") - top[0].col) > apart)
-    return cells.sparkSession.createDataFrame(picked, f"pick int, row int, col int, {value} double")
-
+def spaced_top(cells: DataFrame, value: str, k: int, apart: float, by: By = ()) -> DataFrame:
+    """Greedy top-k of each grid's (row, col, value): each more than apart cells from those before; ties to the smaller row, then column.
+
+    A cell that is better than the k-th pick is a pick or lies within apart of one, so the picks are among the best (k - 1) discs of cells
+    and one more, a number that the parameters give. One range partition finds these; each grid's are merged greedily in one task.
+    """
+    reach = int(apart)
+    disc = sum(1 for r in range(-reach, reach + 1) for c in range(-reach, reach + 1) if np.hypot(r, c) <= apart)
+    most = (k - 1) * disc + 1
+    own = cells.filter(F.col(value).isNotNull()).select(*by, "row", "col", F.col(value).cast("double").alias(value))
+    order = [F.desc(value), "row", "col"]
+    ranged = durable(own.repartitionByRange(ranges(cells), *by, *order).withColumn("__part", F.spark_partition_id()))
+    upto = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    parts = ranged.groupBy(*by, "__part").agg(F.count("*").alias("__s")).withColumn("__o", F.coalesce(F.sum("__s").over(upto), F.lit(0))).filter(F.col("__o") < most)
+    best = ranged.join(parts, [*by, "__part"]).withColumn("__i", F.col("__o") + F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))).filter(F.col("__i") <= most)
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__i")
+        row, col, left, picks = pdf["row"].to_numpy(), pdf["col"].to_numpy(), np.ones(len(pdf), bool), []
+        while left.any() and len(picks) < k:
+            i = int(np.argmax(left))
+            picks.append(i)
+            left &= np.hypot(row - row[i], col - col[i]) > apart
+        out = pdf.iloc[picks][[*by, "row", "col", value]].copy()
+        out["pick"] = np.arange(1, len(picks) + 1)
+        return out
+
+    kinds = dict(own.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + f"row int, col int, `{value}` double, pick int"
+    found = best.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), value, "__i").groupBy(*by).applyInPandas(greedy, schema)
+    return found.select(*by, "pick", "row", "col", value)
+
+
+def lowest_border(cells: DataFrame, value: str = "value", by: By = ()) -> DataFrame:
+    """The lowest cell of each grid's border (row, col from 0): top, bottom, left, right, in this order among equals."""
+    from .joins import small
 
-def lowest_border(cells: DataFrame, value: str = "value") -> DataFrame:
-    """The lowest cell of the border (row, col from 0): top, bottom, left, right, in this order among equals."""
-    size = cells.agg(F.max("row").alias("h"), F.max("col").alias("w"))
-    c = cells.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(size))  # one row on the right
+    size = cells.groupBy(*by).agg(F.max("row").alias("h"), F.max("col").alias("w"))
+    full = cells.filter(F.col(value).isNotNull())
+    c = full.join(small(size), list(by)) if by else full.crossJoin(F.broadcast(size))  # one row for each grid
     side = F.when(F.col("row") == 0, 0).when(F.col("row") == F.col("h"), 1).when(F.col("col") == 0, 2).when(F.col("col") == F.col("w"), 3)
     at = F.when(side < 2, F.col("col")).otherwise(F.col("row"))
     edge = c.withColumn("side", side).filter("side is not null").withColumn("at", at)
-    return edge.agg(F.min_by(F.struct("row", "col", F.col(value).alias("z")), F.struct(F.col(value), "side", "at")).alias("m")).select("m.*")
+    return edge.groupBy(*by).agg(F.min_by(F.struct("row", "col", F.col(value).alias("z")), F.struct(F.col(value), "side", "at")).alias("m")).select(*by, "m.*")
 
 
 def exact_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,6 @@ from .durable import durable
 NEIGHBOURS = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 
 
-def is_lonlat(points: DataFrame) -> DataFrame:
-    return points.agg((F.coalesce(F.max(F.abs("x")) <= 180, F.lit(False)) & F.coalesce(F.max(F.abs("y")) <= 90, F.lit(False))).alias("lonlat"))
-
-
 def utm_zone(lon: str | Column, lat: str | Column) -> tuple[Column, Column]:
     """Zone and EPSG code (326zz north, 327zz south)."""
     lon, lat = (F.col(c) if isinstance(c, str) else c for c in (lon, lat))
@@ -40,18 +37,24 @@ def to_utm(points: DataFrame, zone: int, north: bool = True, lon: str = "x", lat
     return points.withColumns({lon: 500000.0 + k0 * radius * east, lat: (0.0 if north else 10_000_000.0) + k0 * radius * north_})
 
 
-def grid_meta(points: DataFrame, res: float) -> DataFrame:
-    """One row: x_min, y_max, res, nrows, ncols."""
-    box = points.agg(F.min("x").cast("double").alias("x_min"), F.max("y").cast("double").alias("y_max"), F.max("x").cast("double").alias("x_max"), F.min("y").cast("double").alias("y_min"))
+def grid_meta(points: DataFrame, res: float, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each of by: x_min, y_max, res, nrows, ncols."""
+    box = points.groupBy(*by).agg(F.min("x").cast("double").alias("x_min"), F.max("y").cast("double").alias("y_max"), F.max("x").cast("double").alias("x_max"), F.min("y").cast("double").alias("y_min"))
     cells = lambda a, b: F.ceil((F.col(a) - F.col(b)) / res).cast("int")
-    return box.select("x_min", "y_max", F.lit(float(res)).alias("res"), cells("y_max", "y_min").alias("nrows"), cells("x_max", "x_min").alias("ncols"))
+    return box.select(*by, "x_min", "y_max", F.lit(float(res)).alias("res"), cells("y_max", "y_min").alias("nrows"), cells("x_max", "x_min").alias("ncols"))
+
+
+def _with_meta(df: DataFrame, meta: DataFrame, by: Sequence[str]) -> DataFrame:
+    from .joins import small
+
+    return df.join(small(meta), list(by)) if by else df.crossJoin(F.broadcast(meta))  # one row for each grid
 
 
-def cell_index(points: DataFrame, meta: DataFrame) -> DataFrame:
-    """row and col of each point; points outside the grid, which the far edges are, are dropped."""
-    p = points.crossJoin(F.broadcast(meta))  # one row on the right
+def cell_index(points: DataFrame, meta: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """row and col of each point in its grid; points outside the grid, which the far edges are, are dropped."""
+    p = _with_meta(points, meta, by)
     p = p.withColumns({"row": F.floor((F.col("y_max") - F.col("y")) / F.col("res")).cast("int"), "col": F.floor((F.col("x") - F.col("x_min")) / F.col("res")).cast("int")})
-    return p.filter("row >= 0 and row < nrows and col >= 0 and col < ncols").drop(*meta.columns)
+    return p.filter("row >= 0 and row < nrows and col >= 0 and col < ncols").drop(*[c for c in meta.columns if c not in by])
 
 
 def cell_centre(cells: DataFrame, meta: DataFrame) -> DataFrame:
@@ -67,39 +70,41 @@ def scaled_colours(points: DataFrame, *bands: str) -> DataFrame:
     return points.crossJoin(F.broadcast(top)).withColumns({b: F.col(b) / scale for b in bands}).drop("__top")  # one row on the right
 
 
-def neighbours(cells: DataFrame, value: str = "value") -> DataFrame:
+def neighbours(cells: DataFrame, value: str = "value", by: Sequence[str] = ()) -> DataFrame:
     """row, col, its value, and for each existing neighbour d (flow code), n_row, n_col, n_value, dist."""
     steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for d, (dr, dc) in enumerate(NEIGHBOURS)])
-    a = cells.select("row", "col", value, F.explode(steps).alias("s")).select("row", "col", value, "s.d", (F.col("row") + F.col("s.dr")).alias("n_row"), (F.col("col") + F.col("s.dc")).alias("n_col"), F.hypot(F.col("s.dr").cast("double"), F.col("s.dc").cast("double")).alias("dist"))
-    b = cells.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), F.col(value).alias("n_value"))
-    return a.join(b, ["n_row", "n_col"])
+    a = cells.select(*by, "row", "col", value, F.explode(steps).alias("s")).select(*by, "row", "col", value, "s.d", (F.col("row") + F.col("s.dr")).alias("n_row"), (F.col("col") + F.col("s.dc")).alias("n_col"), F.hypot(F.col("s.dr").cast("double"), F.col("s.dc").cast("double")).alias("dist"))
+    b = cells.select(*by, F.col("row").alias("n_row"), F.col("col").alias("n_col"), F.col(value).alias("n_value"))
+    return a.join(b, [*by, "n_row", "n_col"])
 
 
-def nearest_filled(empty: DataFrame, filled: DataFrame, k: int, value: str = "value", bucket: int = 8) -> DataFrame:
+def nearest_filled(empty: DataFrame, filled: DataFrame, k: int, value: str = "value", bucket: int = 8, by: Sequence[str] = ()) -> DataFrame:
     """The k nearest filled cells (row, col, n_value, d2, place) of each empty cell, ties to the smaller row, then column.
 
     Cells join by square buckets in rings that grow twofold; a cell is done when its k-th distance lies within the ring, so that far
     cells alone look far.
     """
-    f = filled.select(F.col("row").alias("fr"), F.col("col").alias("fc"), F.col(value).alias("n_value"), F.floor(F.col("row") / bucket).alias("br"), F.floor(F.col("col") / bucket).alias("bc"))
+    f = filled.select(*by, F.col("row").alias("fr"), F.col("col").alias("fc"), F.col(value).alias("n_value"), F.floor(F.col("row") / bucket).alias("br"), F.floor(F.col("col") / bucket).alias("bc"))
     size = filled.agg(F.max(F.greatest("row", "col")).alias("m"), F.count("*").alias("n")).first()
     far = empty.agg(F.max(F.greatest("row", "col")).alias("m")).first().m
+    kinds = dict(empty.dtypes)
     if not size.n or far is None:
-        return empty.sparkSession.createDataFrame([], "row int, col int, n_value double, d2 double, place int")
-    left, done, ring = empty.select("row", "col"), None, 1
+        return empty.sparkSession.createDataFrame([], "".join(f"`{c}` {kinds[c]}, " for c in by) + "row int, col int, n_value double, d2 double, place int")
+    at = [*by, "row", "col"]
+    left, done, ring = empty.select(*at), None, 1
     while True:
         whole = ring * bucket > max(size.m, far)
         span = F.sequence(F.lit(-ring), F.lit(ring))
         looked = left.withColumn("dr", F.explode(span)).withColumn("dc", F.explode(span))
         looked = looked.withColumns({"br": F.floor(F.col("row") / bucket) + F.col("dr"), "bc": F.floor(F.col("col") / bucket) + F.col("dc")})
         d2 = (F.col("row") - F.col("fr")) ** 2 + (F.col("col") - F.col("fc")) ** 2
-        near = looked.join(f, ["br", "bc"]).withColumn("d2", d2)
-        best = near.groupBy("row", "col").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "fr", "fc", "n_value"))), 1, k).alias("b"))
+        near = looked.join(f, [*by, "br", "bc"]).withColumn("d2", d2)
+        best = near.groupBy(*at).agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "fr", "fc", "n_value"))), 1, k).alias("b"))
         ok = F.lit(True) if whole else (F.size("b") == k) & (F.col("b")[k - 1]["d2"] <= float(ring * bucket) ** 2)
         best = durable(best.withColumn("ok", F.coalesce(ok, F.lit(False))))
-        got = best.filter("ok").select("row", "col", "b")
+        got = best.filter("ok").select(*at, "b")
         done = got if done is None else done.unionByName(got)
-        left = durable(left.join(got, ["row", "col"], "left_anti"))
+        left = durable(left.join(got, at, "left_anti"))
         if whole or left.isEmpty():
-            return done.select("row", "col", F.posexplode("b").alias("place", "e")).select("row", "col", "e.n_value", F.col("e.d2").alias("d2"), F.col("place"))
+            return done.select(*at, F.posexplode("b").alias("place", "e")).select(*at, "e.n_value", F.col("e.d2").alias("d2"), F.col("place"))
         ring *= 2

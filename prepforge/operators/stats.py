@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import exact_percentiles
+
 
 def slot_counts(events: DataFrame, key: str, slot: str = "slot") -> DataFrame:
     """Events by key and slot; rows without slot are left out."""
@@ -62,9 +64,13 @@ def nulls_left(df: DataFrame) -> DataFrame:
 
 def summary(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
     """min, median, max, mean and population deviation."""
-    x = F.col(c).cast("double")
-    aggs = [F.min(x).alias("min"), F.round(F.median(x), 6).alias("median"), F.max(x).alias("max"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std")]
-    return df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
+    x, keys = F.col(c).cast("double"), [by] if by else []
+    plain = df.groupBy(*keys).agg(F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"))
+    median = exact_percentiles(df, c, {"median": 0.5}, keys).withColumn("median", F.round("median", 6))
+    if not by:
+        return plain.crossJoin(median).select("min", "median", "max", "mean", "std")  # one row each
+    both = plain.join(median.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left")
+    return both.select(by, "min", "median", "max", "mean", "std")
 
 
 def fold_summary(scores: DataFrame, by: str, score: str) -> DataFrame:
@@ -121,8 +127,8 @@ def histogram(df: DataFrame, c: str, bins: int) -> DataFrame:
 
 def percentiles(df: DataFrame, c: str, shares: Sequence[float], where: Column | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation, of the rows for which the condition holds."""
-    x = F.col(c).cast("double") if where is None else F.when(where, F.col(c).cast("double"))
-    return df.agg(F.percentile(x, F.array(*map(F.lit, shares))).alias("p")).select(*[F.round(F.col("p")[i], 6).alias(f"p{round(s * 100):02d}") for i, s in enumerate(shares)])
+    names = {f"p{round(s * 100):02d}": s for s in shares}
+    return exact_percentiles(df if where is None else df.filter(where), c, names).select(*[F.round(n, 6).alias(n) for n in names])
 
 
 def shares_above(df: DataFrame, c: str, limits: Sequence[float]) -> DataFrame:
@@ -136,8 +142,3 @@ def compare(df: DataFrame, a: str, b: str) -> DataFrame:
         F.round(F.avg(y) - F.avg(x), 6).alias("d_mean"), F.round(F.stddev_samp(y) - F.stddev_samp(x), 6).alias("d_std"), F.min(x).alias("min_a"), F.max(x).alias("max_a"),
         F.min(y).alias("min_b"), F.max(y).alias("max_b"), F.round(F.corr(x, y), 6).alias("corr"),
     )
-
-
-def improvement(before: float, after: float) -> dict[str, float]:
-    """Factor and percentage of two counts."""
-    return {"factor": after / before if before else 0.0, "pct": (after - before) / before * 100 if before else 0.0}

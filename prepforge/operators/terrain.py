@@ -1,37 +1,49 @@
 """Grids as cell tables (row, col, value): rasterising, filling, smoothing, hydrology, hot spots, routes.
 
-Local operators are aggregations over shifted copies of the cells. The fix-points (depressions, accumulation, least cost) are solved tile
-by tile: a round gives every tile its cells and a rim of neighbours' latest values, numpy settles the tile, and rounds go on until no cell
-changes. Rounds follow the number of tiles that a path crosses, not its cells; what is kept between rounds lies in the checkpoint folder.
+Local operators are aggregations over shifted copies of the cells; depressions, accumulation and least cost are in `rims`.
+
+A table may hold the grids of many villages. `by` names the columns that tell them apart; all groupings have them. Where an operator needs
+the number of rows and columns, it takes them as numbers, or as the names of columns of by that hold them for each village.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import durable
-from .ranks import lowest_border, spaced_top
+from .joins import small
+from .ranks import exact_percentiles, lowest_border, spaced_top
+from .rims import COST_TILE, TILE, Tile, fill_depressions, flow_accumulation, least_cost, tiled  # noqa: F401
 from .spatial import NEIGHBOURS, cell_index, grid_meta, nearest_filled, neighbours
 
-TILE, MAX_ROUNDS = 128, 10_000
+By = Sequence[str]
+
+
+def _number(n: int | str) -> Column:
+    return F.col(n) if isinstance(n, str) else F.lit(n)
+
 
+def per_grid(cells: DataFrame, summary: DataFrame, by: By) -> DataFrame:
+    """cells with the columns of summary, one row for each grid."""
+    return cells.join(small(summary), list(by)) if by else cells.crossJoin(F.broadcast(summary))
 
-def rasterise(indexed: DataFrame, stat: str = "mean") -> DataFrame:
+
+def rasterise(indexed: DataFrame, stat: str = "mean", by: By = ()) -> DataFrame:
     """row, col, value from (row, col, z): mean, min, median, p05 or p10 (exact, interpolated)."""
-    return rasterise_all(indexed, stat).withColumnRenamed(stat, "value")
+    return rasterise_all(indexed, stat, by=by).withColumnRenamed(stat, "value")
 
 
-def rasterise_all(indexed: DataFrame, *stats: str) -> DataFrame:
+def rasterise_all(indexed: DataFrame, *stats: str, by: By = ()) -> DataFrame:
     """row, col and a column for each of stats, in one pass."""
     z = F.col("z").cast("double")
     values = {"mean": F.avg(z), "min": F.min(z), "median": F.median(z), "p05": F.percentile(z, 0.05), "p10": F.percentile(z, 0.10)}
-    return indexed.groupBy("row", "col").agg(*[values[s].alias(s) for s in stats])
+    return indexed.groupBy(*by, "row", "col").agg(*[values[s].alias(s) for s in stats])
 
 
 def ground_labels(indexed: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -47,46 +59,53 @@ def full_grid(spark, nrows: int, ncols: int) -> DataFrame:
     return spark.range(nrows * ncols).select(F.floor(F.col("id") / ncols).cast("int").alias("row"), F.pmod("id", F.lit(ncols)).cast("int").alias("col"))
 
 
-def fill_gaps(cells: DataFrame, nrows: int, ncols: int, method: str = "idw", k: int = 8, power: float = 2.0) -> DataFrame:
+def all_cells(grids: DataFrame, nrows: int | str, ncols: int | str, by: By = ()) -> DataFrame:
+    """Every cell of each grid (by, and one row for each): rows first, dealt out, then columns."""
+    rows = grids.select(*by, F.explode(F.sequence(F.lit(0), _number(nrows) - 1)).alias("row"))
+    return rows.repartition(*by, "row").withColumn("col", F.explode(F.sequence(F.lit(0), _number(ncols) - 1))).select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+
+
+def fill_gaps(cells: DataFrame, nrows: int | str, ncols: int | str, method: str = "idw", k: int = 8, power: float = 2.0, by: By = ()) -> DataFrame:
     """Every cell of the grid; empty ones get the nearest filled value, or the inverse-distance mean of the k nearest."""
-    filled = cells.filter(F.col("value").isNotNull()).select("row", "col", "value")
-    empty = full_grid(cells.sparkSession, nrows, ncols).join(filled, ["row", "col"], "left_anti")
-    near = nearest_filled(empty, filled, 1 if method == "nearest" else k)
+    filled = cells.filter(F.col("value").isNotNull()).select(*by, "row", "col", "value")
+    every = all_cells(cells.select(*by).distinct(), nrows, ncols, by) if by else full_grid(cells.sparkSession, nrows, ncols)
+    empty = every.join(filled, [*by, "row", "col"], "left_anti")
+    near = nearest_filled(empty, filled, 1 if method == "nearest" else k, by=by)
     w = 1 / F.pow(F.greatest(F.sqrt("d2"), F.lit(1e-6)), F.lit(power))
-    values = near.groupBy("row", "col").agg((F.sum(w * F.col("n_value")) / F.sum(w)).alias("value"))
+    values = near.groupBy(*by, "row", "col").agg((F.sum(w * F.col("n_value")) / F.sum(w)).alias("value"))
     return filled.unionByName(values)
 
 
-def _mirrored(cells: DataFrame, axis: str, n: int, radius: int) -> DataFrame:
+def _mirrored(cells: DataFrame, axis: str, n: Column, radius: int) -> DataFrame:
     """Cells with copies beyond both ends, as if the grid were mirrored at its edges."""
-    places = F.array(F.col(axis), *([-F.col(axis) - 1, 2 * n - 1 - F.col(axis)]))
+    places = F.array(F.col(axis).cast("long"), *[x.cast("long") for x in (-F.col(axis) - 1, 2 * n - 1 - F.col(axis))])
     at = F.filter(places, lambda p: (p >= -radius) & (p < n + radius))
     return cells.withColumn("__at", F.explode(F.array_distinct(at)))
 
 
-def convolve(cells: DataFrame, nrows: int, ncols: int, axis: str, weights: dict[int, float], value: str = "value", out: str = "value") -> DataFrame:
+def convolve(cells: DataFrame, nrows: int | str, ncols: int | str, axis: str, weights: dict[int, float], value: str = "value", out: str = "value", by: By = ()) -> DataFrame:
     """Weighted sum over offsets along an axis, mirrored at the edges: each cell sends its value to the cells that it counts for."""
-    n, radius = (nrows if axis == "row" else ncols), max(map(abs, weights))
+    n, radius = _number(nrows if axis == "row" else ncols), max(map(abs, weights))
     other = "col" if axis == "row" else "row"
     offsets = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in weights.items()])
-    sent = _mirrored(cells.select("row", "col", F.col(value).alias("v")), axis, n, radius).withColumn("s", F.explode(offsets))
+    sent = _mirrored(cells.select(*by, "row", "col", F.col(value).alias("v")), axis, n, radius).withColumn("s", F.explode(offsets))
     target = sent.withColumn("t", (F.col("__at") - F.col("s.o")).cast("int")).filter((F.col("t") >= 0) & (F.col("t") < n))
-    return target.groupBy(F.col("t").alias(axis), other).agg(F.sum(F.col("v") * F.col("s.w")).alias(out)).select("row", "col", out)
+    return target.groupBy(*by, F.col("t").alias(axis), other).agg(F.sum(F.col("v") * F.col("s.w")).alias(out)).select(*by, "row", "col", out)
 
 
-def gaussian(cells: DataFrame, nrows: int, ncols: int, sigma: float, value: str = "value") -> DataFrame:
+def gaussian(cells: DataFrame, nrows: int | str, ncols: int | str, sigma: float, value: str = "value", by: By = ()) -> DataFrame:
     r = int(4 * sigma + 0.5)
     w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
     weights = {i - r: x / sum(w) for i, x in enumerate(w)}
-    return convolve(convolve(cells, nrows, ncols, "row", weights, value), nrows, ncols, "col", weights)
+    return convolve(convolve(cells, nrows, ncols, "row", weights, value, by=by), nrows, ncols, "col", weights, by=by)
 
 
-def slope(cells: DataFrame, nrows: int, ncols: int, cell: float, floor: float = 0.0) -> DataFrame:
+def slope(cells: DataFrame, nrows: int | str, ncols: int | str, cell: float, floor: float = 0.0, by: By = ()) -> DataFrame:
     """Sobel gradient over 8 cells, its magnitude, at least floor."""
     smooth, diff = {-1: 1.0, 0: 2.0, 1: 1.0}, {-1: -1.0, 1: 1.0}
-    dx = convolve(convolve(cells, nrows, ncols, "row", smooth), nrows, ncols, "col", diff, out="dx")
-    dy = convolve(convolve(cells, nrows, ncols, "col", smooth), nrows, ncols, "row", diff, out="dy")
-    return dx.join(dy, ["row", "col"]).select("row", "col", F.greatest(F.hypot(F.col("dx") / (8 * cell), F.col("dy") / (8 * cell)), F.lit(floor)).alias("slope"))
+    dx = convolve(convolve(cells, nrows, ncols, "row", smooth, by=by), nrows, ncols, "col", diff, out="dx", by=by)
+    dy = convolve(convolve(cells, nrows, ncols, "col", smooth, by=by), nrows, ncols, "row", diff, out="dy", by=by)
+    return dx.join(dy, [*by, "row", "col"]).select(*by, "row", "col", F.greatest(F.hypot(F.col("dx") / (8 * cell), F.col("dy") / (8 * cell)), F.lit(floor)).alias("slope"))
 
 
 def roughness(cells: DataFrame, nrows: int, ncols: int) -> DataFrame:
@@ -114,234 +133,111 @@ def leakage_share(median: DataFrame, low: DataFrame, limit: float = 2.0) -> Data
     return difference(median, low).agg(F.round(100 * F.avg((F.col("value") > limit).cast("int")), 6).alias("leak_pct"))
 
 
-def flow_direction(cells: DataFrame) -> DataFrame:
+def flow_direction(cells: DataFrame, by: By = ()) -> DataFrame:
     """row, col, value, d: the steepest of eight neighbours, the first in code order among equals; border and empty cells keep 0."""
-    size = cells.agg(F.max("row").alias("h"), F.max("col").alias("w"))
-    near = neighbours(cells).filter("value is not null and n_value is not null")
-    best = near.groupBy("row", "col").agg(F.max_by("d", F.struct(((F.col("value") - F.col("n_value")) / F.col("dist")).alias("s"), -F.col("d"))).alias("b"))
+    size = cells.groupBy(*by).agg(F.max("row").alias("h"), F.max("col").alias("w"))
+    near = neighbours(cells, by=by).filter("value is not null and n_value is not null")
+    best = near.groupBy(*by, "row", "col").agg(F.max_by("d", F.struct(((F.col("value") - F.col("n_value")) / F.col("dist")).alias("s"), -F.col("d"))).alias("b"))
     inner = (F.col("row") > 0) & (F.col("col") > 0) & (F.col("row") < F.col("h")) & (F.col("col") < F.col("w"))
-    all_of = cells.select("row", "col", "value").join(best, ["row", "col"], "left").crossJoin(F.broadcast(size))  # one row on the right
-    return all_of.select("row", "col", "value", F.when(inner & F.col("value").isNotNull(), F.coalesce("b", F.lit(0))).otherwise(0).cast("int").alias("d"))
-
-
-class _Tile:
-    """A tile's arrays with a rim of one cell."""
-
-    def __init__(self, pdf: pd.DataFrame, names: list[str], tile: int, fill: dict[str, float]):
-        self.r0, self.c0 = int(pdf["tr"].iloc[0]) * tile - 1, int(pdf["tc"].iloc[0]) * tile - 1
-        self.row, self.col = pdf["row"].to_numpy() - self.r0, pdf["col"].to_numpy() - self.c0
-        self.shape = (tile + 2, tile + 2)
-        self.a = {}
-        for n in names:
-            x = np.full(self.shape, fill.get(n, np.nan))
-            x[self.row, self.col] = pdf[n].to_numpy(dtype=float, na_value=np.nan)
-            self.a[n] = x
-        self.own = (self.row > 0) & (self.col > 0) & (self.row <= tile) & (self.col <= tile)
-
-    def rows(self, new: np.ndarray, state: str, old: np.ndarray) -> pd.DataFrame:
-        r, c = self.row[self.own], self.col[self.own]
-        x, y = new[r, c], old[r, c]
-        return pd.DataFrame({"row": (r + self.r0).astype(np.int32), "col": (c + self.c0).astype(np.int32), state: x, "changed": ~((x == y) | (np.isnan(x) & np.isnan(y)))})
-
-
-def _shift(a: np.ndarray, dr: int, dc: int, fill: float) -> np.ndarray:
-    """Value of the neighbour at (dr, dc) of each cell."""
-    out = np.full(a.shape, fill)
-    h, w = a.shape
-    out[max(0, -dr) : h - max(0, dr), max(0, -dc) : w - max(0, dc)] = a[max(0, dr) : h + min(0, dr), max(0, dc) : w + min(0, dc)]
-    return out
-
-
-def _with_rims(cells: DataFrame, tile: int) -> DataFrame:
-    """Cells in their own tile (tr, tc) and in each tile whose rim they lie on."""
-    near = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + o) / tile).cast("int") for o in (-1, 0, 1)]))
-    return cells.withColumn("tr", F.explode(near("row"))).withColumn("tc", F.explode(near("col")))
-
-
-def _settle(static: DataFrame, state: DataFrame, name: str, solve: Callable[[_Tile], np.ndarray], names: list[str], fill: dict[str, float], tile: int) -> DataFrame:
-    """Rounds over all tiles until no cell's state changes."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = _Tile(pdf, [*names, name], tile, fill)
-        return t.rows(solve(t), name, t.a[name])
-
-    for _ in range(MAX_ROUNDS):
-        whole = _with_rims(static.join(state, ["row", "col"]), tile)
-        new = durable(whole.groupBy("tr", "tc").applyInPandas(one, f"row int, col int, {name} double, changed boolean"))
-        if new.filter("changed").isEmpty():
-            return new.select("row", "col", name)
-        state = new.select("row", "col", name)
-    raise RuntimeError(f"{name} did not settle in {MAX_ROUNDS} rounds")
-
-
-def fill_depressions(cells: DataFrame, tile: int = TILE) -> DataFrame:
-    """Each cell's lowest possible highest point of a path from the border; empty cells block, cut-off cells keep their value."""
-    size = cells.agg(F.max("row").alias("h"), F.max("col").alias("w")).first()
-    border = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == size.h) | (F.col("col") == size.w)
-    z = cells.select("row", "col", F.col("value").cast("double").alias("z"))
-    start = z.select("row", "col", F.when(border, F.col("z")).otherwise(F.when(F.col("z").isNotNull(), float("inf"))).alias("w"))
-
-    def solve(t: _Tile) -> np.ndarray:
-        z, w = t.a["z"], np.where(np.isnan(t.a["w"]), np.inf, t.a["w"])
-        inside = np.zeros(t.shape, bool)
-        inside[t.row[t.own], t.col[t.own]] = True
-        free = inside & ~np.isnan(z)
-        while True:
-            low = np.min([_shift(w, dr, dc, np.inf) for dr, dc in NEIGHBOURS], axis=0)
-            new = np.where(free, np.minimum(w, np.maximum(np.where(np.isnan(z), np.inf, z), low)), w)
-            if (new == w).all():
-                return np.where(np.isnan(z), np.nan, w)
-            w = new
-
-    settled = _settle(z, start, "w", solve, ["z"], {"w": np.inf}, tile)
-    return z.join(settled, ["row", "col"]).select("row", "col", F.when(F.col("w") == float("inf"), F.col("z")).otherwise(F.col("w")).alias("value"))
-
-
-def flow_accumulation(directed: DataFrame, tile: int = TILE) -> DataFrame:
-    """row, col, acc from (row, col, value, d). Cells are visited by falling height (then falling row and column): a cell passes what it has
-    then to its target; what reaches it later stays. Empty cells send nothing."""
-    static = directed.select("row", "col", F.col("value").cast("double").alias("z"), F.col("d").cast("double").alias("d"))
-
-    def sources(t: _Tile):
-        """For each neighbour direction from a cell: whether that neighbour flows into it, and whether it is visited before."""
-        z, d = t.a["z"], t.a["d"]
-        r, c = np.indices(t.shape)
-        for code, (dr, dc) in enumerate(NEIGHBOURS):
-            # the neighbour at (-dr, -dc) flows here if its code is this one
-            zs, ds = _shift(z, -dr, -dc, np.nan), _shift(d, -dr, -dc, np.nan)
-            into = (ds == code) & ~np.isnan(zs)
-            late = np.isnan(z) | (zs < z) | ((zs == z) & ((-dr < 0) | ((dr == 0) & (-dc < 0))))
-            yield (-dr, -dc), into & ~late, into & late
-
-    def passed(t: _Tile) -> np.ndarray:
-        a = t.a["a"]
-        inside = np.zeros(t.shape, bool)
-        inside[t.row[t.own], t.col[t.own]] = True
-        early = [(o, e) for o, e, _ in sources(t)]
-        while True:
-            new = np.where(inside, 1 + sum(np.where(e, _shift(a, *o, 0.0), 0.0) for o, e in early), a)
-            if (new == a)[inside].all():
-                return new
-            a = new
-
-    settled = _settle(static, static.select("row", "col", F.lit(1.0).alias("a")), "a", passed, ["z", "d"], {"a": 0.0}, tile)
-
-    def received(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = _Tile(pdf, ["z", "d", "a"], tile, {"a": 0.0})
-        total = t.a["a"] + sum(np.where(late, _shift(t.a["a"], *o, 0.0), 0.0) for o, _, late in sources(t))
-        return t.rows(total, "acc", total)[["row", "col", "acc"]]
-
-    return _with_rims(static.join(settled, ["row", "col"]), tile).groupBy("tr", "tc").applyInPandas(received, "row int, col int, acc double")
-
-
-def wetness(acc: DataFrame, slopes: DataFrame, cell: float, sca_mode: str = "published") -> DataFrame:
+    all_of = per_grid(cells.select(*by, "row", "col", "value").join(best, [*by, "row", "col"], "left"), size, by)
+    return all_of.select(*by, "row", "col", "value", F.when(inner & F.col("value").isNotNull(), F.coalesce("b", F.lit(0))).otherwise(0).cast("int").alias("d"))
+
+
+def wetness(acc: DataFrame, slopes: DataFrame, cell: float, sca_mode: str = "published", by: By = ()) -> DataFrame:
     """ln(catchment / slope), slope at least 0.001; catchment is acc * cell (published) or acc * cell ** 2 (area)."""
     sca = F.col("acc") * (cell if sca_mode == "published" else cell**2)
     v = F.log(sca / F.greatest("slope", F.lit(0.001)))
-    return acc.join(slopes, ["row", "col"]).select("row", "col", F.coalesce(F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v), F.lit(0.0)).alias("value"))
-
-
-def hot_spots(twi: DataFrame, slopes: DataFrame, acc: DataFrame) -> DataFrame:
-    """moderate, high and critical flags, and risk 0 to 3 (the later level counts)."""
-    t = twi.withColumnRenamed("value", "twi").join(slopes, ["row", "col"]).join(acc, ["row", "col"])
-    p = lambda c, q, least: F.percentile(F.when(F.col(c) > least, F.col(c)), q)
-    cut = t.agg(p("twi", 0.9, 0).alias("t90"), p("twi", 0.95, 0).alias("t95"), p("slope", 0.25, 0).alias("s25"), p("acc", 0.9, 1).alias("f90"))
-    t = t.crossJoin(F.broadcast(cut))  # one row on the right
+    return acc.join(slopes, [*by, "row", "col"]).select(*by, "row", "col", F.coalesce(F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v), F.lit(0.0)).alias("value"))
+
+
+def hot_spots(twi: DataFrame, slopes: DataFrame, acc: DataFrame, by: By = ()) -> DataFrame:
+    """moderate, high and critical flags, and risk 0 to 3 (the later level counts); levels are those of the cell's own grid."""
+    at = [*by, "row", "col"]
+    t = durable(twi.withColumnRenamed("value", "twi").join(slopes, at).join(acc, at))
+    p = lambda c, least, cuts: exact_percentiles(t.filter(F.col(c) > least), c, cuts, by)
+    cut = p("twi", 0, {"t90": 0.9, "t95": 0.95})
+    for other in (p("slope", 0, {"s25": 0.25}), p("acc", 1, {"f90": 0.9})):
+        cut = cut.join(other, list(by), "full") if by else cut.crossJoin(other)  # one row for each grid
+    t = t.join(small(cut), list(by), "left") if by else t.crossJoin(F.broadcast(cut))
     moderate, high = F.coalesce(F.col("twi") >= F.col("t90"), F.lit(False)), F.coalesce(F.col("twi") >= F.col("t95"), F.lit(False))
     critical = moderate & F.coalesce(F.col("slope") < F.col("s25"), F.lit(False)) & F.coalesce(F.col("acc") >= F.col("f90"), F.lit(False))
     risk = F.when(critical, 3).when(high, 2).when(moderate, 1).otherwise(0)
-    return t.select("row", "col", "twi", "slope", "acc", moderate.alias("moderate"), high.alias("high"), critical.alias("critical"), risk.alias("risk"))
+    return t.select(*at, "twi", "slope", "acc", moderate.alias("moderate"), high.alias("high"), critical.alias("critical"), risk.alias("risk"))
 
 
-def low_lying(cells: DataFrame, share: float = 0.1) -> DataFrame:
-    cut = cells.agg(F.percentile("value", share).alias("__cut"))
-    return cells.crossJoin(F.broadcast(cut)).withColumn("low", F.col("value") <= F.col("__cut")).drop("__cut")  # one row on the right
+def low_lying(cells: DataFrame, share: float = 0.1, by: By = ()) -> DataFrame:
+    cut = exact_percentiles(cells, "value", {"__cut": share}, by)
+    return per_grid(cells, cut, by).withColumn("low", F.col("value") <= F.col("__cut")).drop("__cut")
 
 
-def routing_cost(cells: DataFrame, slopes: DataFrame) -> DataFrame:
+def routing_cost(cells: DataFrame, slopes: DataFrame, by: By = ()) -> DataFrame:
     """0.4 (1 - height) + 0.6 (1 - slope), both scaled to their range."""
-    t = cells.join(slopes, ["row", "col"])
-    box = t.agg(*[f(c).alias(f"{n}_{c}") for c in ("value", "slope") for n, f in (("lo", F.min), ("hi", F.max))])
-    t = t.crossJoin(F.broadcast(box))  # one row on the right
+    t = cells.join(slopes, [*by, "row", "col"])
+    box = t.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in ("value", "slope") for n, f in (("lo", F.min), ("hi", F.max))])
+    t = per_grid(t, box, by)
     scaled = lambda c: F.coalesce((F.col(c) - F.col(f"lo_{c}")) / F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0.0)), F.lit(0.0))
-    return t.select("row", "col", (0.4 * (1 - scaled("value")) + 0.6 * (1 - scaled("slope"))).alias("cost"))
-
-
-def least_cost(cost: DataFrame, row: int, col: int, tile: int = TILE) -> DataFrame:
-    """dist of every cell to the outlet (row, col): steps cost the mean of both cells times their distance."""
-    static = cost.select("row", "col", F.col("cost").cast("double").alias("cost"))
-    start = static.select("row", "col", F.when((F.col("row") == row) & (F.col("col") == col), 0.0).otherwise(float("inf")).alias("dist"))
-
-    def solve(t: _Tile) -> np.ndarray:
-        c, d = t.a["cost"], np.where(np.isnan(t.a["dist"]), np.inf, t.a["dist"])
-        free = np.zeros(t.shape, bool)
-        free[t.row[t.own], t.col[t.own]] = True
-        free &= ~np.isnan(c)
-        while True:
-            new = d
-            for dr, dc in NEIGHBOURS:
-                step = (np.nan_to_num(c, nan=np.inf) + np.nan_to_num(_shift(c, dr, dc, np.inf), nan=np.inf)) / 2 * math.hypot(dr, dc)
-                new = np.minimum(new, _shift(d, dr, dc, np.inf) + step)
-            new = np.where(free, new, d)
-            if (new == d).all():
-                return d
-            d = new
-
-    return _settle(static, start, "dist", solve, ["cost"], {"dist": np.inf}, tile)
-
-
-def trace(cost: DataFrame, dist: DataFrame, starts: DataFrame, tile: int = TILE) -> DataFrame:
-    """path, step, row, col from each start (path, row, col) down to the outlet. A round walks every path through one tile."""
-    cells = durable(_with_rims(cost.join(dist, ["row", "col"]), tile))
-    heads = starts.select(F.col("path").cast("int").alias("path"), F.lit(0).alias("step"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
-    out = heads
+    return t.select(*by, "row", "col", (0.4 * (1 - scaled("value")) + 0.6 * (1 - scaled("slope"))).alias("cost"))
+
+
+def trace(cost: DataFrame, dist: DataFrame, starts: DataFrame, tile: int = TILE, by: By = ()) -> DataFrame:
+    """path, step, row, col from each start (path, row, col) down to the outlet of its grid. A round walks every path through one tile, and reads the tiles that paths are in."""
+    keys = [*by, "tr", "tc"]
+    tiles = tiled(cost.join(dist, [*by, "row", "col"]), ["cost", "dist"], by, tile)
+    heads = starts.select(*by, F.col("path").cast("int").alias("path"), F.lit(0).alias("step"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    out, kinds = heads, "".join(f"`{c}` {t}, " for c, t in heads.dtypes if c in by)
+    names = ["path", "step", "row", "col", "left"]
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            t = _Tile(right, ["cost", "dist"], tile, {"dist": np.inf})
-            c, d = t.a["cost"], t.a["dist"]
+            t = Tile(next(right.itertuples(index=False)), ["cost", "dist"], tile)
+            c, d = t.layers["cost"], np.where(np.isnan(t.layers["dist"]), np.inf, t.layers["dist"])
             for path, step, row, col in left[["path", "step", "row", "col"]].itertuples(index=False):
                 r, k = row - t.r0, col - t.c0
                 while 0 < r <= tile and 0 < k <= tile and d[r, k] > 0:
-                    best = min((d[r + dr, k + dc] + (c[r, k] + c[r + dr, k + dc]) / 2 * math.hypot(dr, dc), n) for n, (dr, dc) in enumerate(NEIGHBOURS) if np.isfinite(d[r + dr, k + dc]))
-                    r, k, step = r + NEIGHBOURS[best[1]][0], k + NEIGHBOURS[best[1]][1], step + 1
+                    ways = [(d[r + dr, k + dc] + (c[r, k] + c[r + dr, k + dc]) / 2 * math.hypot(dr, dc), n) for n, (dr, dc) in enumerate(NEIGHBOURS) if d[r + dr, k + dc] < d[r, k]]
+                    if not ways:
+                        raise ValueError(f"path {path} stops at ({r + t.r0}, {k + t.c0}): no way on to the outlet")
+                    r, k, step = r + NEIGHBOURS[min(ways)[1]][0], k + NEIGHBOURS[min(ways)[1]][1], step + 1
                     found.append((path, step, r + t.r0, k + t.c0, not (0 < r <= tile and 0 < k <= tile)))
-        return pd.DataFrame(found, columns=["path", "step", "row", "col", "left"]).astype({"path": "int32", "step": "int32", "row": "int32", "col": "int32", "left": "bool"})
+        out = pd.DataFrame(found, columns=names).astype({"path": "int32", "step": "int32", "row": "int32", "col": "int32", "left": "bool"})
+        for c in by:
+            out[c] = left[c].iloc[0] if len(left) else None
+        return out
 
-    for _ in range(MAX_ROUNDS):
+    while not heads.isEmpty():
+        # distances fall with every step, so paths end
         placed = heads.withColumns({"tr": F.floor(F.col("row") / tile).cast("int"), "tc": F.floor(F.col("col") / tile).cast("int")})
-        walked = durable(placed.groupBy("tr", "tc").cogroup(cells.groupBy("tr", "tc")).applyInPandas(walk, "path int, step int, row int, col int, left boolean"))
+        here = tiles.join(small(placed.select(*keys).distinct()), keys, "left_semi")
+        walked = durable(placed.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInPandas(walk, f"{kinds}path int, step int, row int, col int, left boolean"))
         out = out.unionByName(walked.drop("left"))
         heads = walked.filter("left").drop("left")
-        if heads.isEmpty():
-            break
     return out.distinct()
 
 
-def polylines(paths: DataFrame, x_min: float, y_max: float, res: float) -> DataFrame:
+def polylines(paths: DataFrame, x_min: float | Column, y_max: float | Column, res: float | Column, by: By = ()) -> DataFrame:
     """path, points (x, y of cell corners, in order) and length in metres."""
-    p = paths.select("path", "step", (x_min + F.col("col") * res).alias("x"), (y_max - F.col("row") * res).alias("y"))
-    before = Window.partitionBy("path").orderBy("step")
+    p = paths.select(*by, "path", "step", (x_min + F.col("col") * res).alias("x"), (y_max - F.col("row") * res).alias("y"))
+    before = Window.partitionBy(*by, "path").orderBy("step")
     p = p.withColumn("seg", F.coalesce(F.hypot(F.col("x") - F.lag("x").over(before), F.col("y") - F.lag("y").over(before)), F.lit(0.0)))
-    line = p.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("step", "x", "y"))).alias("s"), F.round(F.sum("seg"), 6).alias("length"))
-    return line.select("path", F.transform("s", lambda e: F.struct(e.x.alias("x"), e.y.alias("y"))).alias("points"), "length")
+    line = p.groupBy(*by, "path").agg(F.array_sort(F.collect_list(F.struct("step", "x", "y"))).alias("s"), F.round(F.sum("seg"), 6).alias("length"))
+    return line.select(*by, "path", F.transform("s", lambda e: F.struct(e.x.alias("x"), e.y.alias("y"))).alias("points"), "length")
 
 
-def lengths(lines: DataFrame) -> DataFrame:
-    return lines.agg(F.count("*").alias("channels"), F.round(F.sum("length"), 6).alias("total"), F.round(F.avg("length"), 6).alias("mean"), F.min("length").alias("min"), F.max("length").alias("max"))
+def lengths(lines: DataFrame, by: By = ()) -> DataFrame:
+    return lines.groupBy(*by).agg(F.count("*").alias("channels"), F.round(F.sum("length"), 6).alias("total"), F.round(F.avg("length"), 6).alias("mean"), F.min("length").alias("min"), F.max("length").alias("max"))
 
 
-def drainage(cells: DataFrame, slopes: DataFrame, acc: DataFrame, k: int = 10, apart: float = 50.0, tile: int = TILE) -> DataFrame:
-    """path, step, row, col of the cheapest channels from the k main collecting cells to the lowest border cell."""
-    cost = durable(routing_cost(cells, slopes))
-    starts = spaced_top(acc, "acc", k, apart).select(F.col("pick").alias("path"), "row", "col")
-    outlet = lowest_border(cells).first()
-    return trace(cost, least_cost(cost, outlet.row, outlet.col, tile), starts, tile)
+def drainage(cells: DataFrame, slopes: DataFrame, acc: DataFrame, k: int = 10, apart: float = 50.0, tile: int = TILE, by: By = ()) -> DataFrame:
+    """path, step, row, col of the cheapest channels from the k main collecting cells of each grid to its lowest border cell."""
+    cost = durable(routing_cost(cells, slopes, by))
+    starts = spaced_top(acc, "acc", k, apart, by=by).select(*by, F.col("pick").alias("path"), "row", "col")
+    return trace(cost, durable(least_cost(cost, lowest_border(cells, by=by), min(tile, COST_TILE), by)), starts, tile, by)
 
 
-def hectares(flags: DataFrame, cell: float) -> DataFrame:
+def hectares(flags: DataFrame, cell: float, by: By = ()) -> DataFrame:
     area = cell * cell / 1e4
-    return flags.agg(*[F.round(F.sum(F.col(c).cast("int")) * area, 6).alias(f"{c}_ha") for c in ("moderate", "high", "critical")])
+    return flags.groupBy(*by).agg(*[F.round(F.sum(F.col(c).cast("int")) * area, 6).alias(f"{c}_ha") for c in ("moderate", "high", "critical")])
 
 
 def village_checks(metrics: DataFrame) -> DataFrame:
@@ -350,12 +246,16 @@ def village_checks(metrics: DataFrame) -> DataFrame:
     return metrics.select("village", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("pass")) for n, c in rules.items()])).alias("r")).select("village", "r.rule", "r.pass")
 
 
-def make_dtm(points: DataFrame, res: float, stat: str, sigma: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Smoothed terrain grid of a point table, and its definition."""
-    meta = durable(grid_meta(points, res))
-    m = meta.first()
-    cells = rasterise(cell_index(points, meta), stat)
-    return gaussian(fill_gaps(cells, m.nrows, m.ncols), m.nrows, m.ncols, sigma), meta
+def make_dtm(points: DataFrame, res: float, stat: str, sigma: float = 1.0, by: By = ()) -> tuple[DataFrame, DataFrame]:
+    """Smoothed terrain grid of a point table, and its definition; with by, the grids of all, which carry their nrows and ncols."""
+    meta = durable(grid_meta(points, res, by))
+    if not by:
+        m = meta.first()
+        return gaussian(fill_gaps(rasterise(cell_index(points, meta), stat), m.nrows, m.ncols), m.nrows, m.ncols, sigma), meta
+    cells = rasterise(cell_index(points, meta, by), stat, by)
+    sized = cells.join(small(meta.select(*by, "nrows", "ncols")), list(by))
+    keys = [*by, "nrows", "ncols"]
+    return gaussian(fill_gaps(sized, "nrows", "ncols", by=keys), "nrows", "ncols", sigma, by=keys), meta
 
 
 def method_comparison(methods: DataFrame, before: str, after: str) -> DataFrame:

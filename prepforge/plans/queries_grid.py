@@ -13,8 +13,8 @@ from .flows import terrain_hot_spots
 from .queries_text import points
 from .registry import query
 
-_P = "p as (select l_orderkey * 10 + l_linenumber as id, (l_partkey % 64)::double as x, (l_suppkey % 64)::double as y, l_extendedprice::double / 1000 as z from lineitem)"
-_I = _P + ", m as (select min(x) as x0, max(y) as y1, max(x) as x1, min(y) as y0 from p), i as (select id, z, floor(y1 - y)::int as row, floor(x - x0)::int as col from p, m where floor(y1 - y) < ceil(y1 - y0) and floor(x - x0) < ceil(x1 - x0))"
+_P = "side as (select greatest(ceil(sqrt(count(*) / 15.0)), 4)::bigint as s from lineitem), p as (select l_orderkey * 10 + l_linenumber as id, (l_partkey % s)::double as x, (l_suppkey % s)::double as y, l_extendedprice::double / 1000 as z, (l_orderkey % 3)::int as village from lineitem, side)"
+_I = _P + ", m as (select min(x) as x0, max(y) as y1, max(x) as x1, min(y) as y0, ceil(max(y) - min(y))::int as nr, ceil(max(x) - min(x))::int as nc from p), i as (select id, z, floor(y1 - y)::int as row, floor(x - x0)::int as col from p, m where floor(y1 - y) < ceil(y1 - y0) and floor(x - x0) < ceil(x1 - x0))"
 
 
 def _indexed(t):
@@ -28,8 +28,14 @@ def _cells(t, stat="mean"):
     return te.rasterise(cents, stat).withColumn("value", F.round(F.col("value") / 100) / 1000)
 
 
+def _size(t):
+    """Rows and columns of the grid."""
+    m = sa.grid_meta(points(t), 1.0).first()
+    return m.nrows, m.ncols
+
+
 def _grid(t):
-    return durable(te.fill_gaps(_cells(t), 63, 63)).withColumn("value", F.round("value", 3))
+    return durable(te.fill_gaps(_cells(t), *_size(t)).withColumn("value", F.round("value", 3)))
 
 
 _C = _I + ", c as (select row, col, round(avg(round(z * 100000)) / 100) / 1000 as value from i group by 1, 2)"
@@ -58,16 +64,17 @@ def a11_g04_rasterise(t):
 
 
 @query(f"""with {_I}, n as (select count(*) as n from i group by row, col)
-select count(*) as cells, round(100 * count(*) / (63 * 63), 6) as coverage_pct, min(n) as min, floor(quantile_cont(n, 0.5))::bigint as p50, floor(quantile_cont(n, 0.9))::bigint as p90, floor(quantile_cont(n, 0.99))::bigint as p99, max(n) as max, floor(quantile_cont(n, 0.5)) <= 1 as sparse from n""")
+select count(*) as cells, round(100 * count(*) / (select nr * nc from m), 6) as coverage_pct, min(n) as min, floor(quantile_cont(n, 0.5))::bigint as p50, floor(quantile_cont(n, 0.9))::bigint as p90, floor(quantile_cont(n, 0.99))::bigint as p99, max(n) as max, floor(quantile_cont(n, 0.5)) <= 1 as sparse from n""")
 def a12_points_per_cell(t):
-    return te.points_per_cell(_indexed(t), 63 * 63)
+    rows, columns = _size(t)
+    return te.points_per_cell(_indexed(t), rows * columns)
 
 
-@query(f"""with {_C}, g as (select r as row, k as col from (select unnest(range(0, 63)) as r), (select unnest(range(0, 63)) as k)), d as (select g.row, g.col, value from g left join c on g.row = c.row and g.col = c.col),
+@query(f"""with {_C}, g as (select r as row, k as col from (select unnest(range(0, nr)) as r from m), (select unnest(range(0, nc)) as k from m)), d as (select g.row, g.col, value from g left join c on g.row = c.row and g.col = c.col),
 e as (select row, col, coalesce(lead(value) over (partition by row order by col) - value, 0) as dx, coalesce(lead(value) over (partition by col order by row) - value, 0) as dy from d)
-select round(avg(sqrt(dx * dx + dy * dy)), 6) as roughness from e where row < 62 and col < 62""")
+select round(avg(sqrt(dx * dx + dy * dy)), 6) as roughness from e, m where row < nr - 1 and col < nc - 1""")
 def a13_w06_roughness(t):
-    return te.roughness(_cells(t), 63, 63)
+    return te.roughness(_cells(t), *_size(t))
 
 
 @query(f"with {_I}, s as (select row, col, median(z) as a, quantile_cont(z, 0.05) as b from i group by 1, 2) select round(100 * avg(cast(a - b > 2 as int)), 6) as leak_pct from s")
@@ -121,25 +128,25 @@ def g06_g07_dtm(t):
 
 @query()
 def g09_fill_depressions(t):
-    return te.fill_depressions(_grid(t), tile=32)
+    return te.fill_depressions(_grid(t), tile=16)
 
 
 @query()
 def g11_flow_accumulation(t):
-    return te.flow_accumulation(durable(te.flow_direction(_grid(t))), tile=32)
+    return te.flow_accumulation(durable(te.flow_direction(_grid(t))), tile=16)
 
 
 @query()
 def g12_g13_slope_and_wetness(t):
     g = _grid(t)
-    s = durable(te.slope(g, 63, 63, 1.0, 0.001))
-    acc = te.flow_accumulation(durable(te.flow_direction(g)), tile=64)
+    s = durable(te.slope(g, *_size(t), 1.0, 0.001))
+    acc = te.flow_accumulation(durable(te.flow_direction(g)), tile=16)
     return te.wetness(acc, s, 1.0).join(s, ["row", "col"])
 
 
 @query()
 def g14_g15_l8_hot_spots(t):
-    return terrain_hot_spots(points(t), 1.0, tile=64)
+    return terrain_hot_spots(points(t), 1.0, tile=16)
 
 
 @query(f"with {_C}, q as (select quantile_cont(value, 0.1) as q from c) select row, col, value <= q as low from c, q")
@@ -160,15 +167,15 @@ def t04_g18_spaced_top(t):
 @query()
 def g17_g20_drainage(t):
     g = _grid(t)
-    s = durable(te.slope(g, 63, 63, 1.0))
-    acc = durable(te.flow_accumulation(durable(te.flow_direction(g)), tile=64))
-    return te.polylines(te.drainage(g, s, acc, 5, 15.0, tile=32), 0.0, 63.0, 1.0)
+    s = durable(te.slope(g, *_size(t), 1.0))
+    acc = durable(te.flow_accumulation(durable(te.flow_direction(g)), tile=16))
+    return te.polylines(te.drainage(g, s, acc, 5, 15.0, tile=16), 0.0, float(_size(t)[0]), 1.0)
 
 
 @query()
 def a24_a27_l9_terrain_report(t):
     """Hectares at risk and the height range of the terrain, as report lines."""
-    h = terrain_hot_spots(points(t), 1.0, tile=64)
+    h = terrain_hot_spots(points(t), 1.0, tile=16)
     risk = te.hectares(h, 1.0).unpivot([], ["moderate_ha", "high_ha", "critical_ha"], "name", "value").withColumn("section", F.lit("risk"))
     z = _cells(t).agg(F.min("value").alias("low"), F.max("value").alias("high")).unpivot([], ["low", "high"], "name", "value").withColumn("section", F.lit("height"))
     return risk.unionByName(z).select("section", "name", F.round("value", 6).alias("value"))

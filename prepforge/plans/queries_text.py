@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -125,13 +127,14 @@ def a21_extent_by_key(t):
     return t("events").groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
 
 
-@query("select min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, round(min(z), 6) as min_z, round(max(z), 6) as max_z, count(*) as n from (select (l_partkey % 64)::double as x, (l_suppkey % 64)::double as y, l_extendedprice / 1000 as z from lineitem)")
+@query("select min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, round(min(z), 6) as min_z, round(max(z), 6) as max_z, count(*) as n from (select (l_partkey % s)::double as x, (l_suppkey % s)::double as y, l_extendedprice / 1000 as z from lineitem, (select greatest(ceil(sqrt(count(*) / 15.0)), 4)::bigint as s from lineitem))")
 def a21_d10_g24_bounding_box(t):
     b = durable(bounding_box(points(t)))
     return b.select("min_x", "max_x", "min_y", "max_y", F.round("min_z", 6).alias("min_z"), F.round("max_z", 6).alias("max_z"), "n")
 
 
 def points(t):
-    """lineitem as a point cloud over 64 x 64 places."""
+    """lineitem as a point cloud over about as many places as a fifteenth of its lines, so that the grid grows with the table."""
     li = t("lineitem")
-    return li.select(F.pmod("l_partkey", F.lit(64)).cast("double").alias("x"), F.pmod("l_suppkey", F.lit(64)).cast("double").alias("y"), (F.col("l_extendedprice").cast("double") / 1000).alias("z"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    side = max(math.ceil(math.sqrt(li.count() / 15.0)), 4)
+    return li.select(F.pmod("l_partkey", F.lit(side)).cast("double").alias("x"), F.pmod("l_suppkey", F.lit(side)).cast("double").alias("y"), (F.col("l_extendedprice").cast("double") / 1000).alias("z"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.pmod("l_orderkey", F.lit(3)).cast("int").alias("village"))

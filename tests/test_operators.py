@@ -18,6 +18,7 @@ from prepforge.operators import ensemble as es
 from prepforge.operators import joins as jo
 from prepforge.operators import models as mo
 from prepforge.operators import ranks as ra
+from prepforge.operators import rims
 from prepforge.operators import spatial as sa
 from prepforge.operators import splits as sp
 from prepforge.operators import terrain as te
@@ -76,6 +77,52 @@ def test_asof_edges(spark):
     assert got == {1: (10, "ten again"), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None), 6: (10, "ten again")}
 
 
+def test_asof_of_a_hot_key(spark):
+    """One key holds nine tenths of the rows: its ranges of time are joined apart, and all rows are those of the plain join."""
+    left = spark.range(6000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 50).otherwise(7).alias("k"), (F.col("id") * 7919 % 5000).alias("t"), F.col("id").alias("i"))
+    left = left.unionByName(left.limit(3).withColumn("t", F.lit(None).cast("long"))).unionByName(left.limit(3).withColumn("k", F.lit(None).cast("long")))
+    right = spark.range(900).select(F.when(F.col("id") % 9 == 0, F.col("id") % 50).otherwise(7).alias("k"), (F.col("id") * 31 % 1300 * 3 + 40).alias("at"), F.col("id").alias("v"))
+    names = ("i", "k", "t", "at", "v")
+    plain = sorted(one(jo.asof(left, right, "k", "t", "at", ["v"], tie="v"), *names), key=str)
+    cut = jo.asof(left, right, "k", "t", "at", ["v"], tie="v", share_rows=500)
+    assert sorted(one(cut, *names), key=str) == plain and len(plain) == 6006
+    assert jo._hot_keys(left.withColumn("__k", F.col("k")), 500).count() == 1
+    rows = left.filter("k = 7").select(F.col("k").alias("__k"), F.col("t").alias("__t"))
+    sizes = [r["count"] for r in rows.repartitionByRange(4, "__k", "__t").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+    # times of which all right rows come first
+    early = spark.createDataFrame([(7, 0, 1)], "k long, at long, v long")
+    assert {r.v for r in jo.asof(left.filter("k = 7 and t is not null"), early, "k", "t", "at", ["v"], share_rows=10).collect()} == {1}
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g in (None, 1, 2) for v in rng.integers(0, 40, 300)] + [(3, 5.0), (4, None), (1, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(7)
+    cuts = {"low": 0.0, "p05": 0.05, "mid": 0.5, "p98": 0.98, "top": 1.0}
+    want = {g: tuple(np.percentile([v for h, v in rows if h == g and v is not None], [100 * q for q in cuts.values()])) for g in (None, 1, 2, 3)}
+    got = {r.g: tuple(r)[1:] for r in ra.exact_percentiles(df, "v", cuts, ["g"]).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in got)
+    every = ra.exact_percentiles(df, "v", cuts).collect()
+    assert len(every) == 1 and tuple(every[0]) == pytest.approx(tuple(np.percentile([v for _, v in rows if v is not None], [100 * q for q in cuts.values()])))
+    assert [tuple(r) for r in ra.exact_percentiles(df.limit(0), "v", cuts).collect()] == [(None,) * 5]
+
+
+def test_spaced_top_of_many_grids(spark):
+    rng = np.random.default_rng(5)
+    grids = {g: rng.integers(0, 30, (17, 23)).astype(float) for g in (1, 2)}
+    df = spark.createDataFrame([(g, r, c, float(a[r, c])) for g, a in grids.items() for r in range(17) for c in range(23)], "g int, row int, col int, value double").repartition(5)
+    got = {}
+    for r in ra.spaced_top(df, "value", 6, 4.5, by=["g"]).collect():
+        got.setdefault(r.g, []).append((r.pick, r.row, r.col))
+    for g, a in grids.items():
+        picks = []
+        for v, r, c in sorted((-a[r, c], r, c) for r in range(17) for c in range(23)):
+            if len(picks) < 6 and all(math.hypot(r - y, c - x) > 4.5 for _, y, x in picks):
+                picks.append((len(picks) + 1, r, c))
+        assert sorted(got[g]) == picks
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, 3.0, None)], "A int, b double, c string")
     assert co.lower_names(df).columns == ["a", "b", "c"]
@@ -204,7 +251,8 @@ def test_flow(spark, surface):
 
 def test_routes(spark):
     cost = np.random.default_rng(2).random((9, 11))
-    df = te.least_cost(cells(spark, cost).withColumnRenamed("value", "cost"), 8, 0, tile=4)
+    outlet = spark.createDataFrame([(8, 0)], "row int, col int")
+    df = te.least_cost(cells(spark, cost).withColumnRenamed("value", "cost"), outlet, tile=4)
     best = np.full(cost.shape, np.inf)
     best[8, 0] = 0
     heap = [(0.0, 8, 0)]
@@ -295,3 +343,82 @@ def test_stream_of_slots(spark, sf, tmp_path):
     q.awaitTermination()
     got = spark.table("slots").groupBy("window_start", "user_id", "slot").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0]
     assert got == events.filter(weekly_slot(F.col("ts").cast("timestamp")).isNotNull()).count()
+
+
+def direction(z):
+    h, w = z.shape
+    d = np.zeros((h, w), int)
+    for r in range(1, h - 1):
+        for c in range(1, w - 1):
+            if not np.isnan(z[r, c]):
+                drops = [((z[r, c] - z[r + y, c + x]) / math.hypot(y, x), -k) for k, (y, x) in enumerate(D8) if not np.isnan(z[r + y, c + x])]
+                d[r, c] = -max(drops)[1] if drops else 0
+    return d
+
+
+def accumulated(z, d):
+    h, w = z.shape
+    acc = np.ones((h, w))
+    for _, r, c in sorted(((z[r, c], r, c) for r in range(h) for c in range(w) if not np.isnan(z[r, c])), reverse=True):
+        y, x = r + D8[d[r, c]][0], c + D8[d[r, c]][1]
+        if 0 <= y < h and 0 <= x < w:
+            acc[y, x] += acc[r, c]
+    return acc
+
+
+def cheapest(cost, r, c):
+    best = np.full(cost.shape, np.inf)
+    best[r, c] = 0
+    heap = [(0.0, r, c)]
+    while heap:
+        s, r, c = heapq.heappop(heap)
+        for dr, dc in D8:
+            y, x = r + dr, c + dc
+            if 0 <= y < cost.shape[0] and 0 <= x < cost.shape[1] and s + (cost[r, c] + cost[y, x]) / 2 * math.hypot(dr, dc) < best[y, x] - 1e-15:
+                best[y, x] = s + (cost[r, c] + cost[y, x]) / 2 * math.hypot(dr, dc)
+                heapq.heappush(heap, (best[y, x], y, x))
+    return best
+
+
+def grids(spark, surfaces):
+    rows = [(v, r, c, None if math.isnan(a[r, c]) else float(a[r, c])) for v, a in surfaces.items() for r in range(a.shape[0]) for c in range(a.shape[1])]
+    return spark.createDataFrame(rows, "village string, row int, col int, value double").repartition(6)
+
+
+def test_rim_graphs_of_two_villages_on_16_x_16_tiles(spark, monkeypatch):
+    """Two grids that overlap in their cells, one of 16 x 16 tiles with four levels of groups, equal the sequential algorithms."""
+    monkeypatch.setattr(rims, "FAN", 2)
+    monkeypatch.setattr(rims, "COST_FAN", 4)
+    rng = np.random.default_rng(21)
+    r, c = np.indices((64, 64))
+    big = np.round(8 * np.sin(r / 7.0) * np.cos(c / 9.0) + rng.random((64, 64)) * 3 + 0.1 * np.hypot(r - 30, c - 30), 1)  # basins that reach over many tiles
+    big[20:23, 40] = big[50, 10:14] = np.nan
+    small = rng.integers(0, 6, (11, 18)).astype(float)
+    small[4, 5] = np.nan
+    surfaces = {"big": big, "small": small}
+    filled = te.fill_depressions(grids(spark, surfaces), tile=4, by=["village"])
+    level = {v: flooded(a) for v, a in surfaces.items()}
+    for v, a in surfaces.items():
+        assert np.array_equal(dense(filled.filter(F.col("village") == v), a.shape), level[v], equal_nan=True)
+    directed = te.flow_direction(grids(spark, level), by=["village"])
+    acc = te.flow_accumulation(directed, tile=4, by=["village"])
+    for v, a in level.items():
+        d = direction(a)
+        assert np.array_equal(dense(directed.filter(F.col("village") == v), a.shape, "d"), d)
+        assert np.array_equal(dense(acc.filter(F.col("village") == v), a.shape, "acc"), accumulated(a, d))
+    costs = {"big": rng.random((64, 64)) + 0.05, "small": rng.random((11, 18)) + 0.05}
+    ends = {"big": (63, 17), "small": (0, 3)}
+    outlets = spark.createDataFrame([(v, *e) for v, e in ends.items()], "village string, row int, col int")
+    cost = grids(spark, costs).withColumnRenamed("value", "cost")
+    dist = te.least_cost(cost, outlets, tile=4, by=["village"])
+    for v, a in costs.items():
+        assert np.allclose(dense(dist.filter(F.col("village") == v), a.shape, "dist"), cheapest(a, *ends[v]))
+    starts = spark.createDataFrame([("big", 1, 2, 60), ("small", 1, 10, 17)], "village string, path int, row int, col int")
+    paths = te.trace(cost, dist, starts, tile=16, by=["village"]).collect()
+    for v, a in costs.items():
+        at = [(p.row, p.col) for p in sorted((p for p in paths if p.village == v), key=lambda p: p.step)]
+        assert at[-1] == ends[v]
+        total = sum((a[p] + a[q]) / 2 * math.hypot(p[0] - q[0], p[1] - q[1]) for p, q in zip(at[:-1], at[1:], strict=True))
+        assert total == pytest.approx(cheapest(a, *ends[v])[at[0]])
+    with pytest.raises(Exception, match="no way on"):
+        te.trace(cost, dist.withColumn("dist", F.lit(1.0)), starts, tile=16, by=["village"]).collect()
