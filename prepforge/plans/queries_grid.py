@@ -119,6 +119,21 @@ select c.row, c.col, cast(case when c.row between 1 and (select max(row) from c)
 def g10_flow_direction(t):
     return te.flow_direction(_cells(t)).select("row", "col", "d")
 
+_FILLED = f"""edge as (select max(row) as h, max(col) as w from c),
+w(row, col, value) using key (row, col) as (select row, col, value from c, edge where row = 0 or col = 0 or row = h or col = edge.w
+ union select n.row, n.col, min(greatest(n.value, w.value)) from w, {_D8} join c n on n.row = w.row + s.dr and n.col = w.col + s.dc left join recurring.w o on o.row = n.row and o.col = n.col where o.value is null or greatest(n.value, w.value) < o.value group by n.row, n.col)"""
+_FLOW = f"""n as (select a.row, a.col, s.d, (a.value - b.value) / sqrt(s.dr ** 2 + s.dc ** 2) as slope from c a, {_D8} join c b on b.row = a.row + s.dr and b.col = a.col + s.dc),
+b as (select row, col, d from (select *, row_number() over (partition by row, col order by slope desc, d) as r from n) where r = 1),
+f as (select c.row, c.col, c.value, case when c.row between 1 and (select max(row) from c) - 1 and c.col between 1 and (select max(col) from c) - 1 then coalesce(b.d, 0) else 0 end as d from c left join b using (row, col)),
+e as (select f.row, f.col, g.row as tr, g.col as tc, f.value > g.value or (f.value = g.value and (s.dr < 0 or (s.dr = 0 and s.dc < 0))) as early from f join {_D8} on s.d = f.d join c g on g.row = f.row + s.dr and g.col = f.col + s.dc),
+way(row, col) as (select row, col from c union all select e.tr, e.tc from way join e using (row, col) where early),
+a as (select row, col, count(*) as a from way group by row, col), late as (select tr as row, tc as col, sum(a) as a from e join a using (row, col) where not early group by tr, tc),
+acc as (select row, col, (a.a + coalesce(late.a, 0))::double as acc from a left join late using (row, col))"""
+_BEST = "first(c.{} order by c.value desc, c.row, c.col)"
+_SPACED = f"""k(pick, row, col, value, picks) as (select 0, null::int, null::int, null::double, []::struct(r int, k int)[]
+ union all select pick + 1, {_BEST.format('row')}, {_BEST.format('col')}, max(c.value), list_append(any_value(picks), {{'r': {_BEST.format('row')}, 'k': {_BEST.format('col')}}})
+ from k, c where pick < 10 and not list_bool_or(list_transform(picks || [{{'r': -1000, 'k': -1000}}], lambda x: sqrt((x.r - c.row) ** 2 + (x.k - c.col) ** 2) <= 12)) group by pick)"""
+
 
 @query()
 def g06_g07_dtm(t):
@@ -126,12 +141,12 @@ def g06_g07_dtm(t):
     return dtm
 
 
-@query()
+@query(f"with recursive {_C}, {_FILLED} select row, col, value from w")
 def g09_fill_depressions(t):
     return te.fill_depressions(_grid(t), tile=16)
 
 
-@query()
+@query(f"with recursive {_C}, {_FLOW} select row, col, acc from acc")
 def g11_flow_accumulation(t):
     return te.flow_accumulation(durable(te.flow_direction(_grid(t))), tile=16)
 
@@ -159,7 +174,7 @@ def t05_g18_lowest_border(t):
     return lowest_border(_cells(t))
 
 
-@query()
+@query(f"with recursive {_C}, {_SPACED} select pick, row, col, value from k where pick > 0")
 def t04_g18_spaced_top(t):
     return spaced_top(_cells(t), "value", 10, 12.0)
 
