@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable
+from .ensemble import confident
+from .joins import with_pseudo
+from .ranks import cumulative_share
+from .stats import mean_importance
+
 
 def assemble(df: DataFrame, columns: Sequence[str], fill: float = -1.0) -> DataFrame:
     """features from numeric columns; ML vectors take no nulls, so these become fill."""
@@ -90,12 +97,132 @@ def logistic_meta(df: DataFrame, columns: Sequence[str], label: str, c: float =
     return LogisticRegression(labelCol=label, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False).fit(assemble(df, columns))
 
 
-def elastic_meta(df: DataFrame, columns: Sequence[str], label: str, alpha: float, l1: float):
-    return LinearRegression(labelCol=label, regParam=alpha, elasticNetParam=l1, standardization=False).fit(assemble(df, columns))
-
-
-def elastic_search(df: DataFrame, columns: Sequence[str], label: str, alphas: Sequence[float], l1s: Sequence[float], folds: int = 5, parallelism: int = 4):
-    """The best penalty and mix by cross-validation."""
-    base = LinearRegression(labelCol=label, standardization=False)
-    grid = ParamGridBuilder().addGrid(base.regParam, list(alphas)).addGrid(base.elasticNetParam, list(l1s)).build()
-    return CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), numFolds=folds, parallelism=parallelism, seed=42).fit(assemble(df, columns))
+class ElasticPath(NamedTuple):
+    """Scores by fold means, and the best penalty's coefficients on all rows."""
+
+    scores: DataFrame
+    alpha: float
+    l1: float
+    coefficients: list[float]
+    intercept: float
+
+    def predict(self, columns: Sequence[str]) -> Column:
+        return sum((F.col(c).cast("double") * w for c, w in zip(columns, self.coefficients, strict=True)), F.lit(self.intercept))
+
+
+def fold_moments(df: DataFrame, columns: Sequence[str], label: str, folds: int, fold: str = "fold") -> np.ndarray:
+    """For each fold the sums of products of (1, columns, label), in one pass: a task hands on one matrix for each fold. Rows with a null count for nothing."""
+    width = len(columns) + 2
+
+    def sums(batches):
+        total = np.zeros((folds, width, width))
+        for b in batches:
+            at, *values = (c.to_numpy() for c in b.columns)
+            x = np.column_stack([np.ones(len(at)), *values])
+            for k in range(folds):
+                own = x[at == k]
+                total[k] += own.T @ own
+        yield pa.record_batch([np.arange(total.size), total.ravel()], names=["i", "s"])
+
+    rows = df.select(F.col(fold).cast("int").alias("f"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*columns, label])])
+    rows = rows.filter(" and ".join(f"{c} is not null" for c in rows.columns))
+    out = np.zeros(folds * width * width)
+    for r in rows.mapInArrow(sums, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # a number for each pair of columns and fold
+        out[r.i] = r.s
+    return out.reshape(folds, width, width)
+
+
+def _descent(m: np.ndarray, alpha: float, l1: float, start: np.ndarray, tol: float, most: int) -> np.ndarray:
+    """Coefficients that minimise the mean squared error / 2 + alpha (l1 |w| + (1 - l1) w^2 / 2), by coordinates, from moments m of (1, columns, label)."""
+    n = m[0, 0]
+    mean = m[0, 1:] / n
+    c = m[1:, 1:] / n - np.outer(mean, mean)
+    gram, cross, w = c[:-1, :-1], c[:-1, -1], start.copy()
+    for _ in range(most):
+        moved = 0.0
+        for j in range(len(w)):
+            if gram[j, j] <= 0:
+                continue
+            rest = cross[j] - gram[j] @ w + gram[j, j] * w[j]
+            new = np.sign(rest) * max(abs(rest) - alpha * l1, 0.0) / (gram[j, j] + alpha * (1 - l1))
+            moved = max(moved, abs(new - w[j]) * gram[j, j] ** 0.5)
+            w[j] = new
+        if moved <= tol * max(c[-1, -1] ** 0.5, 1e-300):
+            break
+    return w
+
+
+def elastic_path(df: DataFrame, columns: Sequence[str], label: str, fold: str = "fold", folds: int = 5, alphas: Sequence[float] | None = None, l1s: Sequence[float] = (0.1, 0.3, 0.5, 0.7, 0.9), tol: float = 1e-9, most: int = 20_000) -> ElasticPath:
+    """The best of all penalties and mixes by cross-validation: one pass over the rows, then coordinate descent along falling penalties on the folds' moments.
+
+    By default 50 penalties from 10 down to 0.001. fold holds 0 to folds - 1.
+    """
+    alphas = sorted(np.logspace(-3, 1, 50).tolist() if alphas is None else alphas, reverse=True)
+    parts = fold_moments(df, columns, label, folds, fold)
+    every = parts.sum(axis=0)
+    rows = []
+    for l1 in l1s:
+        starts = [np.zeros(len(columns))] * folds
+        for alpha in alphas:
+            errors = []
+            for k in range(folds):
+                train, held = every - parts[k], parts[k]
+                if held[0, 0] == 0 or train[0, 0] == 0:
+                    continue
+                w = starts[k] = _descent(train, alpha, l1, starts[k], tol, most)
+                v = np.r_[-(train[0, -1] - w @ train[0, 1:-1]) / train[0, 0], -w, 1.0]  # what is left of (1, columns, label)
+                errors.append(float(v @ held @ v) / held[0, 0])
+            rows.append((float(alpha), float(l1), float(np.mean(errors)) if errors else float("nan")))
+    alpha, l1, _ = min(rows, key=lambda r: (r[2], -r[0], r[1]))
+    w = np.zeros(len(columns))
+    for a in (a for a in alphas if a >= alpha):
+        w = _descent(every, a, l1, w, tol, most)
+    scores = df.sparkSession.createDataFrame([(a, b, max(e, 0.0) ** 0.5) for a, b, e in rows], "alpha double, l1 double, rmse double")
+    return ElasticPath(scores, alpha, l1, w.tolist(), float((every[0, -1] - w @ every[0, 1:-1]) / every[0, 0]))
+
+
+def _joined(parts: Sequence[DataFrame], key: str) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, key)
+    return out
+
+
+class PseudoRetraining(NamedTuple):
+    """Features that were kept, pseudo-labelled rows with their label, and predictions (key, a column for each model, predicted) of all unlabelled rows."""
+
+    kept: list[str]
+    pseudo: DataFrame
+    predictions: DataFrame
+
+
+def retrain_with_pseudo(labelled: DataFrame, rest: DataFrame, columns: Sequence[str], key: str, label: str, makers: Mapping[str, Callable[[str | None], object]], folds: int = 5, limit: float = 0.05, weight: float = 0.5, share: float = 0.8) -> PseudoRetraining:
+    """Retraining on labelled rows and on those unlabelled ones on which models agree.
+
+    Models of several families (makers: name to a function of the weight column) predict each unlabelled row as the mean over their folds;
+    rows on which the families' deviation is below limit get the mean as label. Features are pruned to those that make up share of the mean
+    gain. Each family is trained again on these, with pseudo-labelled rows at weight, and predicts all unlabelled rows; predicted is the mean.
+    """
+    from .splits import fold_mean, k_fold
+
+    rows = durable(k_fold(assemble(labelled, columns).select(key, F.col(label).alias("label"), "features"), key, folds))
+    others = durable(assemble(rest, columns).select(key, "features"))
+    votes, gains = [], []
+    for name, make in makers.items():
+        _, fitted, tests = out_of_fold(rows, folds, lambda make=make: make(None), lambda m, d: predicted(m, d, "p"), others)
+        votes.append(durable(fold_mean(tests, key, "p").withColumn("model", F.lit(name))))
+        gains.append(importances(rows.sparkSession, fitted, columns))
+    every = votes[0]
+    for v in votes[1:]:
+        every = every.unionByName(v)
+    pseudo = durable(confident(every, key, "p", limit).select(key, F.col("p").alias("label")))
+    together = gains[0]
+    for g in gains[1:]:
+        together = together.unionByName(g)
+    ranked = cumulative_share(mean_importance(together), share).orderBy(F.desc("gain"), "feature").collect()  # one row a feature
+    kept = [r.feature for r in ranked if r.kept] or [ranked[0].feature]
+    kept = [c for c in columns if c in set(kept)]
+    train = with_pseudo(assemble(labelled, kept).select(key, F.col(label).alias("label"), "features"), assemble(rest.select(key, *kept).join(pseudo, key), kept).select(key, "label", "features"), weight)
+    train, scored = durable(train), durable(assemble(rest, kept).select(key, "features"))
+    out = _joined([durable(predicted(make("weight").fit(train), scored, name).select(key, name)) for name, make in makers.items()], key)
+    return PseudoRetraining(kept, pseudo, out.withColumn("predicted", sum((F.col(n) for n in makers), F.lit(0.0)) / len(makers)))

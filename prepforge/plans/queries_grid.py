@@ -9,7 +9,7 @@ from ..operators import terrain as te
 from ..operators.durable import durable
 from ..operators.ranks import lowest_border, spaced_top
 from ..operators.stats import percentiles
-from .flows import terrain_hot_spots
+from .flows import terrain_hot_spots, terrain_report
 from .queries_text import points
 from .registry import query
 
@@ -189,11 +189,36 @@ def g17_g20_drainage(t):
 
 @query()
 def a24_a27_l9_terrain_report(t):
-    """Hectares at risk and the height range of the terrain, as report lines."""
-    h = terrain_hot_spots(points(t), 1.0, tile=16)
-    risk = te.hectares(h, 1.0).unpivot([], ["moderate_ha", "high_ha", "critical_ha"], "name", "value").withColumn("section", F.lit("risk"))
-    z = _cells(t).agg(F.min("value").alias("low"), F.max("value").alias("high")).unpivot([], ["low", "high"], "name", "value").withColumn("section", F.lit("height"))
-    return risk.unionByName(z).select("section", "name", F.round("value", 6).alias("value"))
+    """Report of the whole point cloud: points, heights, hectares at risk, channels and checks."""
+    return terrain_report(points(t), 1.0, tile=16, paths=5, apart=15.0)
+
+
+@query()
+def g21_village_batch(t):
+    """Hot spots of three villages that share coordinates, in one run."""
+    return terrain_hot_spots(points(t), 1.0, tile=16, by=["village"])
+
+
+@query()
+def g21_l9_village_reports(t):
+    """Reports of the three villages."""
+    return terrain_report(points(t), 1.0, tile=16, paths=3, apart=15.0, by=["village"])
+
+
+_V = _P + """, m as (select village, min(x) as x0, max(y) as y1, ceil(max(y) - min(y))::int as nr, ceil(max(x) - min(x))::int as nc from p group by village),
+i as (select village, z, floor(y1 - y)::int as row, floor(x - x0)::int as col from p join m using (village) where floor(y1 - y) < nr and floor(x - x0) < nc),
+c as (select village, row, col, quantile_cont(z, 0.05) as value from i group by 1, 2, 3)"""
+
+
+@query(f"with {_V} select village, count(*) as cells, round(100 * count(*) / any_value(nr * nc), 6) as coverage_pct, round(max(value) - min(value), 6) as range, round(stddev_pop(value), 6) as std from c join m using (village) group by village")
+def a25_village_heights(t):
+    """Coverage, height range and deviation of each village's grid."""
+    p = points(t)
+    meta = durable(sa.grid_meta(p, 1.0, ["village"]))
+    cells = te.rasterise(sa.cell_index(p, meta, ["village"]), "p05", ["village"])
+    sizes = meta.select("village", (F.col("nrows").cast("long") * F.col("ncols")).alias("n"))
+    rows = cells.groupBy("village").agg(F.count("*").alias("cells"), F.round(F.max("value") - F.min("value"), 6).alias("range"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    return rows.join(sizes, "village").select("village", "cells", F.round(100 * F.col("cells") / F.col("n"), 6).alias("coverage_pct"), "range", "std")
 
 
 @query(f"with {_C} select round(quantile_cont(value, 0.98), 6) as p98 from c where value > 0")

@@ -1,21 +1,26 @@
-"""Queries that train models. SQL cannot give their rows; tests hold their metrics against limits."""
+"""Queries that train models. SQL cannot give their rows; tests hold their figures against limits (tests/test_flows.py)."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as mt
 from ..operators import models as mo
 from ..operators import splits as sp
 from ..operators.durable import durable
-from .flows import claim_flow, credit_flow, price_flow, slot_flow
+from .flows import catalog_price_flow, claim_flow, credit_flow, fused_catalog, price_flow, price_makers, score_slots, single_split_price, slot_flow, train_slots
 from .registry import query
 
 
 def _lines(t):
-    """Lines with an id of their own; lines that are equal in all columns count once."""
+    """All lines, with a key of their own; equal ones are told apart by their place among each other."""
     li = t("lineitem")
-    return li.withColumn("id", F.xxhash64(*li.columns)).dropDuplicates(["id"]).select("id", (F.col("l_returnflag") == "R").cast("int").alias("label"), "l_returnflag", "l_linestatus", *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")], F.datediff("l_shipdate", F.lit("1992-01-01")).alias("day"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[c for c in li.columns if c not in ("l_orderkey", "l_linenumber")]))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", place)
+    return li.select(key.alias("id"), (F.col("l_returnflag") == "R").cast("int").alias("label"), "l_returnflag", "l_linestatus", *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")], F.datediff("l_shipdate", F.lit("1992-01-01")).alias("day"))
 
 
 @query()
@@ -42,21 +47,34 @@ def m11_l6_claim_scores(t):
 
 @query()
 def m10_e11_importances(t):
-    df = sp.k_fold(mo.assemble(_lines(t), ["l_quantity", "l_discount", "day"]).select("id", "label", "features"), "id", 2)
-    _, models, _ = mo.out_of_fold(durable(df), 2, lambda: mo.boosted_classifier(depth=3, rounds=3), lambda m, d: mo.probability(m, d, "p"))
+    df = sp.k_fold(mo.assemble(_lines(t), ["l_quantity", "l_discount", "day"]).select("id", "label", "features"), "id", 5)
+    _, models, _ = mo.out_of_fold(durable(df), 5, lambda: mo.boosted_classifier(depth=3, rounds=5), lambda m, d: mo.probability(m, d, "p"))
     return mo.importances(df.sparkSession, models, ["l_quantity", "l_discount", "day"])
 
 
 @query()
 def m12_elastic_search(t):
-    df = _lines(t).select("id", F.log1p("l_extendedprice").alias("y"), "l_quantity", "l_discount")
-    cv = mo.elastic_search(df, ["l_quantity", "l_discount"], "y", [0.001, 0.1], [0.1, 0.9], folds=2)
-    return df.sparkSession.createDataFrame([(float(m), float(p[cv.getEstimator().regParam]), float(p[cv.getEstimator().elasticNetParam])) for m, p in zip(cv.avgMetrics, cv.getEstimatorParamMaps(), strict=True)], "rmse double, alpha double, l1 double")
+    """Scores of all 50 x 5 penalties over five folds, and whether a penalty is the chosen one."""
+    df = sp.k_fold(_lines(t).select("id", F.log1p("l_extendedprice").alias("y"), "l_quantity", "l_discount", "l_tax", "day"), "id", 5)
+    path = mo.elastic_path(df, ["l_quantity", "l_discount", "l_tax", "day"], "y")
+    return path.scores.select("alpha", "l1", F.round("rmse", 9).alias("rmse"), ((F.col("alpha") == path.alpha) & (F.col("l1") == path.l1)).alias("best"))
+
+
+@query()
+def m12_elastic_meta(t):
+    """Two prediction columns blended by the best elastic net on their ranks: mae and smape beside those of each alone."""
+    from ..operators import ensemble as es
+    from .queries_tables import _pred
+
+    d = _pred(t).select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "y", "a", "b", F.log1p("y").alias("label"), F.log1p(F.greatest("a", F.lit(0.0))).alias("la"), F.log1p("b").alias("lb"))
+    d = durable(sp.k_fold(d, "id", 5))
+    path = mo.elastic_path(d, ["la", "lb"], "label")
+    return es.model_table(d.withColumn("meta", F.expm1(path.predict(["la", "lb"]))), "y", ["a", "b", "meta"])
 
 
 @query()
 def x04_credit_fold_scores(t):
-    _, scores = credit_flow(_lines(t), "id", "label", ["l_quantity", "day"], folds=2, rounds=3)
+    _, scores = credit_flow(_lines(t), "id", "label", ["l_quantity", "day"], folds=10, rounds=5)
     return scores
 
 
@@ -75,18 +93,54 @@ def m14_ground_classifier(t):
 
 @query()
 def m08_weighted_retraining(t):
-    """Confident out-of-fold rows at half weight beside labelled rows, and a forest trained on both."""
-    from ..operators.joins import with_pseudo
+    """Half of the lines without a price: priced by the families' means over folds where these agree, and then by families that are trained again with those rows, on pruned features."""
+    names = ["l_quantity", "l_discount", "l_tax", "day"]
+    rows = _lines(t).withColumns({"y": F.log1p("l_extendedprice"), "half": F.pmod(F.xxhash64("id"), F.lit(2))})
+    made = mo.retrain_with_pseudo(rows.filter("half = 0"), rows.filter("half = 1").drop("y"), names, "id", "y", price_makers(4), folds=3)
+    out = made.predictions.join(made.pseudo.select("id", F.lit(True).alias("confident")), "id", "left").fillna(False, ["confident"])
+    return out.select("id", F.round("predicted", 6).alias("p"), "confident", F.lit(",".join(made.kept)).alias("features"))
+
+
+@query()
+def m09_single_split(t):
+    """One boosted price model on a split that is stratified by price: mae and smape of both parts."""
+    from .queries_text import _catalog
 
-    df = mo.assemble(_lines(t).withColumn("y", F.log1p("l_extendedprice")), ["l_quantity", "l_discount", "l_tax"]).select("id", F.col("y").alias("label"), "features")
-    labelled, rest = df.filter(F.col("id") % 2 == 0), df.filter(F.col("id") % 2 == 1).drop("label")
-    first = mo.predicted(mo.forest(depth=5, trees=8).fit(labelled), rest, "label")
-    both = with_pseudo(labelled, first.select("id", "label", "features"))
-    out = mo.predicted(mo.forest(depth=5, trees=8, weight="weight").fit(both), df, "p")
-    return out.select("id", F.round("p", 6).alias("p"))
+    fused, names = fused_catalog(_catalog(t).filter("sample_id % 5 > 0"), _catalog(t).filter("sample_id % 5 = 0").drop("price"), _vectors(t), components=6)
+    return single_split_price(fused.filter("split <> 'test'").drop("split"), names, "price", "sample_id", rounds=6)[1]
+
+
+def _vectors(t):
+    """Two blocks of vectors for the parts: halves of an embedding whose number a part's key gives."""
+    e = t("embeddings").filter("embedding is not null")
+    n = max(e.count(), 1)
+    p = t("part").select(F.col("p_partkey").alias("key"), F.pmod("p_partkey", F.lit(n)).alias("vec_id")).join(e.select("vec_id", "embedding"), "vec_id")
+    return {"words": p.select("key", F.slice("embedding", 1, 32).alias("vector")), "looks": p.select("key", F.slice("embedding", 33, 32).alias("vector"))}
 
 
 @query()
+def l2_catalog_price(t):
+    """A price for every fifth part, from catalogue texts and vectors to the submission."""
+    from .queries_text import _catalog
+
+    run = catalog_price_flow(_catalog(t).filter("sample_id % 5 > 0"), _catalog(t).filter("sample_id % 5 = 0").drop("price"), _vectors(t), components=6, folds=3, rounds=4)
+    return run.submission.select("sample_id", F.round("price", 6).alias("price"))
+
+
+@query()
+def s14_l4_l5_scored_template(t):
+    """A slot model trained on three quarters of the events, written, read back, and scored on the rest for a template of all users."""
+    from ..operators.durable import checkpoint_dir
+
+    e = t("events")
+    path = f"{checkpoint_dir(e.sparkSession)}/slots-{uuid.uuid4().hex}"
+    train_slots(e.filter("event_id % 4 > 0"), path, "user_id", "ts", "click")
+    return score_slots(e.filter("event_id % 4 = 0"), e.select("user_id").distinct(), path)
+
+
+@query("""
+with e as (select user_id, case when event_type = 'click' then 1 else 0 end as k, row_number() over (partition by user_id order by value desc, event_id) as r, sum(case when event_type = 'click' then 1 else 0 end) over (partition by user_id order by value desc, event_id) as h from events)
+select round(avg(ap), 9) as map, count(*) as keys from (select user_id, avg(h / r) as ap from e where k = 1 group by user_id)""")
 def x07_slot_map(t):
     e = t("events").select("event_id", "user_id", F.col("value").cast("double").alias("p"), (F.col("event_type") == "click").cast("int").alias("k"))
     return mt.mean_average_precision(e, "user_id", "k", "p", "event_id")
