@@ -693,3 +693,80 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+# --- 3 and 10 against plain versions -----------------------------------------------------------------------------------------------------
+
+
+def test_ranking_equals_a_dense_fit(spark):
+    """Bradley-Terry weights against Newton's method on the same pairs, and the threshold against the quantile of the sample."""
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["word", "other", "SHOUT!!", "a.", "12", "word word"]) for _ in range(rng.randrange(5, 60)))) for i in range(160)]
+    labels = spark.createDataFrame([(i, int(rng.random() < (0.8 if t.count("!") * 6 < len(t.split()) else 0.3))) for i, t in rows], "doc_id long, quality int")
+    docs = table(spark, rows)
+    model = quality.fit(docs, labels)
+    own = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    text = dict(rows)
+    raw = {i: text[i].encode() for i in own}
+    x = {i: quality.features(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0] for i, b in raw.items()}
+    n = [sum(y == k for y in own.values()) for k in (0, 1)]
+    slots = max(1, max(n) // quality.PAIRS_EACH)
+    slot = {r.id: (r.a, r.b) for r in spark.createDataFrame([(i,) for i in own], "id long").select("id", *[F.pmod(F.xxhash64("id", F.lit(s)), F.lit(slots)).alias(c) for s, c in ((11, "a"), (12, "b"))]).collect()}
+    d = np.array([x[i] - x[j] for i in own if own[i] == 1 for j in own if own[j] == 0 and slot[i][0] == slot[j][1]])
+    w = np.zeros(d.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-d @ w))
+        w -= np.linalg.solve((d.T * (p * (1 - p))) @ d / len(d) + 1e-4 * np.eye(len(w)), -d.T @ (1 - p) / len(d) + 1e-4 * w)
+    loss = lambda v: np.log1p(np.exp(-d @ v)).mean() + 0.5e-4 * v @ v
+    assert len(d) > 100 and loss(model.weights) <= loss(w) * 1.001
+    order = np.array([v for v in x.values()]) @ w
+    mine = np.array([v for v in x.values()]) @ model.weights
+    assert np.corrcoef(order, mine)[0, 1] > 0.999
+    s = sorted(mine)
+    at = n[0]
+    assert s[max(at - 2, 0)] <= model.threshold <= s[min(at + 2, len(s) - 1)]
+    # several labels for an id count as the smallest, and repeated rows as one
+    again = quality.fit(docs.unionByName(docs), labels.unionByName(labels).unionByName(labels.filter("doc_id < 20").withColumn("quality", F.lit(1))))
+    assert abs(again.weights - model.weights).max() < 1e-9 and again.threshold == pytest.approx(model.threshold)
+
+
+def test_ratios_and_scores_equal_a_dictionary_version(spark):
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["You", "rotter", "fine  day", "ÄÖ", "x\ty", "good"][: 2 + 4 * (i % 3 > 0)]) for _ in range(rng.randrange(1, 25)))) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    docs = table(spark, rows)
+
+    def grams(t):
+        b = bytes(0x20 if c in b" \t\n\x0b\x0c\r" else c + 32 if 0x41 <= c <= 0x5A else c for c in t.encode())
+        return {b[i : i + n] for n in toxicity.ORDERS for i in range(len(b) - n + 1)}
+
+    def place(g):
+        raw = np.frombuffer(g, np.uint8)
+        return next(int(h[0]) for n, (h, _) in zip(toxicity.ORDERS, (x for x in toxicity.ngrams(raw, np.array([0, len(raw)]))), strict=False) if n == len(g))
+
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 0]
+    held = {p: {place(g) for g in grams(t)} for p, (_, t) in enumerate(rows)}
+    count = [Counter(), Counter()]
+    for p, (i, _) in enumerate(rows):
+        if zlib.crc32(str(i).encode()) % 5 != 0:
+            count[int(i % 3 == 0)].update(held[p])
+    own = spark.createDataFrame([(i, int(i % 3 == 0), t) for i, t in train], "id long, y int, text string")
+    got = {r.place: (r.p, r.q) for r in toxicity._counts(own).collect()}
+    assert got == {g: (count[1][g], count[0][g]) for g in {*count[0], *count[1]} if count[1][g] + count[0][g] >= 4}
+    model = toxicity.fit(docs, labels)
+    n1, n0 = (sum(i % 3 == 0 for i, _ in train), sum(i % 3 > 0 for i, _ in train))
+    ratio = {g: math.log((p + 1) / (n1 + 2)) - math.log((q + 1) / (n0 + 2)) for g, (p, q) in got.items()}
+    assert set(model.places.tolist()) <= set(ratio) and len(model.places) == min(len(ratio), toxicity.KEPT)
+    # a weight is a feature's ratio times its coefficient, so ratios of 0 carry nothing
+    assert all(w == 0 for g, w in zip(model.places.tolist(), model.weights.tolist(), strict=True) if ratio[g] == 0)
+    weight = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True))
+    out = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for p, (i, _) in enumerate(rows):
+        z = model.intercept + sum(weight.get(g, 0.0) for g in held[p])
+        assert out[i] == pytest.approx(1 / (1 + math.exp(-z)))
+    again = toxicity.fit(docs.unionByName(docs), labels.unionByName(labels).unionByName(labels.filter("doc_id < 9").withColumn("toxic", F.lit(1))))
+    assert (again.places == model.places).all() and abs(again.weights - model.weights).max() < 1e-6
