@@ -15,10 +15,11 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,11 +36,17 @@ SHARD_TOKENS = 1 << 20
 SYMBOLS = 1 << 16
 MIN_COUNT, RULES_A_ROUND = 24, 2500
 MEMORY_WORDS = 600_000
+#: Bytes of text that are encoded at once.
+ENCODED = 1 << 22
 #: Bytes of the longest pre-token that is merged together with others.
 LONG_TOKEN = 64
 _SLOT_BITS = 18
 #: Fixed value: the pattern of byte-level pre-tokens.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+CUTS = b".,;:!?"
+_CUT_TOKEN = regex.compile(r"[A-Za-z][.,;:!?]")
+_CUT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_CUT[list(CUTS)] = _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _NAMES = byte_names()
 _MAY_BEGIN, _MAY_END = np.zeros(256, bool), np.zeros(256, bool)
 for _c in map(chr, range(0x10000)):
@@ -52,8 +59,8 @@ _SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", p
 class ByteBpe:
     """Ids by the tokenizers library, asked once for each distinct stretch between single blanks.
 
-    A blank with a visible character on both sides always begins a new pre-token, so the text can be cut there. Texts with other blanks
-    (doubled, or beside other white space) go to the library whole.
+    A blank with a visible character on both sides always begins a new pre-token, and so does a mark of CUTS after an ASCII letter; so the
+    text can be cut there. Texts with other blanks (doubled, or beside other white space) go to the library whole.
     """
 
     def __init__(self, spec: str):
@@ -64,8 +71,12 @@ class ByteBpe:
         self.size = self.library.get_vocab_size()
         if self.size > SYMBOLS:
             raise ValueError(f"ids of {self.size} do not fit symbols of 16 bits")
-        self.at: dict[bytes, int] = {}
-        self.merges = PairMerges(json.loads(spec)["model"])
+        #: Stretches that were met, in the order of the arrays below.
+        self.known = pa.array([], pa.binary())
+        told = json.loads(spec)
+        self.merges = PairMerges(told["model"])
+        #: Whether marks may be cut off: no added token holds one after a letter.
+        self.marks = not any(_CUT_TOKEN.search(t["content"]) for t in told.get("added_tokens", ()))
         self.flat, self.filled = np.zeros(1 << 16, np.uint16), 0
         self.begin = self.count = self.flags = self.used = np.zeros(0, np.int64)
 
@@ -125,8 +136,6 @@ class ByteBpe:
         order = np.r_[safe, rest]
         begin = np.zeros(len(new), np.int64)
         begin[order] = self.filled + np.cumsum(count[order]) - count[order]
-        n = len(self.count)
-        self.at.update(zip(new, range(n, n + len(new)), strict=True))
         self.begin = np.r_[self.begin, begin]
         self.filled += len(body)
         self.count, self.flags, self.used = np.r_[self.count, count], np.r_[self.flags, flags], np.r_[self.used, np.zeros(len(new), np.int64)]
@@ -134,13 +143,11 @@ class ByteBpe:
     def _forget(self) -> None:
         """Keeps the more used half of the stretches."""
         keep = np.sort(np.argsort(-self.used, kind="stable")[: MEMORY_WORDS // 2])
-        place = np.full(len(self.used), -1)
-        place[keep] = np.arange(len(keep))
         count = self.count[keep]
         body = self._gather(keep)
         self.flat, self.filled = body.copy(), len(body)
         self.begin, self.count, self.flags, self.used = np.cumsum(count) - count, count, self.flags[keep], self.used[keep] // 2
-        self.at = {w: int(p) for w, i in self.at.items() if (p := place[i]) >= 0}
+        self.known = self.known.take(pa.array(keep))
 
     def _gather(self, k: np.ndarray) -> np.ndarray:
         count = self.count[k]
@@ -149,23 +156,28 @@ class ByteBpe:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (bytes and offsets) one after another, each with the end id, and the number of ids of each."""
-        if len(self.at) > MEMORY_WORDS:
+        if len(self.known) > MEMORY_WORDS:
             self._forget()
         if len(off) == 1:
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        # a stretch begins with each text and at each blank, which stays with what follows
-        blank = np.flatnonzero(data == 0x20)
-        starts = np.sort(np.r_[off[:-1], blank], kind="stable")
-        before = np.searchsorted(blank, off)
+        # a stretch begins with each text, at each blank, which stays with what follows, and at each mark after a letter
+        begins = data == 0x20
+        if self.marks and len(data):
+            after = _CUT[data[1:]] & _LETTER[data[:-1]]
+            after[off[(off > 0) & (off < len(data))] - 1] = False
+            begins[1:] |= after
+        cut = np.flatnonzero(begins)
+        starts = np.sort(np.r_[off[:-1], cut], kind="stable")
+        before = np.searchsorted(cut, off)
         sizes = np.diff(before) + 1
         first = before[:-1] + np.arange(len(sizes))
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[starts, off[-1]].astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        own = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        own = pc.index_in(words.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
         missing = np.flatnonzero(own < 0)
         if len(missing):
-            n = len(self.count)
-            self._learn([distinct[i] for i in missing.tolist()])
+            n, new = len(self.count), words.dictionary.take(pa.array(missing))
+            self._learn(new.to_pylist())
+            self.known = pa.concat_arrays([self.known, new])
             own[missing] = np.arange(n, n + len(missing))
         k = own[words.indices.to_numpy()]
         self.used += np.bincount(k, minlength=len(self.used))
@@ -292,15 +304,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, key: str = "do
         ids, tokens, counts, size = [], [], [], 0
         for batch in batches:
             data, off = column_bytes(batch.column(1))
-            for lo, hi in parts(off, 1 << 21):
+            for lo, hi in parts(off, ENCODED):
                 t, n = bpe.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                ids.append(batch.column(0).slice(lo, hi - lo))
-                tokens.append(t)
-                counts.append(n)
-                size += len(t)
-                if size >= shard_tokens:
-                    yield shard_of(part, number, ids, tokens, counts, bpe.size)
-                    number, ids, tokens, counts, size = number + 1, [], [], [], 0
+                ends = np.r_[0, np.cumsum(n)]
+                a = 0
+                while a < hi - lo:
+                    # as many documents as fill the shard
+                    b = min(int(np.searchsorted(ends, ends[a] + shard_tokens - size, "left")), hi - lo)
+                    ids.append(batch.column(0).slice(lo + a, b - a))
+                    tokens.append(t[ends[a] : ends[b]])
+                    counts.append(n[a:b])
+                    size, a = size + int(ends[b] - ends[a]), b
+                    if size >= shard_tokens:
+                        yield shard_of(part, number, ids, tokens, counts, bpe.size)
+                        number, ids, tokens, counts, size = number + 1, [], [], [], 0
         if ids:
             yield shard_of(part, number, ids, tokens, counts, bpe.size)
 

@@ -303,7 +303,7 @@ def test_long_texts_and_forgotten_stretches_equal_the_library(monkeypatch):
     monkeypatch.setattr(repair, "MEMORY_WORDS", 1000)
     for lo in range(0, 3000, 500):
         same([" ".join(words[lo : lo + 500]), " ".join(words[:40])])
-    assert len(own.at) <= 3000
+    assert len(own.known) <= 3000
 
 
 def test_grammar_is_exact_and_smaller():
