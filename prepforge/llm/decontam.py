@@ -9,7 +9,9 @@ Test windows are the stated query set: they go to the shards in blocks whose siz
 index holds the terms that these windows use. Matches of several blocks are merged by document.
 
 Defined cases: null or blank text has no words; an item of no words has no window, an item with fewer words than the window is one window;
-every row of the documents gives a row, also where a doc_id repeats; ids that are null stay null; unused columns are dropped.
+every row of the documents gives a row, also where a doc_id repeats; ids that are null stay null; an item without item_id hits words but counts as no
+item of its own name; rows that repeat an item_id are one item; without documents there are no rows, and without items no hits; texts are read
+whole; unused columns are dropped.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ symbols each), the expansion length of every rule and the symbol count of every
 any position, without the rest of the shard. Shards are rows of Parquet files under one path, numbered in ascending id order.
 
 Defined cases: null is the empty text, which gives the end id alone; rows with a null id come first; rows of one id stay separate, in the
-order of their texts.
+order of their texts; an empty table writes no shards; a text of any length is encoded whole and lies in one shard; other columns are dropped.
 """
 
 from __future__ import annotations

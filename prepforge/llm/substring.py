@@ -10,7 +10,8 @@ one whole block of its own document, so two equal windows share a block of one w
 3. Windows that a smaller document has are joined to maximal repeats, and the words that these cover are removed.
 
 Defined cases: null or blank text has no words; rows without doc_id neither lose words nor stand as a source; rows of one doc_id are
-one document, so they don't remove each other's words; the columns that are not named are dropped.
+one document, so they don't remove each other's words; an empty table gives no rows; texts are read whole, and of one that fills a fragment
+alone the hashes are worked out a megabyte at a time; the columns that are not named are dropped.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Fitted on a bounded sample (MAX_LABELLED rows, half of each class; the intercept
 scored whole.
 
 Defined cases: null text is empty; an empty text has no n-gram and gets the intercept; without both labels in training every score is the
-share of label 1 (0 without labels); other columns pass through.
+share of label 1 (0 without labels); rows that repeat an id count once in training, and of several labels for an id the smallest counts; an
+empty table gives no rows; texts are read whole, of any length; other columns pass through.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ sequence is the BPE encoding if and only if every adjacent pair of tokens is the
 are checked once each, all pairs are looked up as one array, and pieces with a pair that doesn't hold are merged exactly by rank.
 
 Defined cases: null is the empty text; a text of white space only has no ids; special tokens in a text get their own ids, as the library
-gives them; rows of one doc_id stay separate rows; other columns pass through.
+gives them; rows of one doc_id stay separate rows; an empty table gives no rows; texts are encoded whole; other columns pass through.
 """
 
 from __future__ import annotations

@@ -770,3 +770,12 @@ def test_ratios_and_scores_equal_a_dictionary_version(spark):
         assert out[i] == pytest.approx(1 / (1 + math.exp(-z)))
     again = toxicity.fit(docs.unionByName(docs), labels.unionByName(labels).unionByName(labels.filter("doc_id < 9").withColumn("toxic", F.lit(1))))
     assert (again.places == model.places).all() and abs(again.weights - model.weights).max() < 1e-6
+
+
+def test_items_without_id_and_repeated_items(spark):
+    passage, other = (" ".join(f"{x}{i}" for i in range(14)) for x in "pq")
+    docs = table(spark, [(1, f"before {passage} after"), (2, other), (3, "clean words"), (4, None)])
+    bench = spark.createDataFrame([(None, passage, 1), ("b", other, 1), ("b", other, 2), ("c", None, 1)], "item_id string, text string, frag int")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.decontaminate(docs, bench).collect()}
+    assert got == {1: (16, 14, 0), 2: (14, 14, 1), 3: (2, 0, 0), 4: (0, 0, 0)}
+    assert decontam.decontaminate(docs, bench.limit(0)).filter("n_hit > 0").count() == 0 and decontam.decontaminate(docs.limit(0), bench).count() == 0
