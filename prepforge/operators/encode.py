@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import exists
 from .columns import missing_flag, product, ratio
 from .joins import look_up
 from .ranks import percent_rank_average
@@ -28,6 +29,29 @@ class Scaler:
 
         return df.withColumns({c: one(c) for c in self.stats})
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row for each column."""
+        rows = [(c, float(m), float(s), self.floor) for c, (m, s) in self.stats.items()]
+        spark.createDataFrame(rows, "name string, mean double, std double, floor double").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Scaler:
+        rows = spark.read.parquet(path).collect()  # one row a column
+        made = cls.__new__(cls)
+        made.stats, made.floor = {r.name: (r["mean"], r["std"]) for r in rows}, rows[0].floor if rows else None
+        return made
+
+    @classmethod
+    def stored(cls, paths: Sequence[str], train: DataFrame, columns: Sequence[str], floor: float | None = None) -> Scaler:
+        """The scaler under the first path that exists and knows all columns; without one it is fitted on train and kept under the last path."""
+        spark = train.sparkSession
+        for path in paths:
+            if exists(spark, path) and set(columns) <= (made := cls.load(spark, path)).stats.keys():
+                return made
+        made = cls(train, columns, floor)
+        made.save(spark, paths[-1])
+        return made
+
 
 class FrequencyEncoder:
     """Counts of values on training rows; missing is a value of its own, unseen values count 1."""

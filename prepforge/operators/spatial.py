@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import durable
@@ -78,33 +80,62 @@ def neighbours(cells: DataFrame, value: str = "value", by: Sequence[str] = ()) -
     return a.join(b, [*by, "n_row", "n_col"])
 
 
-def nearest_filled(empty: DataFrame, filled: DataFrame, k: int, value: str = "value", bucket: int = 8, by: Sequence[str] = ()) -> DataFrame:
+def nearest_filled(empty: DataFrame, filled: DataFrame, k: int, value: str = "value", block: int = 8, by: Sequence[str] = ()) -> DataFrame:
     """The k nearest filled cells (row, col, n_value, d2, place) of each empty cell, ties to the smaller row, then column.
 
-    Cells join by square buckets in rings that grow twofold; a cell is done when its k-th distance lies within the ring, so that far
-    cells alone look far.
+    Empty cells ask as blocks of block x block cells. A pyramid of the numbers of filled cells is gone down level by level: of its squares, a
+    block keeps those that are not beyond the distance within which the squares' numbers warrant k cells. The cells of the squares that
+    are left are sent to the block, which ranks them. So a block looks as far as it has to, in as many rounds as the pyramid has levels, and no
+    task holds more than what a few neighbouring blocks need.
     """
-    f = filled.select(*by, F.col("row").alias("fr"), F.col("col").alias("fc"), F.col(value).alias("n_value"), F.floor(F.col("row") / bucket).alias("br"), F.floor(F.col("col") / bucket).alias("bc"))
-    size = filled.agg(F.max(F.greatest("row", "col")).alias("m"), F.count("*").alias("n")).first()
-    far = empty.agg(F.max(F.greatest("row", "col")).alias("m")).first().m
     kinds = dict(empty.dtypes)
-    if not size.n or far is None:
-        return empty.sparkSession.createDataFrame([], "".join(f"`{c}` {kinds[c]}, " for c in by) + "row int, col int, n_value double, d2 double, place int")
-    at = [*by, "row", "col"]
-    left, done, ring = empty.select(*at), None, 1
-    while True:
-        whole = ring * bucket > max(size.m, far)
-        span = F.sequence(F.lit(-ring), F.lit(ring))
-        looked = left.withColumn("dr", F.explode(span)).withColumn("dc", F.explode(span))
-        looked = looked.withColumns({"br": F.floor(F.col("row") / bucket) + F.col("dr"), "bc": F.floor(F.col("col") / bucket) + F.col("dc")})
-        d2 = (F.col("row") - F.col("fr")) ** 2 + (F.col("col") - F.col("fc")) ** 2
-        near = looked.join(f, [*by, "br", "bc"]).withColumn("d2", d2)
-        best = near.groupBy(*at).agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "fr", "fc", "n_value"))), 1, k).alias("b"))
-        ok = F.lit(True) if whole else (F.size("b") == k) & (F.col("b")[k - 1]["d2"] <= float(ring * bucket) ** 2)
-        best = durable(best.withColumn("ok", F.coalesce(ok, F.lit(False))))
-        got = best.filter("ok").select(*at, "b")
-        done = got if done is None else done.unionByName(got)
-        left = durable(left.join(got, at, "left_anti"))
-        if whole or left.isEmpty():
-            return done.select(*at, F.posexplode("b").alias("place", "e")).select(*at, "e.n_value", F.col("e.d2").alias("d2"), F.col("place"))
-        ring *= 2
+    names = "".join(f"`{c}` {kinds[c]}, " for c in by)
+    place = lambda c: F.floor(F.col(c) / block).cast("int")
+    cells = filled.select(*by, F.col("row").cast("int").alias("fr"), F.col("col").cast("int").alias("fc"), F.col(value).cast("double").alias("n_value")).withColumns({"r": place("fr"), "c": place("fc")})
+    asked = durable(empty.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).withColumns({"br": place("row"), "bc": place("col")}))
+    levels = [durable(cells.groupBy(*by, "r", "c").agg(F.count("*").alias("n")))]
+    while (most := levels[-1].agg(F.max(F.greatest("r", "c")).alias("m")).first().m) is not None and most > 0:
+        levels.append(durable(levels[-1].groupBy(*by, F.shiftright("r", 1).alias("r"), F.shiftright("c", 1).alias("c")).agg(F.sum("n").alias("n"))))
+    own = [*by, "br", "bc"]
+    found = asked.select(*own).distinct()
+    top = levels[-1].select(*by, "r", "c", "n")
+    found = found.join(F.broadcast(top), list(by)) if by else found.crossJoin(F.broadcast(top))  # one square for each grid
+    for level in range(len(levels) - 1, -1, -1):
+        side = block << level
+        if level < len(levels) - 1:
+            two = F.array(F.lit(0), F.lit(1))
+            parts = found.select(*own, (2 * F.col("r")).alias("r2"), (2 * F.col("c")).alias("c2")).withColumn("dr", F.explode(two)).withColumn("dc", F.explode(two))
+            found = parts.select(*own, (F.col("r2") + F.col("dr")).alias("r"), (F.col("c2") + F.col("dc")).alias("c")).join(levels[level], [*by, "r", "c"])
+        gap = lambda a, b: F.greatest(F.lit(0), F.col(a) * side - (F.col(b) * block + block - 1), F.col(b) * block - (F.col(a) * side + side - 1)).cast("long")  # noqa: B023, E731
+        span = lambda a, b: F.greatest(F.col(a) * side + side - 1 - F.col(b) * block, F.col(b) * block + block - 1 - F.col(a) * side).cast("long")  # noqa: B023, E731
+        far = found.withColumns({"near": gap("r", "br") * gap("r", "br") + gap("c", "bc") * gap("c", "bc"), "far": span("r", "br") * span("r", "br") + span("c", "bc") * span("c", "bc")})
+        within = far.withColumn("upto", F.sum("n").over(Window.partitionBy(*own).orderBy("far").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        limit = F.min(F.when(F.col("upto") >= k, F.col("far"))).over(Window.partitionBy(*own))
+        found = durable(within.withColumn("limit", limit).filter("limit is null or near <= limit").select(*own, "r", "c"))
+    sent = found.join(cells, [*by, "r", "c"]).select(*own, "fr", "fc", "n_value")
+    columns = [*by, "row", "col", "n_value", "d2", "place"]
+
+    def ranked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        blocks = {b: x for b, x in right.groupby(["br", "bc"])}
+        for b, e in left.groupby(["br", "bc"]):
+            if b not in blocks:
+                continue
+            f = blocks[b].sort_values(["fr", "fc"])
+            r, c, v = f["fr"].to_numpy(np.int64), f["fc"].to_numpy(np.int64), f["n_value"].to_numpy()
+            row, col = e["row"].to_numpy(np.int64), e["col"].to_numpy(np.int64)
+            d2 = (row[:, None] - r) ** 2 + (col[:, None] - c) ** 2
+            # cells are in order of row and column, so their number settles ties
+            order = d2 * len(r) + np.arange(len(r))
+            best = np.sort(np.partition(order, min(k, len(r)) - 1, axis=1)[:, :k], axis=1) if len(r) > k else np.sort(order, axis=1)
+            at, n = best % len(r), best.shape[1]
+            out.append(pd.DataFrame({"row": np.repeat(row, n), "col": np.repeat(col, n), "n_value": v[at].ravel(), "d2": (best // len(r)).ravel().astype(float), "place": np.tile(np.arange(n), len(row))}))
+        if not out:
+            return pd.DataFrame(columns=columns)
+        whole = pd.concat(out, ignore_index=True)
+        for x in by:
+            whole[x] = left[x].iloc[0]
+        return whole
+
+    group = [*by, F.shiftright("br", 2).alias("gr"), F.shiftright("bc", 2).alias("gc")]
+    return asked.groupBy(*group).cogroup(sent.groupBy(*group)).applyInPandas(ranked, f"{names}row int, col int, n_value double, d2 double, place int")

@@ -135,10 +135,16 @@ _SPACED = f"""k(pick, row, col, value, picks) as (select 0, null::int, null::int
  from k, c where pick < 10 and not list_bool_or(list_transform(picks || [{{'r': -1000, 'k': -1000}}], lambda x: sqrt((x.r - c.row) ** 2 + (x.k - c.col) ** 2) <= 12)) group by pick)"""
 
 
-@query()
+_BLUR = "g as (select unnest(range(-4, 5))::int as o, exp(-0.5 * unnest(range(-4, 5)) ** 2) / (select sum(exp(-0.5 * x ** 2)) from (select unnest(range(-4, 5)) as x)) as w)"
+_MIRROR = "case when {0} < 0 then -{0} - 1 when {0} >= {1} then 2 * {1} - 1 - {0} else {0} end"
+
+
+@query(f"""with {_I}, c as (select row, col, quantile_cont(z, 0.05) as value from i group by 1, 2), {_BLUR},
+a as (select c.row, c.col, sum(b.value * g.w) as value from c, m, g join c b on b.col = c.col and b.row = {_MIRROR.format("(c.row + g.o)", "m.nr")} group by c.row, c.col)
+select a.row, a.col, round(sum(b.value * g.w), 6) as value from a, m, g join a b on b.row = a.row and b.col = {_MIRROR.format("(a.col + g.o)", "m.nc")} group by a.row, a.col""")
 def g06_g07_dtm(t):
     dtm, _ = te.make_dtm(points(t), 1.0, "p05")
-    return dtm
+    return dtm.withColumn("value", F.round("value", 6))
 
 
 @query(f"with recursive {_C}, {_FILLED} select row, col, value from w")
@@ -151,12 +157,17 @@ def g11_flow_accumulation(t):
     return te.flow_accumulation(durable(te.flow_direction(_grid(t))), tile=16)
 
 
-@query()
+_SOBEL = "k as (select dr, dc, gx, gy from (values (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)) as k(dr, dc, gx, gy))"
+
+
+@query(f"""with recursive {_C}, {_FLOW}, {_SOBEL},
+h as (select c.row, c.col, greatest(sqrt((sum(x.value * k.gx) / 8) ** 2 + (sum(x.value * k.gy) / 8) ** 2), 0.001) as slope from c, m, k join c x on x.row = {_MIRROR.format("(c.row + k.dr)", "m.nr")} and x.col = {_MIRROR.format("(c.col + k.dc)", "m.nc")} group by c.row, c.col)
+select row, col, round(ln(acc / slope), 6) as value, round(slope, 6) as slope from h join acc using (row, col)""")
 def g12_g13_slope_and_wetness(t):
     g = _grid(t)
     s = durable(te.slope(g, *_size(t), 1.0, 0.001))
     acc = te.flow_accumulation(durable(te.flow_direction(g)), tile=16)
-    return te.wetness(acc, s, 1.0).join(s, ["row", "col"])
+    return te.wetness(acc, s, 1.0).join(s, ["row", "col"]).select("row", "col", F.round("value", 6).alias("value"), F.round("slope", 6).alias("slope"))
 
 
 @query()
@@ -233,10 +244,15 @@ def d11_utm_zone(t):
     return s.select("s_suppkey", zone.alias("zone"), epsg.alias("epsg"))
 
 
-@query()
+@query(f"""with {_P}, k as (select 6378137.0::double as a, (1 / 298.257223563::double) / (2 - 1 / 298.257223563::double) as n),
+c as (select *, a / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) as radius, [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16, 13 * n ** 2 / 48 - 3 * n ** 3 / 5, 61 * n ** 3 / 240] as alpha, 2 * sqrt(n) / (1 + n) as e from k),
+r as (select id, radians(12 + y / 64) as phi, radians(77 + x / 64 - (43 * 6 - 183)) as lam, c.* from p, c),
+t as (select *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) as t from r), u as (select *, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from t)
+select id, round(500000 + 0.9996 * radius * (eta + list_sum(list_transform(range(1, 4), lambda j: alpha[j] * cos(2 * j * xi) * sinh(2 * j * eta)))), 3) as x,
+  round(0.9996 * radius * (xi + list_sum(list_transform(range(1, 4), lambda j: alpha[j] * sin(2 * j * xi) * cosh(2 * j * eta)))), 3) as y from u""")
 def d12_to_utm(t):
     p = points(t).select("id", (77 + F.col("x") / 64).alias("x"), (12 + F.col("y") / 64).alias("y"))
-    return sa.to_utm(p, 43)
+    return sa.to_utm(p, 43).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("select l_orderkey, l_linenumber, l_quantity / 255.0::double as l_quantity from lineitem")

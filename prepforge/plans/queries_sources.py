@@ -113,3 +113,15 @@ def s16_first_existing(t):
     io.write_parquet(customer, f"{path}/second")
     spark = customer.sparkSession
     return spark.read.parquet(io.first_existing(spark, [f"{path}/first", f"{path}/second"]))
+
+
+@query("select p_partkey, round((p_size - m) / s, 9) as p_size from part, (select avg(p_size::double) as m, stddev_pop(p_size::double) as s from part where p_partkey % 2 = 0)")
+def s16_scaler_fallback(t):
+    """A scaler that is fitted as no stored one is there, and another that is then read instead of being fitted on other rows."""
+    from ..operators.encode import Scaler
+
+    part = t("part").select("p_partkey", "p_size")
+    path = _folder(part)
+    Scaler.stored([f"{path}/old", f"{path}/new"], part.filter("p_partkey % 2 = 0"), ["p_size"])
+    again = Scaler.stored([f"{path}/old", f"{path}/new"], part, ["p_size"])
+    return again.transform(part).withColumn("p_size", F.round("p_size", 9))

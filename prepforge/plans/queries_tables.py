@@ -58,6 +58,16 @@ def p07_drop_sparse_columns(t):
     return j.drop(*co.sparse_columns(j))
 
 
+@query("""
+with j as (select d.doc_id, d.lang, l.toxic from documents d left join (select doc_id, toxic from labels where toxic = 1) l using (doc_id))
+select unnest(['doc_id', 'lang', 'toxic']) as name, unnest([avg((doc_id is null)::int) > 0.5, avg((lang is null)::int) > 0.5, avg((toxic is null)::int) > 0.5]) as dropped from j""")
+def p07_sparse_columns(t):
+    """Which columns miss more than half of their values."""
+    j = t("documents").select("doc_id", "lang").join(t("labels").filter("toxic = 1").select("doc_id", "toxic"), "doc_id", "left")
+    gone = co.sparse_columns(j)
+    return j.sparkSession.createDataFrame([(c, c in gone) for c in j.columns], "name string, dropped boolean")
+
+
 @query("""
 select l_orderkey, l_linenumber, least(greatest(l_quantity, 10), 40) as clipped, round(ln(1 + greatest(l_extendedprice, 0)), 9) as log_price,
   round(greatest(exp(least(greatest(l_quantity, -5), 12)) - 1, 0), 6) as safe, round(l_quantity * l_discount, 9) as prod,
@@ -464,7 +474,9 @@ def e05_one_hot_capped(t):
     return t("orders").select("o_orderkey", *[c.alias(n.lower()) for n, c in new.items()])
 
 
-@query()
+@query("""
+with v as (select c_mktsegment as s, count(*) as n from customer where c_custkey % 3 <> 0 group by 1), o as (select list(s order by n desc, s) as levels from v)
+select c_custkey, list_transform(levels || ['no level'], lambda s: (s = c_mktsegment)::int::double) as onehot from customer, o""")
 def e04_e06_one_hot(t):
     from pyspark.ml.functions import vector_to_array
 
@@ -479,6 +491,17 @@ def e09_leakage_guard(t):
     return li.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "twice").drop(*en.leaking(li, "l_extendedprice", ["l_tax", "twice"]))
 
 
+@query("""
+with l as (select l_extendedprice::double as y, (l_extendedprice * 2)::double as twice, (-l_extendedprice)::double as minus, l_tax::double as l_tax, l_quantity::double as l_quantity from lineitem)
+select unnest(['twice', 'minus', 'l_tax', 'l_quantity']) as name, unnest([abs(corr(y, twice)) > 0.9, abs(corr(y, minus)) > 0.9, abs(corr(y, l_tax)) > 0.9, abs(corr(y, l_quantity)) > 0.9]) as leaks from l""")
+def e09_leaking_columns(t):
+    """Which columns tell the target."""
+    li = t("lineitem").withColumns({"twice": F.col("l_extendedprice") * 2, "minus": -F.col("l_extendedprice")})
+    names = ["twice", "minus", "l_tax", "l_quantity"]
+    gone = en.leaking(li, "l_extendedprice", names)
+    return li.sparkSession.createDataFrame([(c, c in gone) for c in names], "name string, leaks boolean")
+
+
 @query()
 def e10_label_noise(t):
     return t("labels").select("doc_id", "quality", en.label_noise("doc_id", "quality").alias("noisy"))
@@ -493,11 +516,15 @@ def e12_claim_engineer(t):
     return out.select("p_partkey", F.round("eng_p_size_x_pr", 6).alias("prod"), F.round("eng_p_size_div_pr", 9).alias("ratio"), F.col("eng_pr_is_missing").alias("miss"), F.col("p_brand_freq").alias("freq"))
 
 
-@query("select cast(count(*) as bigint) as n, true as balanced from part")
+@query("""
+with v as (select p_retailprice::double as x, ln(1 + p_retailprice::double) as l from part), e as (select quantile_cont(l, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) as e from v),
+b as (select len(list_filter(list_distinct(e[2:10]), lambda q: l > q))::int as bin, count(*) as n from v, e group by 1)
+select bin, 'val' as split, round(n * 0.2)::bigint as n from b where round(n * 0.2) > 0 union all select bin, 'train', n - round(n * 0.2)::bigint from b""")
 def v01_stratified_holdout(t):
-    """Size and balance of the split by log-price decile: what can be compared, as the rows follow a hash."""
+    """Rows of either part in each decile of the log price: what can be compared, as the rows follow a hash."""
     s = sp.holdout_by_target(t("part"), "p_partkey", "p_retailprice")
-    return s.agg(F.count("*").alias("n"), (F.abs(F.avg((F.col("split") == "val").cast("double")) - 0.2) < 0.05).alias("balanced"))
+    binned = ra.quantile_bins(s.withColumn("l", F.log1p(F.col("p_retailprice").cast("double"))), "l", 10)
+    return binned.groupBy("bin", "split").agg(F.count("*").alias("n"))
 
 
 @query("""

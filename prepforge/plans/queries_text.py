@@ -35,6 +35,15 @@ def f02_f09_parse_catalog(t):
     return c.join(size, "sample_id").select("sample_id", "item_name", "v0", "pack_value", "pack_unit", "pack_count")
 
 
+@query("""
+select p_partkey as sample_id, p_type as item_description, case when p_size % 2 = 0 then p_size || 'x250 ml' else p_size || ' oz' end as item_pack,
+  case when p_size % 2 = 0 then p_size || 'x250 ml' else p_size || ' oz' end as item_pack_clean, 1 as has_pack from part""")
+def f03_f08_catalog_fields(t):
+    """Descriptions, packs as found, and packs as they are written again."""
+    c = tx.clean_pack(tx.parse_catalog(_catalog(t)))
+    return c.select("sample_id", "item_description", "item_pack", "item_pack_clean", "has_pack")
+
+
 @query(r"""
 select doc_id, length(text) as desc_len, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) as desc_words, round(length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) / (length(text) + 1e-6), 9) as uppercase_ratio,
   round(length(regexp_replace(text, '[^.,;:!?]', '', 'g')) / (length(text) + 1e-6), 9) as punct_density, round(length(regexp_replace(text, '[^0-9]', '', 'g')) / (length(text) + 1e-6), 9) as digit_ratio from documents""")

@@ -80,6 +80,15 @@ def first_existing(spark: SparkSession, paths: Iterable[str]) -> str | None:
     return next((p for p in paths if exists(spark, p)), None)
 
 
+def read_first(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """The Parquet table under the first path that exists; an error that names all, if there is none."""
+    paths = list(paths)
+    found = first_existing(spark, paths)
+    if found is None:
+        raise FileNotFoundError(f"none of {paths} exists")
+    return spark.read.parquet(found)
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """A point table; x, y and z must be there and become doubles."""
     df = spark.read.parquet(path)

@@ -292,6 +292,37 @@ def test_local_grid_operators(spark):
     assert not np.isnan(filled).any() and filled[2, 2] in (a[1, 2], a[2, 1], a[2, 3], a[3, 2])
 
 
+def test_nearest_filled_from_far_and_near(spark):
+    """One filled corner, a line, and single cells, in grids of different sizes at once: all distances are those of a full search."""
+    rng = np.random.default_rng(12)
+    grids, rows = {}, []
+    for g, (h, w) in {"corner": (50, 70), "line": (33, 20), "few": (40, 40), "dense": (30, 45), "none": (9, 9)}.items():
+        full = np.zeros((h, w), bool)
+        if g == "corner":
+            full[:3, :4] = True
+        elif g == "line":
+            full[:, 11] = True
+        elif g == "few":
+            full[[1, 39, 17], [38, 2, 20]] = True
+        elif g == "dense":
+            full = rng.random((h, w)) < 0.7
+        grids[g] = full
+        rows += [(g, r, c, float(100 * r + c) if full[r, c] else None) for r in range(h) for c in range(w)]
+    df = spark.createDataFrame(rows, "g string, row int, col int, value double").repartition(5)
+    near = sa.nearest_filled(df.filter("value is null").select("g", "row", "col"), df.filter("value is not null"), 5, by=["g"]).collect()
+    got = {}
+    for r in near:
+        got.setdefault((r.g, r.row, r.col), []).append((r.place, r.d2, r.n_value))
+    want = {}
+    for g, full in grids.items():
+        at = np.argwhere(full)
+        for r, c in np.argwhere(~full):
+            order = sorted(((r - y) ** 2 + (c - x) ** 2, y, x) for y, x in at)[:5]
+            if order:
+                want[g, r, c] = [(i, float(d), float(100 * y + x)) for i, (d, y, x) in enumerate(order)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_utm(spark):
     # a point on the central meridian keeps the false easting; one degree east of it at the equator lies 111 km further
     p = spark.createDataFrame([(75.0, 0.0), (76.0, 0.0)], "x double, y double")
