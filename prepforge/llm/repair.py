@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 
 from . import shared
 from .pairmerge import PairMerges
-from .textcore import column_bytes, parts
+from .textcore import MIX_B, U64, byte_values, column_bytes, mix, parts, powers
 from .wordbpe import byte_names, tokenizer_file
 
 END_ID = 0
@@ -56,6 +56,54 @@ for _c in map(chr, range(0x10000)):
 _SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("base", pa.int32()), ("docs", pa.binary()), ("doc_symbols", pa.binary()), ("symbols", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary())])
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each text or byte string."""
+    data, off = column_bytes(words)
+    size = np.diff(off)
+    full = np.flatnonzero(size)
+    out = np.zeros(len(size), U64)
+    if len(full):
+        values = byte_values(1)[data] * powers(int(size.max()))[np.arange(len(data)) - np.repeat(off[:-1], size)]
+        out[full] = np.add.reduceat(values, off[:-1][full])
+    return mix(out + size.astype(U64) * MIX_B)
+
+
+class _Index:
+    """Numbers of hashes: open addressing, many at a time."""
+
+    def __init__(self, most: int):
+        self.bits = max(16, int(2 * most).bit_length())
+        self.keys, self.at = np.zeros(1 << self.bits, U64), np.full(1 << self.bits, -1, np.int32)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        out, left = np.full(len(h), -1), np.arange(len(h))
+        slot = self._slot(h)
+        while len(left):
+            own = self.at[slot]
+            hit = (own >= 0) & (self.keys[slot] == h[left])
+            out[left[hit]] = own[hit]
+            go = (own >= 0) & ~hit
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray, first: int) -> None:
+        """Hashes that are not there get the numbers from first on; of equal ones the first counts."""
+        left = np.unique(h, return_index=True)[1]
+        left = left[self.find(h[left]) < 0]
+        slot = self._slot(h[left])
+        while len(left):
+            free = np.flatnonzero(self.at[slot] < 0)
+            won = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[won]], self.at[slot[won]] = h[left[won]], first + left[won]
+            stay = np.ones(len(left), bool)
+            stay[won] = False
+            left, slot = left[stay], (slot[stay] + 1) & ((1 << self.bits) - 1)
+
+
 class ByteBpe:
     """Ids by the tokenizers library, asked once for each distinct stretch between single blanks.
 
@@ -72,7 +120,7 @@ class ByteBpe:
         if self.size > SYMBOLS:
             raise ValueError(f"ids of {self.size} do not fit symbols of 16 bits")
         #: Stretches that were met, in the order of the arrays below.
-        self.known = pa.array([], pa.binary())
+        self.known, self.index = pa.array([], pa.binary()), _Index(2 * MEMORY_WORDS)
         told = json.loads(spec)
         self.merges = PairMerges(told["model"])
         #: Whether marks may be cut off: no added token holds one after a letter.
@@ -147,7 +195,8 @@ class ByteBpe:
         body = self._gather(keep)
         self.flat, self.filled = body.copy(), len(body)
         self.begin, self.count, self.flags, self.used = np.cumsum(count) - count, count, self.flags[keep], self.used[keep] // 2
-        self.known = self.known.take(pa.array(keep))
+        self.known, self.index = self.known.take(pa.array(keep)), _Index(2 * MEMORY_WORDS)
+        self.index.add(word_hashes(self.known), 0)
 
     def _gather(self, k: np.ndarray) -> np.ndarray:
         count = self.count[k]
@@ -172,12 +221,20 @@ class ByteBpe:
         sizes = np.diff(before) + 1
         first = before[:-1] + np.arange(len(sizes))
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[starts, off[-1]].astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-        own = pc.index_in(words.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        h = word_hashes(words.dictionary)
+        own = self.index.find(h)
+        met = np.flatnonzero(own >= 0)
+        own[met[~pc.equal(self.known.take(pa.array(own[met])), words.dictionary.take(pa.array(met))).to_numpy(zero_copy_only=False)]] = -1
         missing = np.flatnonzero(own < 0)
         if len(missing):
             n, new = len(self.count), words.dictionary.take(pa.array(missing))
             self._learn(new.to_pylist())
             self.known = pa.concat_arrays([self.known, new])
+            if 2 * len(self.known) > len(self.index.at):
+                self.index = _Index(2 * len(self.known))
+                self.index.add(word_hashes(self.known), 0)
+            else:
+                self.index.add(h[missing], n)
             own[missing] = np.arange(n, n + len(missing))
         k = own[words.indices.to_numpy()]
         self.used += np.bincount(k, minlength=len(self.used))

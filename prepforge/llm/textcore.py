@@ -32,7 +32,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _byte_values(seed: int) -> np.ndarray:
+def byte_values(seed: int) -> np.ndarray:
     return mix((np.arange(1, 257, dtype=U64) + U64(seed << 16)) * STEP) | U64(1)
 
 
@@ -108,7 +108,7 @@ class Words:
         begin = ends - lens
         body = self.data[self.inside]
         at = np.arange(len(body)) - np.repeat(begin, lens)
-        values = _byte_values(seed)[body] * powers(int(lens.max()))[at]
+        values = byte_values(seed)[body] * powers(int(lens.max()))[at]
         return mix(np.add.reduceat(values, begin) + lens.astype(U64) * MIX_B)
 
 
