@@ -112,12 +112,12 @@ def nearest_filled(empty: DataFrame, filled: DataFrame, k: int, value: str = "va
         within = far.withColumn("upto", F.sum("n").over(Window.partitionBy(*own).orderBy("far").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
         limit = F.min(F.when(F.col("upto") >= k, F.col("far"))).over(Window.partitionBy(*own))
         found = durable(within.withColumn("limit", limit).filter("limit is null or near <= limit").select(*own, "r", "c"))
-    sent = found.join(cells, [*by, "r", "c"]).select(*own, "fr", "fc", "n_value")
+    sent = found.join(cells, [*by, "r", "c"]).select(*[F.col(c).alias(c) for c in by], F.col("br").alias("qr"), F.col("bc").alias("qc"), "fr", "fc", "n_value")
     columns = [*by, "row", "col", "n_value", "d2", "place"]
 
     def ranked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        blocks = {b: x for b, x in right.groupby(["br", "bc"])}
+        blocks = {b: x for b, x in right.groupby(["qr", "qc"])}
         for b, e in left.groupby(["br", "bc"]):
             if b not in blocks:
                 continue
@@ -137,5 +137,5 @@ def nearest_filled(empty: DataFrame, filled: DataFrame, k: int, value: str = "va
             whole[x] = left[x].iloc[0]
         return whole
 
-    group = [*by, F.shiftright("br", 2).alias("gr"), F.shiftright("bc", 2).alias("gc")]
-    return asked.groupBy(*group).cogroup(sent.groupBy(*group)).applyInPandas(ranked, f"{names}row int, col int, n_value double, d2 double, place int")
+    group = lambda r, c: [*by, F.shiftright(r, 2).alias("gr"), F.shiftright(c, 2).alias("gc")]
+    return asked.groupBy(*group("br", "bc")).cogroup(sent.groupBy(*group("qr", "qc"))).applyInPandas(ranked, f"{names}row int, col int, n_value double, d2 double, place int")
