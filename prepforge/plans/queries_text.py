@@ -36,7 +36,7 @@ def f02_f09_parse_catalog(t):
 
 
 @query("""
-select p_partkey as sample_id, p_type as item_description, case when p_size % 2 = 0 then p_size || 'x250 ml' else p_size || ' oz' end as item_pack,
+select p_partkey as sample_id, 'Bullet Point 1: ' || p_type as item_description, case when p_size % 2 = 0 then p_size || 'x250 ml' else p_size || ' oz' end as item_pack,
   case when p_size % 2 = 0 then p_size || 'x250 ml' else p_size || ' oz' end as item_pack_clean, 1 as has_pack from part""")
 def f03_f08_catalog_fields(t):
     """Descriptions, packs as found, and packs as they are written again."""
