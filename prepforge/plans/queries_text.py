@@ -52,9 +52,17 @@ def f10_f11_complexity(t):
     return t("documents").select("doc_id", c["desc_len"].alias("desc_len"), c["desc_words"].alias("desc_words"), *[F.round(c[k], 9).alias(k) for k in ("uppercase_ratio", "punct_density", "digit_ratio")])
 
 
-@query(r"""
-with n as (select doc_id, list_transform(regexp_extract_all(text, '(\d+(?:\.\d+)?)', 1), lambda x: cast(x as double)) as n from documents)
-select doc_id, len(n) as n_numbers, round(coalesce(list_avg(n), 0), 6) as num_mean, round(coalesce(list_stddev_pop(n), 0), 4) as num_std, coalesce(list_max(n), 0) as num_max from n""")
+def _rounded(x: str, places: int) -> str:
+    """SQL for x rounded half up in decimals, as the query rounds: of the shortest number that tells x apart, whatever its size."""
+    return f"coalesce(cast(cast(try_cast(cast({x} as varchar) as decimal(38, {places})) as varchar) as double), {x})"
+
+
+# sums run from the left, as in the query: numbers of 1e15 show the last bit of another order
+@query(rf"""
+with n as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '(\d+(?:\.\d+)?)', 1), lambda x: cast(x as double)) as n from documents),
+m as (select doc_id, n, case when len(n) > 0 then list_reduce(n, lambda a, b: a + b) / len(n) else 0.0::double end as mean from n),
+s as (select doc_id, n, mean, case when len(n) > 0 then sqrt(list_reduce(list_transform(n, lambda x: (x - mean) * (x - mean)), lambda a, b: a + b) / len(n)) else 0.0::double end as std from m)
+select doc_id, len(n) as n_numbers, {_rounded("mean", 6)} as num_mean, {_rounded("std", 4)} as num_std, coalesce(list_max(n), 0) as num_max from s""")
 def f12_numbers(t):
     c = tx.numbers("text")
     return t("documents").select("doc_id", c["n_numbers"].alias("n_numbers"), F.round(c["num_mean"], 6).alias("num_mean"), F.round(c["num_std"], 4).alias("num_std"), c["num_max"].alias("num_max"))
