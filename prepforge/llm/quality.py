@@ -5,7 +5,8 @@ of their scores, and a score is linear in features of the whole text; so the wei
 feature differences. A document is accepted if its score reaches a quantile of the training scores: the share of documents marked 0.
 Scores are reported on a logistic scale that puts the threshold at 0.7.
 
-Fitted on a bounded sample (MAX_LABELLED rows, half of each class); everything else covers all rows. Features come from the text alone.
+Fitted on all labelled training rows: a document of the smaller class is in PAIRS_EACH pairs on average, so pairs grow with the labels. The
+threshold is an order statistic of all training scores. Features come from the text alone.
 
 Defined cases: null text is empty; an empty text gets the score of its (zero) features; without both labels in training no pair exists,
 every score is the threshold, and all documents are accepted; unlabelled documents are scored like others; rows
@@ -20,14 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import exact_percentiles
 from . import shared, supervised
 from .textcore import SPACE, Words, column_bytes, parts, windows
 
-MAX_LABELLED, PAIRS_EACH = 16_000, 4
+PAIRS_EACH = 4
 FOLD, HELD = 4, 2
 THRESHOLD = 0.7
 FEATURES = ("log_words", "upper", "marks", "symbols", "bars", "digits", "stops", "mean_word", "long_words", "distinct", "twice", "repeated", "top_word", "short")
@@ -112,10 +113,20 @@ def _feature_rows(docs: DataFrame) -> DataFrame:
     return docs.select("id", "y", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, y int, x array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str = "doc_id", text: str = "text", most: int = MAX_LABELLED) -> Ranking:
+def _training_rows(docs: DataFrame, labels: DataFrame, column: str, key: str, text: str) -> DataFrame:
+    """id, y and x of all labelled training documents, once each. Where the labels are too many to broadcast, features travel to them and not texts."""
+    known = supervised.labelled(labels, column, FOLD, HELD, key)
+    own = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    if supervised.is_small(known):
+        rows = _feature_rows(own.join(F.broadcast(known), "id"))
+    else:
+        rows = _feature_rows(own.withColumn("y", F.lit(None).cast("int"))).drop("y").join(known, "id")
+    return shared.durable(rows.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str = "doc_id", text: str = "text") -> Ranking:
     shared.tune(docs.sparkSession)
-    sample, seen = supervised.labelled_sample(labels, column, FOLD, HELD, most, key)
-    rows = shared.durable(_feature_rows(supervised.sampled_docs(docs, sample, most, key, text)))
+    rows = _training_rows(docs, labels, column, key, text)
     count = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if not count.get(0) or not count.get(1):
         return Ranking(np.zeros(len(FEATURES)), 0.0)
@@ -123,19 +134,16 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str =
     slots = max(1, max(count.values()) // PAIRS_EACH)
     slot = lambda y, salt: rows.filter(F.col("y") == y).withColumn("slot", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(slots)))
     pairs = slot(1, 11).select("slot", F.col("x").alias("a")).join(slot(0, 12).select("slot", F.col("x").alias("b")), "slot")
-    ahead = pairs.select(F.zip_with("a", "b", lambda p, q: p - q).alias("d"))
-    both = ahead.select(F.lit(1.0).alias("label"), "d").unionByName(ahead.select(F.lit(0.0).alias("label"), F.transform("d", lambda v: -v).alias("d")))
-    weights, _ = supervised.fit_logistic(both.select("label", array_to_vector("d").alias("features")), False, 1e-4)
-    # the quantile of all training documents, from the sample weighted back to the classes' shares
-    low = seen[0] / (seen[0] + seen[1])
-    score = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights.tolist())), lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
-    scored = sorted((r.s, r.y) for r in rows.select(score.alias("s"), "y").collect())  # bounded by most
-    s, y = np.array([r[0] for r in scored]), np.array([r[1] for r in scored])
-    mass = np.cumsum(np.where(y == 0, low / count[0], (1 - low) / count[1]))
-    at = int(np.searchsorted(mass, low))
-    # a gap about the quantile is cut in its middle
-    below, above = s[max(at - 1, 0)], s[min(at + 1, len(s) - 1)]
-    return Ranking(weights, float((below + above) / 2))
+    ahead = shared.durable(pairs.select(F.zip_with("a", "b", lambda p, q: p - q).alias("d")))
+    if ahead.isEmpty():
+        return Ranking(np.zeros(len(FEATURES)), 0.0)
+    weights = supervised.fit_differences(ahead, len(FEATURES), 1e-4)
+    # the quantile of all training documents: a gap about it is cut in its middle
+    value = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights.tolist())), lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
+    n, at = sum(count.values()), count[0] - 1
+    places = {"below": max(at - 1, 0), "above": min(at + 1, n - 1)}
+    found = exact_percentiles(rows.select(value.alias("s")), "s", {c: i / max(n - 1, 1) for c, i in places.items()}).first()
+    return Ranking(weights, (found.below + found.above) / 2)
 
 
 def score(docs: DataFrame, model: Ranking, text: str = "text") -> DataFrame:

@@ -4,8 +4,7 @@ Every text is the set of its byte n-grams (ASCII lower-cased, white space as one
 labelled text come, for each n-gram, the documents of either class that hold it, and from these its log-count ratio; a logistic regression
 on present n-grams, each with its ratio as value, gives the weights. The KEPT n-grams whose ratios stand out most carry the model.
 
-Fitted on a bounded sample (MAX_LABELLED rows, half of each class; the intercept is moved to the classes' real shares); all texts are
-scored whole.
+Fitted on all labelled training rows; all texts are scored whole.
 
 Defined cases: null text is empty; an empty text has no n-gram and gets the intercept; without both labels in training every score is the
 share of label 1 (0 without labels); rows that repeat an id count once in training, and of several labels for an id the smallest counts; an
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from . import shared, supervised
 from .textcore import LOWER, SPACE, column_bytes, parts
 
-MAX_LABELLED = 16_000
 FOLD, HELD = 5, 0
 ORDERS = (3, 4, 5, 6)
 BITS, KEPT = 20, 6000
@@ -76,7 +74,7 @@ class Toxic:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """place, p and q: sampled documents of class 1 and 0 that hold the n-gram. Tasks send sums by block of places."""
+    """place, p and q: labelled documents of class 1 and 0 that hold the n-gram. Tasks send sums by block of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int32)
@@ -103,13 +101,15 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.select("id", "y", "text").mapInArrow(run, "block int, body binary").groupBy("block").applyInArrow(total, "place long, p long, q long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "doc_id", text: str = "text", most: int = MAX_LABELLED) -> Toxic:
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "doc_id", text: str = "text") -> Toxic:
     shared.tune(docs.sparkSession)
-    sample, seen = supervised.labelled_sample(labels, column, FOLD, HELD, most, key)
-    rows = shared.durable(supervised.sampled_docs(docs, sample, most, key, text))
+    known = supervised.labelled(labels, column, FOLD, HELD, key)
+    own = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = shared.durable(own.join(F.broadcast(known) if supervised.is_small(known) else known, "id").dropDuplicates(["id"]))
     count = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    share = seen[1] / max(seen[0] + seen[1], 1)
     if not count.get(0) or not count.get(1):
+        seen = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+        share = seen.get(1, 0) / max(sum(seen.values()), 1)
         return Toxic(np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     n1, n0 = count[1], count[0]
     ratio = F.log((F.col("p") + 1) / (n1 + 2)) - F.log((F.col("q") + 1) / (n0 + 2))
@@ -132,13 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
     size, values = len(places), r
 
     @F.udf(VectorUDT())
-    def vector(at):  # once for each sampled row
+    def vector(at):  # once for each labelled row
         return SparseVector(size, at, values[at])
 
     found = shared.durable(rows.select("id", "y", "text").mapInArrow(vectors, "label double, at array<int>"))
-    weights, intercept = supervised.fit_logistic(found.select("label", vector("at").alias("features")), True, 2e-4)
-    shift = np.log(share / (1 - share)) - np.log(n1 / n0)
-    return Toxic(places, weights * r, intercept + float(shift))
+    weights, intercept = supervised.fit_logistic(found.select("label", vector("at").alias("features")), n1 + n0, True, 2e-4)
+    return Toxic(places, weights * r, intercept)
 
 
 def score(docs: DataFrame, model: Toxic, text: str = "text") -> DataFrame:
