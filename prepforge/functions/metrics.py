@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranks import _running, average_ranks
+from ..operators.ranks import _running
 
 
 def smape(y: str | Column, p: str | Column, zero: str = "zero") -> Column:
@@ -22,17 +22,20 @@ def mae(y: str, p: str) -> Column:
     return F.avg(F.abs(F.col(y) - F.col(p)))
 
 
-def log_loss(y: str, p: str, eps: float = 1e-15) -> Column:
+def log_loss(y: str, p: str, eps: float = 1e-15, n: str | None = None) -> Column:
+    """n: a column of how many equal rows a row stands for."""
     q = F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1 - eps))
-    return F.avg(-(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q)))
+    term = -(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))
+    return F.sum(term * F.col(n)) / F.sum(n) if n else F.avg(term)
 
 
-def auc(df: DataFrame, y: str, p: str) -> DataFrame:
-    """One row: auc (ties averaged) and gini = 2 auc - 1, from rank sums over distinct scores."""
-    own = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    by = own.groupBy(p).agg(F.sum(F.col(y).cast("long")).alias("pos"))
-    ranked = average_ranks(own, p).join(by, p)
-    sums = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("n1"), F.sum(F.col("n") - F.col("pos")).alias("n0"))
+def auc(df: DataFrame, y: str, p: str, n: str | None = None) -> DataFrame:
+    """One row: auc (ties averaged) and gini = 2 auc - 1, from rank sums over distinct scores. n: a column of how many equal rows a row stands for."""
+    many = F.col(n) if n else F.lit(1)
+    own = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(p, many.alias("m"), (F.col(y).cast("long") * many).alias("pos"))
+    by = own.groupBy(p).agg(F.sum("m").alias("n"), F.sum("pos").alias("pos"))
+    places = _running(by, p, "n", "pos").select("n", "pos", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
+    sums = places.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("n1"), F.sum(F.col("n") - F.col("pos")).alias("n0"))
     value = (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))
     return sums.select(F.round(value, 9).alias("auc"), F.round(2 * value - 1, 9).alias("gini"))
 
