@@ -65,7 +65,13 @@ class Fragments:
 
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         raw = shared.pick(docs, *self.columns).mapInArrow(packed, "frag long, n_rows int, body binary")
-        self.df = shared.durable(raw.repartition(n, "frag"))
+        # an adaptive plan doesn't tell how its rows lie, and each look would shuffle all texts again
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            self.df = shared.durable(raw.repartition(n, "frag"))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         self.n = self.df.count()
         self.buckets = max(MIN_BUCKETS, self.n // 4)
 
