@@ -1,7 +1,7 @@
 """Depressions, flow accumulation and least-cost distances on grids of any size: tiles are solved once, their rims form a graph.
 
 A first pass packs cells into tiles with a rim of neighbours, a second solves each tile into what its rim cells are to each other, a third
-finishes each tile once its rim is known. In between only rim cells travel.
+finishes each tile once its rim is known. In between only rim cells travel. Tiles are packed and worked on by blocks, small ones as one stack.
 
 - Depressions: spill heights. A tile's cells are flooded from its rim cells; where two floods meet they spill, and a spanning forest of these
   spills holds all that others need. Groups of FAN x FAN tiles (then of groups) contract their forests to their own rims, up to the whole
@@ -34,6 +34,8 @@ from .spatial import NEIGHBOURS
 TILE, FAN = 128, 8
 #: Tiles whose rim cells' distances are kept are smaller, and their groups wider.
 COST_TILE, COST_FAN = 32, 16
+#: Cells on a side of the block of tiles that a task works on at once: small tiles are stacked, larger ones stand alone.
+BLOCK = 128
 #: The way out of a grid, beside the cells' numbers (row and column in 32 bits each).
 OUT = -1
 
@@ -51,36 +53,57 @@ def _types(df: DataFrame, by: Sequence[str]) -> str:
     return "".join(f"`{c}` {kinds[c]}, " for c in by)
 
 
-def with_rims(cells: DataFrame, tile: int) -> DataFrame:
-    """Cells in their own tile (tr, tc) and in each tile whose rim they lie on."""
-    near = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + o) / tile).cast("int") for o in (-1, 0, 1)]))
-    return cells.withColumn("tr", F.explode(near("row"))).withColumn("tc", F.explode(near("col")))
+def block_side(tile: int) -> int:
+    """Cells on a side of a block: whole tiles."""
+    return tile * max(1, BLOCK // tile)
 
 
-class Tile:
-    """Values of a tile with a rim of one cell: layers by name (empty: nan), here (which cells exist), own (those of the tile itself)."""
+def with_rims(cells: DataFrame, span: int) -> DataFrame:
+    """Cells in their own block (br, bc) and in each block whose rim they lie on."""
+    near = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + o) / span).cast("int") for o in (-1, 0, 1)]))
+    return cells.withColumn("br", F.explode(near("row"))).withColumn("bc", F.explode(near("col")))
+
+
+class Tiles:
+    """The tiles of a block that have cells, as stacks (tile, row, column), each with a rim of one cell: layers by name (empty: nan), here (which cells exist), own (those of the tile itself)."""
 
     def __init__(self, row, names: Sequence[str], tile: int):
-        side = tile + 2
-        a = np.frombuffer(pa.decompress(row.body, decompressed_size=8 * (len(names) + 1) * side * side, codec="zstd", asbytes=True)).reshape(-1, side, side)
+        side, span = tile + 2, block_side(tile)
+        a = np.frombuffer(pa.decompress(row.body, decompressed_size=8 * (len(names) + 1) * (span + 2) ** 2, codec="zstd", asbytes=True)).reshape(-1, span + 2, span + 2)
+        across = span // tile
+        a = np.lib.stride_tricks.sliding_window_view(a, (side, side), (1, 2))[:, ::tile, ::tile].reshape(len(names) + 1, across * across, side, side)
+        some = np.flatnonzero((a[0, :, 1:-1, 1:-1] == 1).any(axis=(1, 2)))
+        a = a[:, some]
         self.layers = dict(zip(names, a[1:], strict=True))
         self.here = a[0] == 1
         inside = np.zeros((side, side), bool)
         inside[1:-1, 1:-1] = True
-        self.own, self.tile = self.here & inside, tile
-        self.r0, self.c0, self.h, self.w = int(row.tr) * tile - 1, int(row.tc) * tile - 1, int(row.h), int(row.w)
+        self.own, self.tile, self.h, self.w = self.here & inside, tile, int(row.h), int(row.w)
+        #: Numbers of the tiles, and where each is in the stacks.
+        self.tr, self.tc = int(row.br) * across + some // across, int(row.bc) * across + some % across
+        self.at = np.full(across * across, -1)
+        self.at[some] = np.arange(len(some))
+        self.r0, self.c0, self.across, self.span = int(row.br) * span, int(row.bc) * span, across, span
         r, c = np.indices((side, side))
-        self.id = (r + self.r0).astype(np.int64) << 32 | (c + self.c0)
-        rows, cols = r + self.r0, c + self.c0
+        rows, cols = r + (self.tr * tile - 1)[:, None, None], c + (self.tc * tile - 1)[:, None, None]
+        self.id = rows.astype(np.int64) << 32 | cols
         self.border = (rows == 0) | (cols == 0) | (rows == self.h) | (cols == self.w)
-        self.edge = (r == 1) | (c == 1) | (r == tile) | (c == tile)
+        self.edge = np.broadcast_to((r == 1) | (c == 1) | (r == tile) | (c == tile), self.own.shape)
 
     def cells(self, name: str, values: np.ndarray) -> pd.DataFrame:
         i = self.id[self.own]
         return pd.DataFrame({"row": (i >> 32).astype(np.int32), "col": (i & 0xFFFFFFFF).astype(np.int32), name: values[self.own]})
 
-    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (ids >> 32) - self.r0, (ids & 0xFFFFFFFF) - self.c0
+    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tile, row and column in the stacks of cells of the block."""
+        r, c = (ids >> 32) - self.r0, (ids & 0xFFFFFFFF) - self.c0
+        return self.at[r // self.tile * self.across + c // self.tile], r % self.tile + 1, c % self.tile + 1
+
+
+def _ways(dr: int, dc: int, h: int, w: int) -> tuple[tuple, tuple]:
+    """Slices of the cells that have a neighbour at (dr, dc), and of these neighbours."""
+    here = (..., slice(max(0, -dr), h - max(0, dr)), slice(max(0, -dc), w - max(0, dc)))
+    return here, (..., slice(max(0, dr), h + min(0, dr)), slice(max(0, dc), w + min(0, dc)))
 
 
 def shifted(a: np.ndarray, dr: int, dc: int, fill) -> np.ndarray:
@@ -92,17 +115,17 @@ def shifted(a: np.ndarray, dr: int, dc: int, fill) -> np.ndarray:
 
 
 def tiled(cells: DataFrame, names: Sequence[str], by: Sequence[str], tile: int) -> DataFrame:
-    """by, tr, tc, h, w (the last row and column of the grid) and body of each tile that has cells; written once."""
+    """by, br, bc, h, w (the last row and column of the grid) and body of each block of tiles that has cells; written once."""
     size = cells.groupBy(*by).agg(F.max("row").alias("h"), F.max("col").alias("w"))
     sized = cells.join(small(size), list(by)) if by else cells.crossJoin(F.broadcast(size))  # one row for each grid
-    keys = [*by, "tr", "tc"]
+    keys, span = [*by, "br", "bc"], block_side(tile)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf["row"].to_numpy(np.int64) - (int(pdf["tr"].iloc[0]) * tile - 1)
-        c = pdf["col"].to_numpy(np.int64) - (int(pdf["tc"].iloc[0]) * tile - 1)
-        if not ((r > 0) & (c > 0) & (r <= tile) & (c <= tile)).any():
+        r = pdf["row"].to_numpy(np.int64) - (int(pdf["br"].iloc[0]) * span - 1)
+        c = pdf["col"].to_numpy(np.int64) - (int(pdf["bc"].iloc[0]) * span - 1)
+        if not ((r > 0) & (c > 0) & (r <= span) & (c <= span)).any():
             return pd.DataFrame(columns=[*keys, "h", "w", "body"])
-        a = np.full((len(names) + 1, tile + 2, tile + 2), np.nan)
+        a = np.full((len(names) + 1, span + 2, span + 2), np.nan)
         a[0, r, c] = 1
         for k, name in enumerate(names, 1):
             a[k, r, c] = pdf[name].to_numpy(dtype=float, na_value=np.nan)
@@ -110,17 +133,17 @@ def tiled(cells: DataFrame, names: Sequence[str], by: Sequence[str], tile: int)
         out["body"] = [pa.compress(a.tobytes(), codec="zstd", asbytes=True)]
         return out
 
-    rows = with_rims(sized.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), *[F.col(n).cast("double").alias(n) for n in names]), tile)
-    return durable(rows.groupBy(*keys).applyInPandas(pack, f"{_types(cells, by)}tr int, tc int, h int, w int, body binary"))
+    rows = with_rims(sized.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), *[F.col(n).cast("double").alias(n) for n in names]), span)
+    return durable(rows.groupBy(*keys).applyInPandas(pack, f"{_types(cells, by)}br int, bc int, h int, w int, body binary"))
 
 
-def _each(tiles: DataFrame, by: Sequence[str], names: Sequence[str], tile: int, f: Callable[[Tile], pd.DataFrame], schema: str) -> DataFrame:
-    """f of every tile, with the columns by."""
+def _each(tiles: DataFrame, by: Sequence[str], names: Sequence[str], tile: int, f: Callable[[Tiles], pd.DataFrame], schema: str) -> DataFrame:
+    """f of every block of tiles, with the columns by."""
 
     def run(frames):
         for pdf in frames:
             for row in pdf.itertuples(index=False):
-                out = f(Tile(row, names, tile))
+                out = f(Tiles(row, names, tile))
                 for c in by:
                     out[c] = getattr(row, c)
                 yield out
@@ -128,16 +151,16 @@ def _each(tiles: DataFrame, by: Sequence[str], names: Sequence[str], tile: int,
     return tiles.mapInPandas(run, _types(tiles, by) + schema)
 
 
-def _finished(tiles: DataFrame, rims: DataFrame, by: Sequence[str], names: Sequence[str], tile: int, f: Callable[[Tile, pd.DataFrame], pd.DataFrame], name: str) -> DataFrame:
-    """by, row, col and name from f of every tile and the rows of rims (by, node, ...) whose node lies in it."""
-    keys = [*by, "tr", "tc"]
-    placed = rims.withColumns({"tr": F.floor(_row("node") / tile).cast("int"), "tc": F.floor(_col("node") / tile).cast("int")})
+def _finished(tiles: DataFrame, rims: DataFrame, by: Sequence[str], names: Sequence[str], tile: int, f: Callable[[Tiles, pd.DataFrame], pd.DataFrame], name: str) -> DataFrame:
+    """by, row, col and name from f of every block of tiles and the rows of rims (by, node, ...) whose node lies in it."""
+    keys = [*by, "br", "bc"]
+    placed = _in_group(rims, "node", block_side(tile), "br", "bc")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame(columns=[*by, "row", "col", name])
         row = next(left.itertuples(index=False))
-        out = f(Tile(row, names, tile), right)
+        out = f(Tiles(row, names, tile), right)
         for c in by:
             out[c] = getattr(row, c)
         return out
@@ -153,18 +176,22 @@ def _in_group(df: DataFrame, node: str, span: int, r: str = "gr", c: str = "gc")
 
 
 def _flood(z: np.ndarray, free: np.ndarray, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least highest point of a path from any source to each free cell, and the place of such a source in the flat array (-1: none)."""
+    """Of each tile of a stack: least highest point of a path from any source to each free cell, and the place of such a source in the flat array (-1: none)."""
     w = np.where(sources, z, np.inf)
     label = np.where(sources, np.arange(z.size).reshape(z.shape), -1)
-    while True:
-        best, of = w, label
-        for dr, dc in NEIGHBOURS:
-            through = np.maximum(z, shifted(w, dr, dc, np.inf))
-            better = free & (through < best)
-            best, of = np.where(better, through, best), np.where(better, shifted(label, dr, dc, -1), of)
-        if (of == label).all() and (best == w).all():
-            return w, label
-        w, label = best, of
+    ways = [_ways(dr, dc, *z.shape[-2:]) for dr, dc in NEIGHBOURS]
+    todo = np.arange(len(z))
+    while len(todo):
+        # only tiles that still change
+        zs, own, ws, of = z[todo], free[todo], w[todo], label[todo]
+        for here, there in ways:
+            through = np.maximum(zs[here], ws[there])
+            better = own[here] & (through < ws[here])
+            ws[here], of[here] = np.where(better, through, ws[here]), np.where(better, of[there], of[here])
+        moved = (ws != w[todo]).any(axis=(1, 2))
+        w[todo], label[todo] = ws, of
+        todo = todo[moved]
+    return w, label
 
 
 def _forest(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -195,8 +222,8 @@ def _least(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.
     return a[first], b[first], h[first]
 
 
-def _spills(t: Tile) -> pd.DataFrame:
-    """a, b, h: forest of the spills between a tile's rim cells, edges to rim cells of other tiles, and ways out at the border."""
+def _spills(t: Tiles) -> pd.DataFrame:
+    """a, b, h: forest of the spills between the rim cells of each tile, edges to rim cells of other tiles, and ways out at the border."""
     z = t.layers["z"]
     free = t.own & ~np.isnan(z)
     rim = free & (t.edge | t.border)
@@ -296,7 +323,7 @@ def fill_depressions(cells: DataFrame, tile: int = TILE, by: Sequence[str] = ())
     tiles = tiled(cells.withColumnRenamed("value", "z"), ["z"], by, tile)
     rims = _flooded(durable(_each(tiles, by, ["z"], tile, _spills, "a long, b long, h double")), by, tile * FAN)
 
-    def finish(t: Tile, known: pd.DataFrame) -> pd.DataFrame:
+    def finish(t: Tiles, known: pd.DataFrame) -> pd.DataFrame:
         z = t.layers["z"]
         free = t.own & ~np.isnan(z)
         w, label = _flood(np.where(free, z, np.inf), free, free & (t.edge | t.border))
@@ -315,10 +342,10 @@ def fill_depressions(cells: DataFrame, tile: int = TILE, by: Sequence[str] = ())
 class _Flow:
     """Where a tile's cells drain to. A cell is visited before its target if it is higher, or as high and further on in the grid; else it is late, and passes nothing on."""
 
-    def __init__(self, t: Tile):
+    def __init__(self, t: Tiles):
         z, d = t.layers["z"], t.layers["d"]
         sends = t.here & ~np.isnan(z)
-        side = z.shape[1]
+        side = z.shape[2]
         self.target = np.full(z.shape, -1)
         self.early = np.zeros(z.shape, bool)
         place = np.arange(z.size).reshape(z.shape)
@@ -362,7 +389,7 @@ class _Flow:
         return to
 
 
-def _drains(t: Tile) -> pd.DataFrame:
+def _drains(t: Tiles) -> pd.DataFrame:
     """kind 0: cell u gives to v of another tile (early or not), and has a from its own tile; kind 1: what enters u leaves the tile at v."""
     flow = _Flow(t)
     ids, target, early = t.id.ravel(), flow.target.ravel(), flow.early.ravel()
@@ -453,7 +480,7 @@ def flow_accumulation(directed: DataFrame, tile: int = TILE, by: Sequence[str] =
     totals = _forest_sums(gives.join(exits, [*by, "v", "early"], "left").select(*by, "x", "parent", "a"), by, tile * FAN)
     inflow = gives.join(totals, [*by, "x"]).groupBy(*by, F.col("v").alias("node")).agg(F.sum(F.when(F.col("early"), F.col("total"))).alias("early"), F.sum(F.when(~F.col("early"), F.col("total"))).alias("late"))
 
-    def finish(t: Tile, given: pd.DataFrame) -> pd.DataFrame:
+    def finish(t: Tiles, given: pd.DataFrame) -> pd.DataFrame:
         flow, at = _Flow(t), t.place(given["node"].to_numpy())
         start, late = t.own.astype(float), np.zeros(t.own.shape)
         start[at] += given["early"].fillna(0.0).to_numpy()
@@ -480,33 +507,43 @@ def _steps(cost: np.ndarray, free: np.ndarray) -> list[tuple[int, int, np.ndarra
 
 
 def _relaxed(d: np.ndarray, steps: list) -> np.ndarray:
-    """Distances (of many sources at once, if d has three axes) after all shorter ways are taken."""
+    """Distances (of many sources or tiles at once, if d has three axes) after all shorter ways are taken."""
+    d = d.copy()
     while True:
-        new = d
+        before = d.copy()
         for dr, dc, s in steps:
-            new = np.minimum(new, shifted(d, dr, dc, np.inf) + s)
-        if (new == d).all():
+            here, there = _ways(dr, dc, *d.shape[-2:])
+            d[here] = np.minimum(d[here], d[there] + s[here])
+        if (before == d).all():
             return d
-        d = new
 
 
 def _distances(outlets: dict):
-    def run(t: Tile, key: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rim cells (with the outlet), distances between them within the tile, and steps (u, v, cost) to cells of other tiles."""
-        cost = t.layers["cost"]
-        free, any_ = t.own & ~np.isnan(cost), t.here & ~np.isnan(cost)
-        rim = free & (t.edge | (t.id == outlets.get(key, OUT)))
+    def run(t: Tiles, k: int, key: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the k-th tile: rim cells (with the outlet), distances between them within the tile, and steps (u, v, cost) to cells of other tiles."""
+        cost, own, ids = t.layers["cost"][k], t.own[k], t.id[k]
+        free, any_ = own & ~np.isnan(cost), t.here[k] & ~np.isnan(cost)
+        rim = free & (t.edge[k] | (ids == outlets.get(key, OUT)))
         at = np.flatnonzero(rim)
-        start = np.full((len(at), *cost.shape), np.inf)
-        start[(np.arange(len(at)), *np.unravel_index(at, cost.shape))] = 0
-        between = _relaxed(start, _steps(cost, free))[:, rim]
+        # sources on the last axis, which makes slices of cells long runs of memory
+        start = np.full((*cost.shape, len(at)), np.inf)
+        start[(*np.unravel_index(at, cost.shape), np.arange(len(at)))] = 0
+        moves = [(*_ways(dr, dc, *cost.shape), s) for dr, dc, s in _steps(cost, free)]
+        moves = [(here[1:], there[1:], np.ascontiguousarray(s[here][..., None])) for here, there, s in moves]
+        while True:
+            before = start.copy()
+            for here, there, s in moves:
+                np.minimum(start[here], start[there] + s, out=start[here])
+            if (before == start).all():
+                break
+        between = start[rim].T
         u, v, s = [], [], []
         for dr, dc, step in _steps(cost, any_):
-            over = free & shifted(any_ & ~t.own, dr, dc, False)  # noqa: FBT003
-            u.append(t.id[over])
-            v.append(shifted(t.id, dr, dc, 0)[over])
+            over = free & shifted(any_ & ~own, dr, dc, False)  # noqa: FBT003
+            u.append(ids[over])
+            v.append(shifted(ids, dr, dc, 0)[over])
             s.append(step[over])
-        return t.id[rim], between, *(np.concatenate(x) for x in (u, v, s))
+        return ids[rim], between, *(np.concatenate(x) for x in (u, v, s))
 
     return run
 
@@ -554,11 +591,13 @@ def least_cost(cost: DataFrame, outlets: DataFrame, tile: int = COST_TILE, by: S
         for pdf in frames:
             for row in pdf.itertuples(index=False):
                 key = tuple(getattr(row, c) for c in by)
-                parts = f(Tile(row, ["cost"], tile), key)
-                out = pd.DataFrame({"tr": [row.tr], "tc": [row.tc], "k": [len(parts[0])], "n": [len(parts[2])], "body": [b"".join(np.ascontiguousarray(x).tobytes() for x in parts)]})
-                for c in by:
-                    out[c] = getattr(row, c)
-                yield out.astype({"tr": "int32", "tc": "int32", "k": "int32", "n": "int32"})
+                t = Tiles(row, ["cost"], tile)
+                for i in range(len(t.tr)):
+                    parts = f(t, i, key)
+                    out = pd.DataFrame({"tr": [t.tr[i]], "tc": [t.tc[i]], "k": [len(parts[0])], "n": [len(parts[2])], "body": [b"".join(np.ascontiguousarray(x).tobytes() for x in parts)]})
+                    for c in by:
+                        out[c] = getattr(row, c)
+                    yield out.astype({"tr": "int32", "tc": "int32", "k": "int32", "n": "int32"})
 
     solved = tiles.mapInPandas(solve, f"{kinds}tr int, tc int, k int, n int, body binary")
     fan = lambda c: F.floor(F.col(c) / COST_FAN).cast("int")
@@ -601,7 +640,7 @@ def least_cost(cost: DataFrame, outlets: DataFrame, tile: int = COST_TILE, by: S
         if given.isEmpty():
             break
 
-    def finish(t: Tile, known: pd.DataFrame) -> pd.DataFrame:
+    def finish(t: Tiles, known: pd.DataFrame) -> pd.DataFrame:
         c = t.layers["cost"]
         d = np.full(c.shape, np.inf)
         d[t.place(known["node"].to_numpy())] = known["dist"].to_numpy()

@@ -116,23 +116,29 @@ def nearest_filled(empty: DataFrame, filled: DataFrame, k: int, value: str = "va
     columns = [*by, "row", "col", "n_value", "d2", "place"]
 
     def ranked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        blocks = {b: x for b, x in right.groupby(["qr", "qc"])}
-        for b, e in left.groupby(["br", "bc"]):
-            if b not in blocks:
+        # both sides in order once: asked cells by block, sent ones by block, row and column
+        ask = {c: left[c].to_numpy(np.int64) for c in ("br", "bc", "row", "col")}
+        got = {c: right[c].to_numpy(np.int64) for c in ("qr", "qc", "fr", "fc")}
+        name = lambda a, b: a << 32 | b
+        to, of = np.argsort(name(ask["br"], ask["bc"]), kind="stable"), np.lexsort((got["fc"], got["fr"], name(got["qr"], got["qc"])))
+        row, col, block_ = ask["row"][to], ask["col"][to], name(ask["br"], ask["bc"])[to]
+        fr, fc, sent_to, value_ = got["fr"][of], got["fc"][of], name(got["qr"], got["qc"])[of], right["n_value"].to_numpy(float)[of]
+        parts = {c: [] for c in columns[len(by) :]}
+        for b in np.unique(block_):
+            (i, j), (lo, hi) = (np.searchsorted(x, (b, b + 1)) for x in (block_, sent_to))
+            if lo == hi:
                 continue
-            f = blocks[b].sort_values(["fr", "fc"])
-            r, c, v = f["fr"].to_numpy(np.int64), f["fc"].to_numpy(np.int64), f["n_value"].to_numpy()
-            row, col = e["row"].to_numpy(np.int64), e["col"].to_numpy(np.int64)
-            d2 = (row[:, None] - r) ** 2 + (col[:, None] - c) ** 2
+            n_sent = hi - lo
+            d2 = (row[i:j, None] - fr[lo:hi]) ** 2 + (col[i:j, None] - fc[lo:hi]) ** 2
             # cells are in order of row and column, so their number settles ties
-            order = d2 * len(r) + np.arange(len(r))
-            best = np.sort(np.partition(order, min(k, len(r)) - 1, axis=1)[:, :k], axis=1) if len(r) > k else np.sort(order, axis=1)
-            at, n = best % len(r), best.shape[1]
-            out.append(pd.DataFrame({"row": np.repeat(row, n), "col": np.repeat(col, n), "n_value": v[at].ravel(), "d2": (best // len(r)).ravel().astype(float), "place": np.tile(np.arange(n), len(row))}))
-        if not out:
+            order = d2 * n_sent + np.arange(n_sent)
+            best = np.sort(np.partition(order, k - 1, axis=1)[:, :k], axis=1) if n_sent > k else np.sort(order, axis=1)
+            n = best.shape[1]
+            for c, x in zip(parts, (np.repeat(row[i:j], n), np.repeat(col[i:j], n), value_[lo:hi][best % n_sent].ravel(), (best // n_sent).ravel().astype(float), np.tile(np.arange(n), j - i)), strict=True):
+                parts[c].append(x)
+        if not parts["row"]:
             return pd.DataFrame(columns=columns)
-        whole = pd.concat(out, ignore_index=True)
+        whole = pd.DataFrame({c: np.concatenate(x) for c, x in parts.items()})
         for x in by:
             whole[x] = left[x].iloc[0]
         return whole

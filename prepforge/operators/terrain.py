@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .durable import durable
 from .joins import small
 from .ranks import exact_percentiles, lowest_border, spaced_top
-from .rims import COST_TILE, TILE, Tile, fill_depressions, flow_accumulation, least_cost, tiled  # noqa: F401
+from .rims import COST_TILE, TILE, Tiles, block_side, fill_depressions, flow_accumulation, least_cost, tiled  # noqa: F401
 from .spatial import NEIGHBOURS, cell_index, grid_meta, nearest_filled, neighbours
 
 By = Sequence[str]
@@ -180,8 +180,8 @@ def routing_cost(cells: DataFrame, slopes: DataFrame, by: By = ()) -> DataFrame:
 
 
 def trace(cost: DataFrame, dist: DataFrame, starts: DataFrame, tile: int = TILE, by: By = ()) -> DataFrame:
-    """path, step, row, col from each start (path, row, col) down to the outlet of its grid. A round walks every path through one tile, and reads the tiles that paths are in."""
-    keys = [*by, "tr", "tc"]
+    """path, step, row, col from each start (path, row, col) down to the outlet of its grid. A round walks every path through one block of tiles, and reads the blocks that paths are in."""
+    keys, span = [*by, "br", "bc"], block_side(tile)
     tiles = tiled(cost.join(dist, [*by, "row", "col"]), ["cost", "dist"], by, tile)
     heads = starts.select(*by, F.col("path").cast("int").alias("path"), F.lit(0).alias("step"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
     out, kinds = heads, "".join(f"`{c}` {t}, " for c, t in heads.dtypes if c in by)
@@ -190,16 +190,24 @@ def trace(cost: DataFrame, dist: DataFrame, starts: DataFrame, tile: int = TILE,
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            t = Tile(next(right.itertuples(index=False)), ["cost", "dist"], tile)
+            t = Tiles(next(right.itertuples(index=False)), ["cost", "dist"], tile)
             c, d = t.layers["cost"], np.where(np.isnan(t.layers["dist"]), np.inf, t.layers["dist"])
             for path, step, row, col in left[["path", "step", "row", "col"]].itertuples(index=False):
-                r, k = row - t.r0, col - t.c0
-                while 0 < r <= tile and 0 < k <= tile and d[r, k] > 0:
-                    ways = [(d[r + dr, k + dc] + (c[r, k] + c[r + dr, k + dc]) / 2 * math.hypot(dr, dc), n) for n, (dr, dc) in enumerate(NEIGHBOURS) if d[r + dr, k + dc] < d[r, k]]
+                while True:
+                    inside = 0 <= row - t.r0 < span and 0 <= col - t.c0 < span
+                    if found and found[-1][:2] == (path, step):
+                        found[-1] = (*found[-1][:4], not inside)
+                    if not inside:
+                        break
+                    k, y, x = (int(v) for v in t.place(np.int64(row << 32 | col)))
+                    if k < 0 or not d[k, y, x] > 0:
+                        break
+                    ways = [(d[k, y + dr, x + dc] + (c[k, y, x] + c[k, y + dr, x + dc]) / 2 * math.hypot(dr, dc), n) for n, (dr, dc) in enumerate(NEIGHBOURS) if d[k, y + dr, x + dc] < d[k, y, x]]
                     if not ways:
-                        raise ValueError(f"path {path} stops at ({r + t.r0}, {k + t.c0}): no way on to the outlet")
-                    r, k, step = r + NEIGHBOURS[min(ways)[1]][0], k + NEIGHBOURS[min(ways)[1]][1], step + 1
-                    found.append((path, step, r + t.r0, k + t.c0, not (0 < r <= tile and 0 < k <= tile)))
+                        raise ValueError(f"path {path} stops at ({row}, {col}): no way on to the outlet")
+                    dr, dc = NEIGHBOURS[min(ways)[1]]
+                    row, col, step = row + dr, col + dc, step + 1
+                    found.append((path, step, row, col, True))
         out = pd.DataFrame(found, columns=names).astype({"path": "int32", "step": "int32", "row": "int32", "col": "int32", "left": "bool"})
         for c in by:
             out[c] = left[c].iloc[0] if len(left) else None
@@ -207,7 +215,7 @@ def trace(cost: DataFrame, dist: DataFrame, starts: DataFrame, tile: int = TILE,
 
     while not heads.isEmpty():
         # distances fall with every step, so paths end
-        placed = heads.withColumns({"tr": F.floor(F.col("row") / tile).cast("int"), "tc": F.floor(F.col("col") / tile).cast("int")})
+        placed = heads.withColumns({"br": F.floor(F.col("row") / span).cast("int"), "bc": F.floor(F.col("col") / span).cast("int")})
         here = tiles.join(small(placed.select(*keys).distinct()), keys, "left_semi")
         walked = durable(placed.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInPandas(walk, f"{kinds}path int, step int, row int, col int, left boolean"))
         out = out.unionByName(walked.drop("left"))
@@ -246,16 +254,21 @@ def village_checks(metrics: DataFrame) -> DataFrame:
     return metrics.select("village", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("pass")) for n, c in rules.items()])).alias("r")).select("village", "r.rule", "r.pass")
 
 
-def make_dtm(points: DataFrame, res: float, stat: str, sigma: float = 1.0, by: By = ()) -> tuple[DataFrame, DataFrame]:
-    """Smoothed terrain grid of a point table, and its definition; with by, the grids of all, which carry their nrows and ncols."""
+def raster_dtm(points: DataFrame, res: float, stat: str, sigma: float = 1.0, by: By = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Smoothed terrain grid of a point table, its definition, and the filled cells before gaps are closed (durable); with by, the grids of all, which carry their nrows and ncols."""
     meta = durable(grid_meta(points, res, by))
+    cells = durable(rasterise(cell_index(points, meta, by), stat, by))
     if not by:
         m = meta.first()
-        return gaussian(fill_gaps(rasterise(cell_index(points, meta), stat), m.nrows, m.ncols), m.nrows, m.ncols, sigma), meta
-    cells = rasterise(cell_index(points, meta, by), stat, by)
+        return gaussian(fill_gaps(cells, m.nrows, m.ncols), m.nrows, m.ncols, sigma), meta, cells
     sized = cells.join(small(meta.select(*by, "nrows", "ncols")), list(by))
     keys = [*by, "nrows", "ncols"]
-    return gaussian(fill_gaps(sized, "nrows", "ncols", by=keys), "nrows", "ncols", sigma, by=keys), meta
+    return gaussian(fill_gaps(sized, "nrows", "ncols", by=keys), "nrows", "ncols", sigma, by=keys), meta, cells
+
+
+def make_dtm(points: DataFrame, res: float, stat: str, sigma: float = 1.0, by: By = ()) -> tuple[DataFrame, DataFrame]:
+    """Smoothed terrain grid of a point table, and its definition."""
+    return raster_dtm(points, res, stat, sigma, by)[:2]
 
 
 def method_comparison(methods: DataFrame, before: str, after: str) -> DataFrame:

@@ -453,3 +453,24 @@ def test_rim_graphs_of_two_villages_on_16_x_16_tiles(spark, monkeypatch):
         assert total == pytest.approx(cheapest(a, *ends[v])[at[0]])
     with pytest.raises(Exception, match="no way on"):
         te.trace(cost, dist.withColumn("dist", F.lit(1.0)), starts, tile=16, by=["village"]).collect()
+
+
+def test_small_tiles_are_worked_on_by_blocks(spark):
+    """Tiles of four cells: a task takes a block of 128 x 128 cells, not a tile, and grids that reach over two blocks equal the sequential algorithms."""
+    rng = np.random.default_rng(3)
+    a = np.round(rng.random((9, 150)) * 9, 1)
+    a[3:5, 60] = np.nan
+    cells = grids(spark, {"v": a})
+    assert rims.tiled(cells.withColumnRenamed("value", "z"), ["z"], ["village"], 4).count() == 2
+    level = flooded(a)
+    assert np.array_equal(dense(te.fill_depressions(cells, tile=4, by=["village"]), a.shape), level, equal_nan=True)
+    directed = te.flow_direction(grids(spark, {"v": level}), by=["village"])
+    assert np.array_equal(dense(te.flow_accumulation(directed, tile=4, by=["village"]), a.shape, "acc"), accumulated(level, direction(level)))
+    c = rng.random((9, 150)) + 0.05
+    cost = grids(spark, {"v": c}).withColumnRenamed("value", "cost")
+    dist = te.least_cost(cost, spark.createDataFrame([("v", 8, 149)], "village string, row int, col int"), tile=4, by=["village"])
+    assert np.allclose(dense(dist, c.shape, "dist"), cheapest(c, 8, 149))
+    path = te.trace(cost, dist, spark.createDataFrame([("v", 1, 0, 2)], "village string, path int, row int, col int"), tile=4, by=["village"]).orderBy("step").collect()
+    at = [(p.row, p.col) for p in path]
+    assert at[0] == (0, 2) and at[-1] == (8, 149)
+    assert sum((c[p] + c[q]) / 2 * math.hypot(p[0] - q[0], p[1] - q[1]) for p, q in zip(at[:-1], at[1:], strict=True)) == pytest.approx(cheapest(c, 8, 149)[0, 2])
