@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as ve
 from ..operators.durable import durable
+from ..operators.ranks import spread
 from ..operators.stats import bounding_box
 from .flows import preprocess_catalog
 from .registry import query
@@ -16,7 +17,7 @@ from .registry import query
 
 def _catalog(t):
     """Product texts that follow from part."""
-    p = t("part")
+    p = spread(t("part"), "p_partkey")  # a few megabytes of file are millions of parts
     text = F.concat(F.lit("Item Name: "), F.col("p_name"), F.lit("\nBullet Point 1: "), F.col("p_type"), F.lit("\nValue: "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, F.lit("x250 ml")).otherwise(F.lit(" oz")))
     return p.select(F.col("p_partkey").alias("sample_id"), text.alias("catalog_content"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("http://img/"), F.col("p_partkey").cast("string"), F.lit(".jpg"))).alias("image_link"), F.col("p_retailprice").cast("double").alias("price"))
 
