@@ -4,15 +4,17 @@ import numpy as np
 import pytest
 
 from prepforge.operators import ensemble
+from prepforge.operators.ranks import spread
 from prepforge.plans import queries_models, queries_text
 
 
 def test_parts_of_one_file_are_dealt_out(spark):
     t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = spark.sparkContext.defaultParallelism
     assert t("part").rdd.getNumPartitions() == 1 < n
     catalog = queries_text._catalog(t)
     assert catalog.rdd.getNumPartitions() == n and catalog.count() == t("part").count()
+    assert spread(t("part"), "p_partkey", rows=7).rdd.getNumPartitions() == -(-t("part").count() // 7)
     assert queries_models._spread_pred(t).rdd.getNumPartitions() == n
 
 
