@@ -168,7 +168,9 @@ def _regions(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None
         small = own if small is None else small.unionByName(own)
         if not n_large:
             return small, stuck
-        inside = shared.semi(rows, large.select("path"), "path", n_large).join(sets.select("node", "n", "vector"), "node")
+        # written once, as are the inseparable regions' rows: the rows of a large region are not made again for each look at them
+        held = shared.durable(shared.semi(rows, large.select("path"), "path", n_large))
+        inside = held.join(sets.select("node", "n", "vector"), "node")
         chance = F.xxhash64("node", "path")
         picked = inside.groupBy("path", F.pmod(chance, F.lit(PIVOTS)).alias("p")).agg(F.min_by("vector", F.struct(chance, "node")).alias("v"))
         pivots = shared.durable(picked.groupBy("path").agg(F.array_sort(F.collect_set("v")).alias("pivots")))
@@ -179,7 +181,7 @@ def _regions(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None
         kept = shared.durable(most.filter(F.col("most") > SPLIT * F.col("size")).select("parent"))
         n_kept = kept.count()
         if n_kept:
-            these = shared.semi(rows, kept.withColumnRenamed("parent", "path"), "path", n_kept)
+            these = shared.durable(shared.semi(held, kept.withColumnRenamed("parent", "path"), "path", n_kept))
             stuck = these if stuck is None else stuck.unionByName(these)
             children, counts = shared.without(children, kept, "parent", n_kept), shared.without(counts, kept, "parent", n_kept)
         # each part is half of its region at most, or the region is given up: there are fewer rounds than binary digits in the largest size

@@ -388,14 +388,15 @@ def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if not n_large:
             return small, stuck
         # each level halves every node at least, or gives it up as inseparable: there are fewer levels than binary digits in the number of rows
-        inside = shared.semi(rows, large.select("path"), "path", n_large)
+        # written once, as are the inseparable nodes' rows: the rows of a large node are not made again for each look at them
+        inside = shared.durable(shared.semi(rows, large.select("path"), "path", n_large))
         children = shared.durable(_branched(inside.join(sketches.select("node", "sketch"), "node"), level))
         counts = shared.durable(children.groupBy("parent", "path").agg(F.count("*").alias("size")).filter("size > 1"))
         most = counts.groupBy("parent").agg(F.max("size").alias("most")).join(large.withColumnRenamed("path", "parent"), "parent")
         kept = shared.durable(most.filter(F.col("most") > SPLIT * F.col("size")).select("parent"))
         n_kept = kept.count()
         if n_kept:
-            these = shared.semi(inside, kept.withColumnRenamed("parent", "path"), "path", n_kept)
+            these = shared.durable(shared.semi(inside, kept.withColumnRenamed("parent", "path"), "path", n_kept))
             stuck = these if stuck is None else stuck.unionByName(these)
             children, counts = shared.without(children, kept, "parent", n_kept), shared.without(counts, kept, "parent", n_kept)
         rows, sizes, level = children.select("path", "node"), counts.select("path", "size"), level + 1
