@@ -211,7 +211,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, key: str, text:
 
 
 def common_tokens(tokens: np.ndarray, rows: np.ndarray, unit: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of one unit that share tokens, and how many; rows are sorted by unit. Where a unit has rows on the right, only pairs of a left and a right row count.
+    """All that token_pairs yields, at once."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)), *token_pairs(tokens, rows, unit, right)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def token_pairs(tokens: np.ndarray, rows: np.ndarray, unit: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one unit that share tokens, and how many, PAIRS_AT_ONCE places at a time; rows are sorted by unit. Where a unit has rows on the right, only pairs of a left and a right row count.
 
     tokens and rows: the tokens of all rows. Tokens of few rows are counted pair by pair, others by a product of 0-1 matrices.
     """
@@ -254,11 +260,12 @@ def common_tokens(tokens: np.ndarray, rows: np.ndarray, unit: np.ndarray, right:
             holds[row[p:q], column[p:q] - lo] = 1
             total += holds @ holds.T
         shared_by[base[x] : base[x] + size[x] ** 2] += total.astype(np.int32).ravel()
-    at = np.flatnonzero(shared_by)
-    u = np.searchsorted(base, at, "right") - 1
-    i, j = first[u] + (at - base[u]) // size[u], first[u] + (at - base[u]) % size[u]
-    ok = np.where(two_sided[u], ~right[i] & right[j], i < j)
-    return i[ok], j[ok], shared_by[at[ok]]
+    for lo in range(0, len(shared_by), PAIRS_AT_ONCE):
+        at = lo + np.flatnonzero(shared_by[lo : lo + PAIRS_AT_ONCE])
+        u = np.searchsorted(base, at, "right") - 1
+        i, j = first[u] + (at - base[u]) // size[u], first[u] + (at - base[u]) % size[u]
+        ok = np.where(two_sided[u], ~right[i] & right[j], i < j)
+        yield i[ok], j[ok], shared_by[at[ok]]
 
 
 def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,9 +279,12 @@ def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         n = np.diff(off) // 6
         wide = np.zeros((len(raw) // 6, 8), np.uint8)
         wide[:, :6] = raw.reshape(-1, 6)
-        i, j, both = common_tokens(wide.view("<u8").ravel().astype(U64), np.repeat(np.arange(len(n)), n), unit, right)
-        near = (100 * both.astype(np.int64) >= percent * (n[i] + n[j] - both)) & (node[i] != node[j])
-        i, j = i[near], j[near]
+        ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j, both in token_pairs(wide.view("<u8").ravel(), np.repeat(np.arange(len(n)), n), unit, right):
+            near = (100 * both.astype(np.int64) >= percent * (n[i] + n[j] - both)) & (node[i] != node[j])
+            ones.append(i[near])
+            twos.append(j[near])
+        i, j = np.concatenate(ones), np.concatenate(twos)
         label = smallest_reachable(len(node), i, j)
         low = np.full(len(node), np.iinfo(np.int64).max)
         inside = np.unique(np.r_[i, j])

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+
+import numpy as np
 
 from prepforge.llm import metricjoin, neardup, shared
 
@@ -35,3 +38,14 @@ def test_inseparable_regions_are_read_back(spark, monkeypatch):
     sets = shared.durable(neardup.set_nodes(metricjoin._signed(docs, "doc_id", "text", 3, 90, often, ()), "n_shingles", "cells", "vector").withColumnRenamed("n_shingles", "n"))
     _, stuck = metricjoin._regions(sets, 90)
     assert stuck.count() and joins(stuck) == 0
+
+
+def test_pairs_of_a_group_are_listed_in_parts():
+    n = 1500  # texts of one unit that all share their tokens: 1.1 million pairs
+    tokens, rows = np.tile(np.arange(20, dtype=np.uint64), n), np.repeat(np.arange(n), 20)
+    unit, right = np.zeros(n, np.int64), np.zeros(n, bool)
+    tracemalloc.start()
+    seen = sum(int((both == 20).sum()) for _, _, both in neardup.token_pairs(tokens, rows, unit, right))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n * (n - 1) // 2 and most < 60e6  # a list of all pairs alone takes 45 MB, and its steps several times that
