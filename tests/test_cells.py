@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from prepforge.functions import metrics as mt
 from prepforge.operators import models as mo
+from prepforge.plans import flows, queries_models
 
 
 def test_cells_of_few_values_and_scores_by_counts(spark):
@@ -21,3 +23,22 @@ def test_cells_of_few_values_and_scores_by_counts(spark):
     assert len(models) == 3 and rows.count() == 900 and rows.select("id").distinct().count() == 900
     assert mt.auc(scored, "label", "p", "n").first() == mt.auc(rows, "label", "p").first()
     assert scored.agg(mt.log_loss("label", "p", n="n")).first()[0] == pytest.approx(rows.agg(mt.log_loss("label", "p")).first()[0])
+
+
+def _sizes_of_training(monkeypatch) -> list[int]:
+    """Numbers of rows that boosted classifiers are trained on from here on."""
+    sizes, fit = [], GBTClassifier._fit
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, d: (sizes.append(d.count()), fit(self, d))[1])
+    return sizes
+
+
+def test_importances_train_on_counted_rows(spark, monkeypatch):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    sizes = _sizes_of_training(monkeypatch)
+    most = []
+    for times in (1, 3):
+        copies = lines.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).withColumn("l_orderkey", F.col("l_orderkey") + F.col("copy") * 10_000_000).drop("copy")
+        gains = queries_models.m10_e11_importances(lambda name, copies=copies: copies)
+        assert gains.count() == 15
+        most.append(sum(sizes[-5:]) / copies.count())
+    assert len(sizes) == 10 and most[1] < 0.9 * most[0]  # per input row
