@@ -303,20 +303,26 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select("a", "b").filter("a > b").distinct()
     least = F.min("b").over(Window.partitionBy("a"))
+    edges = shared.durable(edges.withColumn("m", least))
     while True:
-        edges = shared.durable(edges.withColumn("m", least))
-        if edges.filter("b != m").isEmpty():
+        n, several = edges.agg(F.count("*"), F.coalesce(F.bool_or(F.col("b") != F.col("m")), F.lit(False))).first()
+        edges = shared.by_rows(edges, n)
+        if not several:
             break
-        edges = edges.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        edges = edges.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        # there are never more edges than before
+        edges = shared.by_rows(edges.distinct(), n).withColumn("m", least)
+        edges = shared.durable(shared.by_rows(edges, n))
     p = edges.select(F.col("a").alias("node"), F.col("m").alias("label"))
     while True:
         up = p.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        p = shared.durable(p.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved")))
+        moved = p.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved"))
+        p = shared.durable(shared.by_rows(moved, n))
         if p.filter("moved").isEmpty():
             break
         p = p.select("node", "label")
     p = p.select("node", "label")
-    return p.unionByName(p.select(F.col("label").alias("node"), "label").distinct())
+    return p.unionByName(shared.by_rows(p.select(F.col("label").alias("node"), "label").distinct(), n))
 
 
 def _weight(n: str) -> Column:
@@ -336,7 +342,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     shared.tune(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text), *[F.col(f"`{c}`") for c in keep])
     table = shared.durable(signatures(docs, key, text, shingle, keep))
-    sketches = shared.durable(set_nodes(table, "n_shingles", "roots", "sketch").withColumnRenamed("n_shingles", "n"))
+    nodes = set_nodes(table, "n_shingles", "roots", "sketch").withColumnRenamed("n_shingles", "n")
+    sketches = shared.durable(shared.by_rows(nodes, table.count()))
 
     small, stuck = _nodes(sketches)
     member = F.collect_list(F.struct("node", "n", "sketch")).alias("m")
@@ -357,22 +364,25 @@ def set_nodes(table: DataFrame, *columns: str) -> DataFrame:
 def compared(cells: DataFrame, stuck: DataFrame | None, sketches: DataFrame, docs: DataFrame, percent: int, shingle: int, key: str, text: str) -> DataFrame | None:
     """node and label of the components that exact comparison finds in cells (cell, node, n) and in inseparable nodes (path, node); None, if there is nothing to compare."""
     cells = cells.repartition("cell").dropDuplicates(["cell", "node"])
-    cells = shared.durable(cells.withColumn("n_parts", _n_parts(F.sum(_weight("n")).over(Window.partitionBy("cell")))))
+    cells = cells.withColumn("n_parts", _n_parts(F.sum(_weight("n")).over(Window.partitionBy("cell"))))
+    cells = shared.durable(shared.by_rows(cells, TREES * sketches.count()))
     weight, n_active = cells.agg(F.coalesce(F.sum(_weight("n")), F.lit(0)), F.count("*")).first()
-    active = cells.select("node").distinct()
+    active = shared.by_rows(cells.select("node").distinct(), n_active)
     whole = _whole_nodes(stuck, sketches) if stuck is not None else None
     if whole is not None:
-        active, n_active = active.union(whole.select("node")).distinct(), n_active + whole.count()
+        n_active += whole.count()
+        active = shared.by_rows(active.union(whole.select("node")).distinct(), n_active)
     if not n_active:
         return None
     sets = full_sets(docs, sketches.select("node", "low", "k1").join(active, "node"), n_active, key, text, shingle)
-    links = shared.durable(linked(_in_blocks(cells, max(1, weight // WEIGHT)), sets, percent))
+    links = shared.durable(shared.by_rows(linked(_in_blocks(cells, max(1, weight // WEIGHT)), sets, percent), n_active))
     return components(links) if whole is None else _joined(whole, sets, links, percent)
 
 
 def verdicts(table: DataFrame, nodes: DataFrame, labels: DataFrame | None, key: str, keep: tuple[str, ...]) -> DataFrame:
     """Every row of table with the smallest doc of its set's component."""
     result = table.select("doc", *keep, "n_shingles", "k1", "k2").join(nodes.select("k1", "k2", "node", "low"), ["k1", "k2"], "left")
+    result = shared.by_rows(result, table.count())
     if labels is None:
         return _verdict(result.withColumn("label", F.lit(None).cast("long")), key, keep)
     apart = shared.durable(nodes.filter(F.col("node") >= APART).select("node", "low"))
@@ -387,26 +397,28 @@ def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """path and node of all small nodes of the trees, and of the inseparable ones (None, if there are none)."""
     # exploded once, as every step of the first level reads these rows
     rows = shared.durable(sketches.select("node", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("path"), "node"))
-    sizes = shared.durable(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"))
+    n_rows = rows.count()
+    sizes = shared.durable(shared.by_rows(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), n_rows))
     small, stuck, level = None, None, 0
     while True:
         large = sizes.filter(F.col("size") > LEAF)
-        n_large = large.count()
+        n_large, n_inside = large.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         own = shared.without(rows, large.select("path"), "path", n_large) if n_large else rows
-        own = own.join(sizes.filter(F.col("size") <= LEAF), "path").select("path", "node")
+        own = shared.by_rows(own.join(sizes.filter(F.col("size") <= LEAF), "path").select("path", "node"), n_rows)
         small = own if small is None else small.unionByName(own)
         if not n_large:
             return small, stuck
         # each level halves every node at least, or gives it up as inseparable: there are fewer levels than binary digits in the number of rows
         # written once, as are the inseparable nodes' rows: the rows of a large node are not made again for each look at them
-        inside = shared.durable(shared.semi(rows, large.select("path"), "path", n_large))
-        children = shared.durable(_branched(inside.join(sketches.select("node", "sketch"), "node"), level))
-        counts = shared.durable(children.groupBy("parent", "path").agg(F.count("*").alias("size")).filter("size > 1"))
+        inside = shared.durable(shared.by_rows(shared.semi(rows, large.select("path"), "path", n_large), n_inside))
+        n_rows = CHOICES * n_inside
+        children = shared.durable(shared.by_rows(_branched(inside.join(sketches.select("node", "sketch"), "node"), level), n_rows))
+        counts = shared.durable(shared.by_rows(children.groupBy("parent", "path").agg(F.count("*").alias("size")).filter("size > 1"), n_rows))
         most = counts.groupBy("parent").agg(F.max("size").alias("most")).join(large.withColumnRenamed("path", "parent"), "parent")
-        kept = shared.durable(most.filter(F.col("most") > SPLIT * F.col("size")).select("parent"))
+        kept = shared.durable(shared.by_rows(most.filter(F.col("most") > SPLIT * F.col("size")).select("parent"), n_large))
         n_kept = kept.count()
         if n_kept:
-            these = shared.durable(shared.semi(inside, kept.withColumnRenamed("parent", "path"), "path", n_kept))
+            these = shared.durable(shared.by_rows(shared.semi(inside, kept.withColumnRenamed("parent", "path"), "path", n_kept), n_inside))
             stuck = these if stuck is None else stuck.unionByName(these)
             children, counts = shared.without(children, kept, "parent", n_kept), shared.without(counts, kept, "parent", n_kept)
         rows, sizes, level = children.select("path", "node"), counts.select("path", "size"), level + 1
@@ -427,14 +439,16 @@ def _whole_nodes(stuck: DataFrame, sketches: DataFrame) -> DataFrame:
     Pivots are classes that are in most of the trees' inseparable nodes, as those are nearest to the core of a group. Nodes of several
     trees with the same pivots are one star, so that a group is compared once and not once for each tree.
     """
-    often = stuck.groupBy("node").agg(F.count("*").alias("often"))
-    rows = stuck.join(often, "node")
+    n = stuck.count()
+    often = shared.by_rows(stuck.groupBy("node").agg(F.count("*").alias("often")), n)
+    rows = shared.by_rows(stuck.join(often, "node"), n)
     pivots = F.array_sort(F.array_distinct(F.array(*[F.max_by("node", F.struct("often", F.xxhash64("node", F.lit(i)))) for i in range(PIVOTS)])))
-    chosen = rows.groupBy("path").agg(pivots.alias("pivots"))
-    members = rows.join(chosen, "path").select(F.xxhash64("pivots").alias("star"), "node", "pivots").dropDuplicates(["star", "node"])
-    members = members.join(sketches.select("node", "n"), "node")
+    chosen = shared.by_rows(rows.groupBy("path").agg(pivots.alias("pivots")), n)
+    members = rows.join(chosen, "path").select(F.xxhash64("pivots").alias("star"), "node", "pivots")
+    members = shared.by_rows(shared.by_rows(members, n).dropDuplicates(["star", "node"]), n)
+    members = shared.by_rows(members.join(sketches.select("node", "n"), "node"), n)
     about = members.groupBy("star").agg(_n_parts(F.sum(_weight("n"))).alias("n_parts"))
-    return shared.durable(members.join(about, "star"))
+    return shared.durable(shared.by_rows(members.join(about, "star"), n))
 
 
 def _joined(whole: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -445,9 +459,11 @@ def _joined(whole: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
     pivots = dealt.select("star", "part", "pivots").distinct().select(unit, F.lit(0).alias("side"), F.explode("pivots").alias("node"))
     near = linked(members.unionByName(pivots).withColumn("g", F.col("unit")), sets, percent)
     labels = shared.durable(components(links.unionByName(near)))
+    n = whole.count()
     labelled = whole.select("star", "node", "n", "n_parts").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = shared.by_rows(labelled, n)
     main = labelled.groupBy("star", "label").count().groupBy("star").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    rest = shared.durable(labelled.join(main, "star").filter("label != main").select("star", "node", "n", "n_parts"))
+    rest = shared.durable(shared.by_rows(labelled.join(main, "star").filter("label != main").select("star", "node", "n", "n_parts"), n))
     if rest.isEmpty():
         return labels
     cut = rest.groupBy("star").agg(_n_parts(F.sum(_weight("n"))).alias("rest_parts"))

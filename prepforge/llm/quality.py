@@ -117,11 +117,13 @@ def _training_rows(docs: DataFrame, labels: DataFrame, column: str, key: str, te
     """id, y and x of all labelled training documents, once each. Where the labels are too many to broadcast, features travel to them and not texts."""
     known = supervised.labelled(labels, column, FOLD, HELD, key)
     own = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    if supervised.is_small(known):
+    n = known.count()
+    known = shared.by_rows(known, n)
+    if supervised.fits(n):
         rows = _feature_rows(own.join(F.broadcast(known), "id"))
     else:
         rows = _feature_rows(own.withColumn("y", F.lit(None).cast("int"))).drop("y").join(known, "id")
-    return shared.durable(rows.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")))
+    return shared.durable(shared.by_rows(rows.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")), n))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str = "doc_id", text: str = "text") -> Ranking:
@@ -134,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str =
     slots = max(1, max(count.values()) // PAIRS_EACH)
     slot = lambda y, salt: rows.filter(F.col("y") == y).withColumn("slot", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(slots)))
     pairs = slot(1, 11).select("slot", F.col("x").alias("a")).join(slot(0, 12).select("slot", F.col("x").alias("b")), "slot")
-    ahead = shared.durable(pairs.select(F.zip_with("a", "b", lambda p, q: p - q).alias("d")))
+    ahead = pairs.select(F.zip_with("a", "b", lambda p, q: p - q).alias("d"))
+    ahead = shared.durable(shared.by_rows(ahead, count[0] * count[1] // slots))
     if ahead.isEmpty():
         return Ranking(np.zeros(len(FEATURES)), 0.0)
     weights = supervised.fit_differences(ahead, len(FEATURES), 1e-4)

@@ -12,6 +12,9 @@ from ..operators.durable import checkpoint_dir, durable  # noqa: F401
 #: A side of a join is broadcast only if its measured size is below this.
 BROADCAST_BYTES = 8 << 20
 
+#: Rows of numbers for a partition of a table of known size, and its fewest partitions.
+ROWS_EACH, FEWEST = 1 << 14, 8
+
 
 def tune(spark: SparkSession) -> None:
     """Keeps Arrow batches small, so that a worker's memory doesn't follow the longest texts."""
@@ -19,6 +22,11 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
 
 
+def by_rows(df: DataFrame, n: int) -> DataFrame:
+    """df in no more partitions than n, about its number of rows, asks for: in a session of many partitions each step on a small table would be as many tasks and files."""
+    return df.coalesce(max(FEWEST, -(-n // ROWS_EACH)))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the caller's table cannot clash with helper columns."""
     return df.select(*[F.col(f"`{n}`") for n in names])

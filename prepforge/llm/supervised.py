@@ -29,7 +29,12 @@ def labelled(labels: DataFrame, column: str, fold: int, held: int, key: str = "d
 
 def is_small(known: DataFrame) -> bool:
     """Whether labels may be broadcast, by their measured number."""
-    return known.count() * 24 <= shared.BROADCAST_BYTES
+    return fits(known.count())
+
+
+def fits(n: int) -> bool:
+    """Whether so many labels may be broadcast."""
+    return n * 24 <= shared.BROADCAST_BYTES
 
 
 def fit_logistic(rows: DataFrame, n_rows: int, intercept: bool, reg: float, iterations: int = 60) -> tuple[np.ndarray, float]:
@@ -42,7 +47,7 @@ def fit_logistic(rows: DataFrame, n_rows: int, intercept: bool, reg: float, iter
 def fit_differences(pairs: DataFrame, width: int, reg: float, tol: float = 1e-10, most: int = 50) -> np.ndarray:
     """Weights w that minimise the mean of log(1 + exp(-d w)) + reg w^2 / 2 over pairs (d: array of width numbers), by Newton's method.
 
-    Each step is one pass: tasks hand on sums of width * width numbers, whatever their rows. It goes on until a step is below tol, so that the
+    Each step is one pass, by as many tasks as pairs has partitions: these hand on sums of width * width numbers, whatever their rows. It goes on until a step is below tol, so that the
     order of the sums does not show.
     """
 
@@ -56,8 +61,8 @@ def fit_differences(pairs: DataFrame, width: int, reg: float, tol: float = 1e-10
                 total += np.r_[len(d), np.logaddexp(0, -z).sum(), -(p @ d), ((d.T * (p * (1 - p))) @ d).ravel()]
             yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "s": pa.array(total)})
 
-        found = pairs.select("d").mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
-        s = np.array([r.s for r in found])
+        found = pairs.select("d").mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).coalesce(1).collect()  # a number for each place
+        s = np.array([r.s for r in sorted(found)])
         n = s[0]
         return s[1] / n + reg * (w @ w) / 2, s[2 : 2 + width] / n + reg * w, s[2 + width :].reshape(width, width) / n + reg * np.eye(width)
 
