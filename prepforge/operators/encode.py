@@ -54,11 +54,11 @@ class Scaler:
 
 
 class FrequencyEncoder:
-    """Counts of values on training rows; missing is a value of its own, unseen values count 1."""
+    """Counts of values on training rows; missing is a value of its own, unseen values count 1. number: a column of how many equal rows a row stands for."""
 
-    def __init__(self, train: DataFrame, c: str):
+    def __init__(self, train: DataFrame, c: str, number: str | None = None):
         self.c = c
-        self.counts = train.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("MISSING")).alias("level")).agg(F.count("*").alias("freq"))
+        self.counts = train.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("MISSING")).alias("level")).agg((F.sum(number) if number else F.count("*")).alias("freq"))
 
     def transform(self, df: DataFrame, out: str) -> DataFrame:
         keyed = df.withColumn("__level", F.coalesce(F.col(self.c).cast("string"), F.lit("MISSING")))
@@ -99,10 +99,10 @@ def label_noise(key: str, label: str, share: float = 0.05, seed: int = 42) -> Co
 
 
 class ClaimEngineer:
-    """Interactions, missing flags, frequency and ranks: fitted on training rows of a fold, applied to any rows."""
+    """Interactions, missing flags, frequency and ranks: fitted on training rows of a fold, applied to any rows. number: a column of how many equal rows a training row stands for."""
 
-    def __init__(self, train: DataFrame, frequency: str, products: Sequence[tuple[str, str]] = (), ratios: Sequence[tuple[str, str]] = (), flags: Sequence[str] = (), ranked: Sequence[str] = ()):
-        self.frequency = FrequencyEncoder(train, frequency)
+    def __init__(self, train: DataFrame, frequency: str, products: Sequence[tuple[str, str]] = (), ratios: Sequence[tuple[str, str]] = (), flags: Sequence[str] = (), ranked: Sequence[str] = (), number: str | None = None):
+        self.frequency = FrequencyEncoder(train, frequency, number)
         self.products, self.ratios, self.flags, self.ranked = products, ratios, flags, ranked
 
     def transform(self, df: DataFrame) -> DataFrame:
