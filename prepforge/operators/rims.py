@@ -8,8 +8,8 @@ finishes each tile once its rim is known. In between only rim cells travel. Tile
   grid, whose only way out is the border; levels go down again the same way.
 - Accumulation: drained sums. What enters a tile leaves it at one cell, or stays. These exits form a forest, which is contracted by the same
   groups, and summed up going down.
-- Least cost: distances between rim cells. A group of tiles settles its rims from the values that it is given and passes on what leaves it;
-  only groups that are given a better value work again, so rounds follow the groups that a path crosses.
+- Least cost: a group of blocks settles its cells from the rim cells' values that it has or is given, and passes on what leaves it; only
+  groups that are given a better value work again, so rounds follow the groups that a path crosses. Only rim cells' values are kept.
 
 Tables may hold many grids: `by` names the columns that tell them apart (a village, say); every grouping and join has them, so all grids are
 worked on together, and a grid that is settled sends nothing more. Cells are (row, col, value) from 0; a missing or null cell is empty.
@@ -32,8 +32,8 @@ from .joins import small
 from .spatial import NEIGHBOURS
 
 TILE, FAN = 128, 8
-#: Tiles whose rim cells' distances are kept are smaller, and their groups wider.
-COST_TILE, COST_FAN = 32, 16
+#: Least cost goes by blocks of such tiles, and groups of so many blocks on a side.
+COST_TILE, COST_FAN = 32, 4
 #: Cells on a side of the block of tiles that a task works on at once: small tiles are stacked, larger ones stand alone.
 BLOCK = 128
 #: The way out of a grid, beside the cells' numbers (row and column in 32 bits each).
@@ -90,9 +90,10 @@ class Tiles:
         self.border = (rows == 0) | (cols == 0) | (rows == self.h) | (cols == self.w)
         self.edge = np.broadcast_to((r == 1) | (c == 1) | (r == tile) | (c == tile), self.own.shape)
 
-    def cells(self, name: str, values: np.ndarray) -> pd.DataFrame:
+    def cells(self, name: str, values: np.ndarray, carry: dict[str, str] | None = None) -> pd.DataFrame:
+        """carry: layers (name in the result, and here) that come along."""
         i = self.id[self.own]
-        return pd.DataFrame({"row": (i >> 32).astype(np.int32), "col": (i & 0xFFFFFFFF).astype(np.int32), name: values[self.own]})
+        return pd.DataFrame({"row": (i >> 32).astype(np.int32), "col": (i & 0xFFFFFFFF).astype(np.int32), name: values[self.own]} | {n: self.layers[c][self.own] for n, c in (carry or {}).items()})
 
     def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tile, row and column in the stacks of cells of the block."""
@@ -117,7 +118,7 @@ def shifted(a: np.ndarray, dr: int, dc: int, fill) -> np.ndarray:
 def tiled(cells: DataFrame, names: Sequence[str], by: Sequence[str], tile: int) -> DataFrame:
     """by, br, bc, h, w (the last row and column of the grid) and body of each block of tiles that has cells; written once."""
     size = cells.groupBy(*by).agg(F.max("row").alias("h"), F.max("col").alias("w"))
-    sized = cells.join(small(size), list(by)) if by else cells.crossJoin(F.broadcast(size))  # one row for each grid
+    sized = cells.join(small(durable(size)), list(by)) if by else cells.crossJoin(F.broadcast(size))  # one row for each grid
     keys, span = [*by, "br", "bc"], block_side(tile)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,21 +152,21 @@ def _each(tiles: DataFrame, by: Sequence[str], names: Sequence[str], tile: int,
     return tiles.mapInPandas(run, _types(tiles, by) + schema)
 
 
-def _finished(tiles: DataFrame, rims: DataFrame, by: Sequence[str], names: Sequence[str], tile: int, f: Callable[[Tiles, pd.DataFrame], pd.DataFrame], name: str) -> DataFrame:
-    """by, row, col and name from f of every block of tiles and the rows of rims (by, node, ...) whose node lies in it."""
+def _finished(tiles: DataFrame, rims: DataFrame, by: Sequence[str], names: Sequence[str], tile: int, f: Callable[[Tiles, pd.DataFrame], pd.DataFrame], *made: str) -> DataFrame:
+    """by, row, col and made from f of every block of tiles and the rows of rims (by, node, ...) whose node lies in it."""
     keys = [*by, "br", "bc"]
     placed = _in_group(rims, "node", block_side(tile), "br", "bc")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame(columns=[*by, "row", "col", name])
+            return pd.DataFrame(columns=[*by, "row", "col", *made])
         row = next(left.itertuples(index=False))
         out = f(Tiles(row, names, tile), right)
         for c in by:
             out[c] = getattr(row, c)
         return out
 
-    return tiles.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(run, f"{_types(tiles, by)}row int, col int, {name} double")
+    return tiles.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(run, f"{_types(tiles, by)}row int, col int, " + ", ".join(f"{n} double" for n in made))
 
 
 def _in_group(df: DataFrame, node: str, span: int, r: str = "gr", c: str = "gc") -> DataFrame:
@@ -469,10 +470,11 @@ def _forest_sums(nodes: DataFrame, by: Sequence[str], span: int) -> DataFrame:
     return total
 
 
-def flow_accumulation(directed: DataFrame, tile: int = TILE, by: Sequence[str] = ()) -> DataFrame:
+def flow_accumulation(directed: DataFrame, tile: int = TILE, by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """row, col, acc from (row, col, value, d). Cells are visited by falling height (then falling row and column): a cell passes what it has
-    then to its target; what reaches it later stays. Empty cells send nothing."""
-    names = ["z", "d"]
+    then to its target; what reaches it later stays. Empty cells send nothing. With carry, value and these columns (without nulls) come along."""
+    names = ["z", "d", *carry]
+    along = {"value": "z", **{c: c for c in carry}} if carry else {}
     tiles = tiled(directed.withColumnRenamed("value", "z"), names, by, tile)
     made = durable(_each(tiles, by, names, tile, _drains, "kind int, u long, v long, early boolean, a double"))
     gives = made.filter("kind = 0").select(*by, F.col("u").alias("x"), "v", "early", "a")
@@ -489,9 +491,9 @@ def flow_accumulation(directed: DataFrame, tile: int = TILE, by: Sequence[str] =
         some = flow.inside[~flow.early.ravel()[flow.inside]]
         out = a + late.ravel()
         np.add.at(out, flow.target.ravel()[some], a[some])
-        return t.cells("acc", out.reshape(t.own.shape))
+        return t.cells("acc", out.reshape(t.own.shape), along)
 
-    return _finished(tiles, inflow, by, names, tile, finish, "acc")
+    return _finished(tiles, inflow, by, names, tile, finish, "acc", *along)
 
 
 # --- least cost --------------------------------------------------------------------------------------------------------------------------
@@ -518,120 +520,100 @@ def _relaxed(d: np.ndarray, steps: list) -> np.ndarray:
             return d
 
 
-def _distances(outlets: dict):
-    def run(t: Tiles, k: int, key: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the k-th tile: rim cells (with the outlet), distances between them within the tile, and steps (u, v, cost) to cells of other tiles."""
-        cost, own, ids = t.layers["cost"][k], t.own[k], t.id[k]
-        free, any_ = own & ~np.isnan(cost), t.here[k] & ~np.isnan(cost)
-        rim = free & (t.edge[k] | (ids == outlets.get(key, OUT)))
-        at = np.flatnonzero(rim)
-        # sources on the last axis, which makes slices of cells long runs of memory
-        start = np.full((*cost.shape, len(at)), np.inf)
-        start[(*np.unravel_index(at, cost.shape), np.arange(len(at)))] = 0
-        moves = [(*_ways(dr, dc, *cost.shape), s) for dr, dc, s in _steps(cost, free)]
-        moves = [(here[1:], there[1:], np.ascontiguousarray(s[here][..., None])) for here, there, s in moves]
-        while True:
-            before = start.copy()
-            for here, there, s in moves:
-                np.minimum(start[here], start[there] + s, out=start[here])
-            if (before == start).all():
-                break
-        between = start[rim].T
-        u, v, s = [], [], []
-        for dr, dc, step in _steps(cost, any_):
-            over = free & shifted(any_ & ~own, dr, dc, False)  # noqa: FBT003
-            u.append(ids[over])
-            v.append(shifted(ids, dr, dc, 0)[over])
-            s.append(step[over])
-        return ids[rim], between, *(np.concatenate(x) for x in (u, v, s))
-
-    return run
-
-
-def _settled(tiles: list, start: dict[int, float], given: dict[int, float]) -> dict[int, float]:
-    """Distances of a group's rim cells from those known and those given; tiles: (ids, distances between them, u, v, cost of steps)."""
-    dist = dict(start)
-    home = {i: k for k, (ids, *_) in enumerate(tiles) for i in ids.tolist()}
-    values = [np.array([dist.get(i, np.inf) for i in ids.tolist()]) for ids, *_ in tiles]
-    place = [{i: k for k, i in enumerate(ids.tolist())} for ids, *_ in tiles]
-    todo: dict[int, None] = {}
-
-    def offer(i: int, d: float) -> None:
-        k = home.get(i)
-        if k is not None and d < values[k][place[k][i]]:
-            values[k][place[k][i]] = d
-            todo[k] = None
-
-    for i, d in given.items():
-        offer(i, d)
-    while todo:
-        # the tile with the nearest value first
-        k = min(todo, key=lambda k: values[k].min())
-        del todo[k]
-        ids, between, u, v, s = tiles[k]
-        values[k] = np.minimum(values[k], (values[k][:, None] + between).min(axis=0))
-        at = np.array([place[k].get(i, -1) for i in u.tolist()], np.int64)
-        for j, d in zip(v.tolist(), (values[k][at] + s).tolist() if len(at) else [], strict=True):
-            if d < math.inf:
-                offer(j, d)
-    return {i: float(d) for (ids, *_), x in zip(tiles, values, strict=True) for i, d in zip(ids.tolist(), x.tolist(), strict=True) if d < math.inf}
-
-
-def least_cost(cost: DataFrame, outlets: DataFrame, tile: int = COST_TILE, by: Sequence[str] = ()) -> DataFrame:
-    """row, col, dist of every cell to the outlet of its grid (by, row, col; one for each grid): steps cost the mean of both cells times their distance."""
+def _settle(blocks: list[Tiles], start: dict[int, float]) -> tuple[dict[int, float], dict[int, float]]:
+    """Distances of the rim cells (and the outlet) of a group's blocks from those known, and those of cells of other groups by a step over the group's edge. The block that is given the nearest value is worked on first."""
+    place, moves, free, d, nearest, met = {}, [], [], [], {}, {}
+    for k, t in enumerate(blocks):
+        cost, own = t.layers["cost"][0], t.own[0]
+        known = t.here[0] & ~np.isnan(cost)
+        place[t.tr[0], t.tc[0]] = k
+        # steps between own cells, and from these over the edge
+        moves.append([(dr, dc, s, np.where(own, s, np.inf)) for dr, dc, s in _steps(cost, known)])
+        free.append(known & own)
+        d.append(np.full(cost.shape, np.inf))
+
+    def offer(node: int, value: float) -> None:
+        r, c = node >> 32, node & 0xFFFFFFFF
+        t = blocks[0]
+        k = place.get((r // t.tile, c // t.tile))
+        if k is None:
+            met[node] = min(value, met.get(node, np.inf))
+            return
+        at = r % t.tile + 1, c % t.tile + 1
+        if free[k][at] and value < d[k][at]:
+            d[k][at] = value
+            nearest[k] = min(value, nearest.get(k, np.inf))
+            fresh.setdefault(k, []).append(at)
+
+    fresh: dict[int, list] = {}
+    for node, value in start.items():
+        offer(node, value)
+    while nearest:
+        k = min(nearest, key=nearest.get)
+        del nearest[k]
+        t, own = blocks[k], blocks[k].own[0]
+        changed = np.zeros(own.shape, bool)
+        changed[tuple(np.array(fresh.pop(k)).T)] = True
+        edge = _relax_from(d[k], moves[k], changed)
+        ids = t.id[0]
+        over = np.full(own.shape, np.inf)
+        source = np.where(own & edge, d[k], np.inf)
+        for dr, dc, s, _ in moves[k]:
+            here, there = _ways(dr, dc, *own.shape)
+            over[here] = np.minimum(over[here], source[there] + s[here])
+        at = ~own & np.isfinite(over)
+        for node, value in zip(ids[at].tolist(), over[at].tolist(), strict=True):
+            offer(node, value)
+    rim = {}
+    for t, v in zip(blocks, d, strict=True):
+        at = t.own[0] & (t.edge[0] | np.isin(t.id[0], list(start))) & np.isfinite(v)
+        rim |= zip(t.id[0][at].tolist(), v[at].tolist(), strict=True)
+    return rim, met
+
+
+def _relax_from(d: np.ndarray, moves: list, changed: np.ndarray) -> np.ndarray:
+    """d with all shorter ways from the changed cells taken, in place, within the box of what changes; which cells changed."""
+    every = changed.copy()
+    while changed.any():
+        rows, cols = np.flatnonzero(changed.any(axis=1)), np.flatnonzero(changed.any(axis=0))
+        box = slice(max(rows[0] - 1, 0), rows[-1] + 2), slice(max(cols[0] - 1, 0), cols[-1] + 2)
+        v, before = d[box], d[box].copy()
+        for dr, dc, _, s in moves:
+            here, there = _ways(dr, dc, *v.shape)
+            np.minimum(v[here], v[there] + s[box][here], out=v[here])
+        changed = np.zeros(d.shape, bool)
+        changed[box] = v < before
+        every |= changed
+    return every
+
+
+def settled_rims(cost: DataFrame, outlets: DataFrame, tile: int, by: Sequence[str] = (), fan: int = COST_FAN) -> tuple[DataFrame, DataFrame]:
+    """Blocks of cost of tile cells on a side, and by, node, dist of their rim cells (and outlets). Blocks are settled by groups of fan x fan."""
     tiles = tiled(cost, ["cost"], by, tile)
     node = (F.col("row").cast("long") * (1 << 32) + F.col("col")).alias("node")
     ends = durable(outlets.select(*by, node))
-    held = cost.sparkSession.sparkContext.broadcast({tuple(r[c] for c in by): r["node"] for r in ends.collect()})  # a number for each grid
-    span, kinds = tile * COST_FAN, _types(tiles, by)
+    span, kinds = tile * fan, _types(tiles, by)
     keys = [*by, "gr", "gc"]
-
-    def solve(frames):
-        f = _distances(held.value)
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, c) for c in by)
-                t = Tiles(row, ["cost"], tile)
-                for i in range(len(t.tr)):
-                    parts = f(t, i, key)
-                    out = pd.DataFrame({"tr": [t.tr[i]], "tc": [t.tc[i]], "k": [len(parts[0])], "n": [len(parts[2])], "body": [b"".join(np.ascontiguousarray(x).tobytes() for x in parts)]})
-                    for c in by:
-                        out[c] = getattr(row, c)
-                    yield out.astype({"tr": "int32", "tc": "int32", "k": "int32", "n": "int32"})
-
-    solved = tiles.mapInPandas(solve, f"{kinds}tr int, tc int, k int, n int, body binary")
-    fan = lambda c: F.floor(F.col(c) / COST_FAN).cast("int")
-    solved = durable(solved.withColumns({"gr": fan("tr"), "gc": fan("tc")}))
-
-    def opened(row) -> tuple:
-        k, n = row.k, row.n
-        sizes = [8 * k, 8 * k * k, 8 * n, 8 * n, 8 * n]
-        ends_ = np.cumsum(sizes)
-        ids, between, u, v, s = (np.frombuffer(row.body[b - z : b], np.float64 if i in (1, 4) else np.int64) for i, (b, z) in enumerate(zip(ends_, sizes, strict=True)))
-        return ids, between.reshape(k, k), u, v, s
+    group = lambda c: F.floor(F.col(c) / fan).cast("int")
+    grouped = tiles.withColumns({"gr": group("br"), "gc": group("bc")})
 
     def settle(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [*keys, "node", "dist", "over"]
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=columns)
-        parts = [opened(r) for r in left.itertuples(index=False)]
-        old, new = right[~right["over"]], right[right["over"]]
-        known = _settled(parts, dict(zip(old["node"].tolist(), old["dist"].tolist(), strict=True)), new.groupby("node")["dist"].min().to_dict())
-        rows = [(i, d, False) for i, d in known.items()]
-        for _, _, u, v, s in parts:
-            rows += [(j, known[i] + x, True) for i, j, x in zip(u.tolist(), v.tolist(), s.tolist(), strict=True) if i in known and j not in known]
-        out = pd.DataFrame(rows, columns=["node", "dist", "over"])
+            return pd.DataFrame(columns=[*keys, "node", "dist", "over"])
+        start = right.groupby("node")["dist"].min().to_dict()
+        known, met = _settle([Tiles(r, ["cost"], tile) for r in left.itertuples(index=False)], start)
+        out = pd.DataFrame({"node": np.array([*known, *met], np.int64), "dist": np.array([*known.values(), *met.values()], float), "over": np.repeat([False, True], [len(known), len(met)])})
         for c in keys:
             out[c] = left[c].iloc[0]
-        return out[columns]
+        return out
 
     schema = f"{kinds}gr int, gc int, node long, dist double, over boolean"
-    given = _in_group(ends.withColumns({"dist": F.lit(0.0), "over": F.lit(True)}), "node", span).select(*keys, "node", "dist", "over")
+    given = durable(_in_group(ends.withColumns({"dist": F.lit(0.0), "over": F.lit(True)}), "node", span).select(*keys, "node", "dist", "over"))
     state = given.limit(0)
     while True:
         active = durable(given.select(*keys).distinct())
         work = state.join(active, keys, "left_semi").unionByName(given)
-        made = durable(solved.join(small(active), keys, "left_semi").groupBy(*keys).cogroup(work.groupBy(*keys)).applyInPandas(settle, schema))
+        made = durable(grouped.join(small(active), keys, "left_semi").groupBy(*keys).cogroup(work.groupBy(*keys)).applyInPandas(settle, schema))
         state = durable(state.join(active, keys, "left_anti").unionByName(made.filter("not over")))
         # what leaves a group counts where it is less than what is known there
         sent = made.filter("over").groupBy(*by, "node").agg(F.min("dist").alias("dist"))
@@ -640,10 +622,52 @@ def least_cost(cost: DataFrame, outlets: DataFrame, tile: int = COST_TILE, by: S
         if given.isEmpty():
             break
 
-    def finish(t: Tiles, known: pd.DataFrame) -> pd.DataFrame:
-        c = t.layers["cost"]
-        d = np.full(c.shape, np.inf)
-        d[t.place(known["node"].to_numpy())] = known["dist"].to_numpy()
-        return t.cells("dist", _relaxed(d, _steps(c, t.own & ~np.isnan(c))))
+    return tiles, state.select(*by, "node", "dist")
+
+
+def least_cost(cost: DataFrame, outlets: DataFrame, tile: int = COST_TILE, by: Sequence[str] = (), fan: int = COST_FAN) -> DataFrame:
+    """row, col, dist of every cell to the outlet of its grid (by, row, col; one for each grid): steps cost the mean of both cells times their distance."""
+    tile = block_side(tile)
+    tiles, rims = settled_rims(cost, outlets, tile, by, fan)
+    return _finished(tiles, rims, by, ["cost"], tile, lambda t, known: t.cells("dist", _block_distances(t, known)), "dist")
+
+
+def _block_distances(t: Tiles, known: pd.DataFrame) -> np.ndarray:
+    """Distances of a block's own cells from those of its rim; of cells around it as known."""
+    c = t.layers["cost"]
+    d = np.full(c.shape, np.inf)
+    node = known["node"].to_numpy()
+    d[0, (node >> 32) - t.r0 + 1, (node & 0xFFFFFFFF) - t.c0 + 1] = known["dist"].to_numpy()
+    return np.where(t.own, _relaxed(np.where(t.own, d, np.inf), _steps(c, t.own & ~np.isnan(c))), d)
+
+
+def distance_blocks(tiles: DataFrame, rims: DataFrame, wanted: DataFrame, tile: int, by: Sequence[str] = (), fan: int = COST_FAN) -> DataFrame:
+    """Blocks of cost and dist of tile * fan cells on a side, as tiled packs them, for those wanted (by, br, bc), from settled_rims."""
+    keys, span = [*by, "br", "bc"], tile * fan
+    chosen = small(wanted)
+    around = with_rims(rims.withColumns({"row": _row("node"), "col": _col("node")}), span).select(*keys, "row", "col", "dist")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left.iloc[:1].drop(columns=["__r", "__c"])
+        if not len(left):
+            return out
+        r0, c0 = int(out["br"].iloc[0]) * span, int(out["bc"].iloc[0]) * span
+        a = np.full((3, span + 2, span + 2), np.nan)
+        dist = np.full((span + 2, span + 2), np.inf)
+        dist[right["row"].to_numpy(np.int64) - r0 + 1, right["col"].to_numpy(np.int64) - c0 + 1] = right["dist"].to_numpy()
+        held = [Tiles(r, ["cost"], tile) for r in left.drop(columns=["br", "bc"]).rename(columns={"__r": "br", "__c": "bc"}).itertuples(index=False)]
+        for t in held:
+            # cells around the block first, which are another block's own
+            at = slice(t.r0 - r0, t.r0 - r0 + tile + 2), slice(t.c0 - c0, t.c0 - c0 + tile + 2)
+            a[0][at], a[1][at] = np.where(t.here[0], 1.0, a[0][at]), np.where(t.here[0], t.layers["cost"][0], a[1][at])
+        for t in held:
+            at = slice(t.r0 - r0, t.r0 - r0 + tile + 2), slice(t.c0 - c0, t.c0 - c0 + tile + 2)
+            own, c = t.own[0], t.layers["cost"][0]
+            free = own & ~np.isnan(c)
+            dist[at] = np.where(own, _relaxed(np.where(own, dist[at], np.inf), _steps(c, free)), dist[at])
+        a[2] = np.where(a[0] == 1, dist, np.nan)
+        out["body"] = [pa.compress(a.tobytes(), codec="zstd", asbytes=True)]
+        return out
 
-    return _finished(tiles, state.select(*by, "node", "dist"), by, ["cost"], tile, finish, "dist")
+    own = tiles.select(*by, F.floor(F.col("br") / fan).cast("int").alias("br"), F.floor(F.col("bc") / fan).cast("int").alias("bc"), "h", "w", "body", F.col("br").alias("__r"), F.col("bc").alias("__c"))
+    return own.join(chosen, keys, "left_semi").groupBy(*keys).cogroup(around.join(chosen, keys, "left_semi").groupBy(*keys)).applyInPandas(run, f"{_types(tiles, by)}br int, bc int, h int, w int, body binary")

@@ -1,6 +1,6 @@
 """Grids as cell tables (row, col, value): rasterising, filling, smoothing, hydrology, hot spots, routes.
 
-Local operators are aggregations over shifted copies of the cells; depressions, accumulation and least cost are in `rims`.
+Local operators work on blocks of cells (`stencils`); depressions, accumulation and least cost are in `rims`.
 
 A table may hold the grids of many villages. `by` names the columns that tell them apart; all groupings have them. Where an operator needs
 the number of rows and columns, it takes them as numbers, or as the names of columns of by that hold them for each village.
@@ -9,7 +9,7 @@ the number of rows and columns, it takes them as numbers, or as the names of col
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,19 +19,16 @@ from pyspark.sql import functions as F
 from .durable import durable
 from .joins import small
 from .ranks import exact_percentiles, lowest_border, spaced_top
-from .rims import COST_TILE, TILE, Tiles, block_side, fill_depressions, flow_accumulation, least_cost, tiled  # noqa: F401
-from .spatial import NEIGHBOURS, cell_index, grid_meta, nearest_filled, neighbours
+from .rims import COST_FAN, TILE, Tiles, block_side, distance_blocks, fill_depressions, flow_accumulation, least_cost, settled_rims, tiled  # noqa: F401
+from .spatial import NEIGHBOURS, cell_index, grid_meta, nearest_filled
+from .stencils import REACH, Block, cell_percentiles, near_filled, number, on_blocks, smoothed, sobel, steepest
 
 By = Sequence[str]
 
 
-def _number(n: int | str) -> Column:
-    return F.col(n) if isinstance(n, str) else F.lit(n)
-
-
 def per_grid(cells: DataFrame, summary: DataFrame, by: By) -> DataFrame:
     """cells with the columns of summary, one row for each grid."""
-    return cells.join(small(summary), list(by)) if by else cells.crossJoin(F.broadcast(summary))
+    return cells.join(small(durable(summary)), list(by)) if by else cells.crossJoin(F.broadcast(summary))
 
 
 def rasterise(indexed: DataFrame, stat: str = "mean", by: By = ()) -> DataFrame:
@@ -42,8 +39,15 @@ def rasterise(indexed: DataFrame, stat: str = "mean", by: By = ()) -> DataFrame:
 def rasterise_all(indexed: DataFrame, *stats: str, by: By = ()) -> DataFrame:
     """row, col and a column for each of stats, in one pass."""
     z = F.col("z").cast("double")
+    at = [*by, "row", "col"]
+    if all(s in SHARES for s in stats):
+        return cell_percentiles(indexed.select(*at, z.alias("z")), {s: SHARES[s] for s in stats}, by)
     values = {"mean": F.avg(z), "min": F.min(z), "median": F.median(z), "p05": F.percentile(z, 0.05), "p10": F.percentile(z, 0.10)}
-    return indexed.groupBy(*by, "row", "col").agg(*[values[s].alias(s) for s in stats])
+    return indexed.groupBy(*at).agg(*[values[s].alias(s) for s in stats])
+
+
+#: Shares of the exact percentiles.
+SHARES = {"median": 0.5, "p05": 0.05, "p10": 0.10}
 
 
 def ground_labels(indexed: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -61,51 +65,50 @@ def full_grid(spark, nrows: int, ncols: int) -> DataFrame:
 
 def all_cells(grids: DataFrame, nrows: int | str, ncols: int | str, by: By = ()) -> DataFrame:
     """Every cell of each grid (by, and one row for each): rows first, dealt out, then columns."""
-    rows = grids.select(*by, F.explode(F.sequence(F.lit(0), _number(nrows) - 1)).alias("row"))
-    return rows.repartition(*by, "row").withColumn("col", F.explode(F.sequence(F.lit(0), _number(ncols) - 1))).select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    rows = grids.select(*by, F.explode(F.sequence(F.lit(0), number(nrows) - 1)).alias("row"))
+    return rows.repartition(*by, "row").withColumn("col", F.explode(F.sequence(F.lit(0), number(ncols) - 1))).select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
 
 
 def fill_gaps(cells: DataFrame, nrows: int | str, ncols: int | str, method: str = "idw", k: int = 8, power: float = 2.0, by: By = ()) -> DataFrame:
     """Every cell of the grid; empty ones get the nearest filled value, or the inverse-distance mean of the k nearest."""
-    filled = cells.filter(F.col("value").isNotNull()).select(*by, "row", "col", "value")
-    every = all_cells(cells.select(*by).distinct(), nrows, ncols, by) if by else full_grid(cells.sparkSession, nrows, ncols)
-    empty = every.join(filled, [*by, "row", "col"], "left_anti")
-    near = nearest_filled(empty, filled, 1 if method == "nearest" else k, by=by)
+    known = cells.filter(F.col("value").isNotNull()).select(*by, "row", "col", F.col("value").cast("double").alias("value"))
+    many = 1 if method == "nearest" else k
+
+    def fill(b: Block):
+        values, filled, far = near_filled(b, "value", many, power)
+        return filled | far, {"value": np.ma.array(values, mask=~filled)}
+
+    # most empty cells find k filled ones nearby, within their block; only those that don't are looked for from afar
+    sized = known if by else known.select("row", "col", "value")
+    made = durable(on_blocks(sized, ["value"], nrows, ncols, REACH, fill, "value double", by, every=True))
+    far = made.filter("value is null").select(*by, "row", "col")
+    if far.isEmpty():
+        return made
     w = 1 / F.pow(F.greatest(F.sqrt("d2"), F.lit(1e-6)), F.lit(power))
+    near = nearest_filled(far, known, many, by=by)
     values = near.groupBy(*by, "row", "col").agg((F.sum(w * F.col("n_value")) / F.sum(w)).alias("value"))
-    return filled.unionByName(values)
-
-
-def _mirrored(cells: DataFrame, axis: str, n: Column, radius: int) -> DataFrame:
-    """Cells with copies beyond both ends, as if the grid were mirrored at its edges."""
-    places = F.array(F.col(axis).cast("long"), *[x.cast("long") for x in (-F.col(axis) - 1, 2 * n - 1 - F.col(axis))])
-    at = F.filter(places, lambda p: (p >= -radius) & (p < n + radius))
-    return cells.withColumn("__at", F.explode(F.array_distinct(at)))
+    return made.filter("value is not null").unionByName(values)
 
 
-def convolve(cells: DataFrame, nrows: int | str, ncols: int | str, axis: str, weights: dict[int, float], value: str = "value", out: str = "value", by: By = ()) -> DataFrame:
-    """Weighted sum over offsets along an axis, mirrored at the edges: each cell sends its value to the cells that it counts for."""
-    n, radius = _number(nrows if axis == "row" else ncols), max(map(abs, weights))
-    other = "col" if axis == "row" else "row"
-    offsets = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in weights.items()])
-    sent = _mirrored(cells.select(*by, "row", "col", F.col(value).alias("v")), axis, n, radius).withColumn("s", F.explode(offsets))
-    target = sent.withColumn("t", (F.col("__at") - F.col("s.o")).cast("int")).filter((F.col("t") >= 0) & (F.col("t") < n))
-    return target.groupBy(*by, F.col("t").alias(axis), other).agg(F.sum(F.col("v") * F.col("s.w")).alias(out)).select(*by, "row", "col", out)
+def gaussian_weights(sigma: float) -> dict[int, float]:
+    r = int(4 * sigma + 0.5)
+    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
+    return {i - r: x / sum(w) for i, x in enumerate(w)}
 
 
 def gaussian(cells: DataFrame, nrows: int | str, ncols: int | str, sigma: float, value: str = "value", by: By = ()) -> DataFrame:
-    r = int(4 * sigma + 0.5)
-    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
-    weights = {i - r: x / sum(w) for i, x in enumerate(w)}
-    return convolve(convolve(cells, nrows, ncols, "row", weights, value, by=by), nrows, ncols, "col", weights, by=by)
+    weights = gaussian_weights(sigma)
+    return smoothed(cells, nrows, ncols, (("row", weights), ("col", weights)), value, "value", by)
 
 
 def slope(cells: DataFrame, nrows: int | str, ncols: int | str, cell: float, floor: float = 0.0, by: By = ()) -> DataFrame:
     """Sobel gradient over 8 cells, its magnitude, at least floor."""
-    smooth, diff = {-1: 1.0, 0: 2.0, 1: 1.0}, {-1: -1.0, 1: 1.0}
-    dx = convolve(convolve(cells, nrows, ncols, "row", smooth, by=by), nrows, ncols, "col", diff, out="dx", by=by)
-    dy = convolve(convolve(cells, nrows, ncols, "col", smooth, by=by), nrows, ncols, "row", diff, out="dy", by=by)
-    return dx.join(dy, [*by, "row", "col"]).select(*by, "row", "col", F.greatest(F.hypot(F.col("dx") / (8 * cell), F.col("dy") / (8 * cell)), F.lit(floor)).alias("slope"))
+
+    def f(b: Block):
+        v, here = sobel(b, "value", cell, floor)
+        return here, {"slope": v}
+
+    return on_blocks(cells, ["value"], nrows, ncols, 1, f, "slope double", by)
 
 
 def roughness(cells: DataFrame, nrows: int, ncols: int) -> DataFrame:
@@ -135,12 +138,35 @@ def leakage_share(median: DataFrame, low: DataFrame, limit: float = 2.0) -> Data
 
 def flow_direction(cells: DataFrame, by: By = ()) -> DataFrame:
     """row, col, value, d: the steepest of eight neighbours, the first in code order among equals; border and empty cells keep 0."""
-    size = cells.groupBy(*by).agg(F.max("row").alias("h"), F.max("col").alias("w"))
-    near = neighbours(cells, by=by).filter("value is not null and n_value is not null")
-    best = near.groupBy(*by, "row", "col").agg(F.max_by("d", F.struct(((F.col("value") - F.col("n_value")) / F.col("dist")).alias("s"), -F.col("d"))).alias("b"))
-    inner = (F.col("row") > 0) & (F.col("col") > 0) & (F.col("row") < F.col("h")) & (F.col("col") < F.col("w"))
-    all_of = per_grid(cells.select(*by, "row", "col", "value").join(best, [*by, "row", "col"], "left"), size, by)
-    return all_of.select(*by, "row", "col", "value", F.when(inner & F.col("value").isNotNull(), F.coalesce("b", F.lit(0))).otherwise(0).cast("int").alias("d"))
+    size = cells.groupBy(*by).agg((F.max("row") + 1).cast("int").alias("__h"), (F.max("col") + 1).cast("int").alias("__w"))
+    keys = [*by, "__h", "__w"]
+
+    def f(b: Block):
+        return b.own(b.here), {"value": np.ma.array(b.own(b.values["value"]), mask=~b.own(b.full["value"])), "d": steepest(b, "value")}
+
+    return on_blocks(per_grid(cells.select(*by, "row", "col", F.col("value").cast("double").alias("value")), size, by), ["value"], "__h", "__w", 1, f, "value double, d int", keys).select(*by, "row", "col", "value", "d")
+
+
+def sloped(filled: DataFrame, nrows: int | str, ncols: int | str, cell: float, floor: float = 0.001, by: By = ()) -> DataFrame:
+    """row, col, value, slope, d of whole grids: slope and flow direction in one pass."""
+
+    def f(b: Block):
+        return b.own(b.here), {"value": b.own(b.values["value"]), "slope": sobel(b, "value", cell, floor)[0], "d": steepest(b, "value")}
+
+    return on_blocks(filled, ["value"], nrows, ncols, 1, f, "value double, slope double, d int", by)
+
+
+def wet(drained: DataFrame, nrows: int | str, ncols: int | str, cell: float, sigma: float = 2.0, by: By = ()) -> DataFrame:
+    """row, col, value, slope, acc and smoothed wetness (twi) of whole grids of value, slope and acc."""
+    weights = gaussian_weights(sigma)
+
+    def f(b: Block):
+        with np.errstate(all="ignore"):
+            v = np.log(b.values["acc"] * cell / np.maximum(b.values["slope"], 0.001))
+        v = np.where(b.here & np.isfinite(v), v, 0.0)
+        return b.own(b.here), {n: b.own(b.values[n]) for n in ("value", "slope", "acc")} | {"twi": b.weighted((("row", weights), ("col", weights)), v, b.here, b.here)[0]}
+
+    return on_blocks(drained, ["value", "slope", "acc"], nrows, ncols, max(weights), f, "value double, slope double, acc double, twi double", by)
 
 
 def wetness(acc: DataFrame, slopes: DataFrame, cell: float, sca_mode: str = "published", by: By = ()) -> DataFrame:
@@ -153,7 +179,12 @@ def wetness(acc: DataFrame, slopes: DataFrame, cell: float, sca_mode: str = "pub
 def hot_spots(twi: DataFrame, slopes: DataFrame, acc: DataFrame, by: By = ()) -> DataFrame:
     """moderate, high and critical flags, and risk 0 to 3 (the later level counts); levels are those of the cell's own grid."""
     at = [*by, "row", "col"]
-    t = durable(twi.withColumnRenamed("value", "twi").join(slopes, at).join(acc, at))
+    return risk_levels(durable(twi.withColumnRenamed("value", "twi").join(slopes, at).join(acc, at)), by)
+
+
+def risk_levels(t: DataFrame, by: By = ()) -> DataFrame:
+    """hot_spots of one table of twi, slope and acc."""
+    at = [*by, "row", "col"]
     p = lambda c, least, cuts: exact_percentiles(t.filter(F.col(c) > least), c, cuts, by)
     cut = p("twi", 0, {"t90": 0.9, "t95": 0.95})
     for other in (p("slope", 0, {"s25": 0.25}), p("acc", 1, {"f90": 0.9})):
@@ -170,9 +201,9 @@ def low_lying(cells: DataFrame, share: float = 0.1, by: By = ()) -> DataFrame:
     return per_grid(cells, cut, by).withColumn("low", F.col("value") <= F.col("__cut")).drop("__cut")
 
 
-def routing_cost(cells: DataFrame, slopes: DataFrame, by: By = ()) -> DataFrame:
-    """0.4 (1 - height) + 0.6 (1 - slope), both scaled to their range."""
-    t = cells.join(slopes, [*by, "row", "col"])
+def routing_cost(cells: DataFrame, slopes: DataFrame | None, by: By = ()) -> DataFrame:
+    """0.4 (1 - height) + 0.6 (1 - slope), both scaled to their range. Without slopes cells has them."""
+    t = cells if slopes is None else cells.join(slopes, [*by, "row", "col"])
     box = t.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in ("value", "slope") for n, f in (("lo", F.min), ("hi", F.max))])
     t = per_grid(t, box, by)
     scaled = lambda c: F.coalesce((F.col(c) - F.col(f"lo_{c}")) / F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0.0)), F.lit(0.0))
@@ -180,9 +211,15 @@ def routing_cost(cells: DataFrame, slopes: DataFrame, by: By = ()) -> DataFrame:
 
 
 def trace(cost: DataFrame, dist: DataFrame, starts: DataFrame, tile: int = TILE, by: By = ()) -> DataFrame:
-    """path, step, row, col from each start (path, row, col) down to the outlet of its grid. A round walks every path through one block of tiles, and reads the blocks that paths are in."""
-    keys, span = [*by, "br", "bc"], block_side(tile)
+    """path, step, row, col from each start (path, row, col) down to the outlet of its grid."""
+    tile = block_side(tile)
     tiles = tiled(cost.join(dist, [*by, "row", "col"]), ["cost", "dist"], by, tile)
+    return _walked(lambda wanted: tiles.join(small(wanted), [*by, "br", "bc"], "left_semi").select(*tiles.columns), starts, tile, by)
+
+
+def _walked(blocks: Callable[[DataFrame], DataFrame], starts: DataFrame, span: int, by: By) -> DataFrame:
+    """A round walks every path through one block of span cells on a side, and asks blocks for those (by, br, bc) that paths are in."""
+    keys = [*by, "br", "bc"]
     heads = starts.select(*by, F.col("path").cast("int").alias("path"), F.lit(0).alias("step"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
     out, kinds = heads, "".join(f"`{c}` {t}, " for c, t in heads.dtypes if c in by)
     names = ["path", "step", "row", "col", "left"]
@@ -190,7 +227,7 @@ def trace(cost: DataFrame, dist: DataFrame, starts: DataFrame, tile: int = TILE,
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            t = Tiles(next(right.itertuples(index=False)), ["cost", "dist"], tile)
+            t = Tiles(next(right.itertuples(index=False)), ["cost", "dist"], span)
             c, d = t.layers["cost"], np.where(np.isnan(t.layers["dist"]), np.inf, t.layers["dist"])
             for path, step, row, col in left[["path", "step", "row", "col"]].itertuples(index=False):
                 while True:
@@ -216,7 +253,7 @@ def trace(cost: DataFrame, dist: DataFrame, starts: DataFrame, tile: int = TILE,
     while not heads.isEmpty():
         # distances fall with every step, so paths end
         placed = heads.withColumns({"br": F.floor(F.col("row") / span).cast("int"), "bc": F.floor(F.col("col") / span).cast("int")})
-        here = tiles.join(small(placed.select(*keys).distinct()), keys, "left_semi")
+        here = blocks(durable(placed.select(*keys).distinct()))
         walked = durable(placed.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInPandas(walk, f"{kinds}path int, step int, row int, col int, left boolean"))
         out = out.unionByName(walked.drop("left"))
         heads = walked.filter("left").drop("left")
@@ -236,11 +273,13 @@ def lengths(lines: DataFrame, by: By = ()) -> DataFrame:
     return lines.groupBy(*by).agg(F.count("*").alias("channels"), F.round(F.sum("length"), 6).alias("total"), F.round(F.avg("length"), 6).alias("mean"), F.min("length").alias("min"), F.max("length").alias("max"))
 
 
-def drainage(cells: DataFrame, slopes: DataFrame, acc: DataFrame, k: int = 10, apart: float = 50.0, tile: int = TILE, by: By = ()) -> DataFrame:
+def drainage(cells: DataFrame, slopes: DataFrame | None, acc: DataFrame, k: int = 10, apart: float = 50.0, tile: int = TILE, by: By = ()) -> DataFrame:
     """path, step, row, col of the cheapest channels from the k main collecting cells of each grid to its lowest border cell."""
-    cost = durable(routing_cost(cells, slopes, by))
-    starts = spaced_top(acc, "acc", k, apart, by=by).select(*by, F.col("pick").alias("path"), "row", "col")
-    return trace(cost, durable(least_cost(cost, lowest_border(cells, by=by), min(tile, COST_TILE), by)), starts, tile, by)
+    starts = durable(spaced_top(acc, "acc", k, apart, by=by).select(*by, F.col("pick").alias("path"), "row", "col"))
+    side = block_side(tile)
+    tiles, rims = settled_rims(routing_cost(cells, slopes, by), lowest_border(cells, by=by), side, by)
+    # distances within a block are worked out only where a path comes by
+    return _walked(lambda wanted: distance_blocks(tiles, rims, wanted, side, by), starts, side * COST_FAN, by)
 
 
 def hectares(flags: DataFrame, cell: float, by: By = ()) -> DataFrame:

@@ -474,3 +474,75 @@ def test_small_tiles_are_worked_on_by_blocks(spark):
     at = [(p.row, p.col) for p in path]
     assert at[0] == (0, 2) and at[-1] == (8, 149)
     assert sum((c[p] + c[q]) / 2 * math.hypot(p[0] - q[0], p[1] - q[1]) for p, q in zip(at[:-1], at[1:], strict=True)) == pytest.approx(cheapest(c, 8, 149)[0, 2])
+
+
+def test_cell_percentiles_by_blocks_and_cell_by_cell(spark):
+    """Percentiles of cells are Spark's, in blocks that a task sorts and in those with too many points."""
+    from prepforge.operators import stencils as st
+
+    x = F.xxhash64("id")
+    z = F.when(x % 11 != 0, (F.pmod(x, F.lit(97)) / 7).cast("double"))
+    df = spark.range(6000).select((F.col("id") % 2).cast("int").alias("g"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(140)).cast("int").alias("row"), (F.col("id") % 5 + F.when(F.col("id") % 7 == 0, 126).otherwise(0)).cast("int").alias("col"), z.alias("z")).repartition(3)
+    df = df.unionByName(spark.createDataFrame([(1, 139, 139, None), (0, 3, 200, 1.5)], df.schema))
+    want = {tuple(r) for r in df.groupBy("g", "row", "col").agg(F.percentile("z", 0.05).alias("p05"), F.percentile("z", 0.5).alias("median")).collect()}
+    for most in (1_000_000, 300):
+        got = st.cell_percentiles(df, {"p05": 0.05, "median": 0.5}, ["g"], most).select("g", "row", "col", "p05", "median").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_gaps_are_filled_within_blocks_and_from_afar(spark):
+    """Gaps near filled cells, over a block's edge, and far from any (a block without cells) equal a full search."""
+    rng = np.random.default_rng(8)
+    a = np.round(rng.random((20, 300)), 3)
+    a[:, 100:280] = np.nan
+    a[rng.random(a.shape) < 0.3] = np.nan
+    got = dense(te.fill_gaps(cells(spark, a), *a.shape), a.shape)
+    r, c = np.nonzero(~np.isnan(a))
+    for y, x in [*zip(*np.nonzero(np.isnan(a)), strict=True)][::7]:
+        d2 = (r - y) ** 2 + (c - x) ** 2
+        at = np.lexsort((c, r, d2))[:8]
+        w = 1 / d2[at]
+        assert got[y, x] == pytest.approx((w * a[r[at], c[at]]).sum() / w.sum())
+    assert not np.isnan(got).any() and np.array_equal(got[r, c], a[r, c])
+
+
+def test_local_operators_over_blocks_edges(spark):
+    """A grid of 2 x 2 blocks whose last ones are narrow: smoothing and slope equal those of the mirrored whole."""
+    a = np.random.default_rng(5).random((130, 140))
+    w = np.array([math.exp(-0.125 * i * i) for i in range(-8, 9)])
+    w /= w.sum()
+    pad = np.pad(a, 8, mode="symmetric")
+    rows = sum(w[i] * pad[i : i + 130] for i in range(17))
+    assert np.allclose(dense(te.gaussian(cells(spark, a), 130, 140, 2.0), a.shape), sum(w[i] * rows[:, i : i + 140] for i in range(17)))
+    p = np.pad(a, 1, mode="symmetric")
+    sx = sum(k * (p[1 + d : 131 + d, 2:] - p[1 + d : 131 + d, :-2]) for d, k in ((-1, 1), (0, 2), (1, 1)))
+    sy = sum(k * (p[2:, 1 + d : 141 + d] - p[:-2, 1 + d : 141 + d]) for d, k in ((-1, 1), (0, 2), (1, 1)))
+    got = te.sloped(cells(spark, a), 130, 140, 0.5)
+    assert np.allclose(dense(got, a.shape, "slope"), np.maximum(np.hypot(sx / 4, sy / 4), 0.001)) and np.array_equal(dense(got, a.shape, "d"), direction(a))
+
+
+def test_least_cost_over_groups_of_blocks(spark):
+    """Six blocks in a row, settled by groups of one and two, equal the sequential algorithm; walls of empty cells are gone around."""
+    c = np.random.default_rng(6).random((7, 700)) + 0.05
+    c[1:, 300] = c[:-1, 400] = np.nan
+    cost = grids(spark, {"v": c}).withColumnRenamed("value", "cost")
+    outlet = spark.createDataFrame([("v", 3, 650)], "village string, row int, col int")
+    want = np.where(np.isnan(c), np.inf, cheapest(np.where(np.isnan(c), np.inf, c), 3, 650))
+    for fan in (1, 2):
+        got = dense(te.least_cost(cost, outlet, 16, ["village"], fan), c.shape, "dist")
+        assert np.allclose(got, want)
+
+
+def test_exact_percentiles_near_the_wanted_places(spark):
+    """Large tables are narrowed by a sketch first; percentiles stay exact, of many keys, of repeated values and at both ends."""
+    x = F.xxhash64("id")
+    v = F.when(x % 13 != 0, F.when(F.col("id") % 3 == 0, F.pmod(x, F.lit(5)).cast("double")).otherwise(F.pmod(x, F.lit(1_000_003)) / 7))
+    df = spark.range(60_000).select(F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g"), v.alias("v"))
+    cuts = {"a": 0.0, "b": 0.25, "c": 0.9, "d": 0.95, "e": 1.0}
+    want = df.groupBy("g").agg(*[F.percentile("v", s).alias(n) for n, s in cuts.items()]).collect()
+    for direct in (100, 10**9):
+        got = {r.g: r for r in ra.exact_percentiles(df, "v", cuts, ["g"], direct).collect()}
+        assert len(got) == len(want) == 4
+        assert all(got[r.g][n] == pytest.approx(r[n], rel=1e-12) for r in want for n in cuts)
+        one = ra.exact_percentiles(df, "v", cuts, direct=direct).first()
+        assert all(one[n] == pytest.approx(x, rel=1e-12) for n, x in df.agg(*[F.percentile("v", s).alias(n) for n, s in cuts.items()]).first().asDict().items())
