@@ -42,3 +42,34 @@ def test_importances_train_on_counted_rows(spark, monkeypatch):
         assert gains.count() == 15
         most.append(sum(sizes[-5:]) / copies.count())
     assert len(sizes) == 10 and most[1] < 0.9 * most[0]  # per input row
+
+
+def test_credit_scores_train_on_cells_once_whatever_the_folds(spark, monkeypatch):
+    """Copies add numbers to cells and no rows to train on, and each row's score is that of its fold's model."""
+    names = ["a", "b"]
+    df = spark.range(3000).select("id", (F.pmod(F.xxhash64("id"), F.lit(7)) < 3).cast("int").alias("label"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(60)).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("b"))
+    sizes = _sizes_of_training(monkeypatch)
+    got = flows.credit_oof(df, "id", "label", names, folds=5, rounds=2)
+    assert got.columns == ["id", "label", "fold", "score"] and got.count() == 3000 and got.select("id").distinct().count() == 3000
+    assert len(sizes) == 5 and max(sizes) <= mo.BINS * 5 * 2
+    data, cells, made = flows._credit_models(df, "id", "label", names, 5, 2)
+    scored = mo.out_of_fold_counts(cells, made, "p").groupBy("fold", "cell").agg(F.first("p").alias("p"))
+    both = mo.scored_by_fold(data, made, 2, "q").join(data.select("id", "cell"), "id").join(scored, ["fold", "cell"])
+    worst = both.agg(F.count("*").alias("n"), F.max(F.abs(F.col("p") - F.col("q"))).alias("off"), F.count_distinct("q").alias("values")).first()
+    assert worst.n == 3000 and worst.off < 1e-12 and worst.values > 20
+    assert cells.agg(sum((F.sum(f"n{k}") for k in range(5)), F.lit(0))).first()[0] == 3000
+
+
+def test_places_in_strata_need_no_join_of_rows(spark):
+    """Rows are dealt out once, with all their columns; places follow the hash of the key in each stratum, nulls included."""
+    from prepforge.operators import splits as sp
+
+    df = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("key"), F.when(F.col("id") % 10 > 0, F.col("id") % 3).alias("s"), (F.col("id") * 2).alias("v")).repartition(7)
+    placed = sp.stratum_places(df, "key", "s", 42)
+    plan = placed._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    rows = placed.withColumn("h", F.xxhash64("key", F.lit(42))).collect()
+    assert len(rows) == 2000 and all(r.v == 2 * int(r.key[1:]) for r in rows)
+    for s in (None, 0, 1, 2):
+        own = sorted((r for r in rows if r.s == s), key=lambda r: (r.h, r.key))
+        assert [r["__place"] for r in own] == list(range(len(own))) and {r["__size"] for r in own} == {len(own)}
