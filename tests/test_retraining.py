@@ -40,3 +40,15 @@ def test_equal_rows_are_met_once(spark):
     assert 0 < pseudo == made.pseudo.filter("id % 2 = 1").distinct().count()
     means = {r.x: r.p for r in out.groupBy("x").agg(F.avg("predicted").alias("p")).collect()}
     assert means[6.0] > means[1.0] + 1
+
+
+def test_rows_meet_their_predictions_in_one_join(spark):
+    """What rows are given is put together for different features first: predictions and pseudo-labels of all rows are one join, and neither is joined by key."""
+    x = F.pmod("id", F.lit(8)).cast("double")
+    df = spark.range(1200).select("id", x.alias("x"), (F.col("id") % 3).cast("double").alias("z"), x.alias("y"))
+    made = mo.retrain_with_pseudo(df.filter("id % 5 < 2"), df.filter("id % 5 >= 2").drop("y"), ["x", "z"], "id", "y", flows.price_makers(2), folds=2, limit=0.5)
+    plan = made.predictions._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    given = made.predictions.filter("agreed is not null")
+    assert 0 < given.count() == made.pseudo.count() == made.pseudo.join(given.select("id", "agreed"), "id").filter("label = agreed").count()
+    assert made.predictions.count() == 720
